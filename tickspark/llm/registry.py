@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, minhash_dedup, mixing, sharding
 
-MODULES = (mixing, sharding, exact_dedup)
+MODULES = (mixing, minhash_dedup, sharding, exact_dedup)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, sharding, toxicity
+from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, sentencepiece_fst, sharding, toxicity
 
-MODULES = (mixing, embedding_dedup, toxicity, minhash_dedup, sharding, exact_dedup)
+MODULES = (mixing, embedding_dedup, sentencepiece_fst, toxicity, minhash_dedup, sharding, exact_dedup)
 
 
 def queries() -> dict:

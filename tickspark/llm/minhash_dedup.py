@@ -132,47 +132,63 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one bucket but of two components whose sketches agree in SURE or more.
+def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between components that meet in a bucket.
 
-    ``rows``: key, rep, part, sketch, n (rows of the bucket). Buckets of more than BLOCK rows are dealt as pairs
-    of blocks, each a key of its own, so that no task holds more than two blocks of a bucket at a time.
+    ``rows``: key, rep, part, sketch, text, n (rows of the bucket). Buckets of more than BLOCK rows are dealt as
+    pairs of blocks, each a key of its own, so that no task holds more than two blocks of a bucket at a time.
+    Inside a block, pairs of different components whose sketches agree in SURE or more are compared on their full
+    sets; a link joins its components for the rest of the block, so a block emits less links than it has rows.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         rows.withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "part", "sketch")
+        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "part", "sketch", "text")
     )
-    n = n_partitions(rows)
-    ordered = dealt.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    ordered = dealt.repartition(n_partitions(rows), "key", "a", "b").sortWithinPartitions("key", "a", "b")
 
-    def pairs(block: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        a, b, own = (block.column(k).to_numpy() for k in (1, 2, 3))
-        rep, part = block.column(4).to_numpy(), block.column(5).to_numpy()
-        got = block.column(6).flatten().to_numpy().reshape(len(block), COORDS)
+    def found(block: pa.Table) -> list[tuple[int, int]]:
+        a, b, own, rep, part = (block.column(k).to_numpy() for k in range(1, 6))
+        if len(rep) < 2 or part.min() == part.max():
+            return []
+        got = block.column(6).combine_chunks().flatten().to_numpy().reshape(len(rep), COORDS)
         same = a[0] == b[0]
-        left = np.arange(len(block)) if same else np.flatnonzero(own == a[0])
-        right = np.arange(len(block)) if same else np.flatnonzero(own == b[0])
+        left = np.arange(len(rep)) if same else np.flatnonzero(own == a[0])
+        right = np.arange(len(rep)) if same else np.flatnonzero(own == b[0])
+        part, out, items = part.copy(), [], None
         for k in left:
             others = right[right > k] if same else right
             others = others[part[others] != part[k]]
-            if len(others):
-                close = others[(got[others] == got[k]).sum(axis=1) >= SURE * COORDS]
-                if len(close):
-                    yield np.minimum(rep[k], rep[close]), np.maximum(rep[k], rep[close])
+            close = others[(got[others] == got[k]).sum(axis=1) >= SURE * COORDS] if len(others) else others
+            if not len(close):
+                continue
+            if items is None:
+                texts = block.column(7).combine_chunks()
+                each = [sets(data, offsets, width) for _, _, data, offsets in chunks(texts)]
+                sizes = np.concatenate([np.diff(x[1]) for x in each])
+                names, items = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                mark = np.zeros(len(names), bool)
+            mine = items[bounds[k] : bounds[k + 1]]
+            mark[mine] = True
+            shared = np.array([np.count_nonzero(mark[items[bounds[o] : bounds[o + 1]]]) for o in close])
+            mark[mine] = False
+            for o in close[100 * shared >= percent * (sizes[k] + sizes[close] - shared)]:
+                if part[o] != part[k]:
+                    out.append((min(rep[k], rep[o]), max(rep[k], rep[o])))
+                    part[part == part[o]] = part[k]
+        return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                got = list(pairs(whole))
-                if got:
-                    yield pa.record_batch([pa.array(np.concatenate([g[i] for g in got])) for i in (0, 1)], names=["u", "v"])
-                held.clear()
+            pairs = found(pa.Table.from_batches(held)) if held else []
+            held.clear()
+            if pairs:
+                yield pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         name = None
         for batch in batches:
@@ -208,8 +224,10 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     open_rows = members.where("n > 2 and rep <> least").select("key", "rep", "n")
     parted = cut(open_rows.join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("part", "rep").alias("part")))
     several = cut(parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
-    rest = parted.join(several, "key").join(sketch, "rep")
-    second = cut(verified(_block_pairs(rest), docs, width, percent))
+    rest = cut(parted.join(several, "key"))
+    ids = cut(rest.select(F.col("rep").alias("id")).distinct())
+    texts = join_ids(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), ids, ["id"], "left_semi")
+    second = cut(_block_links(rest.join(sketch, "rep").join(texts.withColumnRenamed("id", "rep"), "rep"), width, percent))
     return first.unionAll(second)
 
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+import importlib
+import pkgutil
+
+import tickspark.operators
+import tickspark.sources
+import tickspark.streaming
+from tickspark.plans import catalog
+
+for _package in (tickspark.sources, tickspark.operators, tickspark.streaming):
+    for _module in pkgutil.iter_modules(_package.__path__):
+        importlib.import_module(f"{_package.__name__}.{_module.name}")
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
+    return dict(catalog.ORACLES)

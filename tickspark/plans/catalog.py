@@ -45,7 +45,7 @@ def rounded(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[at], 0)
             at += 1
         d = int(m[1])
-        sql = f"{sql[: m.start()]}(round(({sql[m.end() : at - 1]})::DOUBLE + 1e-{d + 2}, {d}) + 0.0){sql[at:]}"
+        sql = f"{sql[: m.start()]}(round(({sql[m.end() : at - 1]})::DOUBLE + 1.3717e-{d + 2}, {d}) + 0.0){sql[at:]}"
     return sql
 
 
@@ -86,7 +86,7 @@ def ns(col: str) -> Column:
 def r(col: Column | str, digits: int = 6) -> Column:
     """Rounds for comparison with other engines: a hundredth of the last digit is added, so no value is a tie."""
     name = col if isinstance(col, str) else None
-    out = F.round((F.col(col) if isinstance(col, str) else col).cast("double") + 10.0 ** -(digits + 2), digits)
+    out = F.round((F.col(col) if isinstance(col, str) else col).cast("double") + 1.3717 * 10.0 ** -(digits + 2), digits)
     return out.alias(name) if name else out
 
 

@@ -13,6 +13,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 DAY, HOUR, MINUTE, SECOND = 86_400_000_000_000, 3_600_000_000_000, 60_000_000_000, 1_000_000_000
+YEAR = 365 * DAY
 
 VIEW_SQL = {
     "v_ticks": """SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, event_id AS seq, value AS price, regexp_extract(props, '"k": *(-?[0-9]+)', 1)::DOUBLE AS size,

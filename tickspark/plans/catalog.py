@@ -174,3 +174,15 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
     y = s.where("symbol = '1-URGENT'").select("ts_ns", F.col("price").alias("y"))
     return y.join(s.where("symbol = '2-HIGH'").select("ts_ns", F.col("price").alias("x")), "ts_ns")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for written tables: in the shared folder of ``spark.checkpoint.dir``, else a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tables-")
+    return f"{base}/{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.plans.catalog import DAY, MINUTE, SECOND, fills, nav, query, r, series, table, ticks
+from tickspark.plans.catalog import DAY, MINUTE, SECOND, nav, query, r, series, table, ticks
 
 from .bars import build_bars, sane
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
 from tickspark.functions import special as S
-from tickspark.plans.catalog import nav, query, r, returns, table, ticks
+from tickspark.plans.catalog import nav, query, r, table, ticks
 
 from .performance import nav_returns
 

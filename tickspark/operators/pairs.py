@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
-from tickspark.plans.catalog import pair, query, r, series
+from tickspark.plans.catalog import query, r, series
 
 #: Fixed critical values (1, 5, 10 %) of the unit-root tests and of cointegration with two series.
 CRITICAL = {"no_constant": (-2.5658, -1.9393, -1.6156), "constant": (-3.4336, -2.8621, -2.5671), "trend": (-3.9638, -3.4126, -3.1279), "cointegration": (-3.9001, -3.3377, -3.0462)}

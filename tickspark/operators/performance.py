@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
-from tickspark.plans.catalog import DAY, FILL_ORDER, HOUR, fills, nav, query, r, returns, series
+from tickspark.plans.catalog import DAY, FILL_ORDER, fills, nav, query, r, series
 
 YEAR_NS = 365 * DAY
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.plans.catalog import DAY, nav, query, r, ticks
 
-from .performance import METRICS, metrics, nav_returns, summarize
+from .performance import metrics, nav_returns, summarize
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:

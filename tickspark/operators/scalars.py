@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.plans.catalog import DAY, HOUR, MINUTE, SECOND, nav, query, r, series, table
+from tickspark.plans.catalog import DAY, HOUR, MINUTE, SECOND, nav, query, r, table
 
-from .performance import drawdown_episodes, historical_tail, nav_returns, safe, underwater, worst
+from .performance import drawdown_episodes, nav_returns, safe, underwater, worst
 
 UNITS = {"ms": 1_000_000, "s": SECOND, "m": MINUTE, "h": HOUR, "d": DAY}
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
-from tickspark.plans.catalog import SECOND, fills, latency, nav, query, r, table
+from tickspark.plans.catalog import SECOND, latency, nav, query, r, table
 
 from .performance import safe
 

@@ -70,7 +70,7 @@ def route_summary(split: DataFrame) -> DataFrame:
 #: Fixed legal changes of an order's status.
 TRANSITIONS = {
     "pending": ("open", "rejected", "cancelled"),
-    "open": ("partially_filled", "filled", "cancelled", "expired"),
+    "open": ("partially_filled", "filled", "cancelled", "rejected", "expired"),
     "partially_filled": ("partially_filled", "filled", "cancelled", "expired"),
 }
 
@@ -112,14 +112,26 @@ def atr_size(df: DataFrame, risk: float, multiple: float = 2.0) -> DataFrame:
     return df.withColumn("units", F.least(units, F.try_divide("capital", "price")))
 
 
-def slippage(df: DataFrame, model: str, bps: float = 5.0, share: float = 0.5, k: float = 0.1) -> Column:
-    """X11: adverse cost per unit: fixed, spread, volatility, regime or their sum (composite)."""
+#: Fixed multiples of the cost in each regime; calm and unknown are 1.
+REGIME_COST = {"trending": 1.2, "volatile": 1.8, "crisis": 3.0}
+
+
+def slippage(df: DataFrame, model: str, bps: float = 5.0, share: float = 0.5, k: float = 0.1, floor: float = 0.0) -> Column:
+    """X11: adverse cost per unit: fixed, spread, volatility, regime or their sum (composite).
+
+    The volatility model takes the square root of the share of ``adv`` that ``quantity`` is, at least ``floor``.
+    """
+    times = F.lit(1.0)
+    for regime, m in REGIME_COST.items():
+        times = F.when(F.col("regime") == regime, m).otherwise(times)
+    part = F.sqrt(F.greatest(F.lit(floor), F.abs(F.try_divide("quantity", "adv"))))
+    known = (F.col("sigma") > 0) & (F.col("adv") > 0)
     price, half = F.col("price"), (F.col("ask") - F.col("bid")) / 2
     parts = {
         "fixed": price * bps / 10000,
         "spread": half * share,
-        "volatility": price * F.col("sigma") * k,
-        "regime": price * bps / 10000 * F.when(F.col("regime") == "crisis", 5.0).when(F.col("regime") == "volatile", 2.5).when(F.col("regime") == "trending", 1.2).otherwise(1.0),
+        "volatility": F.when(known, price * F.col("sigma") * k * part).otherwise(0.0),
+        "regime": price * bps / 10000 * times,
     }
     if model == "composite":
         return F.greatest(F.lit(0.0), parts["fixed"] + parts["spread"] + parts["volatility"])
@@ -250,14 +262,14 @@ def x10(spark, sf):
 
 @query(
     "x11_slippage",
-    "WITH s AS (SELECT *, CASE WHEN size < 10 THEN 'crisis' WHEN size < 30 THEN 'volatile' WHEN size < 50 THEN 'trending' ELSE 'calm' END AS regime FROM v_ticks) SELECT seq, R6(price * 0.0005) AS fixed, R6((ask - bid) / 4) AS spread, R6(price * 0.02 * 0.1) AS volatility, R6(price * 0.0005 * CASE regime WHEN 'crisis' THEN 5 WHEN 'volatile' THEN 2.5 WHEN 'trending' THEN 1.2 ELSE 1 END) AS regime_cost, R6(price * 0.0005 + (ask - bid) / 4 + price * 0.002) AS composite FROM s",
+    "WITH s AS (SELECT *, CASE WHEN size < 10 THEN 'crisis' WHEN size < 30 THEN 'volatile' WHEN size < 50 THEN 'trending' ELSE 'calm' END AS regime FROM v_ticks) SELECT seq, R6(price * 0.0005) AS fixed, R6((ask - bid) / 4) AS spread, R6(price * 0.002 * sqrt(size / 100)) AS volatility, R6(price * 0.0005 * CASE regime WHEN 'crisis' THEN 3 WHEN 'volatile' THEN 1.8 WHEN 'trending' THEN 1.2 ELSE 1 END) AS regime_cost, R6(price * 0.0005 + (ask - bid) / 4 + price * 0.002 * sqrt(size / 100)) AS composite FROM s",
     "v_ticks",
 )
 def x11(spark, sf):
     from tickspark.plans.catalog import ticks
 
     s = F.col("size")
-    t = ticks(spark, sf).withColumn("sigma", F.lit(0.02)).withColumn("regime", F.when(s < 10, "crisis").when(s < 30, "volatile").when(s < 50, "trending").otherwise("calm"))
+    t = ticks(spark, sf).withColumns({"sigma": F.lit(0.02), "adv": F.lit(100.0), "quantity": s}).withColumn("regime", F.when(s < 10, "crisis").when(s < 30, "volatile").when(s < 50, "trending").otherwise("calm"))
     return t.select("seq", r(slippage(t, "fixed")).alias("fixed"), r(slippage(t, "spread")).alias("spread"), r(slippage(t, "volatility")).alias("volatility"), r(slippage(t, "regime")).alias("regime_cost"), r(slippage(t, "composite")).alias("composite"))
 
 

@@ -19,12 +19,12 @@ SYMBOLS = (
     ("binance", "ETHUSDT", "ETH/USDT"),
     ("binance", "SOLUSDT", "SOL/USDT"),
     ("binance", "BNBUSDT", "BNB/USDT"),
-    ("binance", "XRPUSDT", "XRP/USDT"),
+    ("binance", "BTCUSDC", "BTC/USDC"),
+    ("binance", "ETHUSDC", "ETH/USDC"),
     ("coinbase", "BTC-USD", "BTC/USD"),
     ("coinbase", "ETH-USD", "ETH/USD"),
     ("coinbase", "SOL-USD", "SOL/USD"),
-    ("coinbase", "BTC-USDT", "BTC/USDT"),
-    ("coinbase", "ETH-USDT", "ETH/USDT"),
+    ("coinbase", "ETH-BTC", "ETH/BTC"),
 )
 
 

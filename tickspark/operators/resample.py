@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.plans.catalog import DAY, nav, query, r, ticks
+from tickspark.plans.catalog import DAY, HOUR, SECOND, nav, query, r, ticks
 
 from .performance import metrics, nav_returns, summarize
 
@@ -88,43 +90,62 @@ def bootstrap_compare(both: DataFrame, runs: int, ppy: float, seed: int = 0, nam
     return summarize(d.unpivot(["curve_id", "run"], list(names), "metric", "value"), ["curve_id", "metric"], "value")
 
 
-#: Fixed scenario presets: name, price gap, drift per day, spread and depth multiples, volatility multiple, halt (share of the span), decay.
+#: Fixed scenario presets: name, price gap, drift per day, spread, depth and volatility multiples, halt and duration (ns), decay, half-life as a share of the duration.
 PRESETS = (
-    ("flash_crash", -0.10, 0.0, 5.0, 0.2, 3.0, 0.0, "exponential"),
-    ("slow_grind", 0.0, -0.02, 1.5, 0.8, 1.2, 0.0, "instant"),
-    ("liquidity_drought", 0.0, 0.0, 8.0, 0.1, 1.5, 0.0, "linear"),
-    ("vol_spike", 0.0, 0.0, 2.0, 0.5, 4.0, 0.0, "exponential"),
-    ("trading_halt", -0.05, 0.0, 3.0, 0.5, 2.0, 0.05, "instant"),
-    ("correlation_break", -0.03, 0.005, 2.0, 0.7, 1.5, 0.0, "linear"),
-    ("melt_up", 0.08, 0.01, 1.5, 0.9, 2.0, 0.0, "exponential"),
+    ("black_monday_1987", -0.22, 0.0, 5.0, 0.3, 4.0, 0, DAY, "exponential", 0.3),
+    ("ltcm_1998", 0.0, -0.005, 4.0, 0.25, 2.5, 0, 42 * DAY, "linear", 0.0),
+    ("lehman_2008", 0.0, -0.017, 6.0, 0.15, 3.5, 0, 21 * DAY, "linear", 0.0),
+    ("flash_crash_2010", -0.09, 0.0, 20.0, 0.02, 8.0, 0, 1800 * SECOND, "exponential", 0.15),
+    ("covid_march_2020", 0.0, -0.012, 5.0, 0.2, 4.0, 0, 28 * DAY, "linear", 0.0),
+    ("luna_may_2022", 0.0, -0.55, 30.0, 0.02, 10.0, 0, 4 * DAY, "instant", 0.0),
+    ("ftx_nov_2022", -0.25, 0.0, 1.0, 0.05, 5.0, 6 * HOUR, 3 * DAY, "linear", 0.0),
 )
 
 
 def stress_presets(spark) -> DataFrame:
     """The named scenarios as a table."""
-    return spark.createDataFrame(list(PRESETS), "scenario string, gap double, drift double, spread_x double, depth_x double, vol_x double, halt double, decay string")
+    return spark.createDataFrame(list(PRESETS), "scenario string, gap double, drift double, spread_x double, depth_x double, vol_x double, halt_ns long, duration_ns long, decay string, half_life double")
+
+
+def intensity(t: Column) -> Column:
+    """V9: 1 at the onset, 0 before it and after the duration; instant, linear or by half-lives between."""
+    dur = F.col("duration_ns")
+    half = F.greatest(F.lit(1e-9), F.col("half_life") * dur)
+    inside = F.when(F.col("decay") == "instant", 1.0).when(F.col("decay") == "linear", 1 - t / dur).otherwise(F.exp(-math.log(2) * t / half))
+    return F.when((t < 0) | (dur <= 0) | (t > dur), 0.0).otherwise(inside)
 
 
-def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, tau_ns: int = 10 * DAY) -> DataFrame:
+def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, gap: str = "persistent") -> DataFrame:
     """V9: records under each scenario (a bounded table), from ``onset`` of their span on.
 
-    Intensity is 1 (instant), falls to 0 over tau (linear) or by exp(-t / tau); the gap decays with it, the drift
-    compounds per day, spreads and sizes move by their multiples, returns scale about the price before the shock.
+    Prices are multiplied by 1 + drift + gap: the drift adds up drift * days * intensity over a symbol's records,
+    the gap decays with the intensity, or hits one record (``gap="single"``). Returns scale about the price before
+    the shock, quotes widen about the price, and the levels of books (columns bids and asks) thin out. Records in a
+    halt are dropped.
     """
     span = records.agg(F.min("ts_ns").alias("_lo"), F.max("ts_ns").alias("_hi"))
-    cols = span.withColumn("_on", F.col("_lo") + ((F.col("_hi") - F.col("_lo")) * onset).cast("long"))
-    pre = records.crossJoin(F.broadcast(cols)).where("ts_ns <= _on").groupBy("symbol").agg(F.max_by("price", F.struct("ts_ns", "seq")).alias("_pre"))
-    rows = records.crossJoin(F.broadcast(cols)).join(F.broadcast(pre), "symbol", "left").crossJoin(F.broadcast(scenarios))
+    at = span.select((F.col("_lo") + ((F.col("_hi") - F.col("_lo")) * onset).cast("long")).alias("_on"))
+    pre = records.crossJoin(F.broadcast(at)).where("ts_ns <= _on").groupBy("symbol").agg(F.max_by("price", F.struct("ts_ns", "seq")).alias("_pre"))
+    rows = records.crossJoin(F.broadcast(at)).join(F.broadcast(pre), "symbol", "left").crossJoin(F.broadcast(scenarios))
     t = F.col("ts_ns") - F.col("_on")
-    on = t >= 0
-    share = F.when(F.col("decay") == "instant", 1.0).when(F.col("decay") == "linear", F.greatest(F.lit(0.0), 1 - t / tau_ns)).otherwise(F.exp(-t / tau_ns))
-    k = F.when(on, share).otherwise(0.0)
-    moved = F.when(on & F.col("_pre").isNotNull(), F.col("_pre") + (F.col("price") - F.col("_pre")) * (1 + (F.col("vol_x") - 1) * k)).otherwise(F.col("price"))
-    price = F.greatest(moved, F.lit(0.01)) * (1 + F.col("gap") * k) * F.when(on, F.pow(1 + F.col("drift"), t / DAY)).otherwise(1.0)
-    half = (F.col("ask") - F.col("bid")) / 2 * (1 + (F.col("spread_x") - 1) * k)
-    halted = on & (t < (F.col("_hi") - F.col("_lo")) * F.col("halt"))
-    out = rows.withColumn("_p", price).withColumn("_h", half).where(~halted)
-    return out.select("scenario", "symbol", "ts_ns", "seq", F.col("_p").alias("price"), (F.col("size") * (1 + (F.col("depth_x") - 1) * k)).alias("size"), (F.col("_p") - F.col("_h")).alias("bid"), (F.col("_p") + F.col("_h")).alias("ask"))
+    rows = rows.where(~((t >= 0) & (t < F.col("halt_ns")))).withColumn("_k", intensity(t))
+    w = Window.partitionBy("scenario", "symbol").orderBy("ts_ns", "seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    days = F.coalesce((F.col("ts_ns") - F.lag("ts_ns").over(w)) / DAY, F.lit(0.0))
+    rows = rows.withColumn("_d", F.col("drift") * days * F.col("_k")).withColumn("_drift", F.sum("_d").over(so_far))
+    hit = F.col("_k")
+    if gap == "single":
+        rows = rows.withColumn("_hits", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(so_far))
+        hit = F.when((F.col("_k") > 0) & (F.col("_hits") == 1), 1.0).otherwise(0.0)
+    k = F.col("_k")
+    swing = F.when((k > 0) & F.col("_pre").isNotNull(), F.greatest(F.col("_pre") + (F.col("price") - F.col("_pre")) * (1 + (F.col("vol_x") - 1) * k), F.lit(0.01))).otherwise(F.col("price"))
+    rows = rows.withColumn("_m", 1 + F.col("_drift") + F.col("gap") * hit).withColumn("_p", swing * F.col("_m"))
+    wide = F.col("_m") * (1 + (F.col("spread_x") - 1) * k)
+    out = {"price": F.col("_p"), "bid": F.col("_p") + (F.col("bid") - F.col("price")) * wide, "ask": F.col("_p") + (F.col("ask") - F.col("price")) * wide}
+    thin = lambda x: F.struct((x["price"] * F.col("_m")).alias("price"), (x["size"] * (1 - (1 - F.col("depth_x")) * k)).alias("size"), x["orders"].alias("orders"))
+    out |= {c: F.transform(c, thin) for c in ("bids", "asks") if c in records.columns}
+    keep = [F.col(c) if c not in out else out[c].alias(c) for c in records.columns]
+    return rows.select("scenario", *keep)
 
 
 def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed: int = 0, key: str = "curve_id") -> DataFrame:
@@ -187,22 +208,24 @@ def v8(spark, sf):
     return bootstrap_compare(both, 50, 365.0, seed=2).select("metric", "n", r("mean"), r("sd"), r("p05"), r("p95"))
 
 
-_PRE = ", ".join("('{}', {}, {}, {}, {}, {}, {}, '{}')".format(*p) for p in PRESETS)
+_PRE = ", ".join("('{}', {}, {}, {}, {}, {}, {}, {}, '{}', {})".format(*p) for p in PRESETS)
 
 
 @query(
     "v9_apply_stress",
-    f"""WITH p AS (SELECT col0 AS scenario, col1::DOUBLE AS gap, col2::DOUBLE AS drift, col3::DOUBLE AS sx, col4::DOUBLE AS dx, col5::DOUBLE AS vx, col6::DOUBLE AS halt, col7 AS decay FROM (VALUES {_PRE})),
-    s AS (SELECT min(ts_ns) AS lo, max(ts_ns) AS hi FROM v_ticks), o AS (SELECT *, lo + trunc((hi - lo) * 0.5)::BIGINT AS on_ FROM s), q AS (SELECT symbol, arg_max(price, (ts_ns, seq)) AS pre FROM v_ticks, o WHERE ts_ns <= on_ GROUP BY 1),
-    j AS (SELECT v.*, p.*, o.*, pre, ts_ns - on_ AS t FROM v_ticks v CROSS JOIN o CROSS JOIN p LEFT JOIN q ON q.symbol = v.symbol),
-    k AS (SELECT *, CASE WHEN t < 0 THEN 0 WHEN decay = 'instant' THEN 1 WHEN decay = 'linear' THEN greatest(0, 1 - t / {10 * DAY}.0::DOUBLE) ELSE exp(-t / {10 * DAY}.0::DOUBLE) END AS k FROM j WHERE NOT (t >= 0 AND t < (hi - lo) * halt)),
-    m AS (SELECT *, greatest(CASE WHEN t >= 0 AND pre IS NOT NULL THEN pre + (price - pre) * (1 + (vx - 1) * k) ELSE price END, 0.01::DOUBLE) * (1 + gap * k) * CASE WHEN t >= 0 THEN pow(1 + drift, t / {DAY}.0::DOUBLE) ELSE 1 END AS np FROM k)
-    SELECT scenario, symbol, count(*) AS n, R4(avg(np)) AS price, R4(avg(size * (1 + (dx - 1) * k))) AS size, R4(avg((ask - bid) * (1 + (sx - 1) * k))) AS spread FROM m GROUP BY 1, 2""",
+    f"""WITH p AS (SELECT col0 AS scenario, col1::DOUBLE AS gap, col2::DOUBLE AS drift, col3::DOUBLE AS sx, col5::DOUBLE AS vx, col6::BIGINT AS halt, col7::DOUBLE AS dur, col8 AS decay, col9::DOUBLE AS hl FROM (VALUES {_PRE})),
+    s AS (SELECT min(ts_ns) AS lo, max(ts_ns) AS hi FROM v_ticks), o AS (SELECT lo + trunc((hi - lo) * 0.5::DOUBLE)::BIGINT AS on_ FROM s), q AS (SELECT symbol, arg_max(price, (ts_ns, seq)) AS pre FROM v_ticks, o WHERE ts_ns <= on_ GROUP BY 1),
+    j AS (SELECT v.*, p.*, pre, ts_ns - on_ AS t FROM v_ticks v CROSS JOIN o CROSS JOIN p LEFT JOIN q ON q.symbol = v.symbol WHERE NOT (ts_ns - on_ >= 0 AND ts_ns - on_ < halt)),
+    k AS (SELECT *, CASE WHEN t < 0 OR t > dur THEN 0 WHEN decay = 'instant' THEN 1 WHEN decay = 'linear' THEN 1 - t / dur ELSE exp(-ln(2) * t / greatest(1e-9, hl * dur)) END AS k FROM j),
+    d AS (SELECT *, drift * coalesce((ts_ns - lag(ts_ns) OVER (PARTITION BY scenario, symbol ORDER BY ts_ns, seq)) / {DAY}.0::DOUBLE, 0) * k AS d FROM k),
+    m AS (SELECT *, 1 + sum(d) OVER (PARTITION BY scenario, symbol ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) + gap * k AS m FROM d),
+    n AS (SELECT *, m * CASE WHEN k > 0 AND pre IS NOT NULL THEN greatest(pre + (price - pre) * (1 + (vx - 1) * k), 0.01::DOUBLE) ELSE price END AS np FROM m)
+    SELECT scenario, symbol, count(*) AS n, R4(avg(np)) AS price, R4(avg((ask - bid) * m * (1 + (sx - 1) * k))) AS spread FROM n GROUP BY 1, 2""",
     "v_ticks",
 )
 def v9(spark, sf):
     s = apply_stress(ticks(spark, sf), stress_presets(spark))
-    return s.groupBy("scenario", "symbol").agg(F.count("*").alias("n"), r(F.avg("price"), 4).alias("price"), r(F.avg("size"), 4).alias("size"), r(F.avg(F.col("ask") - F.col("bid")), 4).alias("spread"))
+    return s.groupBy("scenario", "symbol").agg(F.count("*").alias("n"), r(F.avg("price"), 4).alias("price"), r(F.avg(F.col("ask") - F.col("bid")), 4).alias("spread"))
 
 
 @query("v10_stress_presets", f"SELECT col0 AS scenario, symbol, R6(avg(price) * (1 + col1)) AS gapped FROM (VALUES {_PRE}), v_ticks GROUP BY 1, 2, col1", "v_ticks")

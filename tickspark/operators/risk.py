@@ -114,15 +114,15 @@ def circuit_states(snapshots: DataFrame, limit: float, cooldown_ns: int, key: st
     return e.withColumn("circuit", F.when(F.col("tripped_at").isNull(), "armed").when(F.col("ts_ns") - F.col("tripped_at") < cooldown_ns, "tripped").otherwise("recovering"))
 
 
-def correlation_status(df: DataFrame, threshold: float = 0.5, slow: int = 60, fast: int = 10, key: str = "pair") -> DataFrame:
-    """sign_flip, broken, weakening or stable, from slow and fast averages of a correlation."""
+def correlation_status(df: DataFrame, threshold: float = 0.3, slow: int = 60, fast: int = 10, key: str = "pair") -> DataFrame:
+    """sign_flip (signs differ and the fast one is above the threshold), broken, weakening or stable."""
 
     def f(p: pd.DataFrame) -> dict:
         x = p["corr"].to_numpy()
         return {"slow": K.ewma(x, slow), "fast": K.ewma(x, fast)}
 
     d = K.per_key(df, [key], ["ts_ns"], f, "slow double, fast double").withColumn("drop", F.abs(F.col("slow") - F.col("fast")))
-    flip = (F.col("slow") * F.col("fast") < 0) & (F.col("drop") >= threshold / 2)
+    flip = (F.col("slow") * F.col("fast") < 0) & (F.abs("fast") > threshold)
     return d.withColumn("status", F.when(flip, "sign_flip").when(F.col("drop") >= threshold, "broken").when(F.col("drop") >= threshold / 2, "weakening").otherwise("stable"))
 
 
@@ -136,21 +136,35 @@ def worst_status(df: DataFrame) -> DataFrame:
 
 
 def vol_regime(df: DataFrame, window: int = 20, base: int = 120, key: str = "curve_id", col: str = "ret") -> DataFrame:
-    """Recent over baseline volatility: low under 0.5, normal under 1.5, high under 3, else extreme."""
+    """Recent over baseline volatility: calm under 0.5, normal under 1.5, elevated under 3, else stressed."""
     w = lambda k: Window.partitionBy(key).orderBy("ts_ns").rowsBetween(-(k - 1), 0)
     d = df.withColumn("realized", F.coalesce(F.stddev_samp(col).over(w(window)), F.lit(0.0))).withColumn("baseline", F.coalesce(F.stddev_samp(col).over(w(base)), F.lit(0.0)))
-    ratio = safe(F.col("realized"), F.col("baseline"))
-    return d.withColumn("vol_ratio", ratio).withColumn("vol_regime", F.when(ratio < 0.5, "low").when(ratio < 1.5, "normal").when(ratio < 3.0, "high").otherwise("extreme"))
+    ratio = F.when(F.col("baseline") > 1e-12, F.try_divide("realized", "baseline")).otherwise(0.0)
+    regime = F.when(F.col("baseline") <= 1e-12, "normal").when(ratio < 0.5, "calm").when(ratio < 1.5, "normal").when(ratio < 3.0, "elevated").otherwise("stressed")
+    return d.withColumn("vol_ratio", ratio).withColumn("vol_regime", regime)
 
 
-#: Fixed weights of the score's parts.
-WEIGHTS = {"drawdown": 0.30, "var": 0.25, "leverage": 0.15, "concentration": 0.15, "vol_ratio": 0.15}
+#: Fixed weights of the score's parts, and what a status adds.
+WEIGHTS = {"var": 0.30, "drawdown": 0.25, "leverage": 0.15, "correlation": 0.15, "circuit": 0.15}
+STATUS_SCORE = {"correlation": {"weakening": 0.33, "broken": 0.67, "sign_flip": 1.0}, "circuit": {"recovering": 0.5, "tripped": 1.0}}
 
 
 def risk_score(df: DataFrame, limits: dict[str, float] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """Weighted shares of the limits used, each between 0 and 1, and the level that the score means."""
-    own = LIMITS | {"vol_ratio": 3.0} | (limits or {})
-    score = sum((F.lit(w) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(k) / own[k])) for k, w in (weights or WEIGHTS).items()), F.lit(0.0))
+    """Weighted shares of the limits used and severities of the states, each between 0 and 1, and the level.
+
+    ``df``: var, drawdown, leverage, correlation (worst status, null: stable) and circuit (null: armed).
+    """
+    own, parts = LIMITS | (limits or {}), weights or WEIGHTS
+
+    def part(k: str) -> Column:
+        if k in STATUS_SCORE:
+            out = F.lit(0.0)
+            for status, value in STATUS_SCORE[k].items():
+                out = F.when(F.col(k) == status, value).otherwise(out)
+            return out
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(k) / own[k])) if own[k] > 0 else F.lit(0.0)
+
+    score = sum((F.lit(w) * part(k) for k, w in parts.items()), F.lit(0.0)) / (sum(parts.values()) or 1.0)
     return df.withColumn("score", score).withColumn("level", F.when(score < 0.25, "low").when(score < 0.5, "moderate").when(score < 0.75, "high").otherwise("critical"))
 
 
@@ -160,7 +174,7 @@ def risk_monitor(curve: DataFrame, window: int = 250, c: float = 0.95, key: str
     w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(-(window - 1), 0)
     d = vol_regime(rets, key=key).withColumn("sd", F.coalesce(F.stddev_samp("ret").over(w), F.lit(0.0))).withColumn("mean", F.avg("ret").over(w)).withColumn("n", F.count("*").over(w))
     d = _normal(d, c).join(drawdown_track(curve, key).select(key, "ts_ns", "drawdown", "max_drawdown", "underwater_ns"), [key, "ts_ns"])
-    d = d.withColumn("leverage", F.lit(1.0)).withColumn("concentration", F.lit(0.0)).withColumn("daily_loss", F.greatest(-F.col("ret"), F.lit(0.0))).withColumn("ready", F.col("n") >= 30)
+    d = d.withColumns({"leverage": F.lit(1.0), "correlation": F.lit("stable"), "circuit": F.lit("armed")}).withColumn("daily_loss", F.greatest(-F.col("ret"), F.lit(0.0))).withColumn("ready", F.col("n") >= 30)
     return risk_score(d)
 
 
@@ -265,23 +279,24 @@ def r11(spark, sf):
 
 
 _VR = f"""{_R}, v0 AS (SELECT *, coalesce(stddev_samp(ret) OVER (PARTITION BY curve_id ORDER BY ts_ns ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS realized, coalesce(stddev_samp(ret) OVER (PARTITION BY curve_id ORDER BY ts_ns ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), 0) AS baseline FROM q),
-    vr AS (SELECT *, CASE WHEN baseline < 1e-15 THEN 0 ELSE realized / baseline END AS ratio FROM v0)"""
+    vr AS (SELECT *, CASE WHEN baseline <= 1e-12 THEN 0 ELSE realized / baseline END AS ratio FROM v0)"""
 
 
-@query("r12_vol_regime", f"WITH {_VR} SELECT curve_id, ts_ns, R6(ratio) AS vol_ratio, CASE WHEN ratio < 0.5 THEN 'low' WHEN ratio < 1.5 THEN 'normal' WHEN ratio < 3 THEN 'high' ELSE 'extreme' END AS vol_regime FROM vr", "v_returns")
+@query("r12_vol_regime", f"WITH {_VR} SELECT curve_id, ts_ns, R6(ratio) AS vol_ratio, CASE WHEN baseline <= 1e-12 THEN 'normal' WHEN ratio < 0.5 THEN 'calm' WHEN ratio < 1.5 THEN 'normal' WHEN ratio < 3 THEN 'elevated' ELSE 'stressed' END AS vol_regime FROM vr", "v_returns")
 def r12(spark, sf):
     return vol_regime(_rets(spark, sf)).select("curve_id", "ts_ns", r("vol_ratio"), "vol_regime")
 
 
 @query(
     "r13_risk_score",
-    f"""WITH {_VR}, {_DD}, j AS (SELECT vr.curve_id, vr.ts_ns, ratio, drawdown FROM vr JOIN dt ON dt.curve_id = vr.curve_id AND dt.ts_ns = vr.ts_ns), s AS (SELECT *, 0.3 * least(1, greatest(0, drawdown / 0.02)) + 0.25 * 0.5 + 0.15 * (1 / 3.0::DOUBLE) + 0.15 * 0 + 0.15 * least(1, greatest(0, ratio / 3)) AS score FROM j)
+    f"""WITH {_VR}, {_DD}, j AS (SELECT vr.curve_id, vr.ts_ns, ratio, drawdown FROM vr JOIN dt ON dt.curve_id = vr.curve_id AND dt.ts_ns = vr.ts_ns), s AS (SELECT *, 0.3 * 0.5 + 0.25 * least(1, greatest(0, drawdown / 0.02)) + 0.15 * (1 / 3.0::DOUBLE) + CASE WHEN ratio > 1.2 THEN 0.15 * 0.67 WHEN ratio > 1 THEN 0.15 * 0.33 ELSE 0 END + CASE WHEN drawdown > 0.01 THEN 0.15 WHEN drawdown > 0.005 THEN 0.075 ELSE 0 END AS score FROM j)
     SELECT curve_id, ts_ns, R6(score) AS score, CASE WHEN score < 0.25 THEN 'low' WHEN score < 0.5 THEN 'moderate' WHEN score < 0.75 THEN 'high' ELSE 'critical' END AS level FROM s""",
     ("v_returns",),
 )
 def r13(spark, sf):
     d = vol_regime(_rets(spark, sf)).join(drawdown_track(nav(spark, sf)).select("curve_id", "ts_ns", "drawdown"), ["curve_id", "ts_ns"])
-    d = d.withColumns({"var": F.lit(0.025), "leverage": F.lit(1.0), "concentration": F.lit(0.0)})
+    dd, ratio = F.col("drawdown"), F.col("vol_ratio")
+    d = d.withColumns({"var": F.lit(0.025), "leverage": F.lit(1.0), "correlation": F.when(ratio > 1.2, "broken").when(ratio > 1, "weakening").otherwise("stable"), "circuit": F.when(dd > 0.01, "tripped").when(dd > 0.005, "recovering").otherwise("armed")})
     return risk_score(d, {"drawdown": 0.02}).select("curve_id", "ts_ns", r("score"), "level")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_ids, n_partitions, read
+from .common import cut, join_ids, n_partitions, read, small_batches
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -122,7 +122,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(made, pa.binary())], names=ROWS.names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col("text").cast("binary"))
-    return rows.mapInArrow(run, ROWS)
+    return small_batches(rows).mapInArrow(run, ROWS)
 
 
 def _emit(index: CuckooIndex, step: int = 20_000) -> Iterator[pa.RecordBatch]:

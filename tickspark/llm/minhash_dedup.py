@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, join_ids, n_partitions, read
+from .common import components, cut, join_ids, n_partitions, read, small_batches
 from .shingles import chunks, mix, sets
 
 #: Coordinates of a sketch, and rows of a band: 32 bands of 4 find a pair of similarity 0.8 but for 4 in 10^8.
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for i, j, data, offsets in chunks(batch.column(1)):
                 yield rows(batch.column(0).slice(i, j - i), data, offsets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
 def _alike(a: str, b: str) -> Column:

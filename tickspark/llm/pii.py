@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read
+from .common import cut, read, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as its context.
@@ -162,7 +162,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     an empty table gives an empty table. Up to ``most`` disclosing terms are broadcast; more of them meet the
     terms of each document in a shuffle join instead.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms = cut(disclosing_terms(docs, disclosure, support).groupBy("term").agg(F.max(F.struct("information", "replacement")).alias("x")).select("term", "x.replacement"))
     if terms.count() <= most:
         shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["replacement"] for r in terms.collect()})

@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, small_batches
 
 #: Buckets that terms are hashed into; the documented bounds of training: labelled rows, and buckets with a weight.
 BUCKETS, TRAIN_ROWS, FEATURES, FACTORS = 1 << 20, 20_000, 2_048, 8
 #: A term is a word of letters, or how it begins: word stems carry what endings hide.
 PREFIXES = (4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def term_buckets(word: str) -> set[int]:
@@ -61,7 +61,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     picked = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    met = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE, UNIGRAM = 2, 1
-_CACHE = 600_000
+#: Most pairs of pieces, and by default most stretches of a generation, that a worker remembers.
+_PAIRS, REMEMBER = 3_600_000, 900_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -64,6 +65,7 @@ class Transducer:
     """
 
     vocabulary: Vocabulary
+    remember: int = REMEMBER
     ids: dict[str, int] = field(init=False)
     bytes_of: list[int] = field(init=False)
 
@@ -80,6 +82,7 @@ class Transducer:
         self._cut = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self._apart: dict[tuple[int, int], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         self._plain = not (crossing or lines)
         #: Neighbours inside some piece; no path runs over a border between two others.
         self._inside = {x + y for p in self.ids for x, y in zip(p, p[1:], strict=False)}
@@ -98,87 +101,123 @@ class Transducer:
     def _merged(self, text: str) -> list[str]:
         """The merges on a short text alone: the best-scored neighbour pair first, leftmost of equals."""
         parts = list(text)
-        scores = self.vocabulary.scores
-        while len(parts) > 1:
-            best = max(((scores[self.ids[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ids), default=None)
-            if best is None:
+        ids, scores = self.ids, self.vocabulary.scores
+        ranks = [ids.get(a + b, -1) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best, at = -1e300, -1
+            for i, k in enumerate(ranks):
+                if k >= 0 and scores[k] > best:
+                    best, at = scores[k], i
+            if at < 0:
                 break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = ids.get(parts[at - 1] + parts[at], -1)
+            if at < len(ranks):
+                ranks[at] = ids.get(parts[at] + parts[at + 1], -1)
         return parts
 
     def _compatible(self, a: int, b: int) -> bool:
         got = self._apart.get((a, b))
         if got is None:
-            if len(self._apart) >= 4 * _CACHE:
+            if len(self._apart) >= _PAIRS:
                 self._apart.clear()
             x, y = self.vocabulary.pieces[a], self.vocabulary.pieces[b]
             got = self._apart[(a, b)] = self._merged(x + y) == [x, y]
         return got
 
     def shortest_path(self, stretch: str) -> tuple[int, ...]:
-        """Pieces on the best path through one stretch; bytes where a character is no piece.
+        """Pieces on the best path through one stretch; bytes where a character is no piece."""
+        return self._by_merges(stretch) if self.vocabulary.model == BPE else self._by_scores(stretch)
+
+    def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """(end, piece) of the lexicon's arcs that leave border ``i``, shortest first; -2 for the way by bytes."""
+        get, out = self._trie.get, []
+        for j in range(i + 1, len(text) + 1):
+            piece = get(text[i:j])
+            if piece is None:
+                break
+            if piece >= 0:
+                out.append((j, piece))
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, -2))
+        return out
+
+    def _by_merges(self, text: str) -> tuple[int, ...]:
+        """Depth first, longest arcs first, over states (border, last piece): all finite paths weigh nothing.
 
-        States are the borders between characters. For BPE a border has one way in of finite weight, so a state
-        keeps its last piece; for unigram it keeps the least weight. Forward over the borders, then back.
+        There is one such path to the end; states that led nowhere are not entered again, so the search is linear
+        in the states.
         """
-        n, trie, bpe = len(stretch), self._trie, self.vocabulary.model == BPE
-        scores, apart = self.vocabulary.scores, self._apart
-        last = [-3] * (n + 1)  # -3: not reached, -2: by bytes, -1: the start
-        came = [0] * (n + 1)
-        weight = [0.0] + [float("inf")] * n
-        last[0] = -1
-        for i in range(n):
-            before = last[i]
-            if before == -3:
-                continue
-            single = True
-            for j in range(i + 1, n + 1):
-                piece = trie.get(stretch[i:j])
-                if piece is None:
+        n, apart = len(text), self._apart
+        path: list[tuple[int, int, list[tuple[int, int]]]] = [(0, -1, self._arcs(text, 0))]
+        dead: set[tuple[int, int]] = set()
+        while path[-1][0] < n:
+            at, last, arcs = path[-1]
+            while arcs:
+                j, piece = arcs.pop()
+                if last >= 0 and piece >= 0:
+                    free = apart.get((last, piece))
+                    if free is None:
+                        free = self._compatible(last, piece)
+                    if not free:
+                        continue
+                if (j, piece) not in dead:
+                    path.append((j, piece, self._arcs(text, j) if j < n else []))
                     break
-                if piece < 0:
-                    continue
-                single = single and j > i + 1
-                if not bpe:
-                    if weight[i] - scores[piece] < weight[j]:
-                        last[j], came[j], weight[j] = piece, i, weight[i] - scores[piece]
-                elif last[j] == -3:
-                    if before >= 0:
-                        free = apart.get((before, piece))
-                        if free is None:
-                            free = self._compatible(before, piece)
-                        if not free:
-                            continue
-                    last[j], came[j] = piece, i
-            if single and (last[i + 1] == -3 if bpe else weight[i] + 1e9 < weight[i + 1]):
-                last[i + 1], came[i + 1], weight[i + 1] = -2, i, weight[i] + 1e9
+            else:
+                dead.add((at, last))
+                path.pop()
         out: list[int] = []
-        j = n
-        while j:
-            i, piece = came[j], last[j]
+        for k in range(1, len(path)):
+            j, piece, _ = path[k]
             if piece >= 0:
                 out.append(piece)
             else:
-                out.extend(self.bytes_of[b] for b in reversed(stretch[i:j].encode("utf-8", "replace")))
+                out += [self.bytes_of[b] for b in text[path[k - 1][0] : j].encode("utf-8", "replace")]
+        return tuple(out)
+
+    def _by_scores(self, text: str) -> tuple[int, ...]:
+        """Least sum of minus scores, forward over the borders and back; a way by bytes is the last resort."""
+        n, scores = len(text), self.vocabulary.scores
+        weight, came = [0.0] + [float("inf")] * n, [(0, -2)] * (n + 1)
+        for i in range(n):
+            for j, piece in self._arcs(text, i):
+                w = weight[i] - scores[piece] if piece >= 0 else weight[i] + 1e9
+                if w < weight[j]:
+                    weight[j], came[j] = w, (i, piece)
+        out: list[int] = []
+        j = n
+        while j:
+            i, piece = came[j]
+            out += [piece] if piece >= 0 else [self.bytes_of[b] for b in reversed(text[i:j].encode("utf-8", "replace"))]
             j = i
         return tuple(reversed(out))
 
     def _solve(self, stretch: str) -> tuple[int, ...]:
+        """A stretch's path, from two generations of remembered ones: the older is dropped when the newer is full."""
         got = self._known.get(stretch)
+        if got is not None:
+            return got
+        got = self._older.get(stretch)
         if got is None:
-            inside, cuts = self._inside, [0]
-            cuts += [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in inside]
-            if len(cuts) > 1:
-                got = tuple(chain.from_iterable(self._solve(stretch[a:b]) for a, b in zip(cuts, [*cuts[1:], len(stretch)], strict=True)))
+            inside = self._inside
+            cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in inside]
+            if cuts:
+                got = tuple(chain.from_iterable(self._solve(stretch[a:b]) for a, b in zip([0, *cuts], [*cuts, len(stretch)], strict=True)))
             else:
                 got = self.shortest_path(stretch)
-            if len(stretch) <= 64:
-                if len(self._known) >= _CACHE:
-                    self._known.clear()
-                self._known[stretch] = got
+        if len(stretch) <= 64:
+            if len(self._known) >= self.remember:
+                self._older, self._known = self._known, {}
+            self._known[stretch] = got
         return got
 
+    def forget(self) -> None:
+        """Lets go of the remembered stretches, so that an idle worker holds the compiled machine alone."""
+        self._known, self._older = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -186,7 +225,6 @@ class Transducer:
         if not self._plain:
             return [i for stretch in self._cut.findall(marked) for i in self._solve(stretch)]
         out: list[int] = []
-        known = self._known
         for k, line in enumerate(marked.split("\n")):
             if k:
                 out += self._solve("\n")
@@ -195,7 +233,7 @@ class Transducer:
             else:
                 first, *rest = line.split(SPACE)
                 stretches = [first, *[SPACE + w for w in rest]] if first else [SPACE + w for w in rest]
-            found = list(map(known.get, stretches))
+            found = list(map(self._known.get, stretches))
             if None in found:
                 found = [self._solve(w) if f is None else f for f, w in zip(found, stretches, strict=True)]
             out += chain.from_iterable(found)
@@ -219,35 +257,44 @@ def machine(path: str) -> Transducer:
 
 
 
-def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, remember: int = REMEMBER, keep: bool = True) -> DataFrame:
     """Per document row: doc_id, ids (with ``with_ids``), n_tokens, n_bytes, ids_sha256, round_trip.
 
     Whole texts are encoded and decoded again: ``round_trip`` says whether the text came back, but for the mark
     U+2581, which decodes to a space as it does in the model itself. ids_sha256 is the hash of the ids, decimal,
     comma-joined; n_bytes counts byte pieces. A null or empty text has no ids. Other columns are ignored; an
     empty table gives an empty table. The vocabulary file must be installed on the executors at ``path``.
+    A worker remembers at most 2 * ``remember`` stretches, about 220 bytes each; with ``keep`` its next task finds
+    them, without it other work has the memory.
     """
     path = path or model_path()
     fields = [T.StructField("doc_id", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
     fields += [T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
     schema = T.StructType(fields)
 
+    def rows(fst: Transducer, is_byte: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column(1).to_pylist()
+        ids = [fst.encode(t) for t in texts]
+        trip = [fst.decode(i) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+        arrays = [np.array(i, np.int32) for i in ids]
+        columns = [part.column(0), *([pa.array(arrays, pa.list_(pa.int32()))] if with_ids else [])]
+        columns += [pa.array([len(i) for i in ids], pa.int64()), pa.array([int(is_byte[a].sum()) for a in arrays], pa.int64())]
+        columns += [pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]), pa.array(trip)]
+        return pa.record_batch(columns, names=schema.names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = machine(path)
+        fst.remember = remember
         is_byte = np.array([k == BYTE for k in fst.vocabulary.kinds])
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                texts = part.column(1).to_pylist()
-                ids = [fst.encode(t) for t in texts]
-                trip = [fst.decode(i) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
-                arrays = [np.array(i, np.int32) for i in ids]
-                columns = [part.column(0), *([pa.array(arrays, pa.list_(pa.int32()))] if with_ids else [])]
-                columns += [pa.array([len(i) for i in ids], pa.int64()), pa.array([int(is_byte[a].sum()) for a in arrays], pa.int64())]
-                columns += [pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]), pa.array(trip)]
-                yield pa.record_batch(columns, names=schema.names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), 200):
+                    yield rows(fst, is_byte, batch.slice(at, 200))
+        finally:
+            if not keep:
+                fst.forget()
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -35,8 +35,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, after a round trip through the decoder."""
-    return encode(docs)
+    """Ids of each document, after a round trip through the decoder; workers give their memory back after each task."""
+    return encode(docs, remember=300_000, keep=False)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]

@@ -224,3 +224,59 @@ def test_intervals_and_lineage(spark):
         scalars.parse_interval("x")
     d = spark.createDataFrame([("feed/a", "b_1"), ("", "root"), ("feed", "No"), ("x" * 60, "yyyyy")], "p string, c string")
     assert [r[0] for r in d.select(filters.lineage_push(F.col("p"), F.col("c"))).collect()] == ["feed/a/b_1", "root", None, None]
+
+
+def test_risk_monitor_parts(spark):
+    n = 60
+    navs = [1000.0] + [1000.0 + i % 2 for i in range(1, 40)] + [700.0] + [700.0 + i % 2 for i in range(1, 20)]
+    curve = spark.createDataFrame([("a", i * DAY, v) for i, v in enumerate(navs)], "curve_id string, ts_ns long, nav double")
+    held = spark.createDataFrame([("a", "s", 5 * DAY, 400.0), ("a", "t", 7 * DAY, -200.0), ("a", "s", 50 * DAY, 2800.0)], "curve_id string, symbol string, ts_ns long, value double")
+    corrs = spark.createDataFrame([("p", i * DAY, 0.9 if i < 20 else -0.9) for i in range(n)], "pair string, ts_ns long, corr double")
+    m = {r["ts_ns"] // DAY: r for r in risk.risk_monitor(curve, held, corrs).collect()}
+    assert [m[i]["circuit"] for i in (39, 40, 41)] == ["armed", "tripped", "recovering" if risk.COOLDOWN <= DAY else "tripped"]
+    assert (m[10]["gross"], m[10]["net"], m[10]["n_positions"], m[4]["n_positions"]) == (600, 200, 2, 0)
+    assert m[10]["leverage"] == pytest.approx(600 / navs[10]) and m[10]["concentration"] == pytest.approx(400 / navs[10])
+    assert m[19]["correlation"] == "stable" and "sign_flip" in {m[i]["correlation"] for i in range(20, n)}
+    assert [b["limit"] for b in m[40]["breaches"]][:2] == ["drawdown", "daily_loss"] and "leverage" in [b["limit"] for b in m[51]["breaches"]] and m[10]["breaches"][0]["limit"] == "concentration"
+    assert m[41]["score"] > m[30]["score"] + 0.15
+
+
+def test_risk_monitor_garch(spark):
+    curve = spark.createDataFrame([("a", i * DAY, 1000.0 + 7 * (i % 3)) for i in range(40)], "curve_id string, ts_ns long, nav double")
+    none = spark.createDataFrame([], "curve_id string, symbol string, ts_ns long, value double")
+    calm = spark.createDataFrame([], "pair string, ts_ns long, corr double")
+    fit = spark.createDataFrame([("a", 1e-4, 0.0, 0.0)], "curve_id string, omega double, alpha double, beta double")
+    m = risk.risk_monitor(curve, none, calm, garch=fit).orderBy("ts_ns").collect()
+    assert len(m) == 39 and all(x["sd"] == pytest.approx(0.01) and x["leverage"] == 0 and x["correlation"] == "stable" for x in m)
+
+
+def test_pair_decisions(spark):
+    good = dict(y=10.0, x=5.0, beta=1.0, corr=0.9, p_value=0.01, half_life=10.0, cointegrated=True, ready=True, signal="long_spread")
+    steps = [dict(ready=False), {}, {}, dict(signal="exit"), dict(signal="short_spread"), dict(cointegrated=False), {}]
+    rows = [("p", i, *{**good, **x}.values()) for i, x in enumerate(steps)]
+    for name, bad in (("corr", 0.5), ("p_value", 0.06), ("half_life", 1.0), ("half_life", 200.0), ("half_life", math.inf), ("half_life", None), ("cointegrated", False), ("cointegrated", None), ("p_value", None)):
+        rows.append((f"{name} {bad}", 0, *{**good, name: bad}.values()))
+    snaps = spark.createDataFrame(rows, "pair string, ts_ns long, y double, x double, beta double, corr double, p_value double, half_life double, cointegrated boolean, ready boolean, signal string")
+    got = pairs.pair_decisions(snaps).orderBy("pair", "ts_ns").collect()
+    p = [r for r in got if r["pair"] == "p"]
+    assert sorted((r["ts_ns"], r["action"], r["side"], r["reason"]) for r in p) == [(1, "enter", 1, "signal"), (3, "exit", -1, "signal"), (4, "enter", -1, "signal"), (5, "exit", 1, "screen"), (6, "enter", 1, "signal"), (6, "flatten", -1, "end")]
+    last = next(r for r in p if r["action"] == "flatten")
+    assert {k: last[k] for k in pairs.OUTCOMES} == dict(signals=5, entries=3, exits=1, not_ready=1, screened=1, repeated=1, forced=1)
+    assert p[0]["qy"] == pytest.approx(10_000 / 15)
+    others = [r for r in got if r["pair"] != "p"]
+    assert len(others) == 9 and all((r["action"], r["screened"]) == ("none", 1) for r in others)
+
+
+def test_walk_forward_deflated(spark):
+    results = spark.createDataFrame([(f, p, float(p), p * 0.1, 0.1) for f in (0, 1) for p in (1, 2, 3)], "fold int, point int, param double, is_score double, oos_score double")
+    rng = np.random.default_rng(1)
+    curve = {p: 100 * np.cumprod(1 + rng.normal(0.002, 0.01, 80)) for p in (1, 2, 3)}
+    curves = spark.createDataFrame([(i // 40, p, i * DAY, float(v)) for p in curve for i, v in enumerate(curve[p])], "fold int, point int, ts_ns long, nav double")
+    got = validation.walk_forward_report(results, curves).first()
+    nav = curve[3].copy()
+    nav[40:] *= nav[39] / nav[40]
+    ret = np.diff(nav) / nav[:-1]
+    z = (ret - ret.mean()) / ret.std()
+    want = validation.deflated_sharpe(spark.createDataFrame([(got["oos_sharpe"], 79.0, float((z**3).mean()), float((z**4).mean() - 3))], "sr double, n double, skew double, kurt double"), 6, 0.1).first()["deflated"]
+    assert got["oos_sharpe"] == pytest.approx(ret.mean() / ret.std(ddof=1) * math.sqrt(365), rel=0.02)
+    assert got["trials"] == 6 and got["deflated"] == pytest.approx(want, abs=1e-6) and 0 < got["deflated"] <= 1

@@ -210,7 +210,7 @@ def pair_snapshots(df: DataFrame, window: int = 256, key: str = "pair", min_publ
     signals = reversion_signals(stats, key=key)
     tests = rolling_cointegration(df, key=key).withColumnsRenamed({"p_value": "adf_p_value", "t_stat": "adf_t_stat"})
     at = df.withColumn("retest", F.row_number().over(Window.partitionBy(key).orderBy("ts_ns"))).select(key, "retest", "ts_ns")
-    met = asof(signals, tests.join(at, [key, "retest"]).select(key, "ts_ns", "adf_p_value", "adf_t_stat", "half_life"), [key], ["adf_p_value", "adf_t_stat", "half_life"])
+    met = asof(signals, tests.join(at, [key, "retest"]).select(key, "ts_ns", "adf_p_value", "adf_t_stat", "half_life", "cointegrated"), [key], ["adf_p_value", "adf_t_stat", "half_life", "cointegrated"])
     gap = F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy(key).orderBy("ts_ns"))
     return met.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= min_publish_ns)).drop("_gap", "matched_ts")
 
@@ -296,29 +296,68 @@ def leg_sizes(df: DataFrame, target: float, pct: float) -> DataFrame:
     return df.withColumn("qy", qy).withColumn("qx", F.abs("beta") * F.col("qy"))
 
 
-def pair_decisions(snaps: DataFrame, key: str = "pair", max_p: float = 0.05, min_corr: float = 0.5, target: float = 10_000.0) -> DataFrame:
-    """Entries, exits and a final flatten: repeats of the last signal are dropped, a failing screen closes.
+#: What became of the snapshots of a pair, as counted by pair_decisions.
+OUTCOMES = ("signals", "entries", "exits", "not_ready", "screened", "repeated", "forced")
 
-    ``snaps``: pair, ts_ns, y, x, beta, z, corr, p_value, signal of P14.
+
+def pair_decisions(
+    snaps: DataFrame,
+    key: str = "pair",
+    max_p: float = 0.05,
+    min_corr: float = 0.7,
+    target: float = 10_000.0,
+    half: tuple[float, float] = (2.0, 100.0),
+    pct: float = 0.3,
+    nav: float = math.inf,
+) -> DataFrame:
+    """Entries, exits and a last row: repeats of the last signal are dropped, a failing screen closes.
+
+    ``snaps``: pair, ts_ns, y, x, beta, corr, p_value, half_life, cointegrated, ready, signal of P14. All five screens
+    must hold: cointegrated, p-value, correlation, half-life in its band and finite. Each row carries the counts of
+    OUTCOMES so far; the last one of a pair flattens what is open, else its action is ``none``.
     """
-    schema = T.StructType([snaps.schema[key], *T._parse_datatype_string("ts_ns long, action string, side int, qy double, qx double, reason string").fields])
+    counts = ", ".join(f"{k} long" for k in OUTCOMES)
+    schema = T.StructType([snaps.schema[key], *T._parse_datatype_string(f"ts_ns long, action string, side int, qy double, qx double, reason string, {counts}").fields])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ns", kind="stable")
-        out, side, qy, qx, last = [], 0, 0.0, 0.0, None
+        out, side, qy, qx, acted = [], 0, 0.0, 0.0, None
+        n = dict.fromkeys(OUTCOMES, 0)
+
+        def add(ts: int, action: str, way: int, reason: str) -> None:
+            out.append((int(ts), action, way, qy, qx, reason, *n.values()))
+
         for s in pdf.itertuples(index=False):
-            screened = s.p_value is not None and s.p_value <= max_p and abs(s.corr) >= min_corr
-            if side and (not screened or s.signal == "exit"):
-                out.append((s.ts_ns, "exit", -side, qy, qx, "signal" if screened else "screen"))
-                side, last = 0, "exit"
-            elif not side and screened and s.signal in ("long_spread", "short_spread") and s.signal != last:
-                side, last = (1 if s.signal == "long_spread" else -1), s.signal
-                qy = target / (s.y + abs(s.beta) * s.x)
-                qx = abs(s.beta) * qy
-                out.append((s.ts_ns, "enter", side, qy, qx, "signal"))
-        if side:
-            out.append((int(pdf["ts_ns"].iloc[-1]), "flatten", -side, qy, qx, "end"))
-        done = pd.DataFrame(out, columns=["ts_ns", "action", "side", "qy", "qx", "reason"])
+            if not s.ready:
+                n["not_ready"] += 1
+                continue
+            if not (s.cointegrated and s.p_value <= max_p and abs(s.corr) >= min_corr and half[0] <= s.half_life <= half[1] and math.isfinite(s.half_life)):
+                n["screened"] += 1
+                if side:
+                    n["forced"] += 1
+                    add(s.ts_ns, "exit", -side, "screen")
+                    side, acted = 0, None
+                continue
+            n["signals"] += 1
+            if s.signal == acted:
+                n["repeated"] += 1
+                continue
+            acted = s.signal
+            if acted == "exit" and side:
+                n["exits"] += 1
+                add(s.ts_ns, "exit", -side, "signal")
+                side = 0
+            elif acted in ("long_spread", "short_spread") and not side and s.y > 0 and s.x > 0:
+                gross = min(target, pct * nav)
+                each = gross / (s.y + abs(s.beta) * s.x)
+                if each > 0 and abs(s.beta) * each > 0:
+                    qy, qx, side = each, abs(s.beta) * each, 1 if acted == "long_spread" else -1
+                    n["entries"] += 1
+                    add(s.ts_ns, "enter", side, "signal")
+        if not side:
+            qy = qx = 0.0
+        add(pdf["ts_ns"].iloc[-1], "flatten" if side else "none", -side, "end")
+        done = pd.DataFrame(out, columns=schema.names[1:])
         done.insert(0, key, pdf[key].iloc[0])
         return done
 
@@ -506,7 +545,8 @@ def p21(spark, sf):
 @query("p22_pair_decisions")
 def p22(spark, sf):
     snaps = pair_snapshots(_pairs(spark, sf), 128).withColumnRenamed("adf_p_value", "p_value")
-    return pair_decisions(snaps.select("pair", "ts_ns", "y", "x", "beta", "z", "corr", "p_value", "signal"), min_corr=0.0).select("pair", "ts_ns", "action", "side", r("qy"), r("qx"), "reason")
+    made = pair_decisions(snaps.select("pair", "ts_ns", "y", "x", "beta", "corr", "p_value", "half_life", "cointegrated", "ready", "signal"))
+    return made.select("pair", "ts_ns", "action", "side", r("qy"), r("qx"), "reason", *OUTCOMES)
 
 
 @query("p23_leg_sizes", f"WITH {_HEDGE}, g AS (SELECT pair, ts_ns, least(5000.0, 0.02::DOUBLE * (y + x)) / (y + abs(beta) * x) AS qy, beta FROM h) SELECT pair, ts_ns, R6(qy) AS qy, R6(abs(beta) * qy) AS qx FROM g", "v_series")

@@ -70,15 +70,19 @@ def drawdown_track(nav: DataFrame, key: str = "curve_id") -> DataFrame:
     return u.withColumn("max_drawdown", F.max("drawdown").over(w)).withColumn("underwater_ns", F.col("ts_ns") - F.col("_top")).withColumn("updates", F.count("*").over(w)).drop("_top")
 
 
-#: Fixed default limits.
+#: Fixed default limits; the breaker's cooldown and the volatility ratio that trips it.
 LIMITS = {"drawdown": 0.20, "daily_loss": 0.05, "leverage": 3.0, "var": 0.05, "concentration": 0.25}
+COOLDOWN, VOL_SPIKE = 10_000_000_000, 5.0
 
 
 def breaches(snapshots: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
     """One row per limit that a snapshot exceeds, with the value and the limit."""
-    own = LIMITS | (limits or {})
+    return snapshots.withColumn("_b", F.explode(_exceeded(snapshots, LIMITS | (limits or {})))).select(*snapshots.columns, "_b.*")
+
+
+def _exceeded(snapshots: DataFrame, own: dict[str, float]) -> Column:
     tests = [F.when(F.col(k) > v, F.struct(F.lit(k).alias("limit"), F.col(k).cast("double").alias("current"), F.lit(float(v)).alias("allowed"))) for k, v in own.items() if k in snapshots.columns]
-    return snapshots.withColumn("_b", F.explode(F.array_compact(F.array(*tests)))).select(*snapshots.columns, "_b.*")
+    return F.array_compact(F.array(*tests))
 
 
 def pretrade_check(orders: DataFrame, positions: DataFrame, accounts: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -102,15 +106,18 @@ def pretrade_check(orders: DataFrame, positions: DataFrame, accounts: DataFrame,
     return o.withColumn("problem", problem).drop("_held")
 
 
-def circuit_states(snapshots: DataFrame, limit: float, cooldown_ns: int, key: str = "curve_id") -> DataFrame:
+def circuit_states(snapshots: DataFrame, limit: float, cooldown_ns: int, key: str = "curve_id", also: Column | None = None) -> DataFrame:
     """Armed until the first trigger of an epoch, tripped for the cooldown, then recovering until a reset.
 
-    ``reset`` (boolean) starts a new epoch.
+    ``reset`` (boolean) starts a new epoch. The drawdown triggers, and so does ``also``.
     """
+    trigger = F.col("drawdown") > limit
+    if also is not None:
+        trigger = trigger | also
     w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
     e = snapshots.withColumn("epoch", F.sum(F.when(F.col("reset"), 1).otherwise(0)).over(w))
     we = Window.partitionBy(key, "epoch").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("tripped_at", F.min(F.when((F.col("drawdown") > limit) & ~F.col("reset"), F.col("ts_ns"))).over(we))
+    e = e.withColumn("tripped_at", F.min(F.when(trigger & ~F.col("reset"), F.col("ts_ns"))).over(we))
     return e.withColumn("circuit", F.when(F.col("tripped_at").isNull(), "armed").when(F.col("ts_ns") - F.col("tripped_at") < cooldown_ns, "tripped").otherwise("recovering"))
 
 
@@ -168,14 +175,65 @@ def risk_score(df: DataFrame, limits: dict[str, float] | None = None, weights: d
     return df.withColumn("score", score).withColumn("level", F.when(score < 0.25, "low").when(score < 0.5, "moderate").when(score < 0.75, "high").otherwise("critical"))
 
 
-def risk_monitor(curve: DataFrame, window: int = 250, c: float = 0.95, key: str = "curve_id") -> DataFrame:
-    """Per NAV update the drawdown, rolling normal VaR, volatility regime, score and whether it is ready."""
+def exposures_at(curve: DataFrame, positions: DataFrame, key: str = "curve_id") -> DataFrame:
+    """Gross, net, leverage, largest position and number of positions at each NAV update.
+
+    ``positions``: key, symbol, ts_ns, value, one row per change of a holding: its signed value from then on.
+    """
+    from .joins import asof
+
+    grid = curve.select(key, "ts_ns", "nav").join(positions.select(key, "symbol").distinct(), key)
+    held = asof(grid, positions.select(key, "symbol", "ts_ns", "value"), [key, "symbol"], ["value"]).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    size = F.abs("value")
+    g = held.groupBy(key, "ts_ns").agg(F.first("nav").alias("_nav"), F.sum(size).alias("gross"), F.sum("value").alias("net"), F.max(size).alias("_largest"), F.count_if(size > 1e-12).alias("n_positions"))
+    return g.withColumn("leverage", safe(F.col("gross"), F.col("_nav"))).withColumn("concentration", safe(F.col("_largest"), F.col("_nav"))).drop("_nav", "_largest")
+
+
+def _garch_sd(rets: DataFrame, garch: DataFrame, key: str) -> DataFrame:
+    """R4 per update: the deviation that the given GARCH (key, omega, alpha, beta) forecasts after each return."""
+
+    def f(p: pd.DataFrame) -> dict:
+        o, a, b = (p[x].iloc[0] for x in ("omega", "alpha", "beta"))
+        x = (p["ret"] - p["mean"]).to_numpy()
+        return {"_next": np.full(len(p), np.nan) if pd.isna(o) else np.sqrt(o + a * x * x + b * K.garch_filter(x, o, a, b))}
+
+    met = rets.join(F.broadcast(garch.select(key, "omega", "alpha", "beta")), key, "left")
+    d = K.per_key(met, [key], ["ts_ns"], f, "_next double")
+    return d.withColumn("sd", F.coalesce(F.nanvl("_next", F.lit(None).cast("double")), "sd")).drop("_next", "omega", "alpha", "beta")
+
+
+def risk_monitor(
+    curve: DataFrame,
+    positions: DataFrame,
+    corrs: DataFrame,
+    garch: DataFrame | None = None,
+    limits: dict[str, float] | None = None,
+    window: int = 250,
+    c: float = 0.95,
+    key: str = "curve_id",
+    cooldown_ns: int = COOLDOWN,
+    vol_spike: float = VOL_SPIKE,
+    breakdown: float = 0.3,
+) -> DataFrame:
+    """Per NAV update VaR, drawdown, exposures, worst correlation status, breaker, breaches, score and readiness.
+
+    ``positions`` as in ``exposures_at``; ``corrs``: pair, ts_ns, corr, the correlations told at an update (none: stable).
+    VaR is the rolling normal one (R2), or with ``garch`` (key, omega, alpha, beta) that of its forecast (R4).
+    The breaker trips on drawdown, daily loss, leverage or a volatility spike; a boolean ``reset`` of the curve arms it.
+    """
+    own = LIMITS | (limits or {})
     rets = nav_returns(curve, key=key)
     w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(-(window - 1), 0)
     d = vol_regime(rets, key=key).withColumn("sd", F.coalesce(F.stddev_samp("ret").over(w), F.lit(0.0))).withColumn("mean", F.avg("ret").over(w)).withColumn("n", F.count("*").over(w))
-    d = _normal(d, c).join(drawdown_track(curve, key).select(key, "ts_ns", "drawdown", "max_drawdown", "underwater_ns"), [key, "ts_ns"])
-    d = d.withColumns({"leverage": F.lit(1.0), "correlation": F.lit("stable"), "circuit": F.lit("armed")}).withColumn("daily_loss", F.greatest(-F.col("ret"), F.lit(0.0))).withColumn("ready", F.col("n") >= 30)
-    return risk_score(d)
+    d = _normal(d if garch is None else _garch_sd(d, garch, key), c).join(drawdown_track(curve, key).select(key, "ts_ns", "drawdown", "max_drawdown", "underwater_ns"), [key, "ts_ns"])
+    d = d.join(exposures_at(curve, positions, key), [key, "ts_ns"], "left").na.fill(0.0, ["gross", "net", "leverage", "concentration"]).na.fill(0, ["n_positions"])
+    d = d.join(worst_status(correlation_status(corrs, breakdown)).withColumnRenamed("worst", "correlation"), "ts_ns", "left").withColumn("correlation", F.coalesce("correlation", F.lit("stable")))
+    d = d.withColumn("daily_loss", F.greatest(-F.col("ret"), F.lit(0.0))).withColumn("ready", F.col("n") >= 30)
+    if "reset" not in d.columns:
+        d = d.withColumn("reset", F.lit(False))
+    also = (F.col("daily_loss") > own["daily_loss"]) | (F.col("leverage") > own["leverage"]) | (F.col("vol_ratio") > vol_spike)
+    d = circuit_states(d, own["drawdown"], cooldown_ns, key, also)
+    return risk_score(d.withColumn("breaches", _exceeded(d, own)), limits)
 
 
 def _rets(spark, sf):
@@ -300,7 +358,19 @@ def r13(spark, sf):
     return risk_score(d, {"drawdown": 0.02}).select("curve_id", "ts_ns", r("score"), "level")
 
 
+def _positions(spark, sf):
+    """Each curve's holding of each symbol after each day with fills, at the day's mean price; in thousands, as the NAV."""
+    from tickspark.plans.catalog import fills, table
+
+    owner = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k1"), F.col("o_orderpriority").alias("curve_id"))
+    days = fills(spark, sf).join(owner, "k1").groupBy("curve_id", "symbol", "ts_ns").agg(F.sum("signed_quantity").alias("q"), F.avg("price").alias("price"))
+    held = F.sum("q").over(Window.partitionBy("curve_id", "symbol").orderBy("ts_ns"))
+    return days.select("curve_id", "symbol", "ts_ns", (held * F.col("price") / 1000).alias("value"))
+
+
 @query("r14_risk_monitor")
 def r14(spark, sf):
-    m = risk_monitor(nav(spark, sf))
-    return m.select("curve_id", "ts_ns", r("var"), r("es"), r("drawdown"), r("max_drawdown"), "vol_regime", r("score"), "level", "ready")
+    m = risk_monitor(nav(spark, sf), _positions(spark, sf), _corrs(spark, sf))
+    exceeded = F.array_join(F.transform("breaches", lambda b: b["limit"]), ",").alias("breaches")
+    state = ["n_positions", "vol_regime", "correlation", "circuit"]
+    return m.select("curve_id", "ts_ns", r("var"), r("es"), r("drawdown"), r("max_drawdown"), r("gross", 2), r("net", 2), r("leverage"), r("concentration"), *state, exceeded, r("score"), "level", "ready")

@@ -117,13 +117,26 @@ def stitch_nav(curves: DataFrame, key: str = "curve_id") -> DataFrame:
     return curves.join(F.broadcast(scaled.select(key, "fold", "_k")), [key, "fold"]).withColumn("nav", F.col("nav") * F.col("_k")).drop("_k")
 
 
-def walk_forward_report(results: DataFrame) -> DataFrame:
+def walk_forward_report(results: DataFrame, curves: DataFrame | None = None) -> DataFrame:
     """``results``: fold, point, param, is_score, oos_score. Per fold the best point in sample, then one row:
-    mean scores, efficiency, degradation, spread of the chosen parameter, positive folds."""
+    mean scores, efficiency, degradation, spread of the chosen parameter, positive folds.
+
+    With ``curves`` (fold, point, ts_ns, nav out of sample) also ``deflated``: the deflated Sharpe of the stitched
+    curve of the best points, charged with the trials of all folds and the mean deviation of a fold's scores.
+    """
     w = Window.partitionBy("fold").orderBy(F.desc("is_score"), "point")
     best = results.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     g = best.agg(F.count("*").alias("folds"), F.avg("is_score").alias("is_mean"), F.avg("oos_score").alias("oos_mean"), F.avg(F.when(F.col("oos_score") > 0, 1.0).otherwise(0.0)).alias("positive"), safe(F.stddev_samp("param"), F.abs(F.avg("param"))).alias("param_cv"))
-    return g.withColumn("efficiency", safe(F.col("oos_mean"), F.col("is_mean"))).withColumn("degradation", F.col("is_mean") - F.col("oos_mean"))
+    g = g.withColumn("efficiency", safe(F.col("oos_mean"), F.col("is_mean"))).withColumn("degradation", F.col("is_mean") - F.col("oos_mean"))
+    if curves is None:
+        return g
+    score = F.col("is_score")
+    finite = F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score)
+    folds = results.groupBy("fold").agg(F.count("*").alias("n"), F.coalesce(F.stddev_samp(finite), F.lit(0.0)).alias("sd"))
+    charge = folds.agg(F.sum("n").cast("double").alias("trials"), F.avg("sd").alias("_sd")).select("trials", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0).alias("trial_sd"))
+    stitched = stitch_nav(curves.join(F.broadcast(best.select("fold", "point")), ["fold", "point"]).select(F.lit("oos").alias("curve_id"), "fold", "ts_ns", "nav"))
+    of = metrics(nav_returns(stitched), stitched).select(F.col("sharpe").alias("sr"), F.col("n_periods").alias("n"), F.col("skewness").alias("skew"), F.col("excess_kurtosis").alias("kurt"))
+    return g.crossJoin(F.broadcast(deflated_sharpe(of.crossJoin(F.broadcast(charge)), F.col("trials"), F.col("trial_sd")).select("trials", F.col("sr").alias("oos_sharpe"), "deflated")))
 
 
 def fold_groups(bounds: DataFrame, n: int) -> DataFrame:
@@ -181,12 +194,12 @@ def sharpe_se(sr: Column, n: Column, skew: Column, kurt: Column) -> Column:
     return F.sqrt(F.greatest(1 - skew * sr + (kurt + 2) / 4 * sr * sr, F.lit(1e-12)) / (n - 1))
 
 
-def deflated_sharpe(df: DataFrame, trials: int, trial_sd: float) -> DataFrame:
+def deflated_sharpe(df: DataFrame, trials: int | Column, trial_sd: float | Column) -> DataFrame:
     """Chance that the Sharpe beats the best of ``trials``, the haircut and the shortest track that would do.
 
     ``df``: sr, n, skew, kurt per period.
     """
-    floor_ = expected_max_sharpe(F.lit(float(trials)), F.lit(trial_sd))
+    floor_ = expected_max_sharpe(trials if isinstance(trials, Column) else F.lit(float(trials)), trial_sd if isinstance(trial_sd, Column) else F.lit(trial_sd))
     se = sharpe_se(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"))
     d = df.withColumn("expected_max", floor_).withColumn("se", se).withColumn("deflated", S.normal_cdf((F.col("sr") - F.col("expected_max")) / F.col("se"))).withColumn("haircut", F.greatest(F.lit(0.0), F.col("sr") - F.col("expected_max")))
     gap = F.col("sr") - F.col("expected_max")

@@ -1,0 +1,25 @@
+from tickspark.llm import pii
+
+
+def terms_of(make_docs, rows):
+    got = {r["doc_id"]: r for r in pii.sanitise(make_docs(rows)).collect()}
+    return {i: [rows_text[s["start"] : s["end"]] for s in got[i]["spans"] if s["kind"] == "term"] for i, rows_text in ((r[0], r[1] or "") for r in rows)}, got
+
+
+def test_one_person_beside_one_address(make_docs):
+    """A name that always stands in the documents of one address, near it or far away, is removed everywhere."""
+    fill = lambda i: " ".join(f"{a}{chr(97 + i % 26)}{chr(97 + i // 26)}" for a in ("one", "two", "three", "four"))
+    rows = [(i, f"plain words here {fill(i)} filler text") for i in range(80)]
+    rows += [(100 + i, f"ask Quizzlewick at q.w@mail.org {fill(i)} plain words here") for i in range(6)]
+    rows += [(200 + i, f"Farnsby said that {fill(i)} plain words here filler call +49 30 1234567") for i in range(6)]
+    rows += [(300, "we met quizzlewick again"), (301, None), (302, "")]
+    found, got = terms_of(make_docs, rows)
+    assert found[300] == ["quizzlewick"] and all("Farnsby" in found[200 + i] for i in range(6))
+    assert all("Quizzlewick" in found[100 + i] for i in range(6)) and all(found[i] == [] for i in range(80))
+    assert "uizzlewick" not in got[103]["sanitised"] and "plain words here" in got[103]["sanitised"]
+
+
+def test_copies_support_nothing(make_docs):
+    rows = [(i, f"plain words number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
+    rows += [(100 + i, "ask Quizzlewick at q.w@mail.org plain words") for i in range(20)]
+    assert all(t == [] for t in terms_of(make_docs, rows)[0].values())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read, small_batches
+from .common import cut, join_ids, read, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as its context.
@@ -106,7 +106,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 seen = set()
                 for start, kind, end in base_spans(text):
                     kinds.add(kind)
-                    value = int.from_bytes(hashlib.blake2b(text[start:end].lower().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+                    value = _value(text, start, end)
                     seen.update((t, kind, value) for t in _beside(text, start, end))
                 beside.update((None, k, None) for k in kinds)
                 beside.update(seen)
@@ -150,20 +150,87 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     return joined.select("term", "kind", "information", F.when(general, "generalise").otherwise("remove").alias("action"), F.when(general, F.concat("stem", F.lit("*"))).otherwise("[removed]").alias("replacement"))
 
 
+def _value(text: str, start: int, end: int) -> int:
+    return int.from_bytes(hashlib.blake2b(text[start:end].lower().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def value_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(term, information, replacement) of the terms that disclose one entity value of the documents they stand in.
+
+    Counts are over different texts, so exact copies say nothing. A value in less than ``support`` of them has no
+    such terms. information = log2(p(value | term) / p(value)), against disclosure * -log2 p(value). The terms are
+    removed: a stem says as much about one person as the name does.
+    """
+    keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "text")
+    none = docs.sparkSession.createDataFrame([], "term string, information double, replacement string")
+
+    def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, kinds, found = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = {(k, _value(text, s, e)) for s, k, e in base_spans(text)} if text else ()
+                for k, v in seen:
+                    keys.append(key), kinds.append(k), found.append(v)
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(kinds, pa.int32()), pa.array(found, pa.int64())], names=["key", "kind", "value"])
+
+    held = cut(keyed.mapInArrow(values, "key string, kind int, value long").distinct())
+    often = held.groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    own = cut(held.join(often, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "value")).alias("values")))
+    if own.isEmpty():
+        return none
+    every = keyed.select("key").distinct().count()
+    texts = join_ids(keyed, own, ["key"], "inner").dropDuplicates(["key"]).select("text", "values")
+
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def emit() -> pa.RecordBatch:
+            rows = list(counts)
+            return pa.record_batch([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "kind", "value", "n"])
+
+        for batch in batches:
+            for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term in set(_WORD.findall(text.lower())):
+                    counts[(term, None, None)] += 1
+                    counts.update((term, v["kind"], v["value"]) for v in some)
+                    if len(counts) >= _FLUSH:
+                        yield emit()
+                        counts.clear()
+        yield emit()
+
+    pairs = cut(texts.mapInArrow(together, "term string, kind int, value long, n long").groupBy("term", "kind", "value").agg(F.sum("n").alias("both")))
+    p = F.col("n") / F.lit(float(every))
+    # A term's texts among these are at most all its texts: the information cannot be more than this says.
+    near = pairs.where("kind is not null").where(F.col("both") >= support).join(pairs.where("kind is null").select("term", F.col("both").alias("seen")), "term").join(often, ["kind", "value"])
+    information = F.log2(F.col("both") / F.col("seen") / p)
+    least = -F.log2(p) * disclosure
+    near = cut(near.where((information >= least) & (p < 1)).select("term", "both", "n"))
+    names = cut(near.select("term").distinct())
+    # Of these few terms the texts of the whole corpus are counted.
+    if names.count() <= BROADCAST_TERMS:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in names.collect()))
+        found = keyed.mapInArrow(lambda batches: _key_terms(batches, shared.value), "key string, term string")
+    else:
+        found = keyed.mapInArrow(_key_terms, "key string, term string").join(names, "term")
+    seen = found.distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    return near.join(seen, "term").where(information >= least).groupBy("term").agg(F.max(information).alias("information")).withColumn("replacement", F.lit("[removed]"))
+
+
 SPANS = "array<struct<start:int,end:int,kind:string,replacement:string>>"
 
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST_TERMS) -> DataFrame:
     """Per document row: doc_id, spans, sanitised.
 
-    ``spans`` holds the entities found by pattern (replaced by ``[email]`` and so on) and the occurrences of
-    disclosing terms outside of them, by start and then kind; start and end are code points, end exclusive.
+    ``spans`` holds the entities found by pattern (replaced by ``[email]`` and so on) and the occurrences outside of
+    them of terms that disclose a kind of entity (``disclosing_terms``) or one value (``value_terms``), by start and then kind; start and end are code points, end exclusive.
     Null text counts as empty; repeated rows are counted as often as they stand there; other columns are ignored;
     an empty table gives an empty table. Up to ``most`` disclosing terms are broadcast; more of them meet the
     terms of each document in a shuffle join instead.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    terms = cut(disclosing_terms(docs, disclosure, support).groupBy("term").agg(F.max(F.struct("information", "replacement")).alias("x")).select("term", "x.replacement"))
+    disclosing = disclosing_terms(docs, disclosure, support).select("term", "information", "replacement").unionByName(value_terms(docs, disclosure, support))
+    terms = cut(disclosing.groupBy("term").agg(F.max(F.struct("information", "replacement")).alias("x")).select("term", "x.replacement"))
     if terms.count() <= most:
         shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["replacement"] for r in terms.collect()})
         return _apply(docs.withColumn("own", F.lit(None).cast("map<string,string>")), shared)
@@ -173,10 +240,11 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     return _apply(keyed.join(own, "key", "left").select("doc_id", "text", "own"), None)
 
 
-def _key_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_terms(batches: Iterable[pa.RecordBatch], wanted: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted(set(_WORD.findall((text or "").lower())))
+            found = set(_WORD.findall((text or "").lower()))
+            found = sorted(found if wanted is None else found & wanted)
             if found:
                 yield pa.record_batch([pa.array([key] * len(found)), pa.array(found, pa.string())], names=["key", "term"])
 

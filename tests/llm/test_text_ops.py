@@ -86,6 +86,14 @@ def test_secrets(spark, make_docs):
     assert secrets.scan(make_docs([])).count() == 0
 
 
+def test_secret_beside_example(make_docs):
+    key, slashed = "q7Zp2LmX9vR4tB8nKc3WfY6hJd1SgU5aE0oTiHbN", "q7Zp2LmX9vR4/tB8nKc3WfY6hJd1/SgU5aE0oTi"
+    texts = [f"x example_service/key={key} y", f"your-{key}", f"a/placeholder/{slashed}/xxxx", f"EXAMPLE{key}", "example_service/some_other_words/path1"]
+    got = {r["doc_id"]: [(x["s"], x["e"], x["m"]) for x in r["entropy"]] for r in secrets.scan(make_docs(list(enumerate(texts)))).collect()}
+    assert [[m for _, _, m in got[i]] for i in range(5)] == [[f"service/key={key}"], [key], [slashed], [], []]
+    assert all(texts[i][s:e] == m for i in got for s, e, m in got[i])
+
+
 def test_window_entropy(spark):
     alphabet = secrets.CLASSES[1][1]
     words = ["q7Zp2LmX9vR4tB8nKc3WfY6hJd1S", "aaaaaaaaaaaaaaaaaaaaaaaaa", "abababababababababababXYZ123", "short"]

@@ -30,6 +30,10 @@ ALLOW = (
     r"^[A-Za-z]+([_/+=-]+[A-Za-z]+)*[_/+=-]*[0-9]{0,4}$",
     r"^[0-9]+([_/+=-]+[0-9]+)*$",
 )
+#: The patterns of ALLOW that speak for one part of a candidate only, and runs of the parts that they do not speak for.
+MARKED = r"(?i)example|placeholder|changeme|your[_-]|xxxx|0123456789|abcdefghij"
+_PART = r"(?![^/=_-]*(?:example|placeholder|changeme|your[_-]|xxxx|0123456789|abcdefghij))[^/=_-]++"
+UNMARKED = rf"(?i)(?<![^/=_-]){_PART}(?:[/=_-]+{_PART})*"
 _WEIGHT = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
@@ -99,7 +103,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with arrays of matches added: assign, access, hex and entropy (struct of s, e, m).
 
     Base matches are leftmost and do not overlap within a kind; assignments with a value of less than 6 characters
-    are dropped after matching. Entropy spans are candidates with a digit and a letter, no part of a base span and
+    are dropped after matching. Of a candidate in which a part between / = _ - is marked as an example, the runs of
+    the other parts are candidates. Entropy spans are candidates with a digit and a letter, no part of a base span and
     not on the allow list, one of whose windows is random enough for its class. Null text counts as empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -113,7 +118,12 @@ def scan(docs: DataFrame) -> DataFrame:
         .withColumn("_base", F.concat("assign", "access", "hex"))
     )
     allowed = lambda m: F.lit(False) if not ALLOW else _any([m.rlike(p) for p in ALLOW])
-    plausible = F.filter("_candidates", lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~allowed(x["m"]))
+
+    def rest(x: Column) -> Column:
+        return F.transform(matches(x["m"], UNMARKED), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["m"].alias("m")))
+
+    parts = F.flatten(F.transform("_candidates", lambda x: F.when(x["m"].rlike(MARKED), rest(x)).otherwise(F.array(x))))
+    plausible = F.filter(parts, lambda x: (F.length(x["m"]) >= WINDOW) & x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~allowed(x["m"]))
     outside = F.filter("_plausible", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return found.withColumn("_plausible", plausible).withColumn("_outside", outside).withColumn("entropy", F.filter("_outside", lambda x: is_random(x["m"]))).drop("_text", "_candidates", "_base", "_plausible", "_outside")
 

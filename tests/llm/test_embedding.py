@@ -66,3 +66,12 @@ def test_empty_and_unusable(spark):
 def test_tiny(spark, n):
     rows = [(i, [1.0, 0.0], 5) for i in range(n)]
     assert sorted(map(tuple, embedding_dedup(frame(spark, rows)).collect())) == brute(rows)
+
+
+def test_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for width in range(2, 90):
+        v = [float(np.float32(x)) for x in rng.normal(size=width)]
+        rows += [(2 * width, v, 1), (2 * width + 1, [float(np.float32(x * 2)) for x in v], 1)]
+    assert sorted(map(tuple, embedding_dedup(frame(spark, rows)).collect())) == brute(rows)

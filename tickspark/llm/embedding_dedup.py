@@ -19,6 +19,8 @@ NEAREST, SHARED = 10, 2
 #: number bounds what is broadcast (pivots * dimensions * 8 bytes).
 FEWEST_PIVOTS, MOST_PIVOTS, PER_ROOT = 32, 4096, 0.75
 BLOCK = 256
+#: Representatives of one width that are all compared with each other.
+WHOLE = 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -33,30 +35,51 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def pivots(reps: DataFrame, count: int) -> np.ndarray:
-    """``count`` reference points: the vectors with the smallest hashes, so a rerun takes the same."""
-    got = reps.select(F.xxhash64("v").alias("h"), "v").orderBy("h").limit(count).collect()
-    return _unit(np.array([r["v"] for r in got], float)) if got else np.empty((0, 0))
+def pivots(reps: DataFrame, sizes: dict[int, int], count: int | None = None) -> dict[int, tuple[int, np.ndarray | None]]:
+    """Per width the number of its first list and its reference points: the vectors with the smallest hashes, so a
+    rerun takes the same. ``sizes``: representatives per width. Widths of up to WHOLE have no points but one list.
 
-
-def inverted_lists(reps: DataFrame, points: np.ndarray, nearest: int = NEAREST) -> DataFrame:
+    One job for all widths: a width's share of the hash space that holds twice its points is collected.
+    """
+    wanted = {w: min(n, count or min(MOST_PIVOTS, max(FEWEST_PIVOTS, round(PER_ROOT * math.sqrt(n))))) for w, n in sizes.items() if count or n > WHOLE}
+    found: dict[int, list] = {w: [] for w in wanted}
+    if wanted:
+        upto = [(w, min(2**63 - 1, -(2**63) + 2**64 * 2 * k // sizes[w])) for w, k in wanted.items()]
+        shares = reps.sparkSession.createDataFrame(upto, "width int, upto long")
+        near = reps.select("width", F.xxhash64("v").alias("h"), "v").join(F.broadcast(shares), "width").where("h <= upto").select("width", "h", "v")
+        for r in near.collect():
+            found[r["width"]].append((r["h"], r["v"]))
+    out, first = {}, 0
+    for w in sorted(sizes):
+        points = _unit(np.array([v for _, v in sorted(found[w])[: wanted[w]]], float)) if w in wanted else None
+        out[w] = (first, points)
+        first += SHARED if points is None else len(points)
+    return out
+
+
+def inverted_lists(reps: DataFrame, points: dict[int, tuple[int, np.ndarray | None]], nearest: int = NEAREST) -> DataFrame:
     """One row per vector and each of its ``nearest`` pivots: label, pivot, rep, copies, v, order.
 
-    ``order`` is the permutation prefix, nearest pivot first.
+    ``order`` is the permutation prefix, nearest pivot first. Pivots are numbered through all widths, so a list holds
+    vectors of one width. All vectors of a width without points stand in one list.
     """
     shared = reps.sparkSession.sparkContext.broadcast(points)
-    take = min(nearest, len(points))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            unit = _unit(np.stack([np.asarray(v, float) for v in pdf["v"]]))
-            order = np.argsort(-(unit @ shared.value.T), axis=1, kind="stable")[:, :take].astype(np.int32)
-            yield pd.DataFrame({"label": pdf["label"], "rep": pdf["rep"], "copies": pdf["copies"], "v": list(unit), "order": list(order)})
+        for batch in batches:
+            for width, pdf in batch.groupby("width"):
+                first, own = shared.value[width]
+                unit = _unit(np.stack([np.asarray(v, float) for v in pdf["v"]]))
+                if own is None:
+                    order = np.tile(np.arange(first, first + SHARED, dtype=np.int32), (len(pdf), 1))
+                    lists = order[:, :1]
+                else:
+                    order = (first + np.argsort(-(unit @ own.T), axis=1, kind="stable")[:, : min(nearest, len(own))]).astype(np.int32)
+                    lists = order
+                yield pd.DataFrame({"label": pdf["label"].to_numpy(), "rep": pdf["rep"].to_numpy(), "copies": pdf["copies"].to_numpy(), "v": list(unit), "order": list(order), "lists": list(lists)})
 
-    described = reps.mapInPandas(run, f"label {reps.schema['label'].dataType.simpleString()}, rep long, copies long, v array<double>, order array<int>")
-    return described.select("label", F.explode("order").alias("pivot"), "rep", "copies", "v", "order")
+    described = reps.mapInPandas(run, f"label {reps.schema['label'].dataType.simpleString()}, rep long, copies long, v array<double>, order array<int>, lists array<int>")
+    return described.select("label", F.explode("lists").alias("pivot"), "rep", "copies", "v", "order")
 
 
 def linked(lists: DataFrame, threshold: float, shared: int = SHARED) -> DataFrame:
@@ -147,23 +170,20 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, n_pivots: int |
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors are compared by cosine in double precision when their labels are equal and not null. A vector that is
-    null, zero or holds null or non-finite components links with nothing, as does one of another length than its
-    label's pivots (lengths are a part of the group). Vectors that are exactly equal form one representative:
+    null, zero or holds null or non-finite components links with nothing. Vectors of different lengths do not link;
+    there may be any number of lengths. Vectors that are exactly equal form one representative:
     they link with each other and share its links. vec_id must be unique; a null vec_id gets a null component and
     links with nothing. Other columns are ignored; an empty table gives an empty table.
     """
     good = cut(usable(vectors).withColumn("width", F.size("v")))
     # Scaled copies are as near as equal ones, but only equal arrays are merged: cosine decides on the rest.
     reps = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    links = None
-    for width in sorted(r["w"] for r in reps.select(F.size("v").alias("w")).distinct().limit(64).collect()):
-        part = reps.where(F.size("v") == width)
-        count = n_pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, round(PER_ROOT * math.sqrt(part.count()))))
-        own = linked(cut(inverted_lists(part, pivots(part, count))), threshold)
-        links = own if links is None else links.unionAll(own)
+    reps = reps.withColumn("width", F.size("v"))
+    # A width that only one representative has links with nothing.
+    sizes = {r["width"]: r["count"] for r in reps.groupBy("width").count().where("count > 1").collect()}
+    some = reps.join(F.broadcast(good.sparkSession.createDataFrame([(w,) for w in sizes], "width int")), "width", "left_semi")
+    links = linked(cut(inverted_lists(some, pivots(some, sizes, n_pivots))), threshold)
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if links is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = cut(links)
     classes = components(links.select("u", "v")).withColumnRenamed("node", "rep")
     partners = links.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tickspark.llm.embedding_dedup import embedding_dedup
+from tickspark.llm.embedding_dedup import _merge, compare, embedding_dedup
 
 
 def brute(rows, threshold=0.93):
@@ -75,3 +75,46 @@ def test_many_lengths(spark):
         v = [float(np.float32(x)) for x in rng.normal(size=width)]
         rows += [(2 * width, v, 1), (2 * width + 1, [float(np.float32(x * 2)) for x in v], 1)]
     assert sorted(map(tuple, embedding_dedup(frame(spark, rows)).collect())) == brute(rows)
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 0), (3, None, 0), (3, None, 0)]
+    got = sorted(map(tuple, embedding_dedup(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 0, 2, True), (None, 0, None, True), (3, 0, 3, True), (3, 0, 3, True)], key=repr)
+
+
+def test_pivot_lists_against_all_pairs(spark):
+    """More than WHOLE vectors: the lists retrieve, the counts select, and nearly every link is found."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 24))
+    rows = []
+    for i in range(2400):
+        v = base[i % 40] + rng.normal(size=24) * (0.35 if i % 3 else 3.0)
+        rows.append((i, [float(np.float32(x)) for x in v], i % 2 if i % 5 else 0))
+    got = {r[0]: tuple(r) for r in embedding_dedup(frame(spark, rows)).collect()}
+    want = {r[0]: r for r in brute(rows)}
+    total = sum(w[1] for w in want.values())
+    assert total > 1000 and all(got[i][1] <= want[i][1] for i in got)
+    assert sum(g[1] for g in got.values()) >= 0.95 * total
+
+
+def test_counts_retrieve_before_cosines():
+    """Equal vectors that share too few pivots, or meet in an earlier list, are not compared in this one."""
+    rep, copies, v = np.array([7, 8]), np.array([1, 1]), np.ones((2, 3))
+    both, key = np.arange(2), (4 << 32) | 6
+    run = lambda a, b: compare(key, rep, copies, v, np.array([a, b], np.int32), both, both, True, 0.9, need=3, keyed=3)
+    assert run([4, 6, 9, 1], [6, 4, 9, 2]) is not None
+    assert run([4, 6, 9, 1], [6, 4, 8, 2]) is None, "two shared pivots"
+    assert run([4, 6, 5, 1], [6, 4, 5, 2]) is None, "the list of 4 and 5 comes first"
+
+
+def test_merge_against_search():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x, y = rng.integers(0, 60, 40), rng.integers(0, 60, 40)
+        root = _merge(np.arange(60), x, y)
+        part = list(range(60))
+        for a, b in zip(x, y):
+            p, q = part[a], part[b]
+            part = [min(p, q) if k in (p, q) else k for k in part]
+        assert list(root) == part

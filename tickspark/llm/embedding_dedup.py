@@ -4,30 +4,36 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut, n_partitions, read
 
-#: Ordered nearest pivots that describe a vector, and how many of them two vectors must share.
-NEAREST, SHARED = 10, 2
-#: Reference points: the square root of the vectors' number times PER_ROOT, within these bounds. The largest
-#: number bounds what is broadcast (pivots * dimensions * 8 bytes).
-FEWEST_PIVOTS, MOST_PIVOTS, PER_ROOT = 32, 4096, 0.75
-BLOCK = 256
+#: Nearest pivots, in order, that describe a vector; how many of the nearest make its lists; and how many of NEAREST
+#: two vectors of a list must share before their cosine is taken.
+NEAREST, KEYED, SHARED = 10, 7, 3
+#: Reference points of a width: the square root of its vectors' number times PER_ROOT, within these bounds and within
+#: POINT_BYTES, so that what is broadcast has a fixed size.
+FEWEST_PIVOTS, MOST_PIVOTS, PER_ROOT, POINT_BYTES = 32, 32_768, 2.0, 1 << 28
+#: Rows of a list that one side of a block holds, and rows of it that are compared at a time.
+BLOCK, TILE = 2048, 256
 #: Representatives of one width that are all compared with each other.
 WHOLE = 1024
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Labelled vectors that can be compared, as doubles, with the number of rows that hold exactly them."""
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
+def rows_of(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, v, good) of every row: single-precision vectors stay so on the way, others become doubles."""
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return clean.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
+    return rows.withColumn("good", F.coalesce(good, F.lit(False)))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -36,12 +42,14 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def pivots(reps: DataFrame, sizes: dict[int, int], count: int | None = None) -> dict[int, tuple[int, np.ndarray | None]]:
-    """Per width the number of its first list and its reference points: the vectors with the smallest hashes, so a
+    """Per width the number of its first pivot and its reference points: the vectors with the smallest hashes, so a
     rerun takes the same. ``sizes``: representatives per width. Widths of up to WHOLE have no points but one list.
 
     One job for all widths: a width's share of the hash space that holds twice its points is collected.
     """
-    wanted = {w: min(n, count or min(MOST_PIVOTS, max(FEWEST_PIVOTS, round(PER_ROOT * math.sqrt(n))))) for w, n in sizes.items() if count or n > WHOLE}
+    most = {w: max(2, min(MOST_PIVOTS, POINT_BYTES // (8 * w))) for w in sizes}
+    wanted = {w: min(n, count or min(most[w], max(FEWEST_PIVOTS, round(PER_ROOT * math.sqrt(n))))) for w, n in sizes.items() if n > 1 and (count or n > WHOLE)}
+    wanted = {w: k for w, k in wanted.items() if k > 1}
     found: dict[int, list] = {w: [] for w in wanted}
     if wanted:
         upto = [(w, min(2**63 - 1, -(2**63) + 2**64 * 2 * k // sizes[w])) for w, k in wanted.items()]
@@ -51,117 +59,157 @@ def pivots(reps: DataFrame, sizes: dict[int, int], count: int | None = None) ->
             found[r["width"]].append((r["h"], r["v"]))
     out, first = {}, 0
     for w in sorted(sizes):
-        points = _unit(np.array([v for _, v in sorted(found[w])[: wanted[w]]], float)) if w in wanted else None
+        points = _unit(np.array([v for _, v in sorted(found[w])[: wanted[w]]], float)) if w in wanted and len(found[w]) > 1 else None
         out[w] = (first, points)
-        first += SHARED if points is None else len(points)
+        first += 2 if points is None else len(points)
     return out
 
 
-def inverted_lists(reps: DataFrame, points: dict[int, tuple[int, np.ndarray | None]], nearest: int = NEAREST) -> DataFrame:
-    """One row per vector and each of its ``nearest`` pivots: label, pivot, rep, copies, v, order.
+def described(reps: DataFrame, points: dict[int, tuple[int, np.ndarray | None]], nearest: int = NEAREST, keyed: int = KEYED) -> DataFrame:
+    """label, rep, copies, v, order (the permutation prefix: nearest pivot first) and keys (its inverted lists).
 
-    ``order`` is the permutation prefix, nearest pivot first. Pivots are numbered through all widths, so a list holds
-    vectors of one width. All vectors of a width without points stand in one list.
+    A list belongs to two pivots and holds the vectors that have both among their ``keyed`` nearest. Pivots are
+    numbered through all widths, so a list holds vectors of one width; a width without points is one list.
     """
     shared = reps.sparkSession.sparkContext.broadcast(points)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(width: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, own = shared.value[width]
+        if own is None:
+            order = np.tile(np.arange(first, first + 2), (len(v), 1))
+        else:
+            k = min(nearest, len(own))
+            near = _unit(v) @ own.T
+            some = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            some.sort(axis=1)
+            rank = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+            order = first + np.take_along_axis(some, rank, axis=1)
+        two = np.sort(order[:, :keyed], axis=1)
+        a, b = (np.array(x) for x in zip(*combinations(range(two.shape[1]), 2), strict=True))
+        return order.astype(np.int32), (two[:, a] << 32) | two[:, b]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for width, pdf in batch.groupby("width"):
-                first, own = shared.value[width]
-                unit = _unit(np.stack([np.asarray(v, float) for v in pdf["v"]]))
-                if own is None:
-                    order = np.tile(np.arange(first, first + SHARED, dtype=np.int32), (len(pdf), 1))
-                    lists = order[:, :1]
-                else:
-                    order = (first + np.argsort(-(unit @ own.T), axis=1, kind="stable")[:, : min(nearest, len(own))]).astype(np.int32)
-                    lists = order
-                yield pd.DataFrame({"label": pdf["label"].to_numpy(), "rep": pdf["rep"].to_numpy(), "copies": pdf["copies"].to_numpy(), "v": list(unit), "order": list(order), "lists": list(lists)})
-
-    described = reps.mapInPandas(run, f"label {reps.schema['label'].dataType.simpleString()}, rep long, copies long, v array<double>, order array<int>, lists array<int>")
-    return described.select("label", F.explode("lists").alias("pivot"), "rep", "copies", "v", "order")
-
-
-def linked(lists: DataFrame, threshold: float, shared: int = SHARED) -> DataFrame:
+            widths = batch.column(4).to_numpy()
+            for width in np.unique(widths):
+                part = batch.filter(pa.array(widths == width))
+                order, keys = one(int(width), part.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), width))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in (order, keys)]
+                yield pa.record_batch([*part.columns[:4], *lists], names=["label", "rep", "copies", "v", "order", "keys"])
+
+    kind = reps.schema
+    schema = T.StructType([T.StructField(c, kind[c].dataType) for c in ("label", "rep", "copies", "v")] + [T.StructField("order", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    return reps.select("label", "rep", "copies", "v", "width").mapInArrow(run, schema)
+
+
+def _merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Joins the trees of ``root`` (each entry its tree's smallest) along the links x - y."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def compare(key: int, rep: np.ndarray, copies: np.ndarray, v: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float, need: int = SHARED, keyed: int = KEYED):
+    """(u, root, n) of one block of list ``key``, or None: retrieval by counts, then cosines of what it retrieves.
+
+    Two vectors that share lists are retrieved in their first one only, that is where no common pivot among the
+    ``keyed`` nearest comes before the list's second one; and only if they share ``need`` of all their pivots.
+    Incidence matrices over the pivots that stand there twice give both counts.
+    """
+    count = len(rep)
+    second = key & 0xFFFFFFFF
+    names, code, often = np.unique(order, return_inverse=True, return_counts=True)
+    code = code.reshape(order.shape)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)
+    has = np.zeros((count, int((often > 1).sum()) + 1), np.float32)
+    has[np.arange(count)[:, None], column[code]] = 1  # the last column takes what stands there once
+    has = has[:, :-1]
+    low = np.zeros_like(has)
+    row, place = np.nonzero(order[:, :keyed] <= second)
+    at = column[code[row, place]]
+    low[row[at >= 0], at[at >= 0]] = 1
+    need = min(need, order.shape[1])
+    unit = _unit(v)
+    root, partners = np.arange(count), np.zeros(count)
+    for i in range(0, len(left), TILE):
+        some = left[i : i + TILE]
+        mine = (low[some] @ low[right].T == 2) & (has[some] @ has[right].T >= need)
+        if same:
+            mine &= right[None, :] > some[:, None]
+        found = np.count_nonzero(mine)
+        if found == 0:
+            continue
+        if found * 8 > mine.size:
+            mine &= unit[some] @ unit[right].T >= threshold
+            x, y = np.nonzero(mine)
+        else:
+            x, y = np.nonzero(mine)
+            close = np.einsum("ij,ij->i", unit[some[x]], unit[right[y]]) >= threshold
+            x, y = x[close], y[close]
+        x, y = some[x], right[y]
+        partners += np.bincount(x, copies[y], count) + np.bincount(y, copies[x], count)
+        root = _merge(root, x, y)
+    met = np.flatnonzero(partners)
+    return (rep[met], rep[root[met]], partners[met].astype(np.int64)) if len(met) else None
+
+
+def linked(index: DataFrame, threshold: float) -> DataFrame:
     """(u, v, n): for each representative u the rows n it is linked with, and a link u - v that joins components.
 
-    Vectors of one inverted list that share ``shared`` pivots or more are compared. A pair is compared in the list
-    of its smallest common pivot only, so partners can be counted per list and added; of the links of a block,
-    those of a spanning forest are emitted. Long lists are dealt as pairs of blocks.
+    Lists are met by ids first; only members of lists with two rows or more carry their vectors there. Every pair is
+    compared in one list, so partners can be counted per list and added. Long lists are dealt as pairs of blocks.
     """
-    sizes = cut(lists.groupBy("label", "pivot").agg(F.count("*").alias("n")))
+    posts = index.select("label", F.explode("keys").alias("key"), "rep")
+    sizes = posts.groupBy("label", "key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = (
-        lists.join(sizes, ["label", "pivot"])
+        posts.join(sizes, ["label", "key"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("label", "pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "copies", "v", "order")
+        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "label")
     )
-    ordered = dealt.repartition(n_partitions(lists), "label", "pivot", "a", "b").sortWithinPartitions("label", "pivot", "a", "b")
+    met = cut(dealt).join(index.select("rep", "copies", "v", "order"), "rep")
+    names = ["label", "key", "a", "b"]
+    ordered = met.select(*names, "own", "rep", "copies", "v", "order").repartition(n_partitions(index), *names).sortWithinPartitions(*names)
 
-    def compare(block: pa.RecordBatch) -> pa.RecordBatch | None:
-        pivot, a, b, own, rep, copies = (block.column(k).to_numpy() for k in range(1, 7))
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(held).combine_chunks()
+        key, a, b, own, rep, copies = (table.column(k).to_numpy() for k in range(1, 7))
         count = len(rep)
-        unit = block.column(7).flatten().to_numpy().reshape(count, -1)
-        order = block.column(8).flatten().to_numpy().reshape(count, -1)
+        v, order = (table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(count, -1) for k in (7, 8))
         same = a[0] == b[0]
-        left = np.arange(count) if same else np.flatnonzero(own == a[0])
-        right = np.arange(count) if same else np.flatnonzero(own == b[0])
-        if len(left) == 0 or len(right) == 0:
-            return None
-        near = unit[left] @ unit[right].T
-        x, y = np.nonzero(near >= threshold)
-        x, y = left[x], right[y]
-        if same:
-            x, y = x[x < y], y[x < y]
-        if len(x) == 0:
-            return None
-        common = (order[x][:, :, None] == order[y][:, None, :]).any(axis=2)
-        first = np.where(common, order[x], np.iinfo(np.int32).max).min(axis=1)
-        mine = (common.sum(axis=1) >= shared) & (first == pivot[0])
-        x, y = x[mine], y[mine]
-        if len(x) == 0:
-            return None
-        partners = np.bincount(x, copies[y], count) + np.bincount(y, copies[x], count)
-        root = np.arange(count)
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in zip(x, y, strict=True):
-            p, q = top(i), top(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-        some = np.flatnonzero(partners)
-        ends = np.array([top(i) for i in some])
-        return pa.record_batch([pa.array(rep[some]), pa.array(rep[ends]), pa.array(partners[some].astype(np.int64))], names=["u", "v", "n"])
+        left = np.flatnonzero(own == a[0])
+        got = compare(int(key[0]), rep, copies, v.astype(float), order, left, left if same else np.flatnonzero(own == b[0]), same, threshold)
+        return got and pa.record_batch(list(map(pa.array, got)), names=["u", "v", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         name = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                got = compare(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                held.clear()
-                if got is not None:
-                    yield got
-
         for batch in batches:
             if len(batch) == 0:
                 continue
-            keys = [batch.column(k).to_numpy() for k in range(4)]
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             for i, j in zip([0, *new], [*new, len(batch)], strict=True):
-                own = tuple(k[i] for k in keys)
-                if own != name:
-                    yield from flush()
-                    name = own
+                mine = tuple(k[i] for k in keys)
+                if mine != name:
+                    got = block(held) if sum(map(len, held)) > 1 else None
+                    if got is not None:
+                        yield got
+                    held, name = [], mine
                 held.append(batch.slice(i, j - i))
-        yield from flush()
+        got = block(held) if sum(map(len, held)) > 1 else None
+        if got is not None:
+            yield got
 
     return ordered.mapInArrow(run, "u long, v long, n long")
 
@@ -171,25 +219,31 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, n_pivots: int |
 
     Vectors are compared by cosine in double precision when their labels are equal and not null. A vector that is
     null, zero or holds null or non-finite components links with nothing. Vectors of different lengths do not link;
-    there may be any number of lengths. Vectors that are exactly equal form one representative:
-    they link with each other and share its links. vec_id must be unique; a null vec_id gets a null component and
-    links with nothing. Other columns are ignored; an empty table gives an empty table.
+    there may be any number of lengths. Vectors that are exactly equal form one representative: they link with each
+    other and share its links. Rows that repeat a vec_id are vectors of their own, each counted as a partner; the
+    smallest vec_id of a class names it, and all rows of that vec_id in it are kept. A null vec_id gets a null
+    component and links with nothing. Other columns are ignored; an empty table gives an empty table. The driver
+    holds one number per vector length and the reference points (POINT_BYTES a length at most).
     """
-    good = cut(usable(vectors).withColumn("width", F.size("v")))
-    # Scaled copies are as near as equal ones, but only equal arrays are merged: cosine decides on the rest.
-    reps = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    reps = reps.withColumn("width", F.size("v"))
+    rows = cut(rows_of(vectors))
+    good = rows.where("good")
+    # Scaled copies are as near as equal ones, but only equal arrays are merged: cosine decides on the rest. Two
+    # classes may hold the same vec_id, so a class is known by a number of its own.
+    reps = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()).withColumn("width", F.size("v")))
     # A width that only one representative has links with nothing.
     sizes = {r["width"]: r["count"] for r in reps.groupBy("width").count().where("count > 1").collect()}
-    some = reps.join(F.broadcast(good.sparkSession.createDataFrame([(w,) for w in sizes], "width int")), "width", "left_semi")
-    links = linked(cut(inverted_lists(some, pivots(some, sizes, n_pivots))), threshold)
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    links = cut(links)
+    widths = vectors.sparkSession.createDataFrame([(w,) for w in sizes], "width int")
+    some = reps.join(F.broadcast(widths), "width", "left_semi")
+    links = cut(linked(cut(described(some, pivots(some, sizes, n_pivots))), threshold))
     classes = components(links.select("u", "v")).withColumnRenamed("node", "rep")
     partners = links.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    known = cut(reps.join(partners, "rep", "left").join(classes, "rep", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component")))
-    found = cut(good.join(known, ["label", "v"]).select("vec_id", "n", "component"))
-    return ids.join(found, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    joined = reps.select("rep", "least").join(partners, "rep").join(classes, "rep", "left").withColumn("class", F.coalesce("component", "rep"))
+    smallest = joined.groupBy("class").agg(F.min("least").alias("component"))
+    found = cut(joined.select("rep", "n", "class").join(smallest, "class").select("rep", "n", "component"))
+    known = reps.join(found, "rep", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "least").alias("component"))
+    met = good.join(known, ["label", "v"]).select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return met.unionAll(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,25 +5,27 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, join_ids, read, small_batches
+from .common import cut, read, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity that count as its context.
-CONTEXT = 3
-#: A term discloses a kind of entity when its information about the kind reaches this share of the kind's own.
+#: Words on each side of an entity that count as its context, and of a term in the search for its generalisation.
+CONTEXT, NEAR = 3, 8
+#: A term discloses entities when its information about them reaches this share of their own ...
 DISCLOSURE = 0.85
-#: ... and when it stands beside so many different entities of the kind: fewer say nothing about the term.
+#: ... and so many different entities of the kind (or texts of one entity) stand behind it.
 SUPPORT = 5
-#: Letters of a term's generalisation, and the most disclosing terms that are broadcast.
-STEM, BROADCAST_TERMS = 3, 200_000
+#: A general term stands near so large a share of a term's documents, and in no more than that share of all.
+SUBSUMES, GENERAL = 0.8, 0.1
+#: Most terms that are broadcast; more of them meet the documents in joins.
+BROADCAST_TERMS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile("[0-9]")
@@ -32,6 +34,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Counts that a task holds before it lets go of them.
 _FLUSH = 200_000
 
 
@@ -76,144 +79,231 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _beside(text: str, start: int, end: int, words: int = CONTEXT) -> set[str]:
-    """Terms among the next words of both sides; a side is looked at over at most 64 characters a word."""
-    before = _WORD.findall(text[max(0, start - 64 * words) : start].lower())[-words:]
-    after = _WORD.findall(text[end : end + 64 * words].lower())[:words]
-    return {*before, *after}
+def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the words of ``text`` that no span touches, in order."""
+    out = []
+    held, i, reach = sorted((s, e) for s, _, e in spans), 0, 0
+    for m in _WORD.finditer(text):
+        while i < len(held) and held[i][0] < m.end():
+            reach = max(reach, held[i][1])
+            i += 1
+        if reach <= m.start():
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(term, kind, value, n): documents per term (kind null) and per term beside an entity value of a kind.
+def terms_of(text: str) -> set[str]:
+    """The distinct terms of a text outside its entities."""
+    spans = base_spans(text)
+    return {t for _, _, t in outside(text, spans)} if spans else set(map(str.lower, _WORD.findall(text)))
 
-    Also (null, kind, null, n), documents with an entity of the kind, and (null, null, null, n), all documents.
-    Each task adds up what it has seen and lets go of it every _FLUSH entries.
+
+def _value(text: str, start: int, end: int) -> int:
+    return int.from_bytes(hashlib.blake2b(text[start:end].lower().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+ENTITY = pa.struct([("kind", pa.int32()), ("value", pa.int64())])
+BESIDE = pa.struct([("kind", pa.int32()), ("value", pa.int64()), ("term", pa.string())])
+
+
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """(key, entities, beside, terms) of each document row with an entity.
+
+    ``entities`` are its distinct (kind, value); ``beside`` its distinct (kind, value, term) where the term is one of the
+    CONTEXT words on either side of the entity, other entities passed over; ``terms`` all its distinct terms.
     """
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("n", T.LongType())])
 
-    def emit(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=schema.names)
+    def row(text: str, spans: list[tuple[int, int, int]]) -> tuple:
+        words = outside(text, spans)
+        starts = [s for s, _, _ in words]
+        entities, beside = set(), set()
+        for s, kind, e in spans:
+            value = _value(text, s, e)
+            entities.add((kind, value))
+            at = bisect_left(starts, s)
+            after = bisect_left(starts, e)
+            beside.update((kind, value, t) for _, _, t in (*words[max(0, at - CONTEXT) : at], *words[after : after + CONTEXT]))
+        return _key(text), sorted(entities), sorted(beside), sorted({t for _, _, t in words})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms: Counter = Counter()
-        beside: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                text = text or ""
-                terms.update(set(_WORD.findall(text.lower())))
-                kinds = {None}
-                seen = set()
-                for start, kind, end in base_spans(text):
-                    kinds.add(kind)
-                    value = _value(text, start, end)
-                    seen.update((t, kind, value) for t in _beside(text, start, end))
-                beside.update((None, k, None) for k in kinds)
-                beside.update(seen)
-                if len(terms) >= _FLUSH:
-                    yield emit(Counter({(t, None, None): n for t, n in terms.items()}))
-                    terms.clear()
-                if len(beside) >= _FLUSH:
-                    yield emit(beside)
-                    beside.clear()
-        yield emit(Counter({(t, None, None): n for t, n in terms.items()}))
-        yield emit(beside)
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(term, kind, information, action, replacement) of the terms above the threshold.
-
-    information = log2(p(kind beside term) / (p(kind) p(term))) over documents, against disclosure * -log2 p(kind).
-    A term is generalised to its stem when the stem's information stays below the threshold, else removed.
-    """
-    counts = cut(corpus_counts(docs).groupBy("term", "kind", "value").agg(F.sum("n").alias("n")))
-    totals = {r["kind"]: r["n"] for r in counts.where("term is null").select("kind", "n").collect()}
-    every = totals.get(None, 0)
-    share = {k: n / every for k, n in totals.items() if k is not None}
-    table = docs.sparkSession.createDataFrame([(k, p, -math.log2(p) * disclosure) for k, p in share.items()], "kind int, p double, least double")
-    frequency = counts.where("term is not null and kind is null").select("term", F.col("n").alias("seen"))
-    together = counts.where("term is not null and kind is not null").groupBy("term", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("both"))
-    information = F.log2(F.col("both") / F.col("seen") / F.col("p"))
-    high = together.where(F.col("values") >= support).join(frequency, "term").join(F.broadcast(table), "kind")
-    high = cut(high.select("term", "kind", "least", "p", information.alias("information")).where("information >= least and p < 1"))
-    if high.isEmpty():
-        return high.select("term", "kind", "information", F.lit("").alias("action"), F.lit("").alias("replacement"))
-    stem = F.substring("term", 1, STEM)
-    stems = high.select(stem.alias("stem"), "kind").distinct()
-    of_stem = frequency.groupBy(stem.alias("stem")).agg(F.sum("seen").alias("seen"))
-    beside_stem = together.groupBy(stem.alias("stem"), "kind").agg(F.sum("both").alias("both"))
-    wider = stems.join(of_stem, "stem").join(beside_stem, ["stem", "kind"]).join(F.broadcast(table), "kind").select("stem", "kind", information.alias("wider"))
-    joined = high.withColumn("stem", stem).join(wider, ["stem", "kind"], "left")
-    general = F.col("wider") < F.col("least")
-    return joined.select("term", "kind", "information", F.when(general, "generalise").otherwise("remove").alias("action"), F.when(general, F.concat("stem", F.lit("*"))).otherwise("[removed]").alias("replacement"))
+            found = [(t, base_spans(t)) for t in batch.column(0).to_pylist() if t]
+            rows = [row(t, spans) for t, spans in found if spans]
+            for at in range(0, len(rows), 200):
+                keys, entities, beside, terms = zip(*rows[at : at + 200], strict=True)
+                named = lambda names, sets: [[dict(zip(names, x, strict=True)) for x in s] for s in sets]
+                yield pa.record_batch(
+                    [pa.array(keys, pa.binary()), pa.array(named(("kind", "value"), entities), pa.list_(ENTITY)), pa.array(named(("kind", "value", "term"), beside), pa.list_(BESIDE)), pa.array(terms, pa.list_(pa.string()))],
+                    names=["key", "entities", "beside", "terms"],
+                )
 
+    schema = "key binary, entities array<struct<kind:int,value:long>>, beside array<struct<kind:int,value:long,term:string>>, terms array<string>"
+    return docs.select("text").mapInArrow(run, schema)
 
-def _value(text: str, start: int, end: int) -> int:
-    return int.from_bytes(hashlib.blake2b(text[start:end].lower().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
+def _shared(names: DataFrame, most: int):
+    """The terms of a cut table as a broadcast set, or None when there are more than ``most``."""
+    if names.count() > most:
+        return None
+    return names.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in names.collect()))
 
-def value_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(term, information, replacement) of the terms that disclose one entity value of the documents they stand in.
 
-    Counts are over different texts, so exact copies say nothing. A value in less than ``support`` of them has no
-    such terms. information = log2(p(value | term) / p(value)), against disclosure * -log2 p(value). The terms are
-    removed: a stem says as much about one person as the name does.
-    """
-    keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "text")
-    none = docs.sparkSession.createDataFrame([], "term string, information double, replacement string")
+def seen_in(docs: DataFrame, names: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, seen): documents that hold each term of ``names`` outside their entities."""
+    shared = _shared(names, most)
 
-    def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        emit = lambda: pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
         for batch in batches:
-            keys, kinds, found = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = {(k, _value(text, s, e)) for s, k, e in base_spans(text)} if text else ()
-                for k, v in seen:
-                    keys.append(key), kinds.append(k), found.append(v)
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(kinds, pa.int32()), pa.array(found, pa.int64())], names=["key", "kind", "value"])
-
-    held = cut(keyed.mapInArrow(values, "key string, kind int, value long").distinct())
-    often = held.groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    own = cut(held.join(often, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "value")).alias("values")))
-    if own.isEmpty():
-        return none
-    every = keyed.select("key").distinct().count()
-    texts = join_ids(keyed, own, ["key"], "inner").dropDuplicates(["key"]).select("text", "values")
+            for text in batch.column(0).to_pylist():
+                counts.update(_held(text, shared and shared.value))
+                if len(counts) >= _FLUSH:
+                    yield emit()
+                    counts.clear()
+        yield emit()
 
-    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    counted = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("seen"))
+    return counted if shared else counted.join(names, "term", "left_semi")
+
+
+def _held(text: str | None, wanted: frozenset[str] | None) -> set[str]:
+    """Terms of ``text`` among the wanted ones (None: all of them); entities are masked where it matters."""
+    if not text:
+        return set()
+    if wanted is None:
+        return terms_of(text)
+    if wanted.isdisjoint(map(str.lower, _WORD.findall(text))):
+        return set()
+    return terms_of(text) & wanted
 
-        def emit() -> pa.RecordBatch:
-            rows = list(counts)
-            return pa.record_batch([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "kind", "value", "n"])
 
+def _key_terms(docs: DataFrame, names: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(key, term): the terms of ``names`` that each text holds, the text known by its hash."""
+    shared = _shared(names, most)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term in set(_WORD.findall(text.lower())):
-                    counts[(term, None, None)] += 1
-                    counts.update((term, v["kind"], v["value"]) for v in some)
-                    if len(counts) >= _FLUSH:
-                        yield emit()
-                        counts.clear()
-        yield emit()
+            for text in batch.column(0).to_pylist():
+                found = sorted(_held(text, shared and shared.value))
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    yield pa.record_batch([pa.array([_key(text)] * len(part), pa.binary()), pa.array(part, pa.string())], names=["key", "term"])
+
+    found = docs.select("text").mapInArrow(run, "key binary, term string")
+    return found if shared else found.join(names, "term", "left_semi")
+
+
+def disclosing_terms(docs: DataFrame, entities: DataFrame, every: int, disclosure: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, information) of the terms that disclose a kind of entity.
+
+    information = log2(p(entity of the kind beside term | term) / p(kind)), both shares of documents, against
+    disclosure * -log2 p(kind); at least ``support`` different entities of the kind stand beside the term. A document
+    counts once for a term and kind, however many entities it lists.
+    """
+    spark = docs.sparkSession
+    kinds = {r["kind"]: r["count"] for r in entities.select(F.explode(F.array_distinct(F.transform("entities", lambda x: x["kind"]))).alias("kind")).groupBy("kind").count().collect()}
+    share = [(k, n / every, -math.log2(n / every) * disclosure) for k, n in kinds.items() if n < every]
+    table = F.broadcast(spark.createDataFrame(share, "kind int, p double, least double"))  # one row per kind
+    told = entities.select(F.explode("beside").alias("x")).select("x.*").distinct().groupBy("term", "kind").agg(F.count("*").alias("values")).where(F.col("values") >= support)
+    pairs = F.array_distinct(F.transform("beside", lambda x: F.struct(x["kind"].alias("kind"), x["term"].alias("term"))))
+    both = entities.select(F.explode(pairs).alias("x")).select("x.*").groupBy("term", "kind").agg(F.count("*").alias("both"))
+    near = cut(both.join(told.select("term", "kind"), ["term", "kind"]).join(table, "kind"))
+    information = F.log2(F.col("both") / F.col("seen") / F.col("p"))
+    names = cut(near.select("term").distinct())
+    if names.isEmpty():
+        return spark.createDataFrame([], "term string, information double")
+    met = near.join(seen_in(docs, names, most), "term").withColumn("information", information)
+    return met.where("information >= least").groupBy("term").agg(F.max("information").alias("information"))
+
 
-    pairs = cut(texts.mapInArrow(together, "term string, kind int, value long, n long").groupBy("term", "kind", "value").agg(F.sum("n").alias("both")))
+def value_terms(docs: DataFrame, entities: DataFrame, every: int, disclosure: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, information) of the terms that disclose one entity value of the documents they stand in.
+
+    Counts are over different texts, so exact copies say nothing. A value in less than ``support`` of them has no
+    such terms. information = log2(p(value | term) / p(value)), against disclosure * -log2 p(value), where the
+    two stand anywhere in one document. ``every``: all document rows, the bound of the different texts.
+    """
+    none = docs.sparkSession.createDataFrame([], "term string, information double")
+    texts = entities.select("key", F.explode("entities").alias("x")).select("key", "x.*").distinct()
+    often = cut(texts.groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    top = often.agg(F.max("n")).first()[0]
+    if top is None:
+        return none
+    of_text = cut(texts.join(often, ["kind", "value"]))
+    keys = cut(of_text.select("key").distinct())
     p = F.col("n") / F.lit(float(every))
-    # A term's texts among these are at most all its texts: the information cannot be more than this says.
-    near = pairs.where("kind is not null").where(F.col("both") >= support).join(pairs.where("kind is null").select("term", F.col("both").alias("seen")), "term").join(often, ["kind", "value"])
-    information = F.log2(F.col("both") / F.col("seen") / p)
+    words = cut(entities.join(keys, "key", "left_semi").select("key", F.explode("terms").alias("term")).distinct())
+    # A term in D of these texts is in D of all at least, and log2(n / D / p) falls as D grows: exact bounds on D.
+    widest = top / (top / every) ** (1 - disclosure)
+    some = words.groupBy("term").agg(F.count("*").alias("d")).where((F.col("d") >= support) & (F.col("d") <= widest))
+    pairs = words.join(some, "term").join(of_text, "key").groupBy("term", "kind", "value", "n", "d").agg(F.count("*").alias("both"))
     least = -F.log2(p) * disclosure
-    near = cut(near.where((information >= least) & (p < 1)).select("term", "both", "n"))
+    near = cut(pairs.where((F.col("both") >= support) & (p < 1) & (F.log2(F.col("both") / F.col("d") / p) >= least)).select("term", "both", "n"))
     names = cut(near.select("term").distinct())
-    # Of these few terms the texts of the whole corpus are counted.
-    if names.count() <= BROADCAST_TERMS:
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in names.collect()))
-        found = keyed.mapInArrow(lambda batches: _key_terms(batches, shared.value), "key string, term string")
-    else:
-        found = keyed.mapInArrow(_key_terms, "key string, term string").join(names, "term")
-    seen = found.distinct().groupBy("term").agg(F.count("*").alias("seen"))
-    return near.join(seen, "term").where(information >= least).groupBy("term").agg(F.max(information).alias("information")).withColumn("replacement", F.lit("[removed]"))
+    if names.isEmpty():
+        return none
+    seen = _key_terms(docs, names, most).distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    information = F.log2(F.col("both") / F.col("seen") / p)
+    return near.join(seen, "term").where(information >= least).groupBy("term").agg(F.max(information).alias("information"))
+
+
+def generalisations(docs: DataFrame, terms: DataFrame, every: int, subsumes: float = SUBSUMES, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, general): for each disclosing term the most specific term that subsumes it, where there is one.
+
+    ``g`` subsumes ``t`` when it stands within NEAR words of ``t`` in at least ``subsumes`` of the documents with
+    ``t``, but ``t`` in a smaller share of the documents with ``g``. The general term does not disclose itself, has
+    three letters or more and is in at most GENERAL of all documents; the rarest one is the most specific.
+    """
+    shared = _shared(terms.select("term"), most)
+
+    def near(text: str, wanted: frozenset[str] | None) -> set[tuple[str, str]]:
+        words = [t for _, _, t in outside(text, base_spans(text))]
+        own = set(words) if wanted is None else wanted
+        return {(t, g) for i, t in enumerate(words) if t in own for g in (t, *words[max(0, i - NEAR) : i], *words[i + 1 : i + 1 + NEAR]) if g == t or len(g) > 2}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        emit = lambda: pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "general", "n"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if _held(text, shared and shared.value):
+                    counts.update(near(text, shared and shared.value))
+                if len(counts) >= _FLUSH:
+                    yield emit()
+                    counts.clear()
+        yield emit()
+
+    counted = docs.select("text").mapInArrow(run, "term string, general string, n long").groupBy("term", "general").agg(F.sum("n").alias("n"))
+    if shared is None:
+        counted = counted.join(terms.select("term"), "term", "left_semi")
+    counted = cut(counted)
+    own = counted.where("term = general").select("term", F.col("n").alias("seen"))
+    wide = counted.where("term <> general").join(own, "term").where(F.col("n") >= F.lit(subsumes) * F.col("seen"))
+    wide = cut(wide.join(terms.select(F.col("term").alias("general")), "general", "left_anti"))
+    names = cut(wide.select(F.col("general").alias("term")).distinct())
+    if names.isEmpty():
+        return docs.sparkSession.createDataFrame([], "term string, general string")
+    rare = seen_in(docs, names, most).select(F.col("term").alias("general"), F.col("seen").alias("of_general"))
+    met = wide.join(rare, "general").where((F.col("of_general") > F.col("seen")) & (F.col("of_general") <= GENERAL * every))
+    return met.groupBy("term").agg(F.min(F.struct("of_general", "general"))["general"].alias("general"))
+
+
+def replacements(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, information, action, replacement) of every disclosing term: generalised where a term subsumes it, else removed."""
+    every = docs.count()
+    entities = cut(entity_texts(docs))
+    found = disclosing_terms(docs, entities, every, disclosure, support, most).unionByName(value_terms(docs, entities, every, disclosure, support, most))
+    terms = cut(found.groupBy("term").agg(F.max("information").alias("information")))
+    if terms.isEmpty():
+        return terms.select("term", "information", F.lit("").alias("action"), F.lit("").alias("replacement"))
+    general = generalisations(docs, terms, every, most=most)
+    known = F.col("general").isNotNull()
+    return terms.join(general, "term", "left").select("term", "information", F.when(known, "generalise").otherwise("remove").alias("action"), F.when(known, F.concat(F.lit("["), "general", F.lit("]"))).otherwise("[removed]").alias("replacement"))
 
 
 SPANS = "array<struct<start:int,end:int,kind:string,replacement:string>>"
@@ -222,29 +312,28 @@ SPANS = "array<struct<start:int,end:int,kind:string,replacement:string>>"
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST_TERMS) -> DataFrame:
     """Per document row: doc_id, spans, sanitised.
 
-    ``spans`` holds the entities found by pattern (replaced by ``[email]`` and so on) and the occurrences outside of
-    them of terms that disclose a kind of entity (``disclosing_terms``) or one value (``value_terms``), by start and then kind; start and end are code points, end exclusive.
-    Null text counts as empty; repeated rows are counted as often as they stand there; other columns are ignored;
-    an empty table gives an empty table. Up to ``most`` disclosing terms are broadcast; more of them meet the
-    terms of each document in a shuffle join instead.
+    ``spans`` holds the entities found by pattern (replaced by ``[email]`` and so on) and, outside of them, the
+    occurrences of terms that disclose a kind of entity (``disclosing_terms``) or one value (``value_terms``), by start
+    and then kind; start and end are code points, end exclusive. A term gives way to a more general one of the corpus
+    (``generalisations``) or is removed. Null text counts as empty; rows that repeat are counted as often as they
+    stand there; other columns are ignored, whatever their names; an empty table gives an empty table. Up to ``most``
+    terms are broadcast; more of them meet the terms of each document in a shuffle join instead.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    disclosing = disclosing_terms(docs, disclosure, support).select("term", "information", "replacement").unionByName(value_terms(docs, disclosure, support))
-    terms = cut(disclosing.groupBy("term").agg(F.max(F.struct("information", "replacement")).alias("x")).select("term", "x.replacement"))
+    terms = cut(replacements(docs, disclosure, support, most).select("term", "replacement"))
     if terms.count() <= most:
         shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["replacement"] for r in terms.collect()})
         return _apply(docs.withColumn("own", F.lit(None).cast("map<string,string>")), shared)
     keyed = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    pairs = keyed.dropDuplicates(["key"]).select("key", "text").mapInArrow(_key_terms, "key string, term string")
+    pairs = keyed.dropDuplicates(["key"]).select("key", "text").mapInArrow(_all_terms, "key string, term string")
     own = pairs.join(terms, "term").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "replacement"))).alias("own"))
     return _apply(keyed.join(own, "key", "left").select("doc_id", "text", "own"), None)
 
 
-def _key_terms(batches: Iterable[pa.RecordBatch], wanted: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _all_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = set(_WORD.findall((text or "").lower()))
-            found = sorted(found if wanted is None else found & wanted)
+            found = sorted(_held(text, None))
             if found:
                 yield pa.record_batch([pa.array([key] * len(found)), pa.array(found, pa.string())], names=["key", "term"])
 
@@ -253,19 +342,10 @@ def _apply(docs: DataFrame, shared) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("replacement", pa.string())]))
 
     def spans_of(text: str, replace: dict[str, str]) -> list[tuple[int, int, int, str]]:
-        out = [(s, k, e, f"[{KINDS[k]}]") for s, k, e in base_spans(text)]
-        if replace and not replace.keys().isdisjoint(_WORD.findall(text.lower())):
-            held = sorted((s, e) for s, _, e, _ in out)
-            i, reach = 0, 0
-            for m in _WORD.finditer(text):
-                new = replace.get(m[0].lower())
-                if new is None:
-                    continue
-                while i < len(held) and held[i][0] < m.end():
-                    reach = max(reach, held[i][1])
-                    i += 1
-                if reach <= m.start():
-                    out.append((m.start(), 4, m.end(), new))
+        base = base_spans(text)
+        out = [(s, k, e, f"[{KINDS[k]}]") for s, k, e in base]
+        if replace and not replace.keys().isdisjoint(map(str.lower, _WORD.findall(text))):
+            out += [(s, 4, e, replace[t]) for s, e, t in outside(text, base) if t in replace]
         return sorted(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tickspark.llm.embedding_dedup import _merge, compare, embedding_dedup
+from tickspark.llm.embedding_dedup import _merge, compare, compare_small, embedding_dedup
 
 
 def brute(rows, threshold=0.93):
@@ -103,6 +103,9 @@ def test_counts_retrieve_before_cosines():
     rep, copies, v = np.array([7, 8]), np.array([1, 1]), np.ones((2, 3))
     both, key = np.arange(2), (4 << 32) | 6
     run = lambda a, b: compare(key, rep, copies, v, np.array([a, b], np.int32), both, both, True, 0.9, need=3, keyed=3)
+    few = lambda a, b: compare_small(np.array([key, key]), np.array([2, 2]), rep, copies, v, np.array([a, b], np.int32), 0.9, need=3, keyed=3)
+    for a, b in (([4, 6, 9, 1], [6, 4, 9, 2]), ([4, 6, 9, 1], [6, 4, 8, 2]), ([4, 6, 5, 1], [6, 4, 5, 2])):
+        assert (few(a, b) is None) == (run(a, b) is None)
     assert run([4, 6, 9, 1], [6, 4, 9, 2]) is not None
     assert run([4, 6, 9, 1], [6, 4, 8, 2]) is None, "two shared pivots"
     assert run([4, 6, 5, 1], [6, 4, 5, 2]) is None, "the list of 4 and 5 comes first"

@@ -22,6 +22,8 @@ NEAREST, KEYED, SHARED = 10, 7, 3
 FEWEST_PIVOTS, MOST_PIVOTS, PER_ROOT, POINT_BYTES = 32, 32_768, 2.0, 1 << 28
 #: Rows of a list that one side of a block holds, and rows of it that are compared at a time.
 BLOCK, TILE = 2048, 256
+#: Lists of up to SMALL rows are compared together, STRETCH rows at a time.
+SMALL, STRETCH = 48, 8192
 #: Representatives of one width that are all compared with each other.
 WHOLE = 1024
 
@@ -162,6 +164,33 @@ def compare(key: int, rep: np.ndarray, copies: np.ndarray, v: np.ndarray, order:
     return (rep[met], rep[root[met]], partners[met].astype(np.int64)) if len(met) else None
 
 
+def compare_small(key: np.ndarray, end: np.ndarray, rep: np.ndarray, copies: np.ndarray, v: np.ndarray, order: np.ndarray, threshold: float, need: int = SHARED, keyed: int = KEYED):
+    """``compare`` for many whole lists at once: row i's list ``key[i]`` ends before row ``end[i]``."""
+    count = len(rep)
+    later = end - 1 - np.arange(count)
+    x = np.repeat(np.arange(count), later)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+    near = order[:, :keyed]
+    low = ((near[x][:, :, None] == near[y][:, None, :]).any(axis=2) & (near[x] <= (key[x] & 0xFFFFFFFF)[:, None])).sum(axis=1)
+    x, y = x[low == 2], y[low == 2]
+    common = (order[x][:, :, None] == order[y][:, None, :]).any(axis=2).sum(axis=1)
+    x, y = x[common >= min(need, order.shape[1])], y[common >= min(need, order.shape[1])]
+    if len(x) == 0:
+        return None
+    unit = _unit(v)
+    close = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+    x, y = x[close], y[close]
+    partners = np.bincount(x, copies[y], count) + np.bincount(y, copies[x], count)
+    root = _merge(np.arange(count), x, y)
+    met = np.flatnonzero(partners)
+    return (rep[met], rep[root[met]], partners[met].astype(np.int64)) if len(met) else None
+
+
+def _steps(keys: list[np.ndarray]) -> np.ndarray:
+    """Whether each row but the first differs from the one before it."""
+    return np.any([k[1:] != k[:-1] for k in keys], axis=0)
+
+
 def linked(index: DataFrame, threshold: float) -> DataFrame:
     """(u, v, n): for each representative u the rows n it is linked with, and a link u - v that joins components.
 
@@ -181,35 +210,51 @@ def linked(index: DataFrame, threshold: float) -> DataFrame:
     names = ["label", "key", "a", "b"]
     ordered = met.select(*names, "own", "rep", "copies", "v", "order").repartition(n_partitions(index), *names).sortWithinPartitions(*names)
 
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(held).combine_chunks()
-        key, a, b, own, rep, copies = (table.column(k).to_numpy() for k in range(1, 7))
-        count = len(rep)
-        v, order = (table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(count, -1) for k in (7, 8))
-        same = a[0] == b[0]
-        left = np.flatnonzero(own == a[0])
-        got = compare(int(key[0]), rep, copies, v.astype(float), order, left, left if same else np.flatnonzero(own == b[0]), same, threshold)
-        return got and pa.record_batch(list(map(pa.array, got)), names=["u", "v", "n"])
+    def flat(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+        return column.take(rows).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compares the whole lists and blocks that ``held`` consists of."""
+        table = pa.Table.from_batches(held)
+        keys = [table.column(k).to_numpy() for k in range(4)]
+        own, rep, copies = (table.column(k).to_numpy() for k in range(4, 7))
+        edges = np.flatnonzero(_steps(keys)) + 1
+        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(table)]))
+        sizes = ends - starts
+        some = (sizes > 1) & (sizes <= SMALL) & (keys[2][starts] == keys[3][starts])
+        last = np.repeat(ends, sizes)
+        small = np.flatnonzero(np.repeat(some, sizes))
+        widths = pa.compute.list_value_length(table.column(7)).to_numpy()
+        got = []
+        for width in np.unique(widths[small]):
+            rows = small[widths[small] == width]
+            end = np.searchsorted(rows, last[rows])
+            got.append(compare_small(keys[1][rows], end, rep[rows], copies[rows], flat(table.column(7), rows).astype(float), flat(table.column(8), rows), threshold))
+        for i, j in zip(starts[(sizes > 1) & ~some], ends[(sizes > 1) & ~some], strict=True):
+            rows, a, b = np.arange(i, j), keys[2][i], keys[3][i]
+            left, right = np.flatnonzero(own[rows] == a), np.flatnonzero(own[rows] == b)
+            got.append(compare(int(keys[1][i]), rep[rows], copies[rows], flat(table.column(7), rows).astype(float), flat(table.column(8), rows), left, right, a == b, threshold))
+        for x in got:
+            if x is not None:
+                yield pa.record_batch(list(map(pa.array, x)), names=["u", "v", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
         held: list[pa.RecordBatch] = []
-        name = None
         for batch in batches:
             if len(batch) == 0:
                 continue
-            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for i, j in zip([0, *new], [*new, len(batch)], strict=True):
-                mine = tuple(k[i] for k in keys)
-                if mine != name:
-                    got = block(held) if sum(map(len, held)) > 1 else None
-                    if got is not None:
-                        yield got
-                    held, name = [], mine
-                held.append(batch.slice(i, j - i))
-        got = block(held) if sum(map(len, held)) > 1 else None
-        if got is not None:
-            yield got
+            held.append(batch)
+            if sum(map(len, held)) < STRETCH:
+                continue
+            table = pa.Table.from_batches(held)
+            steps = np.flatnonzero(_steps([table.column(k).to_numpy() for k in range(4)]))
+            if len(steps):
+                yield from found(table.slice(0, steps[-1] + 1).to_batches())
+                held = table.slice(steps[-1] + 1).to_batches()
+        if held:
+            yield from found(held)
 
     return ordered.mapInArrow(run, "u long, v long, n long")
 

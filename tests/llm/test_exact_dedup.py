@@ -58,11 +58,44 @@ def test_cuckoo_index_insert_delete_resize():
         if d in live and rng.random() < 0.5:
             assert index.delete(d)
             del live[d]
-        elif d not in live:
+        elif d in live:
+            index.update(d, (k, 1, 2))
+            live[d] = (k, 1, 2)
+        else:
             index.insert(d, (k, 0, 1))
             live[d] = (k, 0, 1)
+        assert len(index) == len(live)
     assert index.resizes > 0
-    assert all(index.find(d) == v for d, v in live.items())
+    assert all(index.find(d) == v for d, v in live.items()) and dict(index.items()) == live
     gone = [hashlib.sha256(f"no{i}".encode()).digest() for i in range(500)]
     assert all(index.find(d) is None for d in gone)
     assert not index.delete(gone[0])
+
+
+def test_the_filter_decides_and_its_hits_are_verified():
+    one, two = b"\x07\x07" + bytes(30), b"\x07\x07" + bytes(29) + b"\x01"
+    index = CuckooIndex(16)
+    index.insert(one, (1, 0, 1))
+    assert index._places(one) == index._places(two) and index.find(two) is None, "same mark, same buckets, other content"
+    index.insert(two, (2, 0, 1))
+    assert index.find(one) == (1, 0, 1) and index.find(two) == (2, 0, 1)
+    assert index.delete(one) and index.find(one) is None and index.find(two) == (2, 0, 1)
+    for k in range(len(index.marks)):
+        index.marks[k] = 0
+    assert index.find(two) is None, "without its mark a record is not found"
+
+
+def test_overflow_of_two_buckets_grows_from_the_stored_keys():
+    index = CuckooIndex(16)
+    same = [b"\x07\x07" + bytes(5) + bytes([k]) + bytes(24) for k in range(0, 160, 16)]
+    for k, d in enumerate(same):
+        index.insert(d, (k, 0, 1))
+    assert index.resizes > 0 and [index.find(d)[0] for d in same] == list(range(10))
+
+
+def test_number_of_indexes_follows_the_rows(make_docs, monkeypatch):
+    from tickspark.llm import exact_dedup as M
+
+    monkeypatch.setattr(M, "PER_INDEX", 50)
+    live = M.live_digests(M.digests(make_docs([(i, f"t{i % 400}") for i in range(800)])))
+    assert live.rdd.getNumPartitions() >= 8 and live.count() == 400

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +22,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Without one, a local session takes a temporary folder; on a cluster, whose machines share none, that is an error.
+    """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -58,47 +65,55 @@ def join_ids(big: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFra
     return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def range_prefix(df: DataFrame, group: str | None, order: list[str], value: str, out: str, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Exclusive prefix sums of ``value`` in ``order`` within each ``group``, without a task per group.
 
-    The rows are range-sorted once by (group, order) and cut there, so that a hot group spans many tasks.
-    One small job sums ``value`` per (range, group), which gives at most ranges + groups rows; their running
-    sums are the offsets that each range adds to its own running sum. Returns the rows with ``out`` added
-    and the totals per group. ``df`` should hold narrow columns only.
+    The rows are range-sorted once by (group, order) and cut there, so that a hot group spans many tasks. Each
+    range adds up its own rows, group by group; the totals per (range, group), at most ranges + groups rows, give
+    the offset of each range in a window over the ranges of a group, which a join adds. Nothing is collected, and
+    the offsets are broadcast only where they are few. Returns the rows with ``out`` added and the totals per
+    group. ``df`` should hold narrow columns only. Sums of whole numbers are longs, others doubles.
     """
-    group = group or "_all"
-    if group == "_all":
-        df = df.withColumn("_all", F.lit("all"))
-    ranged = cut(df.repartitionByRange(n or n_partitions(df), group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id()))
-    sums = ranged.groupBy("_part", group).agg(F.sum(value).alias("total")).collect()
-    totals: dict = {}
-    starts: dict = {}
-    for r in sorted(sums, key=lambda r: r["_part"]):
-        starts[(r["_part"], r[group])] = totals.get(r[group], 0)
-        totals[r[group]] = totals.get(r[group], 0) + r["total"]
-    shared = ranged.sparkSession.sparkContext.broadcast(starts)
+    part, inside, by = free(df, "part"), free(df, "inside"), group or free(df, "all")
+    if group is None:
+        df = df.withColumn(by, F.lit(0))
+    ranged = cut(df.repartitionByRange(n or n_partitions(df), by, *order).sortWithinPartitions(by, *order).withColumn(part, F.spark_partition_id()))
+    whole = isinstance(ranged.schema[value].dataType, T.IntegralType)
+    kind, name = (T.LongType(), "int64") if whole else (T.DoubleType(), "float64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
+        last, carried = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            part = int(pdf["_part"].iloc[0])
-            keys = pdf[group].astype(object).where(pdf[group].notna(), None)
+            keys = pdf[by].astype(object).where(pdf[by].notna(), None)
             codes, names = pd.factorize(keys, use_na_sentinel=False)
-            inside = pdf[value].groupby(codes).cumsum() - pdf[value]
             names = [None if pd.isna(k) else k for k in names]
-            base = [seen.get(k, shared.value[(part, k)]) for k in names]
-            pdf[out] = (inside + pd.Series(base).reindex(codes).to_numpy()).astype("int64")
-            for i, k in enumerate(names):
-                seen[k] = base[i] + int(pdf[value][codes == i].sum())
-            yield pdf.drop(columns=["_part"] + (["_all"] if group == "_all" else []))
-
-    fields = [f for f in ranged.schema.fields if f.name not in ("_part", "_all")]
-    result = ranged.mapInPandas(run, T.StructType([*fields, T.StructField(out, T.LongType())]))
-    spark = ranged.sparkSession
-    kind = T.StringType() if group == "_all" else ranged.schema[group].dataType
-    return result, spark.createDataFrame([(k, int(v)) for k, v in totals.items()], T.StructType([T.StructField(group, kind), T.StructField("total", T.LongType())]))
+            sums = pdf[value].groupby(codes).cumsum() - pdf[value]
+            if last == (names[0],):
+                sums = sums + np.where(codes == 0, carried, 0)
+            pdf[inside] = sums.astype(name)
+            carried = pdf[inside].iloc[-1] + pdf[value].iloc[-1]
+            last = (names[-1],)
+            yield pdf
+
+    local = ranged.mapInPandas(run, T.StructType([*ranged.schema.fields, T.StructField(inside, kind)]))
+    parts = cut(ranged.groupBy(part, by).agg(F.sum(value).alias("total")))
+    before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col(part).alias("at"), F.col(by).alias("of"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    starts = F.broadcast(starts) if parts.count() <= BROADCAST_ROWS else starts
+    met = local.join(starts, (F.col(part) == F.col("at")) & F.col(by).eqNullSafe(F.col("of")))
+    kept = [c for c in df.columns if c != by or group is not None]
+    result = met.select(*kept, (F.col(inside) + F.col("start")).cast(kind).alias(out))
+    return result, parts.groupBy(by).agg(F.sum("total").cast(kind).alias("total"))
 
 
 def least_change(label: Column) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, range_prefix, read
+from .common import WORD, cut, free, join_ids, range_prefix, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
+#: Most sources whose targets are worked out on the driver; more of them are in Spark.
+FEW_SOURCES = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS) -> dict[str | None, float]:
@@ -32,45 +34,86 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return {k: min(most * sizes[k], level * weight[k]) for k in names}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """Per document row: doc_id, size, source, source_size, target, epochs, taken.
+def target_table(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, few: int = FEW_SOURCES) -> DataFrame:
+    """(_source, source_size, target) of the sources in ``totals`` (source, total); see ``targets``.
 
-    Every document gets a hash-random key; the rows are range-sorted by source and key, distributed prefix sums
-    of their words say how many words of the source stand before each, and the source is cut at exactly its
-    target after as many whole epochs as fit: ``taken`` counts the words of all epochs, ``epochs`` the whole
-    ones. The hash covers doc_id alone, so reruns agree; rows that repeat a doc_id are ordered by size. Null
-    text or text without words has size 0 and gives nothing; null doc_id and null source are values of their
-    own. Other columns are ignored; an empty table gives an empty table. The driver holds one number per
-    source and range.
+    Up to ``few`` sources pass through the driver. More of them, such as URLs, are ranked and summed by ``range_prefix``:
+    by name for the weights, then by cap / weight for the level.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source")
-    keyed = sized.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
-    ranged, totals = range_prefix(keyed, "source", ["key", "doc_id", "size"], "size", "before")
-    sizes = {r["source"]: r["total"] for r in totals.collect()}
-    goal = targets(sizes, weights, most)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(k, sizes[k], float(goal[k])) for k in sizes], T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
+    spark = totals.sparkSession
+    totals = cut(totals)
+    if totals.count() <= few:
+        sizes = {r["source"]: r["total"] for r in totals.collect()}
+        goal = targets(sizes, weights, most)
+        schema = T.StructType([T.StructField("_source", totals.schema["source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
+        return F.broadcast(spark.createDataFrame([(k, sizes[k], float(goal[k])) for k in sizes], schema))
+    named = totals.select("source", "total", F.col("source").isNull().alias("last"), F.lit(1).cast("long").alias("one"))
+    ranked, _ = range_prefix(named, None, ["last", "source"], "one", "rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    weighed = ranked.select("source", "last", F.col("total"), weight.alias("weight"), (F.lit(most) * F.col("total")).alias("cap")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    capped, _ = range_prefix(weighed, None, ["ratio", "last", "source"], "cap", "capped")
+    both, _ = range_prefix(capped, None, ["ratio", "last", "source"], "weight", "closed")
+    both = cut(both)
+    every = both.agg(F.sum("total").cast("double").alias("total"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(every["total"]) - F.col("capped")) / (F.lit(every["weight"]) - F.col("closed"))
+    fits = both.select("ratio", level.alias("level")).where("level <= ratio").agg(F.min(F.struct("ratio", "level"))["level"].alias("level")).first()["level"]
+    return both.select(F.col("source").alias("_source"), F.col("total").alias("source_size"), F.least("cap", F.lit(fits) * F.col("weight")).alias("target"))
+
+
+def _sized(docs: DataFrame, seed: str, *more: str) -> DataFrame:
+    """(doc_id, size, source, key, text_hash) of each row, and the columns ``more``."""
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).cast("binary"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source", key.alias("key"), F.xxhash64("text").alias("text_hash"), *more
+    )
+
+
+def _taken(sized: DataFrame, weights: tuple[float, ...], most: float, few: int) -> DataFrame:
+    """``sized`` with source_size, target, epochs and taken; ``sized`` is a cut table."""
+    ranged, totals = range_prefix(sized, "source", ["key", "doc_id", "size", "text_hash"], "size", "before")
     size, epochs = F.col("size"), F.col("epochs")
     return (
-        ranged.join(F.broadcast(plan) if len(sizes) <= 100_000 else plan, F.col("source").eqNullSafe(F.col("_source")))
+        ranged.join(target_table(totals, weights, most, few), F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.floor("target"), F.col("source_size")))).otherwise(0).cast("long"))
         .withColumn("rest", F.floor("target").cast("long") - epochs * F.col("source_size"))
         .withColumn("taken", (epochs * size + F.greatest(F.lit(0), F.least(size, F.col("rest") - F.col("before")))).cast("long"))
-        .select("doc_id", "size", "source", "source_size", "target", "epochs", "taken")
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them, repeated by epoch, with all of their columns.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, seed: str = "mix", few: int = FEW_SOURCES) -> DataFrame:
+    """Per document row: doc_id, size, source, source_size, target, epochs, taken.
+
+    Every document gets a hash-random key; the rows are range-sorted by source and key, distributed prefix sums
+    of their words say how many words of the source stand before each, and the source is cut at exactly its
+    target after as many whole epochs as fit: ``taken`` counts the words of all epochs, ``epochs`` the whole
+    ones. The hash covers doc_id alone, so reruns agree; rows that repeat a doc_id are ordered by size, then by a
+    hash of the text, and those equal in all of it are interchangeable. Null text or text without words has size 0
+    and gives nothing; null doc_id and null source are values of their own. Other columns are ignored, whatever
+    their names; an empty table gives an empty table. The driver holds one number for each of at most ``few`` sources.
+    """
+    return _taken(cut(_sized(docs, seed)), weights, most, few).select("doc_id", "size", "source", "source_size", "target", "epochs", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, seed: str = "mix", few: int = FEW_SOURCES, epoch: str | None = None) -> DataFrame:
+    """``docs`` as the mix takes them, repeated by epoch, with all of their columns; ``epoch`` names a column for its number.
 
     The document in which the budget ends is taken whole when at least half of it is inside. Documents without
-    words give nothing to any budget and are left as they are.
+    words give nothing to any budget and are left as they are. Rows are told apart by doc_id where it is unique and
+    never null; otherwise the rows are written with a number of their own first, so that each gets its own share.
     """
-    counted = cut(mix(docs, **options).withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0"))
-    counted = counted.withColumnRenamed("doc_id", "_mixed_id")
-    small = counted.count() <= 500_000
-    met = docs.join(F.broadcast(counted) if small else counted, docs["doc_id"].cast("long").eqNullSafe(F.col("_mixed_id")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_mixed_id")
+    sized = cut(_sized(docs, seed))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")
+    row, count = free(docs, "row"), free(docs, "count")
+    if sized.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        docs = docs.withColumn(row, F.col("doc_id").cast("long"))
+        taken = _taken(sized, weights, most, few).withColumn("id", F.col("doc_id"))
+    else:
+        docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        numbered = docs.select(F.col(row).alias("id"), "doc_id", "text", "source")
+        taken = _taken(cut(_sized(numbered, seed, "id")), weights, most, few)
+    counted = cut(taken.select(F.col("id").alias(row), copies.alias(count)).where(F.col(count) > 0))
+    met = join_ids(docs, counted, [row], "inner").withColumn(epoch or free(docs, "epoch"), F.explode(F.sequence(F.lit(1), F.col(count))))
+    return met.select(*[c for c in docs.columns if c != row], *([epoch] if epoch else []))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, range_prefix, read
+from .common import cut, free, n_partitions, read
 
 #: The key: GROUP_BITS of the text's hash, so that equal texts are neighbours, then ROW_BITS of the document's.
 GROUP_BITS, ROW_BITS = 35, 27
 TOP = 1 << (GROUP_BITS + ROW_BITS)
+#: Probes of the first round and, inside every open interval, of the later ones.
+FIRST_PROBES, PROBES = 4096, 128
+#: Rows, and bytes of whole documents, that a task of the exchange is meant to take.
+TASK_ROWS, TASK_BYTES = 2_000_000, 1 << 28
 
 
 def shard_key(text: Column, doc_id: Column) -> Column:
@@ -18,20 +27,23 @@ def shard_key(text: Column, doc_id: Column) -> Column:
     return F.shiftleft(group, ROW_BITS).bitwiseOR(row)
 
 
-def splitters(sized: DataFrame, shards: int, tolerance: float = 0.002, probes: int = 128) -> list[int]:
-    """Keys that cut ``sized`` (key, size) into ``shards`` ranges of near equal bytes.
+def splitters(sized: DataFrame, shards: int, tolerance: float = 0.002, pieces: int = 1) -> list[int]:
+    """Keys that cut ``sized`` (key, size) into ``shards`` ranges of near equal bytes, each of ``pieces`` parts.
 
-    Each round counts the exact bytes below ``probes`` candidate boundaries inside every open interval, in one
-    aggregation whose result has at most shards * probes rows, and keeps the interval that holds the target.
-    A splitter is done when a probe is within ``tolerance`` of a shard's bytes, or when its interval cannot be
-    cut further. Boundaries between groups of equal texts are preferred: below the group bits is only probed
-    when a group is larger than the tolerance.
+    Each round counts the exact bytes below candidate boundaries, FIRST_PROBES at first and then PROBES in every
+    open interval, in one aggregation, and keeps the interval that holds the target. The result of a round has at
+    most that many rows, and parts of a hot group share an interval. A splitter is done when a probe is within
+    ``tolerance`` of a shard's bytes (a quarter of a part's bytes between parts of a shard), or when its interval
+    cannot be cut further. Boundaries between groups of equal texts are preferred: below the group bits is only
+    probed when a group is larger than the tolerance. Every ``pieces``-th key bounds a shard.
     """
     total = sized.agg(F.sum("size")).first()[0] or 0
-    goals = [total * i / shards for i in range(1, shards)]
-    slack = tolerance * total / shards
+    parts = shards * pieces
+    goals = [total * i / parts for i in range(1, parts)]
+    slack = [tolerance * total / shards if i % pieces == 0 else total / parts / 4 for i in range(1, parts)]
     lo, hi = [0] * len(goals), [TOP] * len(goals)
     found: list[int | None] = [None] * len(goals)
+    probes = FIRST_PROBES
     while total and None in found:
         spans = sorted({(lo[i], hi[i]) for i, at in enumerate(found) if at is None})
         steps = [_step(h - a, probes) for a, h in spans]
@@ -52,14 +64,15 @@ def splitters(sized: DataFrame, shards: int, tolerance: float = 0.002, probes: i
                 continue
             bytes_below = below[(lo[i], hi[i])]
             best = min(bytes_below, key=lambda c: (abs(bytes_below[c] - goals[i]), c))
-            if abs(bytes_below[best] - goals[i]) <= slack:
+            if abs(bytes_below[best] - goals[i]) <= slack[i]:
                 found[i] = best
                 continue
             lo[i] = max(c for c in bytes_below if c < hi[i] and (c == lo[i] or bytes_below[c] <= goals[i]))
             hi[i] = min(c for c in bytes_below if c > lo[i])
             if hi[i] - lo[i] <= 1 or rows_in[lo[i]] <= 1:
                 found[i] = best
-    return [c if c is not None else TOP for c in found]
+        probes = PROBES
+    return sorted(c if c is not None else TOP for c in found)
 
 
 def _step(width: int, probes: int) -> int:
@@ -78,26 +91,33 @@ def _bins(key: str, spans: list[tuple[int, int]], steps: list[int], stride: int)
     return out
 
 
-def _bucket(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted ``cuts`` are at or below ``key``, as a balanced tree of comparisons."""
+def piece_of(spark: SparkSession, cuts: list[int]) -> Callable[[Column], Column]:
+    """Number of the ``cuts`` at or below a key, by binary search; only the key goes to Python."""
+    shared = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def piece(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, keys.to_numpy(), "right").astype(np.int32))
 
-    def tree(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(key < F.lit(cuts[m]), tree(a, m)).otherwise(tree(m + 1, b))
+    return piece
 
-    return tree(0, len(cuts))
 
+def exchange(keyed: DataFrame, cuts: list[int], key: str, piece: str, order: list[str]) -> DataFrame:
+    """The one exchange: every row goes to the task of its piece between the splitters, and is sorted there."""
+    placed = keyed.withColumn(piece, piece_of(keyed.sparkSession, cuts)(F.col(key)))
+    return placed.repartitionById(len(cuts) + 1, F.col(piece)).sortWithinPartitions(piece, key, *order)
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFrame:
+
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, task_rows: int = TASK_ROWS) -> DataFrame:
     """Per document row: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     The size is the UTF-8 bytes of the text (null: none) plus 1. Equal texts are neighbours in the order, so a
     group lies in one shard unless it is larger than the tolerance at a boundary. Rows with equal keys are
-    ordered by doc_id (null first) and size. Other columns are ignored; an empty table gives an empty table.
+    ordered by doc_id (null first), size and checksum; rows equal in all of them are interchangeable. A shard is
+    cut into pieces of about ``task_rows`` rows, one task each, by the same histogram. Other columns are ignored,
+    whatever their names; an empty table gives an empty table. The driver holds one number per piece.
     """
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -106,21 +126,49 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFra
             shard_key(text, F.col("doc_id").cast("long")).alias("key"),
         )
     )
-    at = splitters(sized, shards, tolerance)
-    # width_bucket-like assignment against the few splitters; ties of splitters leave an empty shard.
-    placed = sized.withColumn("shard", _bucket(F.col("key"), at)).withColumn("one", F.lit(1).cast("long"))
-    slotted, _ = range_prefix(placed, "shard", ["key", "doc_id", "size"], "one", "slot")
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes ``docs`` with all columns, one directory per shard, in the order of the slots."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_key", shard_key(text, F.col("doc_id").cast("long")))
-    sized = cut(keyed.select(F.col("_key").alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")))
-    at = splitters(sized, shards)
-    ordered = keyed.withColumn("shard", _bucket(F.col("_key"), at)).repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key")
-    ordered.drop("_key").write.partitionBy("shard").parquet(path)
+    pieces = max(1, -(-max(n_partitions(docs), -(-sized.count() // task_rows)) // shards))
+    cuts = splitters(sized, shards, tolerance, pieces)
+    ranged = cut(exchange(sized, cuts, "key", "piece", ["doc_id", "size", "text_crc32"]))
+    rows = {r["piece"]: r["count"] for r in ranged.groupBy("piece").count().collect()}
+    starts, run = {}, 0
+    for p in range(len(cuts) + 1):
+        run = 0 if p % pieces == 0 else run
+        starts[p] = run
+        run += rows.get(p, 0)
+    return ranged.select("doc_id", "size", "text_crc32", "piece").mapInArrow(_slots(starts, pieces), "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
+
+
+def _slots(starts: dict[int, int], pieces: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers the sorted rows of each piece from where the pieces of its shard before it end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for b in batches:
+            piece = b.column(3).to_numpy()
+            slot = np.empty(len(b), np.int64)
+            for p in np.unique(piece):
+                rows = np.flatnonzero(piece == p)
+                start = seen.get(p, starts[p])
+                slot[rows] = start + np.arange(len(rows))
+                seen[p] = start + len(rows)
+            law, none = pa.array(["bytes"] * len(b)), pa.nulls(len(b), pa.int32())
+            yield pa.record_batch([*b.columns[:3], law, pa.array((piece // pieces).astype(np.int32)), pa.array(slot), none], names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
+
+    return run
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, task_bytes: int = TASK_BYTES) -> None:
+    """Writes ``docs`` with all columns, one directory per shard, in the order of the keys.
+
+    The directories are named after the column ``shard``, with underscores after it while ``docs`` has such a column.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key, piece, name = free(docs, "key"), free(docs, "piece"), free(docs, "shard")
+    keyed = docs.withColumn(key, shard_key(text, F.col("doc_id").cast("long")))
+    sized = cut(keyed.select(F.col(key).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")))
+    pieces = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // task_bytes // shards))
+    placed = exchange(keyed, splitters(sized, shards, pieces=pieces), key, piece, [])
+    placed.withColumn(name, F.floor(F.col(piece) / pieces).cast("int")).drop(key, piece).write.partitionBy(name).parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,13 +157,100 @@ def test_sentencepiece_equals_the_model(make_docs, hard, small, spark):
     assert S.encode(make_docs([])).count() == 0
 
 
+BYTES = [f"<0x{i:02X}>" for i in range(256)]
+
+
+def vocabulary(pieces, scores, model, prefix=False):
+    return S.Vocabulary([*pieces, *BYTES], [*scores, *[0.0] * 256], [S.NORMAL] * len(pieces) + [S.BYTE] * 256, model, prefix)
+
+
 def test_sentencepiece_unigram_shortest_path():
-    v = S.Vocabulary(["a", "b", "ab", "abc", "c", "▁"] + [f"<0x{i:02X}>" for i in range(256)], [-1.0, -1.0, -1.5, -9.0, -1.0, -0.1] + [0.0] * 256, [S.NORMAL] * 6 + [S.BYTE] * 256, S.UNIGRAM, False)
+    v = vocabulary(["a", "b", "ab", "abc", "c", "▁"], [-1.0, -1.0, -1.5, -9.0, -1.0, -0.1], S.UNIGRAM)
     fst = S.Transducer(v)
     assert [v.pieces[i] for i in fst.encode("abcab")] == ["ab", "c", "ab"]
     assert [v.pieces[i] for i in fst.encode("aé")] == ["a", "<0xC3>", "<0xA9>"]
 
 
+def paths(text, ids):
+    """Every way through ``text``: pieces, or the character itself where it is no piece."""
+    if not text:
+        return [[]]
+    out = [[text[:j], *rest] for j in range(1, len(text) + 1) if text[:j] in ids for rest in paths(text[j:], ids)]
+    return out + ([[text[0], *rest] for rest in paths(text[1:], ids)] if text[0] not in ids else [])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sentencepiece_path_against_all_paths(seed):
+    """The path of least weight among all paths; for BPE it is also what a plain merge loop gives."""
+    import random
+
+    rng = random.Random(seed)
+    pieces = ["a", "b", "c", "▁"] + sorted({"".join(rng.choice("abc▁") for _ in range(rng.randrange(2, 5))).replace("▁", "") or "ab" for _ in range(12)} - {"a", "b", "c"})
+    scores = [-rng.random() * 5 for _ in pieces]
+    for model in (S.UNIGRAM, S.BPE):
+        v = vocabulary(pieces, scores, model)
+        fst = S.Transducer(v)
+        least = min(scores)
+        for _ in range(40):
+            text = "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 8)))
+            got = [v.pieces[i] for i in fst.shortest_path(text)]
+            if model == S.UNIGRAM:
+                weigh = lambda p: sum(-scores[fst.ids[x]] if x in fst.ids else 10 - least for x in p)
+                best = min(paths(text, fst.ids), key=weigh)
+                value = sum(-scores[fst.ids[x]] for x in got if x in fst.ids) + (10 - least) * text.count("é")
+                assert abs(value - weigh(best)) < 1e-9
+            else:
+                parts = list(text)
+                while True:
+                    ranks = [(-scores[fst.ids[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in fst.ids]
+                    if not ranks:
+                        break
+                    k = min(ranks)[1]
+                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                assert got == [x for p in parts for x in ([p] if p in fst.ids else [f"<0x{c:02X}>" for c in p.encode()])]
+
+
+def test_sentencepiece_equals_a_unigram_model(tmp_path):
+    """A hand-made unigram model with byte pieces, read by the library and by ``load``."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(5)
+    proto = pb.ModelProto()
+    for piece, score, kind in [("<unk>", 0.0, S.UNKNOWN), *[(b, -1.0, S.BYTE) for b in BYTES], *[(p, -2 - 5 * rng.random(), S.NORMAL) for p in ["▁", "a", "b", "ab", "ba", "aab", "▁a", "▁ab", "abba", "▁b", "\n", "cd", "cdd"]]]:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    proto.trainer_spec.model_type = S.UNIGRAM
+    proto.trainer_spec.byte_fallback = True
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    path = tmp_path / "m.model"
+    path.write_bytes(proto.SerializeToString())
+    model, fst = sentencepiece.SentencePieceProcessor(model_file=str(path)), S.machine(str(path))
+    for _ in range(300):
+        t = "".join(rng.choice("aabbcd é\n ") for _ in range(rng.randrange(0, 25)))
+        assert fst.encode(t) == model.encode(t), t
+        assert fst.decode(fst.encode(t)) == t
+
+
+def test_sentencepiece_refuses_what_it_does_not_compile():
+    v = vocabulary(["a"], [-1.0], S.BPE)
+    with pytest.raises(ValueError):
+        S.Transducer(S.Vocabulary([*v.pieces, "user"], [*v.scores, 0.0], [*v.kinds, S.USER], S.BPE, False))
+    with pytest.raises(ValueError):
+        S.Transducer(S.Vocabulary(["a", "b"], [-1.0, -1.0], [S.NORMAL] * 2, S.BPE, False))
+    with pytest.raises(ValueError):
+        S.Normaliser("", {" ": "a", "a": "b"})
+
+
+def test_sentencepiece_pieces_that_no_merges_make():
+    """`abcd` is in the vocabulary but no two pieces make it: the merges stop before."""
+    v = vocabulary(["a", "b", "c", "d", "ab", "abcd"], [-1.0] * 4 + [-2.0, -3.0], S.BPE)
+    assert [v.pieces[i] for i in S.Transducer(v).encode("abcd")] == ["ab", "c", "d"]
+
+
 def test_toxicity_learns_interactions(spark, make_docs):
     import zlib
 

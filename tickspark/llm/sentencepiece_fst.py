@@ -51,17 +51,71 @@ def load(path: str) -> Vocabulary:
     return Vocabulary([p.piece for p in proto.pieces], [p.score for p in proto.pieces], [p.type for p in proto.pieces], proto.trainer_spec.model_type, spec.add_dummy_prefix)
 
 
+@dataclass
+class Normaliser:
+    """The first machine: it writes ``front`` on its way from the start, then loops and rewrites the characters of ``arcs``."""
+
+    front: str
+    arcs: dict[str, str]
+
+    def __post_init__(self) -> None:
+        if any(c in out for c in self.arcs for out in self.arcs.values()):
+            raise ValueError("an output that is an input of the same machine")
+
+    def compose(self, text: str) -> str:
+        for c, out in self.arcs.items():
+            text = text.replace(c, out)
+        return self.front + text if text else ""
+
+
+class Lexicon:
+    """The second machine, closed over its root: ``arcs[state]`` leads by characters, ``piece[state]`` is written at a state.
+
+    A character without a piece of its own has a way from the root that writes its bytes (BY_BYTES in a path).
+    """
+
+    BY_BYTES = -2
+
+    def __init__(self, ids: dict[str, int]):
+        leaf: dict[str, int] = {}
+        self.arcs: list[dict[str, int]] = [{}]
+        self.piece = [-1]
+        for text, i in ids.items():
+            state = 0
+            for c in text:
+                if self.arcs[state] is leaf:
+                    self.arcs[state] = {}
+                state = self.arcs[state].setdefault(c, len(self.arcs))
+                if state == len(self.arcs):
+                    self.arcs.append(leaf)
+                    self.piece.append(-1)
+            self.piece[state] = i
+
+    def leaving(self, text: str, i: int) -> list[tuple[int, int]]:
+        """The composition with ``text`` at border ``i``: (next border, piece), shortest first."""
+        arcs, piece, out, state = self.arcs, self.piece, [], 0
+        for j in range(i, len(text)):
+            state = arcs[state].get(text[j])
+            if state is None:
+                break
+            if piece[state] >= 0:
+                out.append((j + 1, piece[state]))
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, self.BY_BYTES))
+        return out
+
+
 @dataclass
 class Transducer:
-    """Normaliser, pieces and byte fallback in one machine, composed with an input a stretch at a time.
-
-    The normaliser maps a space to the mark and puts one in front. The lexicon is a trie of pieces, entered again
-    after each of them, and each character that is no piece has an arc to its bytes. Arcs of a unigram model weigh
-    minus the piece's score. A BPE model's machine also remembers the last piece: an arc to the next one weighs
-    nothing if the merges leave the two apart when they stand alone, else infinity. The path of finite weight is
-    the encoding by merges, since a merge across a border can be seen from the two pieces at it. Composition
-    stops at a border no piece crosses (before the mark and around a new line), so stretches are solved once and
-    remembered.
+    """Normaliser, pieces and byte fallback, composed with an input; its encoding is the tropical shortest path.
+
+    The normaliser maps a space to the mark and puts one in front. The lexicon reads a piece and returns to its root.
+    Arcs of a unigram model weigh minus the piece's score, the way by bytes ten more than the worst of them, and the
+    composed states are borders. A BPE model's composed states are a border and the last piece: an arc to the next
+    one weighs nothing if the merges leave the two apart when they stand alone, else infinity. The path of finite
+    weight is the encoding by merges, since a merge across a border can be seen from the two pieces at it; pieces
+    that no merges make are no outputs. Composition stops at a border no piece crosses (before the mark and around a
+    new line), so stretches are solved once and remembered.
     """
 
     vocabulary: Vocabulary
@@ -71,12 +125,17 @@ class Transducer:
 
     def __post_init__(self) -> None:
         v = self.vocabulary
-        self.ids = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k in (NORMAL, USER)}
-        self.bytes_of = [0] * 256
-        for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)):
+        kinds = list(zip(v.pieces, v.kinds, strict=True))
+        self.bytes_of = [-1] * 256
+        for i, (p, k) in enumerate(kinds):
             if k == BYTE:
                 self.bytes_of[int(p[3:5], 16)] = i
-        self.longest = max(map(len, self.ids), default=1)
+        if min(self.bytes_of) < 0 or USER in v.kinds or v.model not in (BPE, UNIGRAM):
+            raise ValueError("needs a BPE or unigram model with all byte pieces and no user-defined ones")
+        self.ids = {p: i for i, (p, k) in enumerate(kinds) if k == NORMAL}
+        self.normaliser = Normaliser(SPACE if v.dummy_prefix else "", {" ": SPACE})
+        self.lexicon = Lexicon({p: i for p, i in self.ids.items() if v.model == UNIGRAM or self._merged(p) == [p]})
+        self._by_bytes = 10.0 - min((v.scores[i] for i in self.ids.values()), default=0.0)
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lines = any("\n" in p for p in self.ids)
         self._cut = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -86,17 +145,7 @@ class Transducer:
         self._plain = not (crossing or lines)
         #: Neighbours inside some piece; no path runs over a border between two others.
         self._inside = {x + y for p in self.ids for x, y in zip(p, p[1:], strict=False)}
-        #: The trie of the lexicon: every beginning of a piece, with the piece's id or -1.
-        self._trie: dict[str, int] = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
-        self.surface = [p.encode("utf-8") for p in v.pieces]
-        for i, k in enumerate(v.kinds):
-            if k == BYTE:
-                self.surface[i] = bytes([int(v.pieces[i][3:5], 16)])
-            elif k == CONTROL:
-                self.surface[i] = b""
-
-    def normalise(self, text: str) -> str:
-        return (SPACE if self.vocabulary.dummy_prefix and text else "") + text.replace(" ", SPACE)
+        self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode("utf-8") for p, k in kinds]
 
     def _merged(self, text: str) -> list[str]:
         """The merges on a short text alone: the best-scored neighbour pair first, leftmost of equals."""
@@ -131,27 +180,14 @@ class Transducer:
         """Pieces on the best path through one stretch; bytes where a character is no piece."""
         return self._by_merges(stretch) if self.vocabulary.model == BPE else self._by_scores(stretch)
 
-    def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
-        """(end, piece) of the lexicon's arcs that leave border ``i``, shortest first; -2 for the way by bytes."""
-        get, out = self._trie.get, []
-        for j in range(i + 1, len(text) + 1):
-            piece = get(text[i:j])
-            if piece is None:
-                break
-            if piece >= 0:
-                out.append((j, piece))
-        if not out or out[0][0] > i + 1:
-            out.insert(0, (i + 1, -2))
-        return out
-
     def _by_merges(self, text: str) -> tuple[int, ...]:
-        """Depth first, longest arcs first, over states (border, last piece): all finite paths weigh nothing.
+        """Best first over states (border, last piece): finite paths weigh nothing, so the agenda is a stack.
 
-        There is one such path to the end; states that led nowhere are not entered again, so the search is linear
-        in the states.
+        Longest arcs come first. There is one finite path to the end; states that led nowhere are not entered again,
+        so the search is linear in the states.
         """
-        n, apart = len(text), self._apart
-        path: list[tuple[int, int, list[tuple[int, int]]]] = [(0, -1, self._arcs(text, 0))]
+        n, apart, leaving = len(text), self._apart, self.lexicon.leaving
+        path: list[tuple[int, int, list[tuple[int, int]]]] = [(0, -1, leaving(text, 0))]
         dead: set[tuple[int, int]] = set()
         while path[-1][0] < n:
             at, last, arcs = path[-1]
@@ -164,36 +200,39 @@ class Transducer:
                     if not free:
                         continue
                 if (j, piece) not in dead:
-                    path.append((j, piece, self._arcs(text, j) if j < n else []))
+                    path.append((j, piece, leaving(text, j) if j < n else []))
                     break
             else:
                 dead.add((at, last))
                 path.pop()
-        out: list[int] = []
-        for k in range(1, len(path)):
-            j, piece, _ = path[k]
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out += [self.bytes_of[b] for b in text[path[k - 1][0] : j].encode("utf-8", "replace")]
-        return tuple(out)
+        return self._written(text, [(j, piece) for j, piece, _ in path[1:]])
 
     def _by_scores(self, text: str) -> tuple[int, ...]:
-        """Least sum of minus scores, forward over the borders and back; a way by bytes is the last resort."""
+        """Shortest distances forward over the borders, and the path back."""
         n, scores = len(text), self.vocabulary.scores
-        weight, came = [0.0] + [float("inf")] * n, [(0, -2)] * (n + 1)
+        weight, came = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
         for i in range(n):
-            for j, piece in self._arcs(text, i):
-                w = weight[i] - scores[piece] if piece >= 0 else weight[i] + 1e9
+            for j, piece in self.lexicon.leaving(text, i):
+                w = weight[i] + (-scores[piece] if piece >= 0 else self._by_bytes)
                 if w < weight[j]:
                     weight[j], came[j] = w, (i, piece)
-        out: list[int] = []
-        j = n
+        path, j = [], n
         while j:
-            i, piece = came[j]
-            out += [piece] if piece >= 0 else [self.bytes_of[b] for b in reversed(text[i:j].encode("utf-8", "replace"))]
-            j = i
-        return tuple(reversed(out))
+            path.append((j, came[j][1]))
+            j = came[j][0]
+        return self._written(text, path[::-1])
+
+    def _written(self, text: str, path: list[tuple[int, int]]) -> tuple[int, ...]:
+        """The output along a path of (border, piece)."""
+        out: list[int] = []
+        i = 0
+        for j, piece in path:
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.bytes_of[b] for b in text[i:j].encode("utf-8", "replace")]
+            i = j
+        return tuple(out)
 
     def _solve(self, stretch: str) -> tuple[int, ...]:
         """A stretch's path, from two generations of remembered ones: the older is dropped when the newer is full."""
@@ -221,7 +260,7 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        marked = self.normalise(text)
+        marked = self.normaliser.compose(text)
         if not self._plain:
             return [i for stretch in self._cut.findall(marked) for i in self._solve(stretch)]
         out: list[int] = []
@@ -255,15 +294,13 @@ def machine(path: str) -> Transducer:
     return _machines[path]
 
 
-
-
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, remember: int = REMEMBER, keep: bool = True) -> DataFrame:
     """Per document row: doc_id, ids (with ``with_ids``), n_tokens, n_bytes, ids_sha256, round_trip.
 
     Whole texts are encoded and decoded again: ``round_trip`` says whether the text came back, but for the mark
     U+2581, which decodes to a space as it does in the model itself. ids_sha256 is the hash of the ids, decimal,
-    comma-joined; n_bytes counts byte pieces. A null or empty text has no ids. Other columns are ignored; an
-    empty table gives an empty table. The vocabulary file must be installed on the executors at ``path``.
+    comma-joined; n_bytes counts byte pieces. A null or empty text has no ids; repeated rows and null doc_ids are
+    rows like others. Other columns are ignored, whatever their names; an empty table gives an empty table. The vocabulary file must be installed on the executors at ``path``.
     A worker remembers at most 2 * ``remember`` stretches, about 220 bytes each; with ``keep`` its next task finds
     them, without it other work has the memory.
     """

@@ -71,7 +71,7 @@ def test_secrets(spark, make_docs):
         None,
         "z" * 100_000,
     ]
-    got = {r["doc_id"]: r for r in secrets.scan(make_docs(list(enumerate(texts)), extra=True)).collect()}
+    got = {r["doc_id"]: r for r in secrets.scan(make_docs(list(enumerate(texts)), extra=True).withColumns({k: F.lit(1) for k in ("assign", "access", "hex", "entropy", "base", "row", "candidates")})).collect()}
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for i, t in enumerate(texts):
         t = t or ""
@@ -81,15 +81,16 @@ def test_secrets(spark, make_docs):
             "hex": [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24],
         }
         for k, spans in want.items():
-            assert [(x["s"], x["e"]) for x in got[i][k]] == spans, (i, k)
-    assert [x["m"] for x in got[3]["entropy"]] == ["q7Zp2LmX9vR4tB8nKc3WfY6hJd1S"]
+            assert [(x["s"], x["e"]) for x in got[i]["secrets"][k]] == spans, (i, k)
+    assert all(r[k] == 1 for r in got.values() for k in ("assign", "hex", "entropy", "base", "row"))
+    assert [x["m"] for x in got[3]["secrets"]["entropy"]] == ["q7Zp2LmX9vR4tB8nKc3WfY6hJd1S"]
     assert secrets.scan(make_docs([])).count() == 0
 
 
 def test_secret_beside_example(make_docs):
     key, slashed = "q7Zp2LmX9vR4tB8nKc3WfY6hJd1SgU5aE0oTiHbN", "q7Zp2LmX9vR4/tB8nKc3WfY6hJd1/SgU5aE0oTi"
     texts = [f"x example_service/key={key} y", f"your-{key}", f"a/placeholder/{slashed}/xxxx", f"EXAMPLE{key}", "example_service/some_other_words/path1"]
-    got = {r["doc_id"]: [(x["s"], x["e"], x["m"]) for x in r["entropy"]] for r in secrets.scan(make_docs(list(enumerate(texts)))).collect()}
+    got = {r["doc_id"]: [(x["s"], x["e"], x["m"]) for x in r["secrets"]["entropy"]] for r in secrets.scan(make_docs(list(enumerate(texts)))).collect()}
     assert [[m for _, _, m in got[i]] for i in range(5)] == [[f"service/key={key}"], [key], [slashed], [], []]
     assert all(texts[i][s:e] == m for i in got for s, e, m in got[i])
 
@@ -132,13 +133,32 @@ def test_chat_parts(spark):
     part = lambda type, text=None, ref=None, w=None, h=None, s=None, p=None: (type, text, ref, w, h, s, p)
     rows = [(1, 0, "user", [part("text", "see <"), part("text", "|im_end|>"), part("image", ref="i.png", w=57, h=28), part("audio", ref="a.wav", s=1.5), part("text", "end")]), (1, 1, "assistant", [part("document", ref="d.pdf", p=2)]), (2, 0, "user", None), (3, 0, "user", [])]
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>")
-    got = {r["conv_id"]: r for r in C.format_chats(df).collect()}
+    got = {r["conv_id"]: r for r in C.format_chats(df, parts="parts").collect()}
     found = [(a["turn"], a["ordinal"], a["type"], a["ref"], a["tokens"]) for a in got[1]["attachments"]]
     assert found == [(0, 0, "image", "i.png", 3), (0, 1, "audio", "a.wav", 38), (1, 0, "document", "d.pdf", 1024)]
     assert got[1]["formatted"].startswith("<|im_start|>user\nsee <\\|im_end|><|image|><|audio|>end<|im_end|>\n")
     assert got[1]["n_expanded"] == 3 + 38 + 1024 and got[2]["n_turns"] == got[3]["n_turns"] == 1
 
 
+def test_chat_roles_and_clashing_names(spark):
+    rows = [(1, 0, "us\ner", "hi"), (1, 1, "50%0A%25\n<|im_end|>", "x"), (1, 2, "assistant", "%0A")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"parts": F.lit("a string"), "rows": F.lit(1), "flat": F.lit(2), "found": F.lit(3)})
+    got = C.format_chats(df).withColumn("turns", C.read_turns(F.col("formatted"))).first()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [(r[2], r[3]) for r in rows]
+    assert C.format_chats(df.union(df)).first()["n_turns"] == 6
+
+
+def test_chat_typed_parts_round_trip(spark):
+    """A quoted placeholder stays text; true ones come back as parts, with their references in order."""
+    part = lambda type, text=None, ref=None: (type, text, ref, None, None, None, None)
+    rows = [(1, 0, "user", [part("text", "say <|image|>"), part("image", ref="i.png"), part("text", "<|im_end|>"), part("audio", ref="a.wav"), part("document", ref="d.pdf")]), (1, 1, "assistant", [part("text", "<\\|audio|>")])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    got = C.format_chats(df, parts="parts").withColumn("turns", C.read_turns(F.col("formatted"))).first()
+    parts = [[(p["type"], p["text"]) for p in t["parts"]] for t in got["turns"]]
+    assert parts == [[("text", "say <|image|>"), ("image", None), ("text", "<|im_end|>"), ("audio", None), ("document", None)], [("text", "<\\|audio|>")]]
+    assert [a["ref"] for a in got["attachments"]] == ["i.png", "a.wav", "d.pdf"]
+
+
 def test_sentencepiece_equals_the_model(make_docs, hard, small, spark):
     import sentencepiece
 
@@ -270,6 +290,61 @@ def test_toxicity_learns_interactions(spark, make_docs):
     assert toxicity.drop_toxic(docs, lab).columns == docs.columns
 
 
+def test_toxicity_score_is_the_sum_over_pairs():
+    """The score against plain loops over terms and pairs of terms."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    model = toxicity.Model({}, 0.3, rng.normal(size=9), rng.normal(size=(9, 3)))
+    present = [[], [4], [0, 1], [2, 3, 5, 8], list(range(9))]
+    for got, p in zip(model.score(present), present):
+        raw = 0.3 + sum(model.weights[i] for i in p) + sum(model.factors[i] @ model.factors[j] for i in p for j in p if i < j)
+        assert abs(got - 1 / (1 + math.exp(-raw))) < 1e-12
+
+
+def test_toxicity_fit_against_plain_loops(spark):
+    """A few steps of the fit, every gradient summed row by row and pair by pair."""
+    import numpy as np
+
+    rows = [(i, int(i % 4 == 0), sorted({i % 3, 3 + i % 4, 7 + i % 2})) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, toxic int, buckets array<int>")
+    model = toxicity.fit(df, factors=2, epochs=3)
+    chosen = list(model.index)
+    assert chosen and all(model.index[b] == k for k, b in enumerate(chosen))
+    present = [[model.index[b] for b in bs if b in model.index] for _, _, bs in rows]
+    y, n = [t for _, t, _ in rows], len(rows)
+    share = (sum(y) + 1) / (n + 2)
+    weight = np.array([min(5.0, (1 - share) / share) if t else 1.0 for t in y])
+    weight /= weight.mean()
+    rng = np.random.default_rng(11)
+    w, v, bias = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), 2)), math.log(share / (1 - share))
+    m = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0.0, 0.0]
+    for t in range(1, 4):
+        gw, gv, gb = 1e-4 * w, 1e-4 * v, 0.0
+        for p, target, c in zip(present, y, weight):
+            raw = bias + sum(w[i] for i in p) + sum(v[i] @ v[j] for i in p for j in p if i < j)
+            slope = c * (1 / (1 + math.exp(-raw)) - target) / n
+            gb += slope
+            for i in p:
+                gw[i] += slope
+                gv[i] += slope * sum((v[j] for j in p if j != i), np.zeros(2))
+        for k, g in enumerate((gw, gv, gb)):
+            m[2 * k], m[2 * k + 1] = 0.9 * m[2 * k] + 0.1 * g, 0.999 * m[2 * k + 1] + 0.001 * g**2
+        steps = [0.05 * (m[2 * k] / (1 - 0.9**t)) / (np.sqrt(m[2 * k + 1] / (1 - 0.999**t)) + 1e-8) for k in range(3)]
+        w, v, bias = w - steps[0], v - steps[1], bias - steps[2]
+    assert np.allclose(w, model.weights, atol=1e-9) and np.allclose(v, model.factors, atol=1e-9) and abs(bias - model.bias) < 1e-9
+
+
+def test_toxicity_hard_rows_and_clashing_names(spark, make_docs, hard):
+    rows = [*hard, *((100 + i, f"grbl word{i % 5}" if i % 4 == 0 else f"fine word{i % 5}") for i in range(200))]
+    docs = make_docs(rows, extra=True).withColumns({"toxic_score": F.lit("mine"), "toxic_predicted": F.lit(7)})
+    lab = spark.createDataFrame([(100 + i, 1, int(i % 4 == 0)) for i in range(200)] + [(5, 1, 1), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    left = toxicity.drop_toxic(docs, lab)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert len(got) == len(rows) - 50 and all(r["toxic_score"] == "mine" and r["toxic_predicted"] == 7 for r in got)
+
+
 def test_toxicity_without_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score_documents(make_docs([(1, "a")]), none).collect()

@@ -29,6 +29,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(r"<\\(\\*)\|"), F.lit("<$1|"))
 
 
+def escape_role(role: Column) -> Column:
+    """A role on one line: its line breaks and percent signs as %0A and %25, then as a text."""
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
+
+
+def unescape_role(role: Column) -> Column:
+    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def expanded_tokens(part: Column) -> Column:
     """Tokens that a part's placeholder stands for once its encoder has run."""
     side = lambda c: F.greatest(F.ceil(F.coalesce(part[c], F.lit(PATCH)) / PATCH), F.lit(1))
@@ -63,21 +72,22 @@ def flatten(parts: Column) -> Column:
     return F.aggregate(F.coalesce(parts, F.array().cast(f"array<{PART}>")), start, visit, lambda acc: F.struct(F.concat(acc["done"], escape(acc["open"])).alias("body"), acc["found"].alias("found")))
 
 
-def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), parts: str | None = None) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss, attachments, n_expanded.
 
-    ``turns`` has conv_id, turn, role and either ``parts`` (array of PART) or ``text``; other columns are ignored.
+    ``turns`` has conv_id, turn, role and ``text``, or a column named by ``parts`` (array of PART) that is read in its
+    place; other columns are ignored, whatever their names.
     Rows stand in order of turn (null first), then role and content, so repeated turns are all kept in a fixed
     order. A null role or text counts as empty; null conv_id is a conversation of its own. ``formatted`` holds
-    ``<|im_start|>role\\nbody<|im_end|>\\n`` per turn; roles are escaped as texts are. ``loss`` lists start and
+    ``<|im_start|>role\\nbody<|im_end|>\\n`` per turn; roles are escaped as texts are and kept on one line. ``loss`` lists start and
     length, in code points, of the bodies of ``loss_roles``; ``attachments`` lists turn, ordinal, type, reference
     and expanded tokens in the order of their placeholders. An empty table gives an empty table.
     """
-    parts = F.col("parts") if "parts" in turns.columns else text_parts(F.col("text"))
-    visited = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), flatten(parts).alias("flat"))
+    content = F.col(parts) if parts else text_parts(F.col("text"))
+    visited = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), flatten(content).alias("flat"))
     row = F.struct("turn", "role", F.col("flat.body").alias("body"), F.col("flat.found").alias("found"))
     grouped = visited.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    head = lambda r: F.concat(F.lit(START), escape(r["role"]), F.lit("\n"))
+    head = lambda r: F.concat(F.lit(START), escape_role(r["role"]), F.lit("\n"))
     start = F.struct(
         F.lit("").alias("text"),
         F.array().cast("array<struct<start:int,length:int>>").alias("loss"),
@@ -101,8 +111,28 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     return made.select("conv_id", F.col("f.turn").cast("long").alias("n_turns"), F.col("f.text").alias("formatted"), F.col("f.loss").alias("loss"), F.col("f.found").alias("attachments"), extra.alias("n_expanded"))
 
 
+def read_parts(body: Column) -> Column:
+    """array<struct<type, text>> of a formatted body: text parts, unescaped, and the placeholders between them.
+
+    A placeholder that a text quotes is escaped in the body, so it stays text; neighbouring text parts come back as one.
+    """
+    mark = r"<\|(image|audio|document)\|>"
+    pairs = F.arrays_zip(F.split(body, mark, -1).alias("text"), F.regexp_extract_all(body, F.lit(mark), F.lit(1)).alias("type"))
+    one = lambda kind, text: F.array(F.struct(kind.alias("type"), text.alias("text")))
+    none = F.array().cast("array<struct<type:string,text:string>>")
+
+    def both(x: Column) -> Column:
+        said = F.when(F.length(x["text"]) > 0, one(F.lit("text"), unescape(x["text"]))).otherwise(none)
+        return F.concat(said, F.when(x["type"].isNotNull(), one(x["type"], F.lit(None).cast("string"))).otherwise(none))
+
+    return F.flatten(F.transform(pairs, both))
+
+
 def read_turns(formatted: Column) -> Column:
-    """array<struct<role, text>>: the turns of a formatted text, control strings in them as they were."""
+    """array<struct<role, text, parts>>: the turns of a formatted text, control strings in them as they were.
+
+    ``text`` is the whole body with its placeholders; ``parts`` tells them from text that looks like one.
+    """
     # A body may end in anything, but only the template holds an unbroken control string.
     pieces = F.slice(F.split(formatted, r"<\|im_start\|>", -1), F.lit(2), F.greatest(F.size(F.split(formatted, r"<\|im_start\|>", -1)) - 1, F.lit(0)))
     close = len(END) + 1
@@ -111,7 +141,7 @@ def read_turns(formatted: Column) -> Column:
         cut = F.instr(p, "\n")
         role = F.substring(p, F.lit(1), cut - 1)
         body = F.substring(p, cut + 1, F.length(p) - cut - close)
-        return F.struct(unescape(role).alias("role"), unescape(body).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"), read_parts(body).alias("parts"))
 
     return F.transform(pieces, turn)
 

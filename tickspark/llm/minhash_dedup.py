@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ COORDS, BAND = 128, 4
 BITS = 7
 #: Pairs whose sketches agree in less than this share are not verified: four deviations below 0.8.
 SURE = 0.65
-#: Rows of a bucket that are compared with each other in one block.
-BLOCK = 512
+#: Rows of a bucket that are compared with each other in one block: with their texts, and by sketches alone.
+BLOCK, SKETCHES = 512, 4096
 
 SKETCH = T.StructType(
     [
@@ -132,41 +132,100 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
-def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (u, v) between components that meet in a bucket.
+NAMES = ("key", "a", "b")
 
-    ``rows``: key, rep, part, sketch, text, n (rows of the bucket). Buckets of more than BLOCK rows are dealt as
-    pairs of blocks, each a key of its own, so that no task holds more than two blocks of a bucket at a time.
-    Inside a block, pairs of different components whose sketches agree in SURE or more are compared on their full
-    sets; a link joins its components for the rest of the block, so a block emits less links than it has rows.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        rows.withColumn("blocks", blocks)
+
+def _dealt(rows: DataFrame, n: Column, block: int) -> DataFrame:
+    """Rows of a bucket as pairs of blocks (a, b), each a key of its own, so no task holds more than two blocks at a time."""
+    return (
+        rows.withColumn("blocks", F.ceil(n / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "part", "sketch", "text")
+        .withColumn("a", F.least("own", "other"))
+        .withColumn("b", F.greatest("own", "other"))
     )
-    ordered = dealt.repartition(n_partitions(rows), "key", "a", "b").sortWithinPartitions("key", "a", "b")
 
-    def found(block: pa.Table) -> list[tuple[int, int]]:
-        a, b, own, rep, part = (block.column(k).to_numpy() for k in range(1, 6))
+
+def _by_block(rows: DataFrame, run: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Hands the rows of each (key, a, b), the first three columns, to ``run`` in one table."""
+    ordered = rows.repartition(n_partitions(rows), *NAMES).sortWithinPartitions(*NAMES)
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for i, j in zip([0, *new], [*new, len(batch)], strict=True):
+                own = tuple(int(k[i]) for k in keys)
+                if own != name:
+                    got = run(pa.Table.from_batches(held)) if held else None
+                    held, name = [], own
+                    if got is not None:
+                        yield got
+                held.append(batch.slice(i, j - i))
+        got = run(pa.Table.from_batches(held)) if held else None
+        if got is not None:
+            yield got
+
+    return ordered.mapInArrow(each, schema)
+
+
+def _near(block: pa.Table, part: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows of other components whose sketches agree with its in SURE or more), over the pairs of a block.
+
+    ``part`` may be changed between the steps: components that have met are not compared again.
+    """
+    a, b, own = (block.column(k).to_numpy() for k in (1, 2, 3))
+    same = a[0] == b[0]
+    left = np.flatnonzero(own == a[0])
+    right = left if same else np.flatnonzero(own == b[0])
+    for k in left:
+        others = right[right > k] if same else right
+        others = others[part[others] != part[k]]
+        close = others[(sketches[others] == sketches[k]).sum(axis=1) >= SURE * COORDS] if len(others) else others
+        if len(close):
+            yield k, close
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """The rows (key, rep, part, sketch, n) of a bucket that have a near sketch of another component in it.
+
+    Only sketches travel here. Of two near rows both stay, so what is left of a bucket holds all its near pairs.
+    """
+
+    def run(block: pa.Table) -> pa.RecordBatch | None:
+        part = block.column(5).to_numpy()
+        if len(part) < 2 or part.min() == part.max():
+            return None
+        got = block.column(6).combine_chunks().flatten().to_numpy().reshape(len(part), COORDS)
+        met = np.zeros(len(part), bool)
+        for k, close in _near(block, part, got):
+            met[k] = met[close] = True
+        return pa.record_batch([block.column(k).combine_chunks().filter(pa.array(met)) for k in (0, 4)], names=["key", "rep"]) if met.any() else None
+
+    dealt = _dealt(rows, F.col("n"), SKETCHES).select(*NAMES, "own", "rep", "part", "sketch")
+    return _by_block(dealt, run, "key long, rep long").distinct()
+
+
+def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between components that meet in a bucket.
+
+    ``rows``: key, rep, part, sketch, text, n (rows of the bucket). Inside a block, pairs of different components whose
+    sketches agree in SURE or more are compared on their full sets; a link joins its components for the rest of the
+    block, so a block emits less links than it has rows.
+    """
+
+    def run(block: pa.Table) -> pa.RecordBatch | None:
+        rep, part, out, items = block.column(4).to_numpy(), block.column(5).to_numpy().copy(), [], None
         if len(rep) < 2 or part.min() == part.max():
-            return []
+            return None
         got = block.column(6).combine_chunks().flatten().to_numpy().reshape(len(rep), COORDS)
-        same = a[0] == b[0]
-        left = np.arange(len(rep)) if same else np.flatnonzero(own == a[0])
-        right = np.arange(len(rep)) if same else np.flatnonzero(own == b[0])
-        part, out, items = part.copy(), [], None
-        for k in left:
-            others = right[right > k] if same else right
-            others = others[part[others] != part[k]]
-            close = others[(got[others] == got[k]).sum(axis=1) >= SURE * COORDS] if len(others) else others
-            if not len(close):
-                continue
+        for k, close in _near(block, part, got):
             if items is None:
-                texts = block.column(7).combine_chunks()
-                each = [sets(data, offsets, width) for _, _, data, offsets in chunks(texts)]
+                each = [sets(data, offsets, width) for _, _, data, offsets in chunks(block.column(7).combine_chunks())]
                 sizes = np.concatenate([np.diff(x[1]) for x in each])
                 names, items = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
@@ -179,39 +238,18 @@ def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 if part[o] != part[k]:
                     out.append((min(rep[k], rep[o]), max(rep[k], rep[o])))
                     part[part == part[o]] = part[k]
-        return out
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            pairs = found(pa.Table.from_batches(held)) if held else []
-            held.clear()
-            if pairs:
-                yield pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-        name = None
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for i, j in zip([0, *new], [*new, len(batch)], strict=True):
-                own = tuple(int(k[i]) for k in keys)
-                if own != name:
-                    yield from flush()
-                    name = own
-                held.append(batch.slice(i, j - i))
-        yield from flush()
+        return pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["u", "v"]) if out else None
 
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+    dealt = _dealt(rows, F.col("n"), BLOCK).select(*NAMES, "own", "rep", "part", "sketch", "text")
+    return _by_block(dealt, run, "u long, v long").distinct()
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links among the representatives (rep, bands, sketch), enough to connect every linked pair.
 
     First each bucket is a star: its members meet the bucket's smallest one. Then, in buckets that hold several
-    components still, members of different components meet in blocks. Members of one component need not meet.
+    components still, members of different components meet in blocks, first by their sketches alone; the texts of
+    those with a near sketch follow. Members of one component need not meet.
     """
     bands = reps.select(F.explode("bands").alias("key"), "rep")
     buckets = cut(bands.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"))
@@ -225,6 +263,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     parted = cut(open_rows.join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("part", "rep").alias("part")))
     several = cut(parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
     rest = cut(parted.join(several, "key"))
+    near = cut(_candidates(rest.join(sketch, "rep")))
+    sizes = near.groupBy("key").agg(F.count("*").alias("n"))
+    rest = cut(rest.drop("n").join(near, ["key", "rep"]).join(sizes, "key"))
     ids = cut(rest.select(F.col("rep").alias("id")).distinct())
     texts = join_ids(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), ids, ["id"], "left_semi")
     second = cut(_block_links(rest.join(sketch, "rep").join(texts.withColumnRenamed("id", "rep"), "rep"), width, percent))

@@ -99,33 +99,39 @@ def is_random(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with arrays of matches added: assign, access, hex and entropy (struct of s, e, m).
+FOUND = ("assign", "access", "hex", "entropy")
+
+
+def scan(docs: DataFrame, column: str = "secrets") -> DataFrame:
+    """``docs`` with one column more: a struct of the arrays assign, access, hex and entropy of matches (s, e, m).
 
     Base matches are leftmost and do not overlap within a kind; assignments with a value of less than 6 characters
     are dropped after matching. Of a candidate in which a part between / = _ - is marked as an example, the runs of
     the other parts are candidates. Entropy spans are candidates with a digit and a letter, no part of a base span and
-    not on the allow list, one of whose windows is random enough for its class. Null text counts as empty.
+    not on the allow list, one of whose windows is random enough for its class. Null text counts as empty; rows that
+    repeat, or have no doc_id, are rows like others; a column of ``docs`` called ``column`` gives way, any other name
+    is kept with its values; an empty table gives an empty table.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6
     found = (
-        docs.withColumn("_text", text)
-        .withColumn("assign", F.filter(matches(F.col("_text"), ASSIGN), value))
-        .withColumn("access", matches(F.col("_text"), ACCESS))
-        .withColumn("hex", matches(F.col("_text"), HEX))
-        .withColumn("_candidates", matches(F.col("_text"), CANDIDATE))
-        .withColumn("_base", F.concat("assign", "access", "hex"))
+        docs.select(F.struct("*").alias("row"), text.alias("text"))
+        .withColumn("assign", F.filter(matches(F.col("text"), ASSIGN), value))
+        .withColumn("access", matches(F.col("text"), ACCESS))
+        .withColumn("hex", matches(F.col("text"), HEX))
+        .withColumn("candidates", matches(F.col("text"), CANDIDATE))
+        .withColumn("base", F.concat("assign", "access", "hex"))
     )
     allowed = lambda m: F.lit(False) if not ALLOW else _any([m.rlike(p) for p in ALLOW])
 
     def rest(x: Column) -> Column:
         return F.transform(matches(x["m"], UNMARKED), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["m"].alias("m")))
 
-    parts = F.flatten(F.transform("_candidates", lambda x: F.when(x["m"].rlike(MARKED), rest(x)).otherwise(F.array(x))))
+    parts = F.flatten(F.transform("candidates", lambda x: F.when(x["m"].rlike(MARKED), rest(x)).otherwise(F.array(x))))
     plausible = F.filter(parts, lambda x: (F.length(x["m"]) >= WINDOW) & x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~allowed(x["m"]))
-    outside = F.filter("_plausible", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return found.withColumn("_plausible", plausible).withColumn("_outside", outside).withColumn("entropy", F.filter("_outside", lambda x: is_random(x["m"]))).drop("_text", "_candidates", "_base", "_plausible", "_outside")
+    outside = F.filter("plausible", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    random = found.withColumn("plausible", plausible).withColumn("outside", outside).withColumn("entropy", F.filter("outside", lambda x: is_random(x["m"])))
+    return random.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != column], F.struct(*FOUND).alias(column))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -135,11 +141,11 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def _joined(*kinds: str) -> Column:
-    """kind:start:end of the kinds' matches, by start and then in the order given, comma-joined."""
+def joined(found: str, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of the kinds' matches in ``found``, by start and then in the order given, comma-joined."""
 
     def tag(i: int, k: str) -> Column:
-        return F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), x["e"].alias("e"), F.lit(k).alias("k")))
+        return F.transform(F.col(found)[k], lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), x["e"].alias("e"), F.lit(k).alias("k")))
 
     tagged = [tag(i, k) for i, k in enumerate(kinds)]
     return F.array_join(F.transform(F.array_sort(F.concat(*tagged)), lambda x: F.concat_ws(":", x["k"], x["s"], x["e"])), ",")
@@ -147,9 +153,9 @@ def _joined(*kinds: str) -> Column:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
-    base = _joined("assign", "access", "hex")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined("assign", "access", "hex", "entropy").alias("spans"))
+    count = lambda k: F.size(F.col("secrets")[k]).cast("long").alias(f"n_{k}")
+    base = joined("secrets", FOUND[:3])
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined("secrets", FOUND).alias("spans"))
 
 
 ORACLES: dict[str, str] = {}

@@ -61,7 +61,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     picked = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    met = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    met = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,19 +156,22 @@ def toxicity_score(spark: SparkSession, model: Model, text: Column) -> Column:
     return score(text)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` added (as ``toxic_score``, ``toxic_predicted``).
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, score: str = "toxic_score", predicted: str = "toxic_predicted") -> DataFrame:
+    """``docs`` with two columns, ``score`` (0 to 1) and ``predicted`` (1 at ``threshold`` and above); older ones of these names go.
 
-    Trained on labels outside the held-out fold; the score reads the text alone. An empty table gives an empty one.
+    Trained on labels outside the held-out fold; the score reads the text alone. Null and empty texts have the score
+    of no terms; rows that repeat are scored alike; a null doc_id is only never trained on; other columns stay as
+    they are; an empty table gives an empty one, and without labels of both kinds the score is one share for all.
     """
     model = fit(training_rows(docs, labels))
-    scored = docs.withColumn("toxic_score", toxicity_score(docs.sparkSession, model, F.col("text").cast("string")))
-    return scored.withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+    scored = docs.withColumn(score, toxicity_score(docs.sparkSession, model, F.col("text").cast("string")))
+    return scored.withColumn(predicted, (F.col(score) >= threshold).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic, with the columns it came with."""
-    return score_documents(docs, labels).where("toxic_predicted = 0").drop("toxic_score", "toxic_predicted")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``threshold``, with the columns it came with, whatever their names."""
+    model = fit(training_rows(docs, labels))
+    return docs.where(toxicity_score(docs.sparkSession, model, F.col("text").cast("string")) < threshold)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

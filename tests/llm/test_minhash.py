@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickspark.llm.minhash_dedup import COORDS, drop_near_copies, fast_sketch, near_dedup
 
@@ -98,3 +99,44 @@ def test_sketch_fills_and_estimates():
     a, b = both[:1000], both[200:1200]
     s = fast_sketch(np.concatenate([a, b]), np.repeat([0, 1], 1000), 2)
     assert abs((s[0] == s[1]).sum() / COORDS - 800 / 1200) < 0.15
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(make_docs):
+    near = [f"w{i}" for i in range(40)]
+    text = lambda k: " ".join([*near[:-1], f"x{k}"])
+    rows = [(5, text(0)), (5, "an unrelated text with enough words in it"), (3, text(1)), (None, text(2)), (9, text(3)), (9, text(3)), (4, "")]
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(make_docs(rows)).collect())
+    n = 40 - 4
+    assert got == sorted([(5, n, 3, False), (5, 4, 5, True), (3, n, 3, True), (-1, n, None, True), (9, n, 3, False), (9, n, 3, False), (4, 0, 4, True)], key=lambda r: (r[0], r[1]))
+    docs = make_docs(rows, extra=True).withColumns({"row": F.lit("r"), "id": F.lit("i")})
+    left = drop_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in left.collect()) == sorted([(5, rows[1][1]), (3, text(1)), (-1, text(2)), (4, "")])
+
+
+def test_long_words_do_not_collide():
+    """The word and its opposite have equal sums of bytes times powers modulo 2^64, whatever the base."""
+    from tickspark.llm.shingles import words
+
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in (one, two, one.upper())]
+    a, b, c = (words(x, np.array([0, len(x)]))[1][0] for x in raw)
+    assert a != b and a == c
+
+
+def test_blocks_of_one_bucket(make_docs, monkeypatch):
+    """Small blocks: the rows of a bucket meet in pairs of blocks and no link is lost."""
+    from tickspark.llm import minhash_dedup as M
+
+    monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "SKETCHES", 11)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    assert sorted(map(tuple, near_dedup(make_docs(rows), 2).collect())) == brute(rows, 2)

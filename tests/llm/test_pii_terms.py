@@ -78,11 +78,11 @@ def test_information_against_plain_loops(make_docs, seed):
     rows = corpus(seed)
     docs = make_docs(rows).select("doc_id", "text")
     entities = pii.entity_texts(docs)
-    got = {r["term"]: r["information"] for r in pii.disclosing_terms(docs, entities, len(rows), disclosure=0.5).collect()}
+    got = {r["term"]: r["information"] for r in pii.disclosing(docs, pii.kind_pairs(entities, len(rows), 0.5)).collect()}
     want = brute_terms(rows, 0.5)
     assert len(want) > 1 and got.keys() == want.keys()
     assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
-    wide = pii.disclosing_terms(docs, entities, len(rows), disclosure=0.5, most=0).collect()
+    wide = pii.disclosing(docs, pii.kind_pairs(entities, len(rows), 0.5), most=0).collect()
     assert {r["term"] for r in wide} == set(want), "more terms than are broadcast"
 
 
@@ -91,7 +91,7 @@ def test_many_entities_of_one_document_count_once(make_docs):
     rows = [(i, f"plain filler text {'call' if i < 90 else 'more'} words") for i in range(390)]
     rows += [(400 + i, " and ".join(f"call u{i}x{k}@m.org" for k in range(12))) for i in range(10)]
     docs = make_docs(rows).select("doc_id", "text")
-    found = {r["term"]: r["information"] for r in pii.disclosing_terms(docs, pii.entity_texts(docs), len(rows), disclosure=0.1).collect()}
+    found = {r["term"]: r["information"] for r in pii.disclosing(docs, pii.kind_pairs(pii.entity_texts(docs), len(rows), 0.1)).collect()}
     assert abs(found["call"] - 2.0) < 1e-9
     assert not {"u", "x", "m", "org"} & found.keys(), "pieces of other entities are no terms"
     assert "call" not in {r["term"] for r in pii.replacements(docs).collect()}
@@ -114,3 +114,39 @@ def test_generalisation_by_subsumption(make_docs):
     found, got = terms_of(make_docs, rows)
     assert found[603] == ["Quizzlewick"] and found[503] == []
     assert "[surgeon] [email]" in got[603]["sanitised"] and got[503]["sanitised"] == f"the surgeon works {fill(3)}"
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_values_against_plain_loops(make_docs, seed):
+    """Terms that disclose one address of their documents, copies of texts among them, against plain loops."""
+    rng = random.Random(seed)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows = []
+    for i in range(300):
+        text = [rng.choice(words) for _ in range(rng.randrange(4, 12))]
+        if rng.random() < 0.25:
+            who = rng.randrange(5)
+            text += [f"name{'abcde'[who]}" if rng.random() < 0.9 else "nobody", *(words[who : who + 2]), f"p{who}@m.org"]
+        rows += [(len(rows) + k, " ".join(text)) for k in range(rng.choice([1, 1, 1, 3]))]
+    docs, every = make_docs(rows).select("doc_id", "text"), len(rows)
+    got = {r["term"]: r["information"] for r in pii.disclosing(docs, pii.value_pairs(pii.entity_texts(docs), every, 0.4)).collect()}
+    sets = []
+    for _, text in rows:
+        spans = pii.base_spans(text)
+        sets.append((text, {t for _, _, t in pii.outside(text, spans)}, {text[s:e] for s, _, e in spans}))
+    seen, n, both, texts, held = {}, {}, {}, {}, {}
+    for text, terms, values in sets:
+        for t in terms:
+            seen[t] = seen.get(t, 0) + 1
+        for v in values:
+            n[v] = n.get(v, 0) + 1
+            held.setdefault(v, set()).add(text)
+            for t in terms:
+                both[(t, v)] = both.get((t, v), 0) + 1
+                texts.setdefault((t, v), set()).add(text)
+    want = {}
+    for (t, v), k in both.items():
+        p, information = n[v] / every, math.log2(k / seen[t] / (n[v] / every))
+        if len(texts[(t, v)]) >= 5 and len(held[v]) >= 5 and information >= 0.4 * -math.log2(p):
+            want[t] = max(want.get(t, 0), information)
+    assert len(want) >= 3 and got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)

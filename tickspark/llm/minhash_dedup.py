@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, join_ids, n_partitions, read, small_batches
+from .common import components, cut, free, join_ids, n_partitions, read, small_batches
 from .shingles import chunks, mix, sets
 
 #: Coordinates of a sketch, and rows of a band: 32 bands of 4 find a pair of similarity 0.8 but for 4 in 10^8.
@@ -23,6 +23,7 @@ BLOCK, SKETCHES = 512, 4096
 
 SKETCH = T.StructType(
     [
+        T.StructField("id", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_a", T.LongType()),
@@ -58,13 +59,13 @@ def fast_sketch(items: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     return out.reshape(count, COORDS)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """SKETCH rows: set size, 128-bit digest of the set, band keys and sketch (null for an empty set)."""
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """SKETCH rows of (id, doc_id, text): set size, 128-bit digest of the set, band keys and sketch (null for an empty set)."""
     step = COORDS // BAND
     salts = mix(np.arange(1, BAND + 1, dtype=np.uint64))
     lanes = mix(np.arange(1000, 1000 + step, dtype=np.uint64))
 
-    def rows(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    def marks(ids: list[pa.Array], data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         items, bounds = sets(data, offsets, width)
         sizes = np.diff(bounds)
         some = np.flatnonzero(sizes)
@@ -82,16 +83,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         bands = pa.ListArray.from_arrays(pa.array(at * step, pa.int32()), pa.array(key_list.view(np.int64)))
         sketch = pa.ListArray.from_arrays(pa.array(at * COORDS, pa.int32()), pa.array(sketch_list.view(np.int16)))
         empty = lambda x: pa.compute.if_else(none, pa.scalar(None, x.type), x)
-        return pa.record_batch([ids, pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), empty(bands), empty(sketch)], names=SKETCH.names)
+        return pa.record_batch([*ids, pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), empty(bands), empty(sketch)], names=SKETCH.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column(1)):
-                yield rows(batch.column(0).slice(i, j - i), data, offsets)
+            for i, j, data, offsets in chunks(batch.column(2)):
+                yield marks([batch.column(k).slice(i, j - i) for k in (0, 1)], data, offsets)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return small_batches(rows).select("id", "doc_id", "text").mapInArrow(run, SKETCH)
 
 
 def _alike(a: str, b: str) -> Column:
@@ -106,7 +107,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     """
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct())
-    texts = join_ids(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), ids, ["id"], "left_semi")
+    texts = join_ids(docs.select("id", "text"), ids, ["id"], "left_semi")
     one = pairs.join(texts.withColumnRenamed("id", "v").withColumnRenamed("text", "right"), "v")
     both = one.join(texts.withColumnRenamed("id", "u").withColumnRenamed("text", "left"), "u").select("u", "v", "left", "right")
 
@@ -267,33 +268,51 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     sizes = near.groupBy("key").agg(F.count("*").alias("n"))
     rest = cut(rest.drop("n").join(near, ["key", "rep"]).join(sizes, "key"))
     ids = cut(rest.select(F.col("rep").alias("id")).distinct())
-    texts = join_ids(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), ids, ["id"], "left_semi")
+    texts = join_ids(docs.select("id", "text"), ids, ["id"], "left_semi")
     second = cut(_block_links(rest.join(sketch, "rep").join(texts.withColumnRenamed("id", "rep"), "rep"), width, percent))
     return first.unionAll(second)
 
 
+def _classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, doc_id, n_shingles, component_id and kept of rows (id, doc_id, text), where id is unique and not null."""
+    marks = cut(sketches(rows, width))
+    reps = cut(marks.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch")))
+    found = components(links(rows, reps.select("rep", "bands", "sketch"), width, percent)).withColumnRenamed("node", "rep")
+    named = cut(reps.select("set_a", "set_b", "rep", "least").join(found, "rep", "left").select("set_a", "set_b", "least", F.coalesce("component", "rep").alias("class")))
+    names = named.groupBy("class").agg(F.min("least").alias("component"))
+    classes = cut(named.join(names, "class").select("set_a", "set_b", "component"))
+    linked = marks.select("id", "doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return linked.select("id", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a unique number in column ``name``: the doc_id where it is one, else the row's, written first."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").count().where("count > 1 or id is null")
+    return docs.withColumn(name, F.col("doc_id").cast("long")) if ids.isEmpty() else cut(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.
 
     Texts are compared by their sets of distinct ``width``-word shingles (A-Z lower-cased, words split at ASCII
-    white space); equal sets are one representative, so copies are never paired. Documents without words and
-    rows without doc_id link with nothing (a null doc_id has a null component_id and is kept). Rows that share a
-    doc_id count as one document. Other columns are ignored; an empty table gives an empty table.
+    white space); equal sets are one representative, so copies are never paired. Null and empty texts have no
+    shingles; rows without any, and rows without doc_id, link with nothing (a null doc_id has a null component_id and
+    is kept). Rows that repeat a doc_id are documents of their own; the smallest doc_id of a class names it, and all
+    its rows of that doc_id are kept. Other columns are ignored, whatever their names; an empty table gives an empty
+    table.
     """
-    marks = cut(sketches(docs, width))
-    reps = cut(marks.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    found = cut(components(links(docs, reps.select("rep", "bands", "sketch"), width, percent)))
-    classes = cut(reps.select("set_a", "set_b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
-    rows = marks.select("doc_id", "n_shingles", "set_a", "set_b")
-    linked = rows.join(classes, ["set_a", "set_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _classes(_numbered(slim, "id"), width, percent).drop("id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the document of the smallest doc_id of each near-duplicate class, all columns kept."""
-    gone = cut(near_dedup(docs, width, percent).where("not kept").select("doc_id").distinct())
-    return join_ids(docs, gone, ["doc_id"], "left_anti")
+    name = free(docs, "row")
+    numbered = _numbered(docs, name)
+    rows = numbered.select(F.col(name).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = cut(_classes(rows, width, percent).where("not kept").select(F.col("id").alias(name)))
+    return join_ids(numbered, gone, [name], "left_anti").select(*docs.columns)
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,84 +172,66 @@ def seen_in(docs: DataFrame, names: DataFrame, most: int = BROADCAST_TERMS) -> D
 
 
 def _held(text: str | None, wanted: frozenset[str] | None) -> set[str]:
-    """Terms of ``text`` among the wanted ones (None: all of them); entities are masked where it matters."""
+    """Terms of ``text`` among the wanted ones (None: all of them), its entities masked."""
     if not text:
         return set()
-    if wanted is None:
-        return terms_of(text)
-    if wanted.isdisjoint(map(str.lower, _WORD.findall(text))):
-        return set()
-    return terms_of(text) & wanted
-
-
-def _key_terms(docs: DataFrame, names: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    """(key, term): the terms of ``names`` that each text holds, the text known by its hash."""
-    shared = _shared(names, most)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = sorted(_held(text, shared and shared.value))
-                for at in range(0, len(found), 10_000):
-                    part = found[at : at + 10_000]
-                    yield pa.record_batch([pa.array([_key(text)] * len(part), pa.binary()), pa.array(part, pa.string())], names=["key", "term"])
+    found = set(map(str.lower, _WORD.findall(text)))
+    if wanted is not None:
+        found &= wanted
+    if found and ("@" in text or _DIGIT.search(text)) and base_spans(text):
+        found &= terms_of(text)
+    return found
 
-    found = docs.select("text").mapInArrow(run, "key binary, term string")
-    return found if shared else found.join(names, "term", "left_semi")
 
+def kind_pairs(entities: DataFrame, every: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(term, both, p, least): documents with an entity of a kind beside the term, p(kind) and the kind's threshold.
 
-def disclosing_terms(docs: DataFrame, entities: DataFrame, every: int, disclosure: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST_TERMS) -> DataFrame:
-    """(term, information) of the terms that disclose a kind of entity.
-
-    information = log2(p(entity of the kind beside term | term) / p(kind)), both shares of documents, against
-    disclosure * -log2 p(kind); at least ``support`` different entities of the kind stand beside the term. A document
-    counts once for a term and kind, however many entities it lists.
+    At least ``support`` different entities of the kind stand beside the term. A document counts once for a term and
+    kind, however many entities it lists.
     """
-    spark = docs.sparkSession
-    kinds = {r["kind"]: r["count"] for r in entities.select(F.explode(F.array_distinct(F.transform("entities", lambda x: x["kind"]))).alias("kind")).groupBy("kind").count().collect()}
-    share = [(k, n / every, -math.log2(n / every) * disclosure) for k, n in kinds.items() if n < every]
-    table = F.broadcast(spark.createDataFrame(share, "kind int, p double, least double"))  # one row per kind
+    kinds = entities.select(F.explode(F.array_distinct(F.transform("entities", lambda x: x["kind"]))).alias("kind")).groupBy("kind").count().where(F.col("count") < every)
+    table = F.broadcast(kinds.select("kind", (F.col("count") / every).alias("p")))  # one row per kind
     told = entities.select(F.explode("beside").alias("x")).select("x.*").distinct().groupBy("term", "kind").agg(F.count("*").alias("values")).where(F.col("values") >= support)
     pairs = F.array_distinct(F.transform("beside", lambda x: F.struct(x["kind"].alias("kind"), x["term"].alias("term"))))
     both = entities.select(F.explode(pairs).alias("x")).select("x.*").groupBy("term", "kind").agg(F.count("*").alias("both"))
-    near = cut(both.join(told.select("term", "kind"), ["term", "kind"]).join(table, "kind"))
-    information = F.log2(F.col("both") / F.col("seen") / F.col("p"))
-    names = cut(near.select("term").distinct())
-    if names.isEmpty():
-        return spark.createDataFrame([], "term string, information double")
-    met = near.join(seen_in(docs, names, most), "term").withColumn("information", information)
-    return met.where("information >= least").groupBy("term").agg(F.max("information").alias("information"))
+    return both.join(told.select("term", "kind"), ["term", "kind"]).join(table, "kind").select("term", "both", "p", (-F.log2("p") * disclosure).alias("least"))
 
 
-def value_terms(docs: DataFrame, entities: DataFrame, every: int, disclosure: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST_TERMS) -> DataFrame:
-    """(term, information) of the terms that disclose one entity value of the documents they stand in.
+def value_pairs(entities: DataFrame, every: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(term, both, p, least): documents with a term and one entity value anywhere in them, p(value) and its threshold.
 
-    Counts are over different texts, so exact copies say nothing. A value in less than ``support`` of them has no
-    such terms. information = log2(p(value | term) / p(value)), against disclosure * -log2 p(value), where the
-    two stand anywhere in one document. ``every``: all document rows, the bound of the different texts.
+    Counts are over documents, but only pairs of ``support`` different texts are looked at, so exact copies alone
+    say nothing.
     """
-    none = docs.sparkSession.createDataFrame([], "term string, information double")
-    texts = entities.select("key", F.explode("entities").alias("x")).select("key", "x.*").distinct()
-    often = cut(texts.groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    texts = entities.groupBy("key").agg(F.count("*").alias("m"), F.first("entities").alias("entities"))
+    values = cut(texts.select("key", "m", F.explode("entities").alias("x")).select("key", "m", "x.*"))
+    often = cut(values.groupBy("kind", "value").agg(F.sum("m").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("kind", "value", "n"))
     top = often.agg(F.max("n")).first()[0]
     if top is None:
-        return none
-    of_text = cut(texts.join(often, ["kind", "value"]))
-    keys = cut(of_text.select("key").distinct())
-    p = F.col("n") / F.lit(float(every))
-    words = cut(entities.join(keys, "key", "left_semi").select("key", F.explode("terms").alias("term")).distinct())
-    # A term in D of these texts is in D of all at least, and log2(n / D / p) falls as D grows: exact bounds on D.
+        return entities.sparkSession.createDataFrame([], "term string, both long, p double, least double")
+    of_text = cut(values.join(often, ["kind", "value"]))
+    keys = cut(of_text.select("key", "m").distinct())
+    words = cut(entities.join(keys, "key").select("key", "m", F.explode("terms").alias("term")).distinct())
+    # A term in d of these documents is in d of all at least, and log2(n / d / p) falls as d grows: exact bounds on d.
     widest = top / (top / every) ** (1 - disclosure)
-    some = words.groupBy("term").agg(F.count("*").alias("d")).where((F.col("d") >= support) & (F.col("d") <= widest))
-    pairs = words.join(some, "term").join(of_text, "key").groupBy("term", "kind", "value", "n", "d").agg(F.count("*").alias("both"))
-    least = -F.log2(p) * disclosure
-    near = cut(pairs.where((F.col("both") >= support) & (p < 1) & (F.log2(F.col("both") / F.col("d") / p) >= least)).select("term", "both", "n"))
-    names = cut(near.select("term").distinct())
+    some = words.groupBy("term").agg(F.sum("m").alias("d"), F.count("*").alias("texts")).where((F.col("texts") >= support) & (F.col("d") <= widest))
+    pairs = words.join(some.select("term", "d"), "term").join(of_text.drop("m"), "key").groupBy("term", "kind", "value", "n", "d").agg(F.sum("m").alias("both"), F.count("*").alias("texts"))
+    near = pairs.where(F.col("texts") >= support).withColumn("p", F.col("n") / every).where("p < 1").withColumn("least", -F.log2("p") * disclosure)
+    return near.where(F.log2(F.col("both") / F.col("d") / F.col("p")) >= F.col("least")).select("term", "both", "p", "least")
+
+
+def disclosing(docs: DataFrame, pairs: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, information) of the terms in ``pairs`` that reach their threshold.
+
+    information = log2(p(entity | term) / p(entity)) = log2(both / seen / p), over documents; the threshold is the share
+    DISCLOSURE of the entity's own information, -log2 p. The documents with each term in question are counted here.
+    """
+    pairs = cut(pairs)
+    names = cut(pairs.select("term").distinct())
     if names.isEmpty():
-        return none
-    seen = _key_terms(docs, names, most).distinct().groupBy("term").agg(F.count("*").alias("seen"))
-    information = F.log2(F.col("both") / F.col("seen") / p)
-    return near.join(seen, "term").where(information >= least).groupBy("term").agg(F.max(information).alias("information"))
+        return docs.sparkSession.createDataFrame([], "term string, information double")
+    met = pairs.join(seen_in(docs, names, most), "term").withColumn("information", F.log2(F.col("both") / F.col("seen") / F.col("p")))
+    return met.where("information >= least").groupBy("term").agg(F.max("information").alias("information"))
 
 
 def generalisations(docs: DataFrame, terms: DataFrame, every: int, subsumes: float = SUBSUMES, most: int = BROADCAST_TERMS) -> DataFrame:
@@ -297,8 +279,8 @@ def replacements(docs: DataFrame, disclosure: float = DISCLOSURE, support: int =
     """(term, information, action, replacement) of every disclosing term: generalised where a term subsumes it, else removed."""
     every = docs.count()
     entities = cut(entity_texts(docs))
-    found = disclosing_terms(docs, entities, every, disclosure, support, most).unionByName(value_terms(docs, entities, every, disclosure, support, most))
-    terms = cut(found.groupBy("term").agg(F.max("information").alias("information")))
+    pairs = kind_pairs(entities, every, disclosure, support).unionByName(value_pairs(entities, every, disclosure, support))
+    terms = cut(disclosing(docs, pairs, most))
     if terms.isEmpty():
         return terms.select("term", "information", F.lit("").alias("action"), F.lit("").alias("replacement"))
     general = generalisations(docs, terms, every, most=most)
@@ -313,7 +295,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     """Per document row: doc_id, spans, sanitised.
 
     ``spans`` holds the entities found by pattern (replaced by ``[email]`` and so on) and, outside of them, the
-    occurrences of terms that disclose a kind of entity (``disclosing_terms``) or one value (``value_terms``), by start
+    occurrences of terms that disclose a kind of entity (``kind_pairs``) or one value (``value_pairs``), by start
     and then kind; start and end are code points, end exclusive. A term gives way to a more general one of the corpus
     (``generalisations``) or is removed. Null text counts as empty; rows that repeat are counted as often as they
     stand there; other columns are ignored, whatever their names; an empty table gives an empty table. Up to ``most``

@@ -103,7 +103,7 @@ def test_sharpe(spark):
 
 
 def test_positions():
-    q, a, g = K.average_cost(np.array([10.0, -4.0, -10.0, 4.0]), np.array([100.0, 110.0, 90.0, 80.0]), np.array([1.0, 1.0, 1.0, 1.0]))
+    _, q, a, g = K.average_cost(None, np.array([10.0, -4.0, -10.0, 4.0]), np.array([100.0, 110.0, 90.0, 80.0]), np.array([1.0, 1.0, 1.0, 1.0]))
     assert list(q) == [10, 6, -4, 0] and list(a) == [100, 100, 90, 0]
     assert list(g) == [-1, 38, -23, 16]
 
@@ -150,12 +150,12 @@ def test_kernels_against_loops():
         m = s / w
         out.append(m)
         var.append(sv / w)
-    assert np.allclose(K.ewma(x, 20), out) and np.allclose(K.ewma_var(x, 20), var)
-    pos, sig = K.reversion(np.array([0, 2.1, 1, 0.4, -2.5, -4.2, 2.0, 0.0]))
+    assert np.allclose(K.ewma(None, x, 20)[1], out) and np.allclose(K.ewma_var(None, x, 20)[1], var)
+    _, pos, sig = K.reversion(None, np.array([0, 2.1, 1, 0.4, -2.5, -4.2, 2.0, 0.0]))
     assert list(pos) == [0, -1, -1, 0, 1, 0, -1, 0] and list(sig) == [0, -1, 0, 2, 1, 2, -1, 2]
     ts = np.arange(100) * SEC
     obs = np.array([K.CALM] * 10 + [K.CRISIS] * 90)
-    state = K.regime_states(obs, ts)
+    _, state = K.regime_states(None, obs, ts)
     assert state[18] == K.CALM and state[19] == K.CRISIS
 
 

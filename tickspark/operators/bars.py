@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickspark.functions.stretches import stretches
 from tickspark.plans.catalog import DAY, HOUR, query, r, series, ticks
 
 FIELDS = ("open", "high", "low", "close", "volume")
@@ -57,15 +58,15 @@ def finalize_bars(bars: DataFrame, print_partial: bool = False) -> DataFrame:
     return marked if print_partial else marked.where("not partial")
 
 
-def late_ticks(ticks: DataFrame, interval_ns: int) -> DataFrame:
+def late_ticks(ticks: DataFrame, interval_ns: int, length: int | None = None) -> DataFrame:
     """T4: flags ticks that arrive (by seq) after a later bucket has opened."""
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    cut = stretches(ticks, "symbol", ("seq",), length)
     bucket = floor_to("ts_ns", interval_ns)
-    return ticks.withColumn("late", F.coalesce(bucket < F.max(bucket).over(w), F.lit(False)))
+    return cut.done(cut.running(cut.df, {"_open": ("max", bucket)}, before=True).withColumn("late", F.coalesce(bucket < F.col("_open"), F.lit(False))).drop("_open"))
 
 
 def latest_bars(bars: DataFrame, n: int = 1024) -> DataFrame:
-    """T5: the newest ``n`` bars of each symbol."""
+    """T5: the newest ``n`` bars of each symbol; Spark applies the limit before its shuffle."""
     w = Window.partitionBy("symbol").orderBy(F.desc("open_ts"))
     return bars.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
@@ -77,16 +78,16 @@ def uniform_grid(bounds: DataFrame, step: int) -> DataFrame:
     return bounds.withColumn("ts_ns", F.explode(F.sequence("start", "end", F.lit(step)))).drop("start", "end")
 
 
-def align_to_grid(series: DataFrame, grid: DataFrame, cols: tuple[str, ...] = ("price",), key: str = "symbol") -> DataFrame:
+def align_to_grid(series: DataFrame, grid: DataFrame, cols: tuple[str, ...] = ("price",), key: str = "symbol", length: int | None = None) -> DataFrame:
     """Last value at or before each grid point; null before the first. ``grid``: key, ts_ns.
 
     Rows and grid points are sorted together once per key and carried forward, so no row meets another.
     """
     left = series.select(key, "ts_ns", F.lit(0).alias("_grid"), *cols)
     right = grid.select(key, "ts_ns", F.lit(1).alias("_grid"), *[F.lit(None).cast(series.schema[c].dataType).alias(c) for c in cols])
-    w = Window.partitionBy(key).orderBy("ts_ns", "_grid").rowsBetween(Window.unboundedPreceding, 0)
-    carried = left.unionByName(right).withColumns({c: F.last(c, True).over(w) for c in cols})
-    return carried.where("_grid = 1").drop("_grid")
+    cut = stretches(left.unionByName(right), key, ("ts_ns", "_grid"), length)
+    carried = cut.running(cut.df, {f"_last_{c}": ("last", F.col(c)) for c in cols})
+    return cut.done(carried.where("_grid = 1").select(*[c for c in cut.df.columns if c not in (*cols, "_grid")], *[F.col(f"_last_{c}").alias(c) for c in cols]))
 
 
 def pad(aligned: DataFrame, policy: str = "pad_nan", col: str = "price", key: str = "symbol") -> DataFrame:
@@ -99,22 +100,27 @@ def pad(aligned: DataFrame, policy: str = "pad_nan", col: str = "price", key: st
     return aligned.join(F.broadcast(first), F.col("ts_ns") >= F.col("_first")).drop("_first")
 
 
-def fill_forward(df: DataFrame, col: str = "price", key: str = "symbol") -> DataFrame:
+def fill_forward(df: DataFrame, col: str = "price", key: str = "symbol", length: int | None = None) -> DataFrame:
     """The last value carried forward; ``filled`` marks filled rows."""
-    w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    carried = F.last(col, True).over(w)
-    return df.withColumn("_new", carried).withColumn("filled", F.col(col).isNull() & F.col("_new").isNotNull()).withColumn(col, F.col("_new")).drop("_new")
+    cut = stretches(df, key, ("ts_ns",), length)
+    carried = cut.done(cut.running(cut.df, {"_new": ("last", F.col(col))}))
+    return carried.withColumn("filled", F.col(col).isNull() & F.col("_new").isNotNull()).withColumn(col, F.col("_new")).drop("_new")
 
 
-def fill_linear(df: DataFrame, col: str = "price", key: str = "symbol") -> DataFrame:
-    """Interior gaps by row position between their neighbours; leading and trailing gaps stay null."""
-    order = Window.partitionBy(key).orderBy("ts_ns")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+def fill_linear(df: DataFrame, col: str = "price", key: str = "symbol", length: int | None = None) -> DataFrame:
+    """Interior gaps by row position between their neighbours; leading and trailing gaps stay null.
+
+    The next known value is the last one in the opposite order.
+    """
+    ahead = df.withColumn("_back", -F.col("ts_ns"))
+    cut = stretches(ahead, key, ("ts_ns",), length)
     known = F.when(F.col(col).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(col).alias("v")))
-    met = df.withColumn("_i", F.row_number().over(order)).withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.first(known, True).over(ahead))
+    met = cut.done(cut.running(cut.running(cut.df, {"_i": ("count", F.lit(1))}), {"_a": ("last", known)}))
+    turned = stretches(met, key, ("_back",), length)
+    met = turned.done(turned.running(turned.df, {"_b": ("last", known)}))
     share = (F.col("_i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
     value = F.when(F.col(col).isNotNull(), F.col(col)).when(F.col("_a.i") < F.col("_b.i"), F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share)
-    return met.withColumn("filled", F.col(col).isNull() & value.isNotNull()).withColumn(col, value).drop("_i", "_a", "_b")
+    return met.withColumn("filled", F.col(col).isNull() & value.isNotNull()).withColumn(col, value).drop("_i", "_a", "_b", "_back")
 
 
 def fill_none(df: DataFrame) -> DataFrame:

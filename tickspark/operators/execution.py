@@ -25,7 +25,7 @@ def tca(orders: DataFrame, fills: DataFrame, market: DataFrame) -> DataFrame:
     f = fills.groupBy("order_id").agg(
         F.sum("quantity").alias("filled"), F.try_divide(F.sum(F.col("price") * F.col("quantity")), F.sum("quantity")).alias("average"), F.sum("commission").alias("commission"), F.min("ts_ns").alias("_first"), F.max("ts_ns").alias("_last")
     )
-    o = orders.join(f, "order_id", "left").join(F.broadcast(market), "symbol", "left")
+    o = orders.join(f, "order_id", "left").join(market, "symbol", "left")
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     bps = lambda ref: F.try_divide((F.col("average") - F.col(ref)) * sign, F.col(ref)) * 10000
     filled = F.coalesce("filled", F.lit(0.0))
@@ -40,25 +40,35 @@ def tca(orders: DataFrame, fills: DataFrame, market: DataFrame) -> DataFrame:
     )
 
 
+def _quoted(venues: DataFrame) -> DataFrame:
+    """Venues by side: side, price, depth and how adverse the price is."""
+    sides = [venues.select("venue", "fee_bps", F.lit(side).alias("side"), F.col(quote).alias("price"), F.col(f"{quote}_depth").alias("depth"), (F.col(quote) * sign).alias("_adverse")) for side, quote, sign in (("buy", "ask", 1), ("sell", "bid", -1))]
+    return sides[0].unionByName(sides[1])
+
+
 def route(orders: DataFrame, venues: DataFrame, how: str) -> DataFrame:
-    """Where each order goes. ``venues`` is a bounded dimension: venue, bid, ask, bid_depth, ask_depth, fee_bps.
+    """Where each order goes. ``venues``: venue, bid, ask, bid_depth, ask_depth, fee_bps, one row each.
 
     ``cheapest`` takes the lowest fee, ``best_price`` the best price for the side, ``smart_split`` fills venue after
-    venue by price with fee until the quantity is gone; its last row per order carries what is unallocated.
+    venue by price with fee until the quantity is gone. Venues are ranked once per side: an order meets the best one,
+    or those whose depths before them are less than its quantity, so it meets no venue that it does not use.
     """
-    buy = F.col("side") == "buy"
-    met = orders.crossJoin(F.broadcast(venues)).withColumn("price", F.when(buy, F.col("ask")).otherwise(F.col("bid"))).withColumn("depth", F.when(buy, F.col("ask_depth")).otherwise(F.col("bid_depth")))
-    adverse = F.when(buy, F.col("price")).otherwise(-F.col("price"))
+    quoted = _quoted(venues)
     if how in ("cheapest", "best_price"):
-        order = ("fee_bps", adverse, "venue") if how == "cheapest" else (adverse, "fee_bps", "venue")
-        w = Window.partitionBy("order_id").orderBy(*order)
-        return met.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+        order = ("fee_bps", "_adverse", "venue") if how == "cheapest" else ("_adverse", "fee_bps", "venue")
+        w = Window.partitionBy("side").orderBy(*order)
+        best = quoted.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_adverse")
+        return orders.join(F.broadcast(best), "side")  # one row per side
     if how != "smart_split":
         raise ValueError(f"unknown routing {how!r}")
-    paid = F.when(buy, F.col("price") * (1 + F.col("fee_bps") / 10000)).otherwise(-F.col("price") * (1 - F.col("fee_bps") / 10000))
-    w = Window.partitionBy("order_id").orderBy(paid, "venue").rowsBetween(Window.unboundedPreceding, -1)
-    split = met.withColumn("_before", F.coalesce(F.sum("depth").over(w), F.lit(0.0))).withColumn("take", F.greatest(F.lit(0.0), F.least(F.col("depth"), F.col("quantity") - F.col("_before"))))
-    return split.where("take > 0").drop("_before")
+    fee = F.col("fee_bps") / 10000
+    paid = F.when(F.col("side") == "buy", F.col("price") * (1 + fee)).otherwise(-F.col("price") * (1 - fee))
+    w = Window.partitionBy("side").orderBy(paid, "venue").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = quoted.withColumn("_before", F.coalesce(F.sum("depth").over(w), F.lit(0.0))).where("depth > 0")
+    needed = orders.groupBy("side").agg(F.max("quantity").alias("_most"))
+    ranked = ranked.join(F.broadcast(needed), "side").where("_before < _most").drop("_most", "_adverse")
+    met = orders.join(ranked, (orders["side"] == ranked["side"]) & (F.col("_before") < F.col("quantity"))).drop(ranked["side"])
+    return met.withColumn("take", F.least(F.col("depth"), F.col("quantity") - F.col("_before"))).drop("_before")
 
 
 def route_summary(split: DataFrame) -> DataFrame:
@@ -187,13 +197,13 @@ def x3(spark, sf):
     return tca(o, f, market).select("order_id", r("fill_rate"), r("slippage_bps", 4), r("vwap_bps", 4), r("shortfall", 2), "first_fill_ns", "full_fill_ns")
 
 
-_VEN = "v AS (SELECT s_name AS venue, 100 - (s_suppkey % 7) * 0.1::DOUBLE AS bid, 100.2 + (s_suppkey % 5) * 0.1::DOUBLE AS ask, (s_suppkey % 11 + 1) * 2.0::DOUBLE AS bid_depth, (s_suppkey % 13 + 1) * 2.0::DOUBLE AS ask_depth, (s_suppkey % 4)::DOUBLE AS fee_bps FROM supplier WHERE s_suppkey <= 20)"
+_VEN = "v AS (SELECT s_name AS venue, 100 - (s_suppkey % 7) * 0.1::DOUBLE AS bid, 100.2 + (s_suppkey % 5) * 0.1::DOUBLE AS ask, (s_suppkey % 11 + 1) * 2.0::DOUBLE AS bid_depth, (s_suppkey % 13 + 1) * 2.0::DOUBLE AS ask_depth, (s_suppkey % 4)::DOUBLE AS fee_bps FROM supplier)"
 _RO = "o AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, (o_orderkey % 400 + 1)::DOUBLE AS quantity FROM orders)"
 
 
 def _routing(spark, sf):
     k = F.col("s_suppkey")
-    v = table(spark, sf, "supplier").where("s_suppkey <= 20").select(F.col("s_name").alias("venue"), (100 - (k % 7) * F.lit(0.1)).alias("bid"), (F.lit(100.2) + (k % 5) * F.lit(0.1)).alias("ask"), ((k % 11 + 1) * 2.0).alias("bid_depth"), ((k % 13 + 1) * 2.0).alias("ask_depth"), (k % 4).cast("double").alias("fee_bps"))
+    v = table(spark, sf, "supplier").select(F.col("s_name").alias("venue"), (100 - (k % 7) * F.lit(0.1)).alias("bid"), (F.lit(100.2) + (k % 5) * F.lit(0.1)).alias("ask"), ((k % 11 + 1) * 2.0).alias("bid_depth"), ((k % 13 + 1) * 2.0).alias("ask_depth"), (k % 4).cast("double").alias("fee_bps"))
     ok = F.col("o_orderkey")
     o = table(spark, sf, "orders").select(ok.alias("order_id"), F.when(ok % 2 == 0, "buy").otherwise("sell").alias("side"), (ok % 400 + 1).cast("double").alias("quantity"))
     return o, v

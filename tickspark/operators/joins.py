@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickspark.functions.stretches import stretches
 from tickspark.plans.catalog import DAY, MINUTE, SECOND, nav, query, r, series, table, ticks
 
 from .bars import build_bars, sane
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str], order: tuple[str, ...] = ("ts_ns",)) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str], order: tuple[str, ...] = ("ts_ns",), length: int | None = None) -> DataFrame:
     """Each left row with the last right row at or before it: one union, one shuffle by key, one sort."""
     rows = right.select(*keys, *order[:1], *[F.lit(-1).cast("long").alias(c) for c in order[1:]], F.lit(0).alias("_side"), F.struct(*order[:1], *cols).alias("_r"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in {*keys, *order}])
     own = left.withColumn("_side", F.lit(1)).withColumn("_r", F.lit(None).cast(rows.schema["_r"].dataType))
-    w = Window.partitionBy(*keys).orderBy(order[0], "_side", *order[1:]).rowsBetween(Window.unboundedPreceding, 0)
-    met = own.unionByName(rows).withColumn("_r", F.last("_r", True).over(w)).where("_side = 1")
-    return met.withColumns({c: F.col(f"_r.{c}") for c in cols}).withColumn("matched_ts", F.col(f"_r.{order[0]}")).drop("_r", "_side")
+    cut = stretches(own.unionByName(rows), keys, (order[0], "_side", *order[1:]), length)
+    met = cut.done(cut.running(cut.df, {"_m": ("last", F.col("_r"))}).where("_side = 1"))
+    return met.withColumns({c: F.col(f"_m.{c}") for c in cols}).withColumn("matched_ts", F.col(f"_m.{order[0]}")).drop("_r", "_m", "_side")
 
 
-def asof_pair(y: DataFrame, x: DataFrame, tolerance_ns: int = 5 * SECOND, keys: tuple[str, ...] = ()) -> DataFrame:
-    """On every tick of either leg the other leg's latest price, unless it is older than the tolerance."""
+def asof_pair(y: DataFrame, x: DataFrame, tolerance_ns: int = 5 * SECOND, keys: tuple[str, ...] = (), length: int | None = None) -> DataFrame:
+    """On every tick of either leg the other leg's latest price, unless it is older than the tolerance.
+
+    Without ``keys`` there is one pair; a pair of any length is cut by time.
+    """
     legs = y.select(*keys, "ts_ns", "seq", F.lit("y").alias("leg"), F.struct("ts_ns", "price").alias("_y"), F.lit(None).cast("struct<ts_ns:long,price:double>").alias("_x"))
     legs = legs.unionByName(x.select(*keys, "ts_ns", "seq", F.lit("x").alias("leg"), F.lit(None).cast("struct<ts_ns:long,price:double>").alias("_y"), F.struct("ts_ns", "price").alias("_x")))
-    w = Window.partitionBy(*keys).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    met = legs.withColumn("_y", F.last("_y", True).over(w)).withColumn("_x", F.last("_x", True).over(w))
-    near = F.abs(F.col("_y.ts_ns") - F.col("_x.ts_ns")) <= tolerance_ns
-    return met.where(near).select(*keys, "ts_ns", "seq", "leg", F.col("_y.price").alias("y"), F.col("_x.price").alias("x"))
+    own = legs if keys else legs.withColumn("_pair", F.lit(0))
+    cut = stretches(own, list(keys) or ["_pair"], ("ts_ns", "seq"), length)
+    met = cut.running(cut.df, {"_ly": ("last", F.col("_y")), "_lx": ("last", F.col("_x"))})
+    near = F.abs(F.col("_ly.ts_ns") - F.col("_lx.ts_ns")) <= tolerance_ns
+    return met.where(near).select(*keys, "ts_ns", "seq", "leg", F.col("_ly.price").alias("y"), F.col("_lx.price").alias("x"))
 
 
 def join_bars(y: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -40,7 +45,7 @@ def asof_label(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame
     return met.withColumn("label", F.coalesce("label", F.lit("unlabelled"))).drop("matched_ts")
 
 
-def align_nav(a: DataFrame, b: DataFrame) -> DataFrame:
+def align_nav(a: DataFrame, b: DataFrame, length: int | None = None) -> DataFrame:
     """Both curves at the union of their times within the common window, carried forward.
 
     ``a`` and ``b``: key, ts_ns, nav (and seq, to keep the last of equal times).
@@ -50,8 +55,8 @@ def align_nav(a: DataFrame, b: DataFrame) -> DataFrame:
 
     one, two = last(a, "a"), last(b, "b")
     span = one.groupBy("key").agg(F.min("ts_ns").alias("_a0"), F.max("ts_ns").alias("_a1")).join(two.groupBy("key").agg(F.min("ts_ns").alias("_b0"), F.max("ts_ns").alias("_b1")), "key")
-    w = Window.partitionBy("key").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    both = one.join(two, ["key", "ts_ns"], "full").withColumn("a", F.last("a", True).over(w)).withColumn("b", F.last("b", True).over(w))
+    cut = stretches(one.join(two, ["key", "ts_ns"], "full"), "key", ("ts_ns",), length)
+    both = cut.done(cut.running(cut.df, {"_la": ("last", F.col("a")), "_lb": ("last", F.col("b"))})).select("key", "ts_ns", F.col("_la").alias("a"), F.col("_lb").alias("b"))
     inside = (F.col("ts_ns") >= F.greatest("_a0", "_b0")) & (F.col("ts_ns") <= F.least("_a1", "_b1"))
     return both.join(span, "key").where(inside).select("key", "ts_ns", "a", "b")
 
@@ -76,10 +81,10 @@ def effective_fee(df: DataFrame, tiers: DataFrame, taker: str = "taker") -> Data
 
 
 def eligible_venues(orders: DataFrame, venues: DataFrame) -> DataFrame:
-    """Venues that take an order's type; ``venues`` is a bounded dimension with supports_stop, supports_iceberg."""
+    """Venues that take an order's type, by their supports_stop and supports_iceberg; rows of ``orders`` may be types."""
     kind = F.col("order_type")
     takes = kind.isin("market", "limit") | (kind.startswith("stop") & F.col("supports_stop")) | ((kind == "iceberg") & F.col("supports_iceberg"))
-    return orders.join(F.broadcast(venues), takes)
+    return venues.join(orders, takes)
 
 
 def assign_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
@@ -185,23 +190,25 @@ def j6(spark, sf):
 
 @query(
     "j7_eligible_venues",
-    """WITH o AS (SELECT o_orderkey, ['market', 'limit', 'stop_limit', 'iceberg'][(o_orderkey % 4 + 1)::INT] AS order_type FROM orders WHERE o_orderkey % 10 = 0)
+    """WITH o AS (SELECT o_orderkey, ['market', 'limit', 'stop_limit', 'iceberg'][(o_orderkey % 4 + 1)::INT] AS order_type FROM orders)
     SELECT order_type, s_name AS venue, count(*) AS n FROM o JOIN supplier ON order_type IN ('market', 'limit') OR (order_type = 'stop_limit' AND s_suppkey % 2 = 0) OR (order_type = 'iceberg' AND s_suppkey % 3 = 0) GROUP BY 1, 2""",
 )
 def j7(spark, sf):
     k = F.col("o_orderkey")
     kind = F.when(k % 4 == 0, "market").when(k % 4 == 1, "limit").when(k % 4 == 2, "stop_limit").otherwise("iceberg")
-    o = table(spark, sf, "orders").where(k % 10 == 0).select("o_orderkey", kind.alias("order_type"))
-    return eligible_venues(o, venues_view(spark, sf)).groupBy("order_type", "venue").agg(F.count("*").alias("n"))
+    types = table(spark, sf, "orders").groupBy(kind.alias("order_type")).agg(F.count("*").alias("n"))  # four rows
+    return eligible_venues(types, venues_view(spark, sf)).select("order_type", "venue", "n")
 
 
-_FOLDS = f"f AS (SELECT i::INT AS fold, lo + i * {100 * DAY} AS train_lo, lo + i * {100 * DAY} + {300 * DAY} AS train_hi, lo + i * {100 * DAY} + {300 * DAY} AS test_lo, lo + i * {100 * DAY} + {400 * DAY} AS test_hi FROM (SELECT min(ts_ns) AS lo FROM v_series), range(4) t(i))"
+_FOLDS = f"f AS (SELECT i::INT AS fold, lo + i * {100 * DAY} AS train_lo, lo + i * {100 * DAY} + {300 * DAY} AS train_hi, lo + i * {100 * DAY} + {300 * DAY} AS test_lo, lo + i * {100 * DAY} + {400 * DAY} AS test_hi FROM (SELECT min(ts_ns) AS lo, max(ts_ns) AS hi FROM v_series), range((hi - lo - {400 * DAY}) // {100 * DAY} + 1) t(i))"
 
 
 def _folds(spark, sf):
-    lo = series(spark, sf).agg(F.min("ts_ns").alias("lo")).withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    at = F.col("lo") + F.col("fold").cast("long") * (100 * DAY)
-    return lo.select("fold", at.alias("train_lo"), (at + 300 * DAY).alias("train_hi"), (at + 300 * DAY).alias("test_lo"), (at + 400 * DAY).alias("test_hi"))
+    """As many folds as fit, from the first row to the last."""
+    from .validation import walk_forward_folds
+
+    bounds = series(spark, sf).agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"))
+    return walk_forward_folds(bounds, 300 * DAY, 100 * DAY).withColumn("fold", F.col("fold").cast("int"))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
 from tickspark.functions import special as S
+from tickspark.functions.stretches import scan
 from tickspark.plans.catalog import nav, query, r, table, ticks
 
 from .performance import nav_returns
@@ -168,8 +169,14 @@ def pca_inverse(df: DataFrame, fit: dict, k: int) -> DataFrame:
     return df.withColumn("restored", F.array(*[F.lit(float(m)) + sum((F.get("scores", F.lit(i)) * float(fit["components"][i][j]) for i in range(k)), F.lit(0.0)) for j, m in enumerate(fit["mean"])]))
 
 
-def garch_filter(df: DataFrame, keys: list[str], omega: float, alpha: float, beta: float) -> DataFrame:
-    return K.per_key(df, keys, ["ts_ns"], lambda p: {"variance": K.garch_filter(p["ret"].to_numpy(), omega, alpha, beta)}, "variance double")
+def garch_filter(df: DataFrame, keys: list[str], omega: float, alpha: float, beta: float, length: int | None = None) -> DataFrame:
+    """The conditional variance before each return; affine in the variance, so stretches of a long key compose."""
+
+    def step(state, p: pd.DataFrame):
+        state, out = K.garch_filter(state, p["ret"].to_numpy(), omega, alpha, beta)
+        return state, {"variance": out}
+
+    return scan(df, keys, ["ts_ns"], step, "variance double", K.garch_carry("ret", omega, alpha, beta), length)
 
 
 def garch_forecast(variance: Column, omega: float, alpha: float, beta: float, h: int) -> Column:
@@ -185,7 +192,7 @@ def garch_fit(rets: DataFrame, keys: list[str]) -> DataFrame:
     def nll(a: float, b: float, x: np.ndarray, v: float) -> float:
         if a < 1e-6 or b < 0 or a + b >= 0.9999:
             return 1e300
-        s = K.garch_filter(x, v * (1 - a - b), a, b)
+        _, s = K.garch_filter(None, x, v * (1 - a - b), a, b)
         return float((np.log(s) + x * x / s).sum())
 
     schema = T.StructType([*[rets.schema[k] for k in keys], *T._parse_datatype_string("n long, omega double, alpha double, beta double, loglik double").fields])
@@ -244,12 +251,12 @@ def chain_summary(chain: DataFrame) -> DataFrame:
 def label_regimes(rets: DataFrame, s0: float = 100.0, step_ns: int = 1_000_000_000, key: str = "curve_id") -> DataFrame:
     """Returns as a price path on a uniform clock, through the symbol snapshots, with the regime after each."""
     from .performance import compound
-    from .windows import SNAPSHOT, snapshot_columns
+    from .windows import SNAPSHOT, snapshot_step
 
     w = Window.partitionBy(key).orderBy("ts_ns")
     path = compound(rets, s0, key).withColumn("seq", F.row_number().over(w).cast("long"))
     path = path.select(F.col(key).alias("symbol"), (F.col("seq") * step_ns).alias("ts_ns"), "seq", F.col("path").alias("price"), F.lit(1.0).alias("size"), "ret")
-    return K.per_key(path, ["symbol"], ["seq"], lambda p: snapshot_columns(p, publish_ns=0), SNAPSHOT).select("symbol", "ts_ns", "seq", "ret", "state")
+    return scan(path, ["symbol"], ["seq"], lambda state, p: snapshot_step(state, p, publish_ns=0), SNAPSHOT).select("symbol", "ts_ns", "seq", "ret", "state")
 
 
 def _rets(spark, sf):
@@ -299,7 +306,7 @@ def m4(spark, sf):
 def m5(spark, sf):
     q = _rets(spark, sf)
     s = q.groupBy("curve_id").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"))
-    z = q.join(F.broadcast(s), "curve_id").select("curve_id", ((F.col("ret") - F.col("m")) / F.col("sd")).alias("z"))
+    z = q.join(s, "curve_id").select("curve_id", ((F.col("ret") - F.col("m")) / F.col("sd")).alias("z"))
     return ks_1(z, ["curve_id"], "z", S.normal_cdf).select("curve_id", r("d"), "n")
 
 
@@ -352,10 +359,16 @@ def m10(spark, sf):
     return back.select("vec_id", *[r(F.get("scores", F.lit(i))).alias(f"pc{i}") for i in range(4)], r(miss).alias("residual"))
 
 
-@query("m11_garch_filter")
+@query(
+    "m11_garch_filter",
+    f"""WITH RECURSIVE {_R}, o AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY ts_ns) AS i FROM q), g(curve_id, ts_ns, i, ret, v) AS (SELECT curve_id, ts_ns, i, ret, 1e-9::DOUBLE / (1 - 0.05::DOUBLE - 0.9::DOUBLE) FROM o WHERE i = 1 UNION ALL
+      SELECT o.curve_id, o.ts_ns, o.i, o.ret, 1e-9::DOUBLE + 0.05::DOUBLE * g.ret * g.ret + 0.9::DOUBLE * g.v FROM g JOIN o ON o.curve_id = g.curve_id AND o.i = g.i + 1)
+    SELECT curve_id, ts_ns, R6(v * 1e9) AS v, R6((2e-8::DOUBLE + (v - 2e-8::DOUBLE) * pow(0.95::DOUBLE, 5)) * 1e9) AS ahead FROM g""",
+    "v_returns",
+)
 def m11(spark, sf):
     g = garch_filter(_rets(spark, sf), ["curve_id"], 1e-9, 0.05, 0.9)
-    return g.select("curve_id", "ts_ns", (F.col("variance") * 1e9).alias("v")).select("curve_id", "ts_ns", r("v"), r(garch_forecast(F.col("v") / 1e9, 1e-9, 0.05, 0.9, 5) * 1e9).alias("ahead"))
+    return g.select("curve_id", "ts_ns", r(F.col("variance") * 1e9).alias("v"), r(garch_forecast(F.col("variance"), 1e-9, 0.05, 0.9, 5) * 1e9).alias("ahead"))
 
 
 @query("m12_garch_fit")

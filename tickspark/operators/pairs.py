@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
+from tickspark.functions.stretches import scan, stretches
 from tickspark.plans.catalog import query, r, series
 
+from .strategies import Strategy, run_strategy
+
 #: Fixed critical values (1, 5, 10 %) of the unit-root tests and of cointegration with two series.
 CRITICAL = {"no_constant": (-2.5658, -1.9393, -1.6156), "constant": (-3.4336, -2.8621, -2.5671), "trend": (-3.9638, -3.4126, -3.1279), "cointegration": (-3.9001, -3.3377, -3.0462)}
 
@@ -70,41 +73,57 @@ def hedge_static(df: DataFrame, b: float) -> DataFrame:
     return df.withColumn("beta", F.lit(b)).withColumn("intercept", F.lit(0.0))
 
 
-def _last(key: str, k: int):
-    return Window.partitionBy(key).orderBy("ts_ns").rowsBetween(-(k - 1), 0)
+def _over(keys: list[str], k: int):
+    return Window.partitionBy(*keys).orderBy("ts_ns").rowsBetween(-(k - 1), 0)
 
 
-def hedge_rolling(df: DataFrame, window: int = 256, key: str = "pair") -> DataFrame:
+def hedge_rolling(df: DataFrame, window: int = 256, key: str = "pair", length: int | None = None) -> DataFrame:
     """Slope and intercept over the last rows; a slope without variation of x (1e-12) is frozen and counted."""
-    w, order = _last(key, window), Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    var, cov = F.coalesce(F.var_samp("x").over(w), F.lit(0.0)), F.coalesce(F.covar_samp("y", "x").over(w), F.lit(0.0))
-    raw = df.withColumn("_raw", F.when(var >= 1e-12, cov / F.when(var >= 1e-12, var)))
-    frozen = raw.withColumn("beta", F.coalesce(F.last("_raw", True).over(order), F.lit(0.0))).withColumn("frozen", F.sum(F.when(F.col("_raw").isNull(), 1).otherwise(0)).over(order))
-    out = frozen.withColumn("intercept", F.avg("y").over(w) - F.col("beta") * F.avg("x").over(w))
-    return out.withColumn("beta_stdev", F.coalesce(F.stddev_samp("beta").over(_last(key, max(window // 4, 2))), F.lit(0.0))).withColumn("ready", F.count("*").over(order) >= 8).drop("_raw")
+    cut = stretches(df, key, ("ts_ns",), length, least=window)
+
+    def fit(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = _over(keys, window)
+        d = d.withColumns({"_var": F.coalesce(F.var_samp("x").over(w), F.lit(0.0)), "_cov": F.coalesce(F.covar_samp("y", "x").over(w), F.lit(0.0)), "_my": F.avg("y").over(w), "_mx": F.avg("x").over(w)})
+        return d.withColumn("_raw", F.when(F.col("_var") >= 1e-12, F.col("_cov") / F.when(F.col("_var") >= 1e-12, F.col("_var"))))
+
+    specs = {"_beta": ("last", F.col("_raw")), "frozen": ("sum", F.when(F.col("_raw").isNull(), 1).otherwise(0)), "_seen": ("count", F.lit(1))}
+    out = cut.running(cut.bounded(cut.df, window, fit), specs).withColumn("beta", F.coalesce("_beta", F.lit(0.0)))
+    out = out.withColumn("intercept", F.col("_my") - F.col("beta") * F.col("_mx")).withColumn("ready", F.col("_seen") >= 8).drop("_var", "_cov", "_my", "_mx", "_raw", "_beta", "_seen")
+    few = max(window // 4, 2)
+    return cut.done(cut.bounded(out, few, lambda d, keys: d.withColumn("beta_stdev", F.coalesce(F.stddev_samp("beta").over(_over(keys, few)), F.lit(0.0)))))
 
 
 def hedge_kalman_smoothed(df: DataFrame, window: int = 256, key: str = "pair", snr: float = 0.01, warmup: int = 64) -> DataFrame:
     """P5: the rolling slope through the local-level filter."""
-    return K.per_key(hedge_rolling(df, window, key), [key], ["ts_ns"], lambda p: {"beta_smoothed": K.kalman_level(p["beta"].to_numpy(), snr, warmup)}, "beta_smoothed double")
+
+    def step(state, p: pd.DataFrame):
+        state, out = K.kalman_level(state, p["beta"].to_numpy(), snr, warmup)
+        return state, {"beta_smoothed": out}
+
+    return scan(hedge_rolling(df, window, key), [key], ["ts_ns"], step, "beta_smoothed double")
 
 
 def hedge_kalman2(df: DataFrame, key: str = "pair", q_a: float = 1e-7, q_b: float = 1e-7, noise: float = 1e-3) -> DataFrame:
     """Random-walk intercept and slope."""
 
-    def f(p: pd.DataFrame) -> dict:
-        a, b, e = K.kalman_hedge(p["y"].to_numpy(), p["x"].to_numpy(), q_a, q_b, noise)
-        return {"alpha": a, "beta": b, "innovation": e}
+    def step(state, p: pd.DataFrame):
+        state, a, b, e = K.kalman_hedge(state, p["y"].to_numpy(), p["x"].to_numpy(), q_a, q_b, noise)
+        return state, {"alpha": a, "beta": b, "innovation": e}
 
-    return K.per_key(df, [key], ["ts_ns"], f, "alpha double, beta double, innovation double")
+    return scan(df, [key], ["ts_ns"], step, "alpha double, beta double, innovation double")
 
 
-def spread_z(df: DataFrame, window: int = 256, key: str = "pair") -> DataFrame:
+def spread_z(df: DataFrame, window: int = 256, key: str = "pair", length: int | None = None) -> DataFrame:
     """Spread y - beta x - intercept and its z over the last rows; a deviation of 1e-12 or less gives 0."""
-    w = _last(key, window)
     s = df.withColumn("spread", F.col("y") - F.col("beta") * F.col("x") - F.col("intercept"))
-    s = s.withColumn("spread_mean", F.avg("spread").over(w)).withColumn("spread_std", F.coalesce(F.stddev_samp("spread").over(w), F.lit(0.0)))
-    return s.withColumn("z", F.when(F.col("spread_std") > 1e-12, (F.col("spread") - F.col("spread_mean")) / F.col("spread_std")).otherwise(0.0)).withColumn("n", F.count("*").over(w))
+    cut = stretches(s, key, ("ts_ns",), length, least=window)
+
+    def rolled(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = _over(keys, window)
+        return d.withColumns({"spread_mean": F.avg("spread").over(w), "spread_std": F.coalesce(F.stddev_samp("spread").over(w), F.lit(0.0)), "n": F.count("*").over(w)})
+
+    z = F.when(F.col("spread_std") > 1e-12, (F.col("spread") - F.col("spread_mean")) / F.col("spread_std")).otherwise(0.0)
+    return cut.done(cut.bounded(cut.df, window, rolled)).withColumn("z", z)
 
 
 def adf_design(df: DataFrame, keys: list[str], col: str, variant: str, lag: int) -> tuple[DataFrame, list[str]]:
@@ -173,14 +192,16 @@ def significance(p: Column) -> Column:
     return F.when(p < 0.01, "strong").when(p < 0.10, "moderate").otherwise("weak")
 
 
-def reversion_signals(df: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, key: str = "pair") -> DataFrame:
-    """Position and signal from z."""
+def reversion_signals(df: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, key: str = "pair", length: int | None = None) -> DataFrame:
+    """Position and signal from z; the machine has three states, so stretches of a long pair compose."""
+    names = np.array(["hold", "long_spread", "exit", "short_spread"], object)
 
-    def f(p: pd.DataFrame) -> dict:
-        position, signal = K.reversion(p["z"].to_numpy(), entry, leave, stop)
-        return {"position": position, "signal": np.array(["hold", "long_spread", "exit", "short_spread"], object)[signal]}
+    def step(state, p: pd.DataFrame):
+        state, position, signal = K.reversion(state, p["z"].to_numpy(), entry, leave, stop)
+        return state, {"position": position, "signal": names[signal]}
 
-    return K.per_key(df, [key], ["ts_ns"], f, "position long, signal string")
+    end = lambda held, p: K.reversion((held,), p["z"].to_numpy(), entry, leave, stop)[0][0]
+    return scan(df, [key], ["ts_ns"], step, "position long, signal string", K.machine_carry([0, -1, 1], end), length)
 
 
 def rolling_cointegration(bars: DataFrame, min_bars: int = 64, every: int = 64, key: str = "pair") -> DataFrame:
@@ -204,9 +225,9 @@ def rolling_cointegration(bars: DataFrame, min_bars: int = 64, every: int = 64,
 def pair_snapshots(df: DataFrame, window: int = 256, key: str = "pair", min_publish_ns: int = 1_000_000) -> DataFrame:
     """Hedge, correlation, spread, z and signal on each joined tick, with the last retest at or before it."""
     from .joins import asof
-    from .windows import rolling_corr
+    from .windows import over_last, with_corr
 
-    stats = spread_z(hedge_rolling(df, window, key), window, key).withColumn("corr", rolling_corr("y", "x", _last(key, window)))
+    stats = over_last(spread_z(hedge_rolling(df, window, key), window, key), window, lambda d, w: with_corr(d, "y", "x", w), key, ("ts_ns",))
     signals = reversion_signals(stats, key=key)
     tests = rolling_cointegration(df, key=key).withColumnsRenamed({"p_value": "adf_p_value", "t_stat": "adf_t_stat"})
     at = df.withColumn("retest", F.row_number().over(Window.partitionBy(key).orderBy("ts_ns"))).select(key, "retest", "ts_ns")
@@ -215,6 +236,85 @@ def pair_snapshots(df: DataFrame, window: int = 256, key: str = "pair", min_publ
     return met.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= min_publish_ns)).drop("_gap", "matched_ts")
 
 
+#: State of one pair between batches, and what its snapshots hold after the keys, ts_ns and seq.
+PAIR_STATE = """py double, ty long, px double, tx long, n long, beta double, frozen long, ys array<double>, xs array<double>, betas array<double>, spreads array<double>, position long, last long,
+    t double, p double, half double, cointegrated boolean"""
+PAIR_SNAPSHOT = "y double, x double, beta double, intercept double, beta_stdev double, corr double, spread double, z double, n long, signal string, position long, adf_t_stat double, adf_p_value double, half_life double, cointegrated boolean, ready boolean"
+
+
+def mackinnon_value(t: float, table: str) -> float:
+    """``mackinnon_p`` of a number."""
+    c1, c5, c10 = CRITICAL[table]
+    if t <= c1:
+        return 0.001
+    if t <= c5:
+        return 0.01 + (t - c1) / (c5 - c1) * 0.04
+    return 0.05 + (t - c5) / (c10 - c5) * 0.05 if t <= c10 else min(0.2, 0.1 + (t - c10) * 0.05)
+
+
+def retest(y: np.ndarray, x: np.ndarray, signif: float = 0.05) -> tuple[float | None, float | None, float | None, bool]:
+    """P11 and P12 of one window: t, p, half-life (null where they are not defined) and whether it is cointegrated."""
+    var = ((x - x.mean()) ** 2).sum()
+    if var <= 0:
+        return None, None, None, False
+    b = ((x - x.mean()) * (y - y.mean())).sum() / var
+    v = y - (y.mean() - b * x.mean()) - b * x
+    d, level, t, p, half = np.diff(v), v[:-1], None, None, None
+    a = np.stack([level[1:], d[:-1]], axis=1)
+    if len(a) >= 6 and np.linalg.matrix_rank(a) == 2:
+        inverse = np.linalg.inv(a.T @ a)
+        fit = inverse @ a.T @ d[1:]
+        rest = float(((d[1:] - a @ fit) ** 2).sum())
+        se = math.sqrt(max(inverse[0, 0] * rest / (len(a) - 2), 0.0))
+        t = float(fit[0]) / se if se > 0 else None
+        p = None if t is None else mackinnon_value(t, "cointegration")
+    spread = ((level - level.mean()) ** 2).sum()
+    phi = abs(1 + ((level - level.mean()) * (d - d.mean())).sum() / spread) if spread > 0 else 1.0
+    if len(d) >= 8 and 1e-12 < phi < 1:
+        half = -math.log(2) / math.log(phi)
+    return t, p, half, bool(p is not None and p < signif and abs(b) > 1e-9)
+
+
+def pair_step(state: tuple | None, legs: np.ndarray, ts: np.ndarray, price: np.ndarray, tolerance_ns: int, window: int = 256, min_bars: int = 64, every: int = 64, publish_ns: int = 1_000_000) -> tuple[tuple, list[tuple[int, tuple]]]:
+    """P16 tick by tick: ``legs`` says whether a tick is of y; gives (row, snapshot) for each tick that is published.
+
+    Both legs must have a price, neither older than the other by more than ``tolerance_ns``; the state follows
+    PAIR_STATE and holds the last ``window`` (or 4 * ``min_bars``) joined prices.
+    """
+    py, ty, px, tx, n, beta, frozen, ys, xs, betas, spreads, position, last, t, p, half, tied = state or (0.0, -1, 0.0, -1, 0, 0.0, 0, [], [], [], [], 0, -1, None, None, None, False)
+    ys, xs, betas, spreads = list(ys), list(xs), list(betas), list(spreads)
+    keep, few, out = max(window, 4 * min_bars), max(window // 4, 2), []
+    for i in range(len(ts)):
+        if legs[i]:
+            py, ty = float(price[i]), int(ts[i])
+        else:
+            px, tx = float(price[i]), int(ts[i])
+        if ty < 0 or tx < 0 or abs(ty - tx) > tolerance_ns:
+            continue
+        n += 1
+        ys, xs = [*ys, py][-keep:], [*xs, px][-keep:]
+        y, x = np.array(ys[-window:]), np.array(xs[-window:])
+        dx, dy, m = x - x.mean(), y - y.mean(), max(len(x) - 1, 1)
+        vx, vy, cov = dx @ dx / m, dy @ dy / m, dx @ dy / m
+        beta, frozen = (cov / vx, frozen) if vx >= 1e-12 else (beta, frozen + 1)
+        intercept = y.mean() - beta * x.mean()
+        betas = [*betas, float(beta)][-few:]
+        spreads = [*spreads, py - beta * px - intercept][-window:]
+        s = np.array(spreads)
+        sd = s.std(ddof=1) if len(s) > 1 else 0.0
+        z = (s[-1] - s.mean()) / sd if sd > 1e-12 else 0.0
+        den = math.sqrt(vx * vy)
+        (position,), _, signal = K.reversion((position,), np.array([z]))
+        if n >= min_bars and n % every == 0:
+            t, p, half, tied = retest(np.array(ys[-4 * min_bars :]), np.array(xs[-4 * min_bars :]))
+        if last < 0 or ts[i] - last >= publish_ns:
+            corr = 0.0 if den < 1e-12 else max(-1.0, min(1.0, cov / den))
+            spread_of = float(np.std(betas, ddof=1)) if len(betas) > 1 else 0.0
+            out.append((i, (py, px, float(beta), float(intercept), spread_of, float(corr), float(s[-1]), float(z), len(s), ("hold", "long_spread", "exit", "short_spread")[int(signal[0])], int(position), t, p, half, tied, n >= 8)))
+        last = int(ts[i])
+    return (py, ty, px, tx, n, float(beta), frozen, ys, xs, betas, [float(v) for v in spreads], int(position), last, t, p, half, tied), out
+
+
 def select_pairs(snaps: DataFrame, min_n: int = 64, min_corr: float = 0.5, max_p: float = 0.05, half: tuple[float, float] = (1.0, 100.0), max_beta_stdev: float = 0.5, min_volume: float = 0.0) -> DataFrame:
     """Screen and rank, best first."""
     ok = (F.col("n") >= min_n) & (F.abs("corr") >= min_corr) & (F.col("p_value") <= max_p) & F.col("half_life").between(*half) & (F.col("beta_stdev") <= max_beta_stdev) & (F.col("avg_volume") >= min_volume)
@@ -240,27 +340,29 @@ def ou_expected(x0: Column, t: float) -> tuple[Column, Column]:
     return F.col("mu") + (x0 - F.col("mu")) * e, F.pow(F.col("sigma"), F.lit(2)) / (2 * F.col("theta")) * (1 - e * e)
 
 
-def pair_states(df: DataFrame, entry: float = 2.0, leave: float = 0.5, key: str = "pair") -> DataFrame:
-    """Normal, diverged, converging or position_open, from z and whether a position is held."""
-
-    def f(p: pd.DataFrame) -> dict:
-        state, held, out, act = "normal", False, [], []
-        for z in np.abs(p["z"].to_numpy()):
-            signal = "none"
-            if held:
-                if z <= leave:
-                    state, held, signal = "normal", False, "exit"
-            elif state == "diverged" and z < entry:
-                state, held, signal = "position_open", True, "enter"
-            elif z >= entry:
-                state = "diverged"
-            else:
-                state = "converging" if state == "diverged" else "normal"
-            out.append(state)
-            act.append(signal)
-        return {"state": out, "action": act}
+def pair_states(df: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, key: str = "pair", opened: str | None = None, length: int | None = None) -> DataFrame:
+    """``state`` after each z (normal, diverged, converging, position_open), ``side`` and ``leave``.
+
+    A normal pair diverges at |z| >= entry; a diverged one converges at |z| <= leave and is normal again at
+    |z| >= stop; a converging one is normal again at the next |z| <= leave; an open position ends at either. The
+    boolean column ``opened`` says after which rows the caller opened a position. ``side`` is the entry signal of a
+    diverged pair (-1: short y and long x, for a z above 0; 1: the other way), ``leave`` whether to get out:
+    converging, or open with z at an end.
+    """
+    own = df.withColumn("_open", F.coalesce(F.col(opened), F.lit(False)) if opened else F.lit(False))
+
+    def step(state, p: pd.DataFrame):
+        state, out = K.pair_states(state, p["z"].to_numpy(), p["_open"].to_numpy(), entry, leave, stop)
+        return state, {"_s": out}
 
-    return K.per_key(df, [key], ["ts_ns"], f, "state string, action string")
+    end = lambda held, p: K.pair_states((held,), p["z"].to_numpy(), p["_open"].to_numpy(), entry, leave, stop)[0][0]
+    made = scan(own, [key], ["ts_ns"], step, "_s int", K.machine_carry([0, 1, 2, 3], end), length)
+    z, s = F.col("z"), F.col("_s")
+    is_open = (s == K.OPEN) | F.col("_open")
+    state = F.when(F.col("_open"), F.lit("position_open")).otherwise(F.element_at(F.array(*map(F.lit, K.PAIR_STATES)), s + 1))
+    gone = (s == K.CONVERGING) & ~F.col("_open") | is_open & ((F.abs(z) <= leave) | (F.abs(z) >= stop))
+    side = F.when((s == K.DIVERGED) & ~F.col("_open") & (z > 0), -1).when((s == K.DIVERGED) & ~F.col("_open") & (z < 0), 1).otherwise(0)
+    return made.withColumns({"state": state, "side": side, "leave": gone}).drop("_s", "_open")
 
 
 def pair_stats_simple(df: DataFrame, key: str = "pair") -> DataFrame:
@@ -300,68 +402,85 @@ def leg_sizes(df: DataFrame, target: float, pct: float) -> DataFrame:
 OUTCOMES = ("signals", "entries", "exits", "not_ready", "screened", "repeated", "forced")
 
 
-def pair_decisions(
-    snaps: DataFrame,
-    key: str = "pair",
-    max_p: float = 0.05,
-    min_corr: float = 0.7,
-    target: float = 10_000.0,
-    half: tuple[float, float] = (2.0, 100.0),
-    pct: float = 0.3,
-    nav: float = math.inf,
-) -> DataFrame:
-    """Entries, exits and a last row: repeats of the last signal are dropped, a failing screen closes.
-
-    ``snaps``: pair, ts_ns, y, x, beta, corr, p_value, half_life, cointegrated, ready, signal of P14. All five screens
-    must hold: cointegrated, p-value, correlation, half-life in its band and finite. Each row carries the counts of
-    OUTCOMES so far; the last one of a pair flattens what is open, else its action is ``none``.
-    """
-    counts = ", ".join(f"{k} long" for k in OUTCOMES)
-    schema = T.StructType([snaps.schema[key], *T._parse_datatype_string(f"ts_ns long, action string, side int, qy double, qx double, reason string, {counts}").fields])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_ns", kind="stable")
-        out, side, qy, qx, acted = [], 0, 0.0, 0.0, None
-        n = dict.fromkeys(OUTCOMES, 0)
+class PairsMeanReversion(Strategy):
+    """P22 as a strategy: enters and leaves the two legs of a pair on the signals of P14.
 
-        def add(ts: int, action: str, way: int, reason: str) -> None:
-            out.append((int(ts), action, way, qy, qx, reason, *n.values()))
+    All five screens must hold: cointegrated, p-value, correlation, half-life in its band and finite. Repeats of the
+    last signal are dropped (a hold resets it), a failing screen closes. Rows: ts_ns, y, x, beta, corr, p_value,
+    half_life, cointegrated, ready, signal and, where there is one, nav.
+    """
 
-        for s in pdf.itertuples(index=False):
+    out = "ts_ns long, action string, side int, qy double, qx double, reason string, " + ", ".join(f"{k} long" for k in OUTCOMES)
+    defaults = {"target_gross_notional": 10_000.0, "max_gross_pct_of_nav": 0.30, "beta_hedge": 1.0, "min_half_life_bars": 2.0, "max_half_life_bars": 100.0, "max_adf_pvalue": 0.05, "min_abs_corr": 0.70}
+    bounds = {
+        "target_gross_notional": (1_000.0, 1_000_000.0),
+        "max_gross_pct_of_nav": (0.01, 1.0),
+        "beta_hedge": (0.0, 2.0),
+        "min_half_life_bars": (0.5, 50.0),
+        "max_half_life_bars": (5.0, 2000.0),
+        "max_adf_pvalue": (0.001, 0.5),
+        "min_abs_corr": (0.0, 0.99),
+    }
+
+    def check(self) -> None:
+        if self.params["min_half_life_bars"] >= self.params["max_half_life_bars"]:
+            raise ValueError("min_half_life_bars must be below max_half_life_bars")
+
+    def create(self) -> dict:
+        return {"side": 0, "qy": 0.0, "qx": 0.0, "acted": None, "ts": 0, "n": dict.fromkeys(OUTCOMES, 0)}
+
+    def screened(self, s) -> bool:
+        p = self.params
+        ok = s.cointegrated and s.p_value <= p["max_adf_pvalue"] and abs(s.corr) >= p["min_abs_corr"]
+        return bool(ok and p["min_half_life_bars"] <= s.half_life <= p["max_half_life_bars"] and math.isfinite(s.half_life))
+
+    def legs(self, s) -> tuple[float, float] | None:
+        hedge = abs(self.params["beta_hedge"] * s.beta)
+        if not (s.y > 0 and s.x > 0):
+            return None
+        gross = min(self.params["target_gross_notional"], self.params["max_gross_pct_of_nav"] * getattr(s, "nav", math.inf))
+        qy = gross / (s.y + hedge * s.x)
+        return (qy, hedge * qy) if qy > 0 and hedge * qy > 0 else None
+
+    def on_rows(self, st: dict, rows: pd.DataFrame) -> list[tuple]:
+        out, n = [], st["n"]
+        tell = lambda action, side, reason: out.append((int(st["ts"]), action, side, st["qy"], st["qx"], reason, *n.values()))
+        for s in rows.itertuples(index=False):
+            st["ts"] = s.ts_ns
             if not s.ready:
                 n["not_ready"] += 1
-                continue
-            if not (s.cointegrated and s.p_value <= max_p and abs(s.corr) >= min_corr and half[0] <= s.half_life <= half[1] and math.isfinite(s.half_life)):
+            elif not self.screened(s):
                 n["screened"] += 1
-                if side:
+                if st["side"]:
                     n["forced"] += 1
-                    add(s.ts_ns, "exit", -side, "screen")
-                    side, acted = 0, None
-                continue
-            n["signals"] += 1
-            if s.signal == acted:
-                n["repeated"] += 1
-                continue
-            acted = s.signal
-            if acted == "exit" and side:
-                n["exits"] += 1
-                add(s.ts_ns, "exit", -side, "signal")
-                side = 0
-            elif acted in ("long_spread", "short_spread") and not side and s.y > 0 and s.x > 0:
-                gross = min(target, pct * nav)
-                each = gross / (s.y + abs(s.beta) * s.x)
-                if each > 0 and abs(s.beta) * each > 0:
-                    qy, qx, side = each, abs(s.beta) * each, 1 if acted == "long_spread" else -1
+                    tell("exit", -st["side"], "screen")
+                    st["side"], st["acted"] = 0, None
+            else:
+                n["signals"] += 1
+                if s.signal == st["acted"]:
+                    n["repeated"] += 1
+                    continue
+                st["acted"] = s.signal
+                if s.signal == "exit" and st["side"]:
+                    n["exits"] += 1
+                    tell("exit", -st["side"], "signal")
+                    st["side"] = 0
+                elif s.signal in ("long_spread", "short_spread") and not st["side"] and (legs := self.legs(s)):
+                    st["qy"], st["qx"] = legs
+                    st["side"] = 1 if s.signal == "long_spread" else -1
                     n["entries"] += 1
-                    add(s.ts_ns, "enter", side, "signal")
-        if not side:
-            qy = qx = 0.0
-        add(pdf["ts_ns"].iloc[-1], "flatten" if side else "none", -side, "end")
-        done = pd.DataFrame(out, columns=schema.names[1:])
-        done.insert(0, key, pdf[key].iloc[0])
-        return done
+                    tell("enter", st["side"], "signal")
+        return out
+
+    def on_stop(self, st: dict) -> list[tuple]:
+        """A last row with the counts: it flattens what is open, else its action is ``none``."""
+        legs = (st["qy"], st["qx"]) if st["side"] else (0.0, 0.0)
+        return [(int(st["ts"]), "flatten" if st["side"] else "none", -st["side"], *legs, "end", *st["n"].values())]
+
 
-    return snaps.groupBy(key).applyInPandas(run, schema)
+def pair_decisions(snaps: DataFrame, key: str = "pair", **params: float) -> DataFrame:
+    """Entries, exits and a last row of each pair; ``params`` as in ``PairsMeanReversion``."""
+    return run_strategy(snaps, PairsMeanReversion(**params), [key], ["ts_ns"])
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -407,12 +526,29 @@ def p4(spark, sf):
     return hedge_rolling(_pairs(spark, sf), 128).select("pair", "ts_ns", r("beta"), F.col("frozen").cast("long").alias("frozen"), r("intercept", 2), r("beta_stdev"), "ready")
 
 
-@query("p5_hedge_kalman_smoothed")
+_KALMAN = """d AS (SELECT *, CASE WHEN {v} > 0 AND lag({v}) OVER (PARTITION BY pair ORDER BY i) > 0 THEN ln({v} / lag({v}) OVER (PARTITION BY pair ORDER BY i)) END AS ret FROM b), n AS (SELECT pair, greatest(coalesce(var_samp(ret), 0), 1e-12) AS noise FROM d WHERE i <= 64 GROUP BY pair),
+    k(pair, ts_ns, i, v, level, p) AS (SELECT pair, ts_ns, i, {v}, {v}, 1.0::DOUBLE FROM b WHERE i = 1 UNION ALL
+      SELECT b.pair, b.ts_ns, b.i, b.{v}, CASE WHEN b.i < 64 THEN 0.5 * k.level + 0.5 * b.{v} ELSE k.level + (k.p + noise * 0.01) / (k.p + noise * 0.01 + noise) * (b.{v} - k.level) END,
+        CASE WHEN b.i < 64 THEN k.p ELSE (1 - (k.p + noise * 0.01) / (k.p + noise * 0.01 + noise)) * (k.p + noise * 0.01) END
+      FROM k JOIN b ON b.pair = k.pair AND b.i = k.i + 1 JOIN n ON n.pair = k.pair)"""
+
+
+@query("p5_hedge_kalman_smoothed", f"WITH RECURSIVE {_HEDGE}, b AS (SELECT pair, ts_ns, beta, row_number() OVER (PARTITION BY pair ORDER BY ts_ns) AS i FROM h), {_KALMAN.format(v='beta')} SELECT pair, ts_ns, R6(v) AS beta, R6(level) AS beta_smoothed FROM k", "v_series")
 def p5(spark, sf):
     return hedge_kalman_smoothed(_pairs(spark, sf), 128).select("pair", "ts_ns", r("beta"), r("beta_smoothed"))
 
 
-@query("p6_hedge_kalman2")
+@query(
+    "p6_hedge_kalman2",
+    f"""WITH RECURSIVE {_PAIRS}, b AS (SELECT pair, ts_ns, y / 1e5 AS y, x / 1e5 AS x, row_number() OVER (PARTITION BY pair ORDER BY ts_ns) AS i FROM p),
+    k(pair, ts_ns, i, a, b, e, p00, p01, p11) AS (SELECT DISTINCT pair, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM b UNION ALL
+      SELECT pair, ts_ns, i, a + k0 * e, b + k1 * e, e, ((1 - k0) * q00 - k0 * x * p01) * (1 - k0) - ((1 - k0) * p01 - k0 * x * q11) * k0 * x + k0 * 1e-3 * k0,
+        -((1 - k0) * q00 - k0 * x * p01) * k1 + ((1 - k0) * p01 - k0 * x * q11) * (1 - k1 * x) + k0 * 1e-3 * k1, -(-k1 * q00 + (1 - k1 * x) * p01) * k1 + (-k1 * p01 + (1 - k1 * x) * q11) * (1 - k1 * x) + k1 * 1e-3 * k1
+      FROM (SELECT *, (q00 + x * p01) / s AS k0, (p01 + x * q11) / s AS k1 FROM
+        (SELECT *, q00 + 2 * x * p01 + x * x * q11 + 1e-3 AS s, y - a - b * x AS e FROM (SELECT o.pair, o.ts_ns, o.i, o.y, o.x, k.a, k.b, k.p00 + 1e-7 AS q00, k.p01, k.p11 + 1e-7 AS q11 FROM k JOIN b o ON o.pair = k.pair AND o.i = k.i + 1))))
+    SELECT pair, ts_ns, R6(a) AS alpha, R6(b) AS beta, R6(e) AS innovation FROM k WHERE i > 0""",
+    "v_series",
+)
 def p6(spark, sf):
     scaled = _pairs(spark, sf).withColumn("y", F.col("y") / 1e5).withColumn("x", F.col("x") / 1e5)
     return hedge_kalman2(scaled).select("pair", "ts_ns", r("alpha"), r("beta"), r("innovation"))
@@ -440,9 +576,34 @@ def p8(spark, sf):
     return adf(series(spark, sf).withColumn("v", F.col("price") - 250000), ["symbol"], "v").select("symbol", "n", r("t_stat", 4), r("p_value"))
 
 
-@query("p9_adf_schwert")
+def _normal_equations(p: int) -> str:
+    """SQL that solves the p + 1 sums of products g(k, i, j, v) by elimination: the inverse's corner, the fit and its rest."""
+    out = []
+    for step in range(p):
+        before, after = f"e{step}", f"e{step + 1}"
+        out.append(f"{after} AS (SELECT a.k, a.i, a.j, CASE WHEN a.i = {step} THEN a.v / d.v ELSE a.v - l.v * u.v / d.v END AS v FROM {before} a JOIN {before} d ON d.k = a.k AND d.i = {step} AND d.j = {step} JOIN {before} l ON l.k = a.k AND l.i = a.i AND l.j = {step} JOIN {before} u ON u.k = a.k AND u.i = {step} AND u.j = a.j)")
+    return ", ".join(out)
+
+
+def _schwert_sql(lag: int) -> str:
+    """One branch of P9: regressors level, ``lag`` changes and a constant; columns p + 1 and on are the unit matrix."""
+    xs = ["l", *[f"d{i}" for i in range(1, lag + 1)], "1.0"]
+    p = len(xs)
+    lags = ", ".join(f"lag(d, {i}) OVER (PARTITION BY symbol ORDER BY ts_ns) AS d{i}" for i in range(1, lag + 1))
+    cols = [*xs, "d"]
+    cells = " UNION ALL ".join(f"SELECT symbol AS k, {i} AS i, {j} AS j, sum({a} * {b})::DOUBLE AS v FROM r GROUP BY symbol" for i, a in enumerate(cols[:p]) for j, b in enumerate(cols))
+    unit = f"SELECT k, i, {p + 1} AS j, (i = 0)::INT::DOUBLE AS v FROM (SELECT DISTINCT k, i FROM c)"
+    return f"""(WITH s AS (SELECT *, price - 250000 AS q, 1 + 0 * count(*) OVER (PARTITION BY symbol) AS one, greatest(1, least(4, floor(12 * pow(count(*) OVER (PARTITION BY symbol) / 100.0, 0.25))))::INT AS lags FROM v_series),
+        a AS (SELECT *, q - lag(q) OVER (PARTITION BY symbol ORDER BY ts_ns) AS d, lag(q) OVER (PARTITION BY symbol ORDER BY ts_ns) AS l FROM s WHERE lags = {lag}), b AS (SELECT *, {lags} FROM a), r AS (SELECT * FROM b WHERE d{lag} IS NOT NULL AND l IS NOT NULL),
+        c AS ({cells}), e0 AS (SELECT * FROM c UNION ALL {unit}), {_normal_equations(p)},
+        f AS (SELECT k, max(CASE WHEN i = 0 AND j = {p} THEN v END) AS beta, max(CASE WHEN i = 0 AND j = {p + 1} THEN v END) AS inv FROM e{p} GROUP BY k),
+        y AS (SELECT e.k, sum(e.v * c.v) AS fitted FROM e{p} e JOIN c ON c.k = e.k AND c.i = e.i AND c.j = {p} WHERE e.j = {p} GROUP BY e.k), t AS (SELECT symbol AS k, count(*) AS n, sum(d * d) AS q FROM r GROUP BY symbol)
+      SELECT f.k AS symbol, {lag}::INT AS lag, n, beta / sqrt((q - fitted) / (n - {p}) * inv) AS t_stat FROM f JOIN y ON y.k = f.k JOIN t ON t.k = f.k WHERE n >= {p + 4})"""
+
+
+@query("p9_adf_schwert", f"WITH t AS ({' UNION ALL '.join(_schwert_sql(k) for k in range(1, 5))}) SELECT symbol, lag, n, R4(t_stat) AS t_stat, R6({_mp('constant')}) AS p_value FROM t", "v_series")
 def p9(spark, sf):
-    return adf(series(spark, sf), ["symbol"], "price", "constant", "schwert").select("symbol", "lag", "n", r("t_stat", 4), r("p_value"))
+    return adf(series(spark, sf).withColumn("q", F.col("price") - 250000), ["symbol"], "q", "constant", "schwert").select("symbol", "lag", "n", r("t_stat", 4), r("p_value"))
 
 
 @query("p10_mackinnon_p", f"WITH t AS (SELECT ts_ns, (price - 250000) / 10000 - 2 AS t_stat FROM v_series) SELECT ts_ns, R6(t_stat) AS t_stat, R6({_mp('constant')}) AS p_value FROM t", "v_series")
@@ -485,15 +646,31 @@ def p14(spark, sf):
     return reversion_signals(spread_z(hedge_rolling(_pairs(spark, sf), 128), 128)).select("pair", "ts_ns", "position", "signal")
 
 
-@query("p15_rolling_cointegration")
+_RETEST = f"""{_PAIRS}, ob AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts_ns) AS i FROM p), z AS (SELECT pair AS q, unnest(range(64, max(i) + 1, 64)) AS retest FROM ob GROUP BY pair),
+    w AS (SELECT pair || '#' || retest AS key, ob.pair, retest, ts_ns, y, x FROM ob JOIN z ON z.q = ob.pair AND ob.i <= retest AND ob.i > retest - 256), f AS (SELECT key, any_value(pair) AS pair, any_value(retest) AS retest, count(*) AS n, regr_intercept(y, x) AS ia, regr_slope(y, x) AS ib FROM w GROUP BY key), """ + _ADF1.format(
+    src="src AS (SELECT w.key, ts_ns, y - ia - ib * x AS v FROM w JOIN f ON f.key = w.key)", k="key"
+) + """, hl AS (SELECT key, count(*) AS m, abs(1 + regr_slope(d, l)) AS phi FROM d1 WHERE l IS NOT NULL GROUP BY key),
+    tests AS (SELECT f.*, t_stat, CASE WHEN m >= 8 AND phi < 1 AND phi > 1e-12 THEN -ln(2) / ln(phi) END AS half_life FROM f LEFT JOIN t ON t.key = f.key LEFT JOIN hl ON hl.key = f.key)"""
+
+
+@query(
+    "p15_rolling_cointegration",
+    f"WITH {_RETEST} SELECT pair, retest, n, R6(ib) AS b, R4(t_stat) AS t_stat, R6({_mp('cointegration')}) AS p_value, {_mp('cointegration')} < 0.05 AND abs(ib) > 1e-9 AS cointegrated, R4(half_life) AS half_life FROM tests",
+    "v_series",
+)
 def p15(spark, sf):
-    return rolling_cointegration(_pairs(spark, sf)).select("pair", "retest", "n", r("b"), r("t_stat", 4), r("p_value"), "cointegrated", r("half_life", 4))
+    return rolling_cointegration(_pairs(spark, sf)).select("pair", F.col("retest").cast("long").alias("retest"), "n", r("b"), r("t_stat", 4), r("p_value"), "cointegrated", r("half_life", 4))
+
+
+_SNAPS = f"""WITH RECURSIVE {_SIGNALS.removeprefix('WITH RECURSIVE ')}, {_RETEST.removeprefix(_PAIRS + ', ')}, told AS (SELECT ob.pair, ob.ts_ns, {_mp('cointegration')} AS p_value, half_life, {_mp('cointegration')} < 0.05 AND abs(ib) > 1e-9 AS cointegrated FROM tests JOIN ob ON ob.pair = tests.pair AND ob.i = retest),
+    c AS (SELECT *, coalesce(covar_samp(y, x) OVER w, 0) AS cov, sqrt(coalesce(var_samp(y) OVER w, 0) * coalesce(var_samp(x) OVER w, 0)) AS den FROM s WINDOW w AS ({_N.format(127)})),
+    snaps AS (SELECT c.*, CASE WHEN den < 1e-12 THEN 0 ELSE greatest(-1, least(1, cov / den)) END AS corr, sig AS signal, pos AS position, p_value, half_life, cointegrated FROM c JOIN m ON m.pair = c.pair AND m.ts_ns = c.ts_ns AND m.i > 0 ASOF LEFT JOIN told ON told.pair = c.pair AND c.ts_ns >= told.ts_ns)"""
 
 
-@query("p16_pair_snapshots")
+@query("p16_pair_snapshots", f"{_SNAPS} SELECT pair, ts_ns, R6(beta) AS beta, R6(corr) AS corr, R4(CASE WHEN ready THEN z END) AS z, signal, position::BIGINT AS position, R6(p_value) AS adf_p_value, R4(half_life) AS half_life, ready FROM snaps", "v_series")
 def p16(spark, sf):
     s = pair_snapshots(_pairs(spark, sf), 128)
-    return s.select("pair", "ts_ns", r("beta"), r("corr"), r("z", 4), "signal", "position", r("adf_p_value"), r("half_life", 4), "ready")
+    return s.select("pair", "ts_ns", r("beta"), r("corr"), r(F.when(F.col("ready"), F.col("z")), 4).alias("z"), "signal", "position", r("adf_p_value"), r("half_life", 4), "ready")
 
 
 @query("p17_select_pairs", f"""WITH {_PAIRS}, c AS (SELECT pair, count(*) AS n, corr(y, x) AS corr FROM p GROUP BY pair), h AS (SELECT *, 0.01::DOUBLE * (n % 7) AS p_value, 1.0::DOUBLE + n % 5 AS half_life FROM c)
@@ -514,9 +691,19 @@ def p18(spark, sf):
     return ou_fit(series(spark, sf), ["symbol"], "price").select("symbol", "m", r("theta"), r("mu", 2), r("sigma", 2), r("half_life"))
 
 
-@query("p19_pair_states")
+@query(
+    "p19_pair_states",
+    f"""WITH RECURSIVE {_SPREAD}, k AS (SELECT pair, ts_ns, z, row_number() OVER (PARTITION BY pair ORDER BY ts_ns) AS i FROM s),
+    q(pair, i, ts_ns, z, state) AS (SELECT DISTINCT pair, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 'normal' FROM k UNION ALL SELECT k.pair, k.i, k.ts_ns, k.z,
+      CASE WHEN k.i % 50 = 0 THEN 'position_open' WHEN state = 'normal' THEN CASE WHEN abs(k.z) >= 2 THEN 'diverged' ELSE 'normal' END WHEN state = 'diverged' THEN CASE WHEN abs(k.z) <= 0.5 THEN 'converging' WHEN abs(k.z) >= 3 THEN 'normal' ELSE 'diverged' END
+        WHEN state = 'converging' THEN CASE WHEN abs(k.z) <= 0.5 THEN 'normal' ELSE 'converging' END WHEN abs(k.z) <= 0.5 OR abs(k.z) >= 3 THEN 'normal' ELSE 'position_open' END FROM q JOIN k ON k.pair = q.pair AND k.i = q.i + 1)
+    SELECT pair, ts_ns, state, CASE WHEN state = 'diverged' THEN -sign(z)::INT ELSE 0 END AS side, state = 'converging' OR (state = 'position_open' AND (abs(z) <= 0.5 OR abs(z) >= 3)) AS leave FROM q WHERE i > 0""",
+    "v_series",
+)
 def p19(spark, sf):
-    return pair_states(spread_z(hedge_rolling(_pairs(spark, sf), 128), 128)).select("pair", "ts_ns", "state", "action")
+    s = spread_z(hedge_rolling(_pairs(spark, sf), 128), 128)
+    opened = s.withColumn("opened", F.row_number().over(Window.partitionBy("pair").orderBy("ts_ns")) % 50 == 0)
+    return pair_states(opened, stop=3.0, opened="opened").select("pair", "ts_ns", "state", "side", "leave")
 
 
 @query(
@@ -542,10 +729,36 @@ def p21(spark, sf):
     return pair_performance(pnl).select("pair", "trades", "wins", r("win_pct"), r("total", 4), r("max_drawdown", 4), r("ratio"))
 
 
-@query("p22_pair_decisions")
+_OK = "cointegrated AND p_value <= 0.2 AND abs(corr) >= 0.05 AND half_life >= 0.5 AND half_life <= 100"
+
+
+#: Daily prices of the tables have no memory; their means over 20 days revert slowly enough to be traded.
+_SMOOTH = _PAIRS.replace("p AS (", "p AS (SELECT pair, ts_ns, avg(y) OVER w AS y, avg(x) OVER w AS x FROM (") + " WINDOW w AS (PARTITION BY pair ORDER BY ts_ns ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"
+
+
+@query(
+    "p22_pair_decisions",
+    f"""{_SNAPS.replace(_PAIRS, _SMOOTH)}, v AS (SELECT pair, ts_ns, y, x, beta, signal, ready, coalesce({_OK}, false) AS ok, row_number() OVER (PARTITION BY pair ORDER BY ts_ns) AS i FROM snaps),
+    sized AS (SELECT *, least(10000.0, 0.3 * 20000) / (y + abs(beta) * x) AS uy FROM v), legs AS (SELECT *, y > 0 AND x > 0 AND uy > 0 AND abs(beta) * uy > 0 AS fits FROM sized),
+    j(pair, i, ts_ns, side, acted, action, told, qy, qx, reason, signals, entries, exits, not_ready, screened, repeated, forced) AS (
+      SELECT DISTINCT pair, 0::BIGINT, 0::BIGINT, 0, NULL::VARCHAR, NULL::VARCHAR, 0, 0.0::DOUBLE, 0.0::DOUBLE, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM legs UNION ALL
+      SELECT pair, i, ts_ns, CASE WHEN NOT ready THEN side WHEN NOT ok THEN 0 WHEN enters THEN way WHEN leaves THEN 0 ELSE side END, CASE WHEN NOT ready THEN acted WHEN NOT ok THEN CASE WHEN side <> 0 THEN NULL ELSE acted END ELSE signal END,
+        CASE WHEN forces OR leaves THEN 'exit' WHEN enters THEN 'enter' END, CASE WHEN forces OR leaves THEN -side WHEN enters THEN way ELSE 0 END, CASE WHEN enters THEN uy ELSE qy END, CASE WHEN enters THEN abs(beta) * uy ELSE qx END, CASE WHEN forces THEN 'screen' WHEN enters OR leaves THEN 'signal' END,
+        signals + (ready AND ok)::INT, entries + enters::INT, exits + leaves::INT, not_ready + (NOT ready)::INT, screened + (ready AND NOT ok)::INT, repeated + (ready AND ok AND same)::INT, forced + forces::INT
+      FROM (SELECT *, ready AND ok AND NOT same AND signal = 'exit' AND side <> 0 AS leaves, ready AND ok AND NOT same AND signal IN ('long_spread', 'short_spread') AND side = 0 AND fits AS enters, ready AND NOT ok AND side <> 0 AS forces, CASE WHEN signal = 'long_spread' THEN 1 ELSE -1 END AS way FROM
+        (SELECT l.pair, l.i, l.ts_ns, l.beta, l.signal, l.ready, l.ok, l.uy, l.fits, j.side, j.acted, j.qy, j.qx, j.signals, j.entries, j.exits, j.not_ready, j.screened, j.repeated, j.forced, coalesce(l.signal = j.acted, false) AS same FROM j JOIN legs l ON l.pair = j.pair AND l.i = j.i + 1))),
+    ends AS (SELECT * FROM j QUALIFY i = max(i) OVER (PARTITION BY pair))
+    SELECT pair, ts_ns, action, told AS side, R6(qy) AS qy, R6(qx) AS qx, reason, signals, entries, exits, not_ready, screened, repeated, forced FROM j WHERE action IS NOT NULL
+    UNION ALL SELECT pair, ts_ns, CASE WHEN side <> 0 THEN 'flatten' ELSE 'none' END, -side, R6(CASE WHEN side <> 0 THEN qy ELSE 0 END), R6(CASE WHEN side <> 0 THEN qx ELSE 0 END), 'end', signals, entries, exits, not_ready, screened, repeated, forced FROM ends""",
+    "v_series",
+)
 def p22(spark, sf):
-    snaps = pair_snapshots(_pairs(spark, sf), 128).withColumnRenamed("adf_p_value", "p_value")
-    made = pair_decisions(snaps.select("pair", "ts_ns", "y", "x", "beta", "corr", "p_value", "half_life", "cointegrated", "ready", "signal"))
+    from .windows import over_last
+
+    smooth = over_last(_pairs(spark, sf), 20, lambda d, w: d.withColumns({"y": F.avg("y").over(w), "x": F.avg("x").over(w)}), "pair", ("ts_ns",))
+    snaps = pair_snapshots(smooth, 128).withColumnRenamed("adf_p_value", "p_value").withColumn("nav", F.lit(20_000.0))
+    columns = ("pair", "ts_ns", "y", "x", "beta", "corr", "p_value", "half_life", "cointegrated", "ready", "signal", "nav")
+    made = pair_decisions(snaps.select(*columns), max_adf_pvalue=0.2, min_abs_corr=0.05, min_half_life_bars=0.5)
     return made.select("pair", "ts_ns", "action", "side", r("qy"), r("qx"), "reason", *OUTCOMES)
 
 

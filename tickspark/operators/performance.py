@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
+from tickspark.functions.stretches import scan
 from tickspark.plans.catalog import DAY, FILL_ORDER, fills, nav, query, r, series
 
 YEAR_NS = 365 * DAY
@@ -32,13 +33,16 @@ def aggregate_trades(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def positions(trades: DataFrame, keys: tuple[str, ...] = ("account", "symbol"), order: tuple[str, ...] = FILL_ORDER) -> DataFrame:
-    """A2: average-cost accounting after each trade: position, average price, realised P&L net of costs."""
+    """A2: average-cost accounting after each trade: position, average price, realised P&L net of costs.
 
-    def f(p: pd.DataFrame) -> dict:
-        q, a, g = K.average_cost(p["signed_quantity"].to_numpy(), p["price"].to_numpy(), p["commission"].to_numpy())
-        return {"position": q, "average_price": a, "realized_pnl": g}
+    The average price depends on all trades before, so a key is one task; it holds three numbers and a batch.
+    """
+
+    def step(state, p: pd.DataFrame):
+        state, q, a, g = K.average_cost(state, p["signed_quantity"].to_numpy(), p["price"].to_numpy(), p["commission"].to_numpy())
+        return state, {"position": q, "average_price": a, "realized_pnl": g}
 
-    return K.per_key(trades, list(keys), list(order), f, "position double, average_price double, realized_pnl double")
+    return scan(trades, list(keys), list(order), step, "position double, average_price double, realized_pnl double")
 
 
 def last_positions(trades: DataFrame, keys: tuple[str, ...] = ("account", "symbol"), order: tuple[str, ...] = FILL_ORDER) -> DataFrame:
@@ -78,7 +82,7 @@ def portfolio_summary(marked: DataFrame, capital: float, account: str = "account
 
 def exposure(marked: DataFrame, assets: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
     """A5: share of gross exposure by asset class, and each symbol's inside; assets is a small dimension."""
-    m = marked.join(F.broadcast(assets), "symbol", "left").withColumn("asset_class", F.coalesce("asset_class", F.lit("unknown")))
+    m = marked.join(assets, "symbol", "left").withColumn("asset_class", F.coalesce("asset_class", F.lit("unknown")))
     return m.withColumn("share", safe(F.col("exposure"), F.sum("exposure").over(Window.partitionBy(*keys)))).withColumn("class_share", safe(F.sum("exposure").over(Window.partitionBy(*keys, "asset_class")), F.sum("exposure").over(Window.partitionBy(*keys))))
 
 
@@ -185,7 +189,7 @@ def metrics(rets: DataFrame, curves: DataFrame, key: str = "curve_id", rf: float
     """A10: the metric vector per curve. ``rets``: key, ts_ns, ret; ``curves``: key, ts_ns, nav."""
     per = ppy if ppy is not None else periodicity(curves, key)
     rate = lambda a: F.pow(1 + F.lit(a), 1 / F.col("ppy")) - 1
-    d = rets.join(F.broadcast(per.select(key, "ppy")), key).withColumn("_d", F.col("ret") - rate(mar))
+    d = rets.join(per.select(key, "ppy"), key).withColumn("_d", F.col("ret") - rate(mar))
     ret = F.col("ret")
     m = d.groupBy(key).agg(
         F.count("*").alias("n_periods"),
@@ -283,7 +287,7 @@ def allocate_financing(fills: DataFrame, total: float, account: str = "account")
     """A total dealt out by notional. The sum per account is a partial aggregate joined back, not a window."""
     notional = F.col("price") * F.col("quantity")
     sums = fills.groupBy(account).agg(F.sum(notional).alias("_all"))
-    return fills.join(F.broadcast(sums), account).withColumn("financing_cost", safe(F.lit(total) * notional, F.col("_all"))).drop("_all")
+    return fills.join(sums, account).withColumn("financing_cost", safe(F.lit(total) * notional, F.col("_all"))).drop("_all")
 
 
 def benchmark_compare(df: DataFrame, keys: list[str], ppy: float, rf: float = 0.0) -> DataFrame:
@@ -367,20 +371,26 @@ def bca_interval(boot: DataFrame, jack: DataFrame, keys: list[str], col: str, es
 
     j = jack.groupBy(*keys).agg(F.avg(col).alias("_m")).join(jack, keys).withColumn("_d", F.col("_m") - F.col(col))
     a = j.groupBy(*keys).agg(F.sum(F.pow("_d", F.lit(3))).alias("_c3"), F.sum(F.pow("_d", F.lit(2))).alias("_c2")).withColumn("_a", safe(F.col("_c3"), 6 * F.pow("_c2", F.lit(1.5))))
-    b = boot.groupBy(*keys).agg(F.avg(F.when(F.col(col) < F.col(estimate), 1.0).otherwise(0.0)).alias("_share"), F.array_sort(F.collect_list(col)).alias("_v"))
+    b = boot.groupBy(*keys).agg(F.avg(F.when(F.col(col) < F.col(estimate), 1.0).otherwise(0.0)).alias("_share"))
     m = b.join(a.select(*keys, "_a"), keys, "left").withColumn("_z0", F.when((F.col("_share") > 0) & (F.col("_share") < 1), normal_quantile(F.col("_share"))))
 
     def adjusted(p: float) -> Column:
         z = F.col("_z0") + normal_quantile(F.lit(p))
         return F.coalesce(normal_cdf(F.col("_z0") + z / (1 - F.coalesce("_a", F.lit(0.0)) * z)), F.lit(p))
 
-    def pick(p: Column) -> Column:
-        at = p * (F.size("_v") - 1)
-        lo = F.floor(at).cast("int")
-        x, y = F.get("_v", lo), F.get("_v", F.least(lo + 1, F.size("_v") - 1))
-        return x + (y - x) * (at - lo)
+    at = m.select(*keys, adjusted((1 - level) / 2).alias("_lo"), adjusted((1 + level) / 2).alias("_hi"), F.col("_z0").isNull().alias("fallback"))
+    # The places differ by key: replicates are counted per value, and the two around each place are picked.
+    counts = boot.groupBy(*keys, col).agg(F.count("*").alias("_c"))
+    up = Window.partitionBy(*keys).orderBy(col)
+    ranked = counts.withColumn("_up", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))).join(at, keys)
+
+    def pick(p: str) -> Column:
+        place = F.col(p) * (F.col("_n") - 1)
+        lo = F.floor(place)
+        x, y = (F.min(F.when(F.col("_up") > k, F.col(col))) for k in (lo, F.least(lo + 1, F.col("_n") - 1)))
+        return x + (y - x) * F.max(place - lo)
 
-    return m.select(*keys, pick(adjusted((1 - level) / 2)).alias("lo"), pick(adjusted((1 + level) / 2)).alias("hi"), F.col("_z0").isNull().alias("fallback"))
+    return ranked.groupBy(*keys).agg(pick("_lo").alias("lo"), pick("_hi").alias("hi"), F.first("fallback").alias("fallback"))
 
 
 def mc_standard_error(df: DataFrame, keys: list[str], col: str, p: float) -> DataFrame:
@@ -478,13 +488,16 @@ _EPS = """pk AS (SELECT *, max(nav) OVER (PARTITION BY curve_id ORDER BY ts_ns R
     eps AS (SELECT curve_id, peak_ts, max(dd) AS depth, arg_min(ts_ns, (-dd, ts_ns)) AS trough_ts, min(nxt) AS recovery_ts, coalesce(min(nxt), max(ts_ns)) - peak_ts AS underwater_ns FROM ep WHERE top IS NULL GROUP BY 1, 2)"""
 
 
-@query(
-    "a10_metrics",
-    f"""WITH {_PER}, {_EPS}, q AS (SELECT curve_id, r FROM v_returns WHERE r IS NOT NULL), s AS (SELECT curve_id, list_sort(list(r)) AS v, count(*)::DOUBLE AS n, avg(r) AS m, stddev_samp(r) AS sd, stddev_pop(r) AS sp, sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) AS dd, exp(sum(ln(1 + r))) - 1 AS total_return,
+_VECTOR = f"""{_PER}, {_EPS}, q AS (SELECT curve_id, r FROM v_returns WHERE r IS NOT NULL), s AS (SELECT curve_id, list_sort(list(r)) AS v, count(*)::DOUBLE AS n, avg(r) AS m, stddev_samp(r) AS sd, stddev_pop(r) AS sp, sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) AS dd, exp(sum(ln(1 + r))) - 1 AS total_return,
       sum(greatest(r, 0)) AS g, sum(greatest(-r, 0)) AS lo, count(*) FILTER (r > 0) AS wins, count(*) FILTER (abs(r) > 1e-15) AS act, quantile_cont(r, 0.95) AS p95, quantile_cont(r, 0.05) AS p05, max(r) AS best, min(r) AS worst FROM q GROUP BY curve_id),
     k AS (SELECT q.curve_id, sum(pow((r - m) / sd, 3)) / any_value(n) AS skew, sum(pow((r - m) / sd, 4)) / any_value(n) - 3 AS kurt FROM q JOIN s ON s.curve_id = q.curve_id GROUP BY q.curve_id),
     d AS (SELECT curve_id, max(depth) AS mdd, max(underwater_ns) AS dur FROM eps GROUP BY 1), u AS (SELECT curve_id, sqrt(avg(dd * dd)) * 100 AS ulcer FROM tp GROUP BY 1), a AS (SELECT s.*, k.skew, k.kurt, mdd, dur, ulcer, {YEAR_NS}::DOUBLE / interval_ns AS ppy FROM s JOIN k USING (curve_id) JOIN d USING (curve_id) JOIN u USING (curve_id) JOIN per USING (curve_id)),
-    b AS (SELECT *, pow(1 + total_return, ppy / n) - 1 AS cagr FROM a)
+    b AS (SELECT *, pow(1 + total_return, ppy / n) - 1 AS cagr FROM a)"""
+
+
+@query(
+    "a10_metrics",
+    f"""WITH {_VECTOR}
     SELECT curve_id, n::BIGINT AS n_periods, R6(total_return) AS total_return, R6(cagr) AS cagr, R6(m * ppy) AS ann_return, R6(sd * sqrt(ppy)) AS ann_volatility, R6(m * ppy / (sd * sqrt(ppy))) AS sharpe, R6(m * ppy / (dd * sqrt(ppy))) AS sortino, R6(cagr / mdd) AS calmar, R6(g / lo) AS omega, R6(ulcer) AS ulcer_index,
     R6(abs(p95) / abs(p05)) AS tail_ratio, R6(mdd) AS max_drawdown, dur AS max_drawdown_duration_ns, R4(skew) AS skewness, R4(kurt) AS excess_kurtosis, R6(-v[(floor(n * (1 - 0.95::DOUBLE)) + 1)::INT]) AS var_95, R6(-list_avg(v[1:floor(n * (1 - 0.95::DOUBLE))::INT])) AS cvar_95,
     R6(best) AS best_period, R6(worst) AS worst_period, R6(wins / n) AS hit_rate, R6((g / wins) / (lo / (n - wins))) AS win_loss_ratio, R6(act / n) AS time_in_market FROM b""",

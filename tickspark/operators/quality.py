@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickspark.functions.stretches import scan, stretches
 from tickspark.plans.catalog import query, r, ticks
 
 STALE_NS = 1_000_000_000
 
 
-def check_ticks(df: DataFrame, stale_ns: int = STALE_NS, keys: tuple[str, ...] = ("exchange", "symbol")) -> DataFrame:
+def check_ticks(df: DataFrame, stale_ns: int = STALE_NS, keys: tuple[str, ...] = ("exchange", "symbol"), length: int | None = None) -> DataFrame:
     """Q1: ``verdict`` of each quote: crossed, stale, gap or ok.
 
     ``df``: keys, bid, ask, exchange_ts_ns, ingest_ts_ns, sequence (null: feed numbers nothing) and seq, the order
@@ -19,11 +22,10 @@ def check_ticks(df: DataFrame, stale_ns: int = STALE_NS, keys: tuple[str, ...] =
     crossed = (F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("bid") > F.col("ask"))
     stale = F.col("ingest_ts_ns") - F.col("exchange_ts_ns") > stale_ns
     flagged = df.withColumn("_bad", F.when(crossed, "crossed").when(stale, "stale"))
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.last(F.when(F.col("_bad").isNull(), F.col("sequence")), True).over(w)
+    cut = stretches(flagged, list(keys), ("seq",), length)
     gap = F.col("sequence") > F.col("_prev") + 1
-    return (
-        flagged.withColumn("_prev", previous)
+    return cut.done(
+        cut.running(cut.df, {"_prev": ("last", F.when(F.col("_bad").isNull(), F.col("sequence")))}, before=True)
         .withColumn("verdict", F.coalesce("_bad", F.when(gap, "gap"), F.lit("ok")))
         .withColumn("expected", F.when(F.col("verdict") == "gap", F.col("_prev") + 1))
         .withColumn("dropped", F.when(F.col("verdict") == "gap", F.col("sequence") - F.col("_prev") - 1).otherwise(0))
@@ -31,12 +33,11 @@ def check_ticks(df: DataFrame, stale_ns: int = STALE_NS, keys: tuple[str, ...] =
     )
 
 
-def check_prints(df: DataFrame, keys: tuple[str, ...] = ("exchange", "symbol")) -> DataFrame:
+def check_prints(df: DataFrame, keys: tuple[str, ...] = ("exchange", "symbol"), length: int | None = None) -> DataFrame:
     """Q2: out_of_order below the running maximum (kept), gap above it by more than one, else ok."""
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max("sequence").over(w)
-    return (
-        df.withColumn("_top", top)
+    cut = stretches(df, list(keys), ("seq",), length)
+    return cut.done(
+        cut.running(cut.df, {"_top": ("max", F.col("sequence"))}, before=True)
         .withColumn("verdict", F.when(F.col("sequence") < F.col("_top"), "out_of_order").when(F.col("sequence") > F.col("_top") + 1, "gap").otherwise("ok"))
         .withColumn("expected", F.when(F.col("verdict") == "gap", F.col("_top") + 1))
         .withColumn("dropped", F.when(F.col("verdict") == "gap", F.col("sequence") - F.col("_top") - 1).otherwise(0))
@@ -65,36 +66,24 @@ def passing(df: DataFrame) -> DataFrame:
     return df.where(~F.col("verdict").isin("stale", "crossed"))
 
 
-def drop_rewinds(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Q5: drops rows older than the newest seen in order of arrival; a running maximum over all rows is exact.
-
-    Without ``key`` the guard spans the whole feed: the maximum is first taken per stretch of arrival numbers, and
-    only those few maxima are run through one window.
-    """
-    if key is not None:
-        w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn("_top", F.max("ts_ns").over(w)).where("ts_ns >= _top").drop("_top")
-    stretch = F.floor(F.col("seq") / 65536)
-    tops = df.groupBy(stretch.alias("_s")).agg(F.max("ts_ns").alias("_m"))
-    before = tops.withColumn("_before", F.max("_m").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
-    w = Window.partitionBy("_s").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    met = df.withColumn("_s", stretch).join(before, "_s").withColumn("_top", F.greatest(F.max("ts_ns").over(w), F.col("_before")))
-    return met.where("ts_ns >= _top").drop("_s", "_top", "_before")
+def drop_rewinds(df: DataFrame, key: str | None = None, length: int | None = None) -> DataFrame:
+    """Q5: drops rows older than the newest seen in order of arrival; without ``key`` the guard spans the whole feed."""
+    own = df if key else df.withColumn("_feed", F.lit(0))
+    cut = stretches(own, key or "_feed", ("seq",), length)
+    met = cut.done(cut.running(cut.df, {"_top": ("max", F.col("ts_ns"))})).where("ts_ns >= _top").drop("_top")
+    return met if key else met.drop("_feed")
 
 
 def feed_health(obs: DataFrame, recent: int = 1024, limit_ns: int = 5_000_000) -> DataFrame:
-    """Q6: per source ticks, last event, mean of the last ``recent`` latencies (whole ns), maximum, violations."""
+    """Q6: per source ticks, last event, mean of the last ``recent`` latencies (whole ns), maximum, violations.
+
+    The last ones are a limit per source, which Spark applies before its shuffle; all else is partial aggregates.
+    """
     w = Window.partitionBy("source").orderBy(F.desc("seq"))
-    ranked = obs.withColumn("_rank", F.row_number().over(w))
-    late = F.when(F.col("_rank") <= recent, F.col("latency_ns"))
-    return ranked.groupBy("source").agg(
-        F.count("*").alias("ticks"),
-        F.max("ts_ns").alias("last_ts"),
-        F.expr(f"sum(case when _rank <= {recent} then latency_ns end) div count(case when _rank <= {recent} then 1 end)").alias("mean_latency"),
-        F.max("latency_ns").alias("max_latency"),
-        F.count_if(F.col("latency_ns") > limit_ns).alias("violations"),
-        F.max(late).alias("recent_max"),
-    )
+    last = obs.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= recent)
+    late = last.groupBy("source").agg(F.expr("sum(latency_ns) div count(latency_ns)").alias("mean_latency"), F.max("latency_ns").alias("recent_max"))
+    g = obs.groupBy("source").agg(F.count("*").alias("ticks"), F.max("ts_ns").alias("last_ts"), F.max("latency_ns").alias("max_latency"), F.count_if(F.col("latency_ns") > limit_ns).alias("violations"))
+    return g.join(late, "source", "left").select("source", "ticks", "last_ts", "mean_latency", "max_latency", "violations", "recent_max")
 
 
 def apply_actions(df: DataFrame, actions: DataFrame) -> DataFrame:
@@ -127,21 +116,51 @@ def apply_actions(df: DataFrame, actions: DataFrame) -> DataFrame:
     return out.withColumn("symbol", F.col("_c.symbol")).withColumn("price", F.col("_f.price")).withColumn("size", F.col("_f.size") * F.col("_c.ratio")).drop("_actions", "_f", "_c")
 
 
-def cross_feed_basis(df: DataFrame, window: int = 256, key: str = "symbol") -> DataFrame:
+def cross_feed_basis(df: DataFrame, window: int = 256, key: str = "symbol", length: int | None = None) -> DataFrame:
     """Q8: relative basis of two feeds (price_a, price_b), its rolling mean and deviation, and the z of the last."""
-    w = Window.partitionBy(key).orderBy("ts_ns", "seq").rowsBetween(-(window - 1), 0)
     both = df.where((F.col("price_a") > 0) & (F.col("price_b") > 0)).withColumn("basis", (F.col("price_a") - F.col("price_b")) / ((F.col("price_a") + F.col("price_b")) / 2))
-    rolled = both.withColumn("mean", F.avg("basis").over(w)).withColumn("std", F.coalesce(F.stddev_samp("basis").over(w), F.lit(0.0)))
-    return rolled.withColumn("z", F.when(F.col("std") > 1e-12, (F.col("basis") - F.col("mean")) / F.col("std")).otherwise(0.0))
+    cut = stretches(both, key, ("ts_ns", "seq"), length, least=window)
+
+    def rolled(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("ts_ns", "seq").rowsBetween(-(window - 1), 0)
+        return d.withColumn("mean", F.avg("basis").over(w)).withColumn("std", F.coalesce(F.stddev_samp("basis").over(w), F.lit(0.0)))
+
+    return cut.done(cut.bounded(cut.df, window, rolled)).withColumn("z", F.when(F.col("std") > 1e-12, (F.col("basis") - F.col("mean")) / F.col("std")).otherwise(0.0))
+
+
+def sliding_median(df: DataFrame, col: str, k: int, key: str = "symbol", order: tuple[str, ...] = ("ts_ns", "seq"), length: int | None = None) -> DataFrame:
+    """``median`` and ``mad`` (0 for less than two values) of the ``k`` last rows, nulls passed over.
+
+    Batches of sorted rows meet the k - 1 values before them; the windows of a batch are sorted as one matrix.
+    """
+
+    def middle_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.count_nonzero(~np.isnan(rows), axis=1)
+        ranked, at = np.sort(rows, axis=1), np.arange(len(rows))
+        return (ranked[at, np.maximum(n - 1, 0) // 2] + ranked[at, np.minimum(n // 2, rows.shape[1] - 1)]) / 2, n
+
+    def step(state, p: pd.DataFrame):
+        before = np.array(state[0]) if state else np.full(k - 1, np.nan)
+        x = np.concatenate((before, p[col].to_numpy(dtype=float)))
+        windows = np.lib.stride_tricks.sliding_window_view(x, k)
+        median, mad = np.empty(len(p)), np.empty(len(p))
+        for i in range(0, len(p), 8192):
+            part = windows[i : i + 8192]
+            median[i : i + 8192], n = middle_of(part)
+            mad[i : i + 8192] = np.where(n < 2, 0.0, middle_of(np.abs(part - median[i : i + 8192, None]))[0])
+        return (x[len(x) - k + 1 :],), {"median": median, "mad": mad}
+
+    cut = stretches(df, key, order, length, least=k)
+    return cut.done(cut.bounded(cut.df, k, lambda d, keys: scan(d, keys, list(order), step, "median double, mad double")))
 
 
-def hampel(df: DataFrame, window: int = 64, threshold: float = 4.5, warmup: int = 30, col: str = "price", key: str = "symbol") -> DataFrame:
+def hampel(df: DataFrame, window: int = 64, threshold: float = 4.5, warmup: int = 30, col: str = "price", key: str = "symbol", length: int | None = None) -> DataFrame:
     """Q10: median and scaled deviation over the last ``window`` values, the current one included."""
-    w = Window.partitionBy(key).orderBy("ts_ns", "seq").rowsBetween(-(window - 1), 0)
-    held = df.withColumn("_v", F.collect_list(col).over(w)).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("ts_ns", "seq")))
-    centred = held.withColumn("median", middle(F.col("_v"))).withColumn("mad", middle(F.transform("_v", lambda x: F.abs(x - F.col("median")))))
+    held = sliding_median(df, col, window, key, length=length)
+    cut = stretches(held, key, ("ts_ns", "seq"), length)
+    numbered = cut.done(cut.running(cut.df, {"_n": ("count", F.lit(1))}))
     far = F.abs(F.col(col) - F.col("median")) > threshold * 1.4826 * F.col("mad")
-    return centred.withColumn("outlier", (F.col("_n") > warmup) & (F.col("mad") > 0) & far).drop("_v", "_n")
+    return numbered.withColumn("outlier", (F.col("_n") > warmup) & (F.col("mad") > 0) & far).drop("_n")
 
 
 def middle(values: Column) -> Column:

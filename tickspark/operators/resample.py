@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +15,70 @@ from tickspark.plans.catalog import DAY, HOUR, SECOND, nav, query, r, ticks
 
 from .performance import metrics, nav_returns, summarize
 
+#: The hash of every random choice works modulo this prime, so that any engine with 64-bit integers repeats it.
+PRIME, STEP, LAST = 2**31 - 1, 40503, 12345
+#: Longest curve that the kernel holds as an array, and values that a task of it draws at a time.
+ARRAY, DRAWN = 5_000_000, 2_000_000
+
+
+def _power(t, modulo):
+    """t^5 modulo PRIME, a permutation of the residues."""
+    return modulo(modulo(modulo(t * t) * modulo(t * t)) * t)
+
+
+def mixed(seed: int, *parts: Column | str) -> Column:
+    """A residue of PRIME from a seed and whole numbers: any partitioning and any rerun gives the same."""
+    mod = lambda x: x % F.lit(PRIME)
+    numbers = [(F.col(x) if isinstance(x, str) else x).cast("long") for x in parts]
+    return F.aggregate(F.array(*numbers, F.lit(LAST).cast("long")), F.lit(seed % PRIME).cast("long"), lambda h, x: _power(F.pmod(h + x + STEP, F.lit(PRIME)), mod))
+
+
+def mixed_array(seed: int, *parts: np.ndarray | int) -> np.ndarray:
+    """``mixed`` over arrays."""
+    h = np.int64(seed % PRIME)
+    for x in (*parts, LAST):
+        h = _power((h + np.asarray(x, np.int64) + STEP) % PRIME, lambda v: v % PRIME)
+    return h
+
+
+def mixed_sql(seed: int, *parts: str) -> str:
+    """``mixed`` in SQL."""
+    t = f"((h + x + {STEP}) % {PRIME})"
+    square = f"(({t} * {t}) % {PRIME})"
+    power = f"((({square} * {square}) % {PRIME}) * {t}) % {PRIME}"
+    return f"list_reduce([{seed % PRIME}::BIGINT, {', '.join(f'({p})::BIGINT' for p in parts)}, {LAST}::BIGINT], lambda h, x: {power})"
+
 
 def uniform(seed: int, *parts: Column | str) -> Column:
-    """A uniform in [0, 1) from a hash: any partitioning and any rerun gives the same."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A uniform in [0, 1) from ``mixed``."""
+    return mixed(seed, *parts) / F.lit(float(PRIME))
+
+
+def uniform_sql(seed: int, *parts: str) -> str:
+    return f"({mixed_sql(seed, *parts)} / {float(PRIME)}::DOUBLE)"
+
+
+def name_number(key: Column | str) -> Column:
+    """A name as a whole number: the first eight digits of its MD5."""
+    return F.conv(F.substring(F.md5((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def name_sql(key: str) -> str:
+    return f"('0x' || md5({key}::VARCHAR)[1:8])::BIGINT"
+
+
+def block_length(n: Column, block: int | None) -> Column:
+    """round(n^(1/3)) unless given."""
+    return F.lit(block).cast("long") if block else F.greatest(F.lit(1), F.round(F.cbrt(n))).cast("long")
 
 
-def draw_index(n: Column, kind: str, block: Column, seed: int, runs: int, keys: list[str]) -> Column:
-    """The row drawn at place ``j`` of ``run``: iid, moving, circular or stationary blocks."""
+def draw_index(n: Column, kind: str, block: Column, seed: int, key: str) -> Column:
+    """The row drawn at place ``j`` of ``run``: iid, moving or circular blocks."""
+    own = name_number(key)
     if kind == "iid":
-        return F.floor(uniform(seed, "run", "j", *keys) * n)
+        return F.floor(uniform(seed, own, "run", "j") * n)
     part = F.floor(F.col("j") / block)
-    start = uniform(seed, "run", part, *keys)
+    start = uniform(seed, own, "run", part)
     if kind == "moving":
         return F.floor(start * (n - block + 1)) + F.col("j") % block
     if kind == "circular":
@@ -36,16 +92,16 @@ def bootstrap(df: DataFrame, kind: str, runs: int, seed: int = 0, block: int | N
     Columns stay together, so several series are resampled jointly. The drawn indices are made on the fly and
     joined to the rows; nothing is gathered per run. Blocks are round(n^(1/3)) long unless given.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_b", F.lit(block).cast("long") if block else F.greatest(F.lit(1), F.round(F.cbrt("_n"))).cast("long"))
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_b", block_length(F.col("_n"), block))
     places = sizes.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     n, b = F.col("_n"), F.col("_b")
     if kind == "stationary":
-        jump = (F.col("j") == 0) | (uniform(seed + 1, "run", "j", key) < 1 / b)
-        start = F.when(jump, F.struct(F.floor(uniform(seed, "run", "j", key) * n).alias("s"), F.col("j").alias("at")))
+        jump = (F.col("j") == 0) | (uniform(seed + 1, name_number(key), "run", "j") < 1 / b)
+        start = F.when(jump, F.struct(F.floor(uniform(seed, name_number(key), "run", "j") * n).alias("s"), F.col("j").alias("at")))
         w = Window.partitionBy(key, "run").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
         drawn = places.withColumn("_s", start).withColumn("_s", F.last("_s", True).over(w)).withColumn("i", F.pmod(F.col("_s.s") + F.col("j") - F.col("_s.at"), n)).drop("_s")
     else:
-        drawn = places.withColumn("i", draw_index(n, kind, b, seed, runs, [key]).cast("long"))
+        drawn = places.withColumn("i", draw_index(n, kind, b, seed, key).cast("long"))
     rows = df.withColumn("i", F.col("i").cast("long"))
     return drawn.drop("_n", "_b").join(rows, [key, "i"])
 
@@ -53,18 +109,18 @@ def bootstrap(df: DataFrame, kind: str, runs: int, seed: int = 0, block: int | N
 def permute(df: DataFrame, runs: int, seed: int = 0, key: str = "curve_id") -> DataFrame:
     """V6: each run holds every row once, in hashed order (``j``)."""
     r_ = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    w = Window.partitionBy(key, "run").orderBy(F.xxhash64(F.lit(seed), "run", key, "i"), "i")
+    w = Window.partitionBy(key, "run").orderBy(mixed(seed, name_number(key), "run", "i"), "i")
     return r_.withColumn("j", F.row_number().over(w) - 1)
 
 
 def sign_flip(df: DataFrame, runs: int, seed: int = 0, col: str = "ret", key: str = "curve_id") -> DataFrame:
     """V6: each run keeps the rows and turns hashed signs."""
     r_ = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    return r_.withColumn(col, F.when(uniform(seed, "run", key, "i") < 0.5, F.col(col)).otherwise(-F.col(col)))
+    return r_.withColumn(col, F.when(uniform(seed, name_number(key), "run", "i") < 0.5, F.col(col)).otherwise(-F.col(col)))
 
 
 def path_metrics(drawn: DataFrame, ppy: float, key: str = "curve_id", col: str = "ret") -> DataFrame:
-    """The metric vector of each (key, run): the key of the aggregates is the path."""
+    """The metric vector of each (key, run) of a table of drawn rows: the key of the aggregates is the path."""
     path = drawn.withColumn("path", F.concat_ws("#", key, F.col("run").cast("string"))).select("path", F.col("j").alias("ts_ns"), F.col(col).alias("ret"))
     w = Window.partitionBy("path").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
     curve = path.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(w))).select("path", (F.col("ts_ns") + 1).alias("ts_ns"), "nav")
@@ -74,19 +130,138 @@ def path_metrics(drawn: DataFrame, ppy: float, key: str = "curve_id", col: str =
     return m.withColumn(key, F.substring_index("path", "#", 1)).withColumn("run", F.substring_index("path", "#", -1).cast("int")).drop("path")
 
 
-def bootstrap_metrics(rets: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = ("sharpe", "cagr", "max_drawdown")) -> DataFrame:
+def _safe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    tiny = np.abs(b) < 1e-15
+    return np.where(tiny, 0.0, a / np.where(tiny, 1.0, b))
+
+
+def metric_vectors(ret: np.ndarray, ppy: float) -> dict[str, np.ndarray]:
+    """The metric vector of ``metrics`` for each row of a matrix of returns, the path starting from 1."""
+    runs, n = ret.shape
+    grown = np.cumsum(np.log1p(ret), axis=1)
+    total, mean = np.expm1(grown[:, -1]), ret.mean(axis=1)
+    away = ret - mean[:, None]
+    m2 = (away**2).mean(axis=1)
+    sd = np.sqrt(m2 * n / (n - 1)) if n > 1 else np.zeros(runs)
+    ranked = np.sort(ret, axis=1)
+    down = np.sqrt(np.where(ret < 0, ret * ret, 0.0).mean(axis=1))
+    gain, loss = np.where(ret > 0, ret, 0.0).sum(axis=1), np.where(ret < 0, -ret, 0.0).sum(axis=1)
+    wins = (ret > 0).sum(axis=1)
+    value = np.exp(np.concatenate((np.zeros((runs, 1)), grown), axis=1))
+    peak = np.maximum.accumulate(value, axis=1)
+    depth = (peak - value) / peak
+    at = np.arange(n + 1)
+    top = np.maximum.accumulate(np.where(value >= peak, at, 0), axis=1)
+    gaps = np.where((value[:, 1:] >= peak[:, 1:]) | (at[1:] == n), at[1:] - top[:, :-1], 0)
+    gaps = np.where((gaps > 1) | ((at[1:] == n) & (value[:, 1:] < peak[:, 1:])), gaps, 0)
+
+    def quantile(q: float) -> np.ndarray:
+        k = q * (n - 1)
+        lo = math.floor(k)
+        return ranked[:, lo] + (ranked[:, min(lo + 1, n - 1)] - ranked[:, lo]) * (k - lo)
+
+    def tail(c: float) -> tuple[np.ndarray, np.ndarray]:
+        k = math.floor(n * (1 - c))
+        return -ranked[:, k], (-ranked[:, :k].mean(axis=1) if k else np.zeros(runs))
+
+    safe_m2 = np.where(m2 > 0, m2, 1.0)
+    skew = np.where(sd > 0, (away**3).mean(axis=1) / safe_m2**1.5 * ((n - 1) / n) ** 1.5, 0.0)
+    kurt = np.where(sd > 0, (away**4).mean(axis=1) / safe_m2**2 * ((n - 1) / n) ** 2 - 3, 0.0)
+    with np.errstate(over="ignore"):
+        cagr = np.where(total > -1, np.power(1 + np.maximum(total, -1), ppy / n) - 1, 0.0)
+    ann, vol, semi, worst = mean * ppy, sd * math.sqrt(ppy), down * math.sqrt(ppy), depth.max(axis=1)
+    ulcer = np.sqrt((depth * depth).mean(axis=1)) * 100
+    var95, es95 = tail(95 / 100)
+    var99, es99 = tail(99 / 100)
+    return {
+        "n_periods": np.full(runs, n, np.int64),
+        "periods_per_year": np.full(runs, ppy),
+        "total_return": total,
+        "cagr": cagr,
+        "ann_return": ann,
+        "ann_volatility": vol,
+        "ann_downside_deviation": semi,
+        "sharpe": _safe(ann, vol),
+        "sortino": _safe(ann, semi),
+        "calmar": _safe(cagr, worst),
+        "omega": _safe(gain, loss),
+        "ulcer_index": ulcer,
+        "martin_ratio": _safe(ann * 100, ulcer),
+        "tail_ratio": _safe(np.abs(quantile(0.95)), np.abs(quantile(0.05))),
+        "max_drawdown": worst,
+        "max_drawdown_duration_ns": gaps.max(axis=1).astype(np.int64),
+        "skewness": skew,
+        "excess_kurtosis": kurt,
+        "hit_rate": wins / n,
+        "win_loss_ratio": _safe(_safe(gain, wins.astype(float)), _safe(loss, (n - wins).astype(float))),
+        "time_in_market": (np.abs(ret) > 1e-15).sum(axis=1) / n,
+        "var_95": var95,
+        "cvar_95": es95,
+        "var_99": var99,
+        "cvar_99": es99,
+        "best_period": ranked[:, -1],
+        "worst_period": ranked[:, 0],
+    }
+
+
+def _circular(n: int, block: int, seed: int, key: str, runs: np.ndarray) -> np.ndarray:
+    """Row drawn at each place of each run, as ``draw_index`` draws circular blocks."""
+    j = np.arange(n)
+    own = int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+    starts = mixed_array(seed, own, runs[:, None], np.arange(-(-n // block))[None, :]) / float(PRIME)
+    return (np.floor(starts * n).astype(np.int64)[:, j // block] + j % block) % n
+
+
+def bootstrap_paths(df: DataFrame, runs: int, ppy: float, seed: int = 0, block: int | None = None, cols: tuple[str, ...] = ("ret",), key: str = "curve_id", longest: int = ARRAY) -> DataFrame:
+    """The metric vector of each (key, run) of a circular-block bootstrap: key, run, col and the metrics.
+
+    A task gets a curve as arrays and a range of runs, draws by the same hash as ``bootstrap`` and gives metrics
+    only; all ``cols`` share the draws. Curves of more than ``longest`` rows are drawn by ``bootstrap``, row by row.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    top = counts.agg(F.max("_n")).first()[0] or 1
+    if top > longest:
+        drawn = bootstrap(df, "circular", runs, seed, block, key)
+        parts = [path_metrics(drawn, ppy, key, c).withColumn("col", F.lit(c)) for c in cols]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    each = max(1, min(runs, DRAWN // top))
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in cols]))).alias("_v"))
+    dealt = rows.select(F.col(key).cast("string").alias(key), *[F.col(f"_v.{c}").alias(c) for c in cols], F.explode(F.sequence(F.lit(0), F.lit(runs - 1), F.lit(each))).alias("_lo"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(tasks, key, "_lo")
+    names = list(metric_vectors(np.zeros((1, 2)), 1.0))
+    kind = lambda m: "long" if m in ("n_periods", "max_drawdown_duration_ns") else "double"
+    schema = f"{key} string, run int, col string, " + ", ".join(f"{m} {kind(m)}" for m in names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                some = np.arange(row["_lo"], min(runs, row["_lo"] + each))
+                n = len(row[cols[0]])
+                drawn = _circular(n, block or max(1, round(n ** (1 / 3))), seed, row[key], some)
+                for c in cols:
+                    yield pd.DataFrame({key: row[key], "run": some.astype(np.int32), "col": c, **metric_vectors(np.asarray(row[c], float)[drawn], ppy)})
+
+    return dealt.mapInPandas(run, schema)
+
+
+NAMES = ("sharpe", "cagr", "max_drawdown")
+
+
+def bootstrap_metrics(rets: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = NAMES) -> DataFrame:
     """V7: circular blocks, the metric vector of each run, and the distribution of each metric."""
-    m = path_metrics(bootstrap(rets, "circular", runs, seed), ppy)
-    long = m.unpivot(["curve_id", "run"], list(names), "metric", "value")
-    return summarize(long, ["curve_id", "metric"], "value")
+    m = bootstrap_paths(rets, runs, ppy, seed)
+    return summarize(m.unpivot(["curve_id", "run"], list(names), "metric", "value"), ["curve_id", "metric"], "value")
 
 
-def bootstrap_compare(both: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = ("sharpe", "cagr", "max_drawdown")) -> DataFrame:
+def bootstrap_compare(both: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = NAMES) -> DataFrame:
     """V8: ``both`` has curve_id, i, a and b at the same times; differences b - a under common resamples."""
-    drawn = bootstrap(both, "circular", runs, seed)
-    ma = path_metrics(drawn, ppy, col="a").select("curve_id", "run", *names)
-    mb = path_metrics(drawn, ppy, col="b").select("curve_id", "run", *[F.col(n).alias(f"_b_{n}") for n in names])
-    d = ma.join(mb, ["curve_id", "run"]).select("curve_id", "run", *[(F.col(f"_b_{n}") - F.col(n)).alias(n) for n in names])
+    m = bootstrap_paths(both, runs, ppy, seed, cols=("a", "b"))
+    gap = lambda n: F.max(F.when(F.col("col") == "b", F.col(n))) - F.max(F.when(F.col("col") == "a", F.col(n)))
+    d = m.groupBy("curve_id", "run").agg(*[gap(n).alias(n) for n in names])
     return summarize(d.unpivot(["curve_id", "run"], list(names), "metric", "value"), ["curve_id", "metric"], "value")
 
 
@@ -126,7 +301,7 @@ def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, g
     span = records.agg(F.min("ts_ns").alias("_lo"), F.max("ts_ns").alias("_hi"))
     at = span.select((F.col("_lo") + ((F.col("_hi") - F.col("_lo")) * onset).cast("long")).alias("_on"))
     pre = records.crossJoin(F.broadcast(at)).where("ts_ns <= _on").groupBy("symbol").agg(F.max_by("price", F.struct("ts_ns", "seq")).alias("_pre"))
-    rows = records.crossJoin(F.broadcast(at)).join(F.broadcast(pre), "symbol", "left").crossJoin(F.broadcast(scenarios))
+    rows = records.crossJoin(F.broadcast(at)).join(pre, "symbol", "left").crossJoin(F.broadcast(scenarios))
     t = F.col("ts_ns") - F.col("_on")
     rows = rows.where(~((t >= 0) & (t < F.col("halt_ns")))).withColumn("_k", intensity(t))
     w = Window.partitionBy("scenario", "symbol").orderBy("ts_ns", "seq")
@@ -157,7 +332,7 @@ def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed:
     worst = ranked.where(F.col("_rank") < F.greatest(F.lit(1), F.floor(F.col("_n") * pct))).select(key, F.col("_rank").cast("long").alias("_rank"), F.col("i").alias("_start"))
     picks = worst.groupBy(key).agg(F.count("*").alias("_m")).join(rets.groupBy(key).agg(F.count("*").alias("_len")), key)
     places = picks.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)))
-    drawn = places.withColumn("_rank", F.floor(uniform(seed, "run", F.floor(F.col("j") / block), key) * F.col("_m")).cast("long")).join(worst, [key, "_rank"])
+    drawn = places.withColumn("_rank", F.floor(uniform(seed, name_number(key), "run", F.floor(F.col("j") / block)) * F.col("_m")).cast("long")).join(worst, [key, "_rank"])
     return drawn.withColumn("i", (F.col("_start") + F.col("j") % block).cast("long")).select(key, "run", "j", "i").join(rets.withColumn("i", F.col("i").cast("long")), [key, "i"])
 
 
@@ -170,11 +345,29 @@ def _moments(drawn):
     return drawn.groupBy("curve_id", "run").agg(F.count("*").alias("n"), r(F.avg("ret")).alias("mean"), F.countDistinct("i").alias("distinct_rows"))
 
 
+_Q = "q AS (SELECT curve_id, r, nav, row_number() OVER (PARTITION BY curve_id ORDER BY ts_ns) - 1 AS i, count(*) OVER (PARTITION BY curve_id) AS n FROM v_returns WHERE r IS NOT NULL)"
+
+
+def _drawn_sql(kind: str, runs: int, seed: int, source: str = "q") -> str:
+    """Drawn rows: curve_id, run, j, i and the row's values; as ``bootstrap`` draws them."""
+    own = name_sql("curve_id")
+    places = f"b AS (SELECT curve_id, any_value(n) AS n, greatest(1, round(cbrt(any_value(n))))::BIGINT AS b FROM {source} GROUP BY 1), pl AS (SELECT curve_id, n, b, run, unnest(range(n)) AS j FROM b, range({runs}) t(run))"
+    u = lambda *parts: uniform_sql(seed, own, *parts)
+    index = {"iid": f"floor({u('run', 'j')} * n)", "moving": f"floor({u('run', 'j // b')} * (n - b + 1)) + j % b", "circular": f"(floor({u('run', 'j // b')} * n)::BIGINT + j % b) % n"}
+    if kind == "stationary":
+        jump = f"j = 0 OR {uniform_sql(seed + 1, own, 'run', 'j')} < 1.0::DOUBLE / b"
+        made = f"js AS (SELECT *, CASE WHEN {jump} THEN [floor({u('run', 'j')} * n)::BIGINT, j] END AS s FROM pl), jl AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY curve_id, run ORDER BY j ROWS UNBOUNDED PRECEDING) AS l FROM js), ix AS (SELECT curve_id, run, j, (l[1] + j - l[2]) % n AS i FROM jl)"
+    else:
+        made = f"ix AS (SELECT curve_id, run, j, ({index[kind]})::BIGINT AS i FROM pl)"
+    return f"{places}, {made}, dr AS (SELECT ix.curve_id, ix.run, ix.j, {source}.* EXCLUDE (curve_id, n) FROM ix JOIN {source} ON {source}.curve_id = ix.curve_id AND {source}.i = ix.i)"
+
+
+_STATS = "SELECT curve_id, run::INT AS run, count(*) AS n, R6(avg(r)) AS mean, count(DISTINCT i) AS distinct_rows FROM dr GROUP BY 1, 2"
 for _kind, _id in (("iid", "v1"), ("moving", "v2"), ("circular", "v3"), ("stationary", "v4")):
-    query(f"{_id}_bootstrap_{_kind}")(lambda spark, sf, kind=_kind: _moments(bootstrap(_rets(spark, sf), kind, 20, seed=3)))
+    query(f"{_id}_bootstrap_{_kind}", f"WITH {_Q}, {_drawn_sql(_kind, 20, 3)} {_STATS}", "v_returns")(lambda spark, sf, kind=_kind: _moments(bootstrap(_rets(spark, sf), kind, 20, seed=3)))
 
 
-@query("v5_joint_bootstrap")
+@query("v5_joint_bootstrap", f"WITH {_Q}, {_drawn_sql('circular', 10, 4)} SELECT curve_id, run::INT AS run, count(*) AS n, R6(avg(r)) AS mean, R6(avg(nav / 1e6)) AS level FROM dr GROUP BY 1, 2", "v_returns")
 def v5(spark, sf):
     q = _rets(spark, sf).withColumn("level", F.col("nav") / 1e6)
     return bootstrap(q, "circular", 10, seed=4).groupBy("curve_id", "run").agg(F.count("*").alias("n"), r(F.avg("ret")).alias("mean"), r(F.avg("level")).alias("level"))
@@ -188,18 +381,35 @@ def v6(spark, sf):
     return permute(_rets(spark, sf), 5, seed=9).groupBy("curve_id", "run").agg(F.count("*").alias("n"), r(F.sum("ret")).alias("total"))
 
 
-@query("v6_sign_flip")
+@query("v6_sign_flip", f"WITH {_Q} SELECT curve_id, run::INT AS run, count(*) AS n, R6(sum(CASE WHEN {uniform_sql(9, name_sql('curve_id'), 'run', 'i')} < 0.5 THEN r ELSE -r END)) AS total FROM q, range(5) t(run) GROUP BY 1, 2", "v_returns")
 def v6s(spark, sf):
     return sign_flip(_rets(spark, sf), 5, seed=9).groupBy("curve_id", "run").agg(F.count("*").alias("n"), r(F.sum("ret")).alias("total"))
 
 
-@query("v7_bootstrap_metrics")
+def _vector_sql(col: str) -> str:
+    """Sharpe, growth a year and largest drawdown of each drawn path, at 365 periods a year."""
+    return f"""(SELECT curve_id, run, avg({col}) * 365 / (stddev_samp({col}) * sqrt(365.0::DOUBLE)) AS sharpe, pow(exp(sum(ln(1 + {col}))), 365.0::DOUBLE / count(*)) - 1 AS cagr, max(1 - c / top) AS max_drawdown FROM
+      (SELECT *, greatest(1, max(c) OVER w) AS top FROM (SELECT *, exp(sum(ln(1 + {col})) OVER (PARTITION BY curve_id, run ORDER BY j ROWS UNBOUNDED PRECEDING)) AS c FROM dr) WINDOW w AS (PARTITION BY curve_id, run ORDER BY j ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2)"""
+
+
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT curve_id, run, '{n}' AS metric, {n} AS value FROM m" for n in NAMES) + ")"
+
+
+@query("v7_bootstrap_metrics", f"WITH {_Q}, {_drawn_sql('circular', 50, 1)}, m AS {_vector_sql('r')}, {_LONG} SELECT curve_id, metric, count(*) AS n, R6(avg(value)) AS mean, R6(stddev_samp(value)) AS sd, R6(quantile_cont(value, 0.05)) AS p05, R6(quantile_cont(value, 0.5)) AS p50, R6(quantile_cont(value, 0.95)) AS p95 FROM long GROUP BY 1, 2", "v_returns")
 def v7(spark, sf):
     s = bootstrap_metrics(_rets(spark, sf), 50, 365.0, seed=1)
     return s.select("curve_id", "metric", "n", r("mean"), r("sd"), r("p05"), r("p50"), r("p95"))
 
 
-@query("v8_bootstrap_compare")
+_BOTH = """ab AS (SELECT 'both' AS curve_id, x.r AS a, y.r AS b, row_number() OVER (ORDER BY x.ts_ns) - 1 AS i, count(*) OVER () AS n FROM v_returns x JOIN v_returns y ON x.ts_ns = y.ts_ns AND x.curve_id = '1-URGENT' AND y.curve_id = '2-HIGH' WHERE x.r IS NOT NULL AND y.r IS NOT NULL)"""
+
+
+@query(
+    "v8_bootstrap_compare",
+    f"""WITH {_BOTH}, {_drawn_sql('circular', 50, 2, 'ab')}, ma AS {_vector_sql('a')}, mb AS {_vector_sql('b')}, m AS (SELECT ma.curve_id, ma.run, {', '.join(f'mb.{n} - ma.{n} AS {n}' for n in NAMES)} FROM ma JOIN mb ON ma.run = mb.run), {_LONG}
+    SELECT metric, count(*) AS n, R6(avg(value)) AS mean, R6(stddev_samp(value)) AS sd, R6(quantile_cont(value, 0.05)) AS p05, R6(quantile_cont(value, 0.95)) AS p95 FROM long GROUP BY 1""",
+    "v_returns",
+)
 def v8(spark, sf):
     q = _rets(spark, sf)
     a, b = q.where("curve_id = '1-URGENT'").select("ts_ns", F.col("ret").alias("a")), q.where("curve_id = '2-HIGH'").select("ts_ns", F.col("ret").alias("b"))
@@ -234,6 +444,13 @@ def v10(spark, sf):
     return t.crossJoin(F.broadcast(stress_presets(spark))).select("scenario", "symbol", r(F.col("p") * (1 + F.col("gap"))).alias("gapped"))
 
 
-@query("v11_conditional_stress")
+@query(
+    "v11_conditional_stress",
+    f"""WITH {_Q}, sm AS (SELECT *, sum(ln(1 + r)) OVER w AS s, count(*) OVER w AS c FROM q WINDOW w AS (PARTITION BY curve_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    rk AS (SELECT curve_id, i, row_number() OVER (PARTITION BY curve_id ORDER BY s, i) - 1 AS rank, count(*) OVER (PARTITION BY curve_id) AS m FROM sm WHERE c = 20), wo AS (SELECT * FROM rk WHERE rank < greatest(1, floor(m * 0.1::DOUBLE))),
+    pk AS (SELECT curve_id, count(*) AS k FROM wo GROUP BY 1), pl AS (SELECT curve_id, k, run, unnest(range((SELECT any_value(n) FROM q WHERE q.curve_id = pk.curve_id))) AS j FROM pk, range(10) t(run)),
+    st AS (SELECT curve_id, run, j, floor({uniform_sql(6, name_sql('curve_id'), 'run', 'j // 20')} * k)::BIGINT AS rank FROM pl), dr AS (SELECT st.curve_id, st.run, q.i, q.r FROM st JOIN wo ON wo.curve_id = st.curve_id AND wo.rank = st.rank JOIN q ON q.curve_id = st.curve_id AND q.i = wo.i + st.j % 20) {_STATS}""",
+    "v_returns",
+)
 def v11(spark, sf):
     return _moments(conditional_stress(_rets(spark, sf), 0.1, 20, 10, seed=6))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
+from tickspark.functions.stretches import scan
 from tickspark.functions.special import normal_pdf, normal_quantile
 from tickspark.plans.catalog import nav, query, r
 
@@ -42,19 +43,24 @@ def var_garch(rets: DataFrame, keys: list[str], c: float) -> DataFrame:
     """Normal VaR with the deviation that a fitted GARCH forecasts for the next period."""
     from .models import garch_fit
 
-    fit = garch_fit(rets, keys)
-    met = rets.join(F.broadcast(fit), keys)
+    own = rets.join(rets.groupBy(*keys).agg(F.avg("ret").alias("mean")), keys)
+    last = _garch_next(own, garch_fit(rets, keys), keys).groupBy(*keys).agg(F.max_by("_next", "ts_ns").alias("sd"), F.first("mean").alias("mean"))
+    return _normal(last, c)
 
-    def f(p: pd.DataFrame) -> dict:
+
+def _garch_next(rets: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """``_next``: the deviation that each key's GARCH forecasts after each return; null without a fit."""
+    met = rets.join(fit.select(*keys, "omega", "alpha", "beta"), keys, "left")
+
+    def step(state, p: pd.DataFrame):
         o, a, b = (p[x].iloc[0] for x in ("omega", "alpha", "beta"))
         if pd.isna(o):
-            return {"next": np.full(len(p), np.nan)}
-        x = p["ret"].to_numpy() - p["ret"].mean()
-        s = K.garch_filter(x, o, a, b)
-        return {"next": o + a * x * x + b * s}
+            return state, {"_next": np.full(len(p), np.nan)}
+        x = (p["ret"] - p["mean"]).to_numpy()
+        state, s = K.garch_filter(state, x, o, a, b)
+        return state, {"_next": np.sqrt(o + a * x * x + b * s)}
 
-    last = K.per_key(met, keys, ["ts_ns"], f, "next double").groupBy(*keys).agg(F.max_by("next", "ts_ns").alias("_v"), F.avg("ret").alias("mean"))
-    return _normal(last.withColumn("sd", F.sqrt("_v")), c).drop("_v")
+    return scan(met, keys, ["ts_ns"], step, "_next double").withColumn("_next", F.nanvl("_next", F.lit(None).cast("double"))).drop("omega", "alpha", "beta")
 
 
 def scale_var(df: DataFrame, days: int, value: Column) -> DataFrame:
@@ -89,9 +95,9 @@ def pretrade_check(orders: DataFrame, positions: DataFrame, accounts: DataFrame,
     """``problem`` of each order against its account's state; an order that only reduces risk passes.
 
     ``orders``: account, symbol, signed_quantity, price; ``positions``: account, symbol, position;
-    ``accounts``: account, nav, gross, drawdown (bounded).
+    ``accounts``: account, nav, gross, drawdown.
     """
-    o = orders.join(positions.select("account", "symbol", F.col("position").alias("_held")), ["account", "symbol"], "left").join(F.broadcast(accounts), "account", "left")
+    o = orders.join(positions.select("account", "symbol", F.col("position").alias("_held")), ["account", "symbol"], "left").join(accounts, "account", "left")
     held = F.coalesce("_held", F.lit(0.0))
     after = held + F.col("signed_quantity")
     reduces = (F.abs(after) < F.abs(held)) & (after * held >= 0)
@@ -121,14 +127,20 @@ def circuit_states(snapshots: DataFrame, limit: float, cooldown_ns: int, key: st
     return e.withColumn("circuit", F.when(F.col("tripped_at").isNull(), "armed").when(F.col("ts_ns") - F.col("tripped_at") < cooldown_ns, "tripped").otherwise("recovering"))
 
 
-def correlation_status(df: DataFrame, threshold: float = 0.3, slow: int = 60, fast: int = 10, key: str = "pair") -> DataFrame:
+def correlation_status(df: DataFrame, threshold: float = 0.3, slow: int = 60, fast: int = 10, key: str = "pair", length: int | None = None) -> DataFrame:
     """sign_flip (signs differ and the fast one is above the threshold), broken, weakening or stable."""
 
-    def f(p: pd.DataFrame) -> dict:
-        x = p["corr"].to_numpy()
-        return {"slow": K.ewma(x, slow), "fast": K.ewma(x, fast)}
+    def step(name: str, period: int):
+        def run(state, p: pd.DataFrame):
+            state, mean, _ = K.ewma(state, p["corr"].to_numpy(), period)
+            return state, {name: mean}
 
-    d = K.per_key(df, [key], ["ts_ns"], f, "slow double, fast double").withColumn("drop", F.abs(F.col("slow") - F.col("fast")))
+        return run
+
+    d = df
+    for name, period in (("slow", slow), ("fast", fast)):
+        d = scan(d, [key], ["ts_ns"], step(name, period), f"{name} double", K.ewma_carry("corr", period), length)
+    d = d.withColumn("drop", F.abs(F.col("slow") - F.col("fast")))
     flip = (F.col("slow") * F.col("fast") < 0) & (F.abs("fast") > threshold)
     return d.withColumn("status", F.when(flip, "sign_flip").when(F.col("drop") >= threshold, "broken").when(F.col("drop") >= threshold / 2, "weakening").otherwise("stable"))
 
@@ -191,15 +203,7 @@ def exposures_at(curve: DataFrame, positions: DataFrame, key: str = "curve_id")
 
 def _garch_sd(rets: DataFrame, garch: DataFrame, key: str) -> DataFrame:
     """R4 per update: the deviation that the given GARCH (key, omega, alpha, beta) forecasts after each return."""
-
-    def f(p: pd.DataFrame) -> dict:
-        o, a, b = (p[x].iloc[0] for x in ("omega", "alpha", "beta"))
-        x = (p["ret"] - p["mean"]).to_numpy()
-        return {"_next": np.full(len(p), np.nan) if pd.isna(o) else np.sqrt(o + a * x * x + b * K.garch_filter(x, o, a, b))}
-
-    met = rets.join(F.broadcast(garch.select(key, "omega", "alpha", "beta")), key, "left")
-    d = K.per_key(met, [key], ["ts_ns"], f, "_next double")
-    return d.withColumn("sd", F.coalesce(F.nanvl("_next", F.lit(None).cast("double")), "sd")).drop("_next", "omega", "alpha", "beta")
+    return _garch_next(rets, garch, [key]).withColumn("sd", F.coalesce("_next", "sd")).drop("_next")
 
 
 def risk_monitor(
@@ -316,13 +320,23 @@ def r9(spark, sf):
 
 
 def _corrs(spark, sf):
-    from .pairs import _last, _pairs
-    from .windows import rolling_corr
+    from .pairs import _pairs
+    from .windows import over_last, with_corr
+
+    return over_last(_pairs(spark, sf), 20, lambda d, w: with_corr(d, "y", "x", w), "pair", ("ts_ns",)).select("pair", "ts_ns", "corr")
+
+
+def _status_sql() -> str:
+    from .pairs import _PAIRS
 
-    return _pairs(spark, sf).withColumn("corr", rolling_corr("y", "x", _last("pair", 20))).select("pair", "ts_ns", "corr")
+    return f"""WITH RECURSIVE {_PAIRS}, w AS (SELECT *, coalesce(covar_samp(y, x) OVER w, 0) AS cov, sqrt(coalesce(var_samp(y) OVER w, 0) * coalesce(var_samp(x) OVER w, 0)) AS den FROM p WINDOW w AS (PARTITION BY pair ORDER BY ts_ns ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+      c AS (SELECT pair, ts_ns, CASE WHEN den < 1e-12 THEN 0 ELSE greatest(-1, least(1, cov / den)) END AS corr, row_number() OVER (PARTITION BY pair ORDER BY ts_ns) AS i FROM w),
+      e(pair, ts_ns, i, s, f) AS (SELECT DISTINCT pair, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM c UNION ALL SELECT c.pair, c.ts_ns, c.i, 59.0::DOUBLE / 61 * e.s + 2.0::DOUBLE / 61 * corr, 9.0::DOUBLE / 11 * e.f + 2.0::DOUBLE / 11 * corr FROM e JOIN c ON c.pair = e.pair AND c.i = e.i + 1),
+      m AS (SELECT pair, ts_ns, s / (1 - pow(59.0::DOUBLE / 61, i)) AS slow, f / (1 - pow(9.0::DOUBLE / 11, i)) AS fast FROM e WHERE i > 0)
+      SELECT pair, ts_ns, R6(slow) AS slow, R6(fast) AS fast, CASE WHEN slow * fast < 0 AND abs(fast) > 0.2 THEN 'sign_flip' WHEN abs(slow - fast) >= 0.2 THEN 'broken' WHEN abs(slow - fast) >= 0.1 THEN 'weakening' ELSE 'stable' END AS status FROM m"""
 
 
-@query("r10_correlation_status")
+@query("r10_correlation_status", _status_sql(), "v_series")
 def r10(spark, sf):
     return correlation_status(_corrs(spark, sf), 0.2).select("pair", "ts_ns", r("slow"), r("fast"), "status")
 

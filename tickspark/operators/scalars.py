@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.plans.catalog import DAY, HOUR, MINUTE, SECOND, nav, query, r, table
 
-from .performance import drawdown_episodes, nav_returns, safe, underwater, worst
+from .performance import _EPS, drawdown_episodes, nav_returns, safe, underwater, worst
 
 UNITS = {"ms": 1_000_000, "s": SECOND, "m": MINUTE, "h": HOUR, "d": DAY}
 
@@ -50,7 +50,7 @@ def normalize(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-@query("z1_worst_drawdowns")
+@query("z1_worst_drawdowns", f"WITH {_EPS} SELECT curve_id, peak_ts, R6(depth) AS depth FROM eps QUALIFY row_number() OVER (PARTITION BY curve_id ORDER BY depth DESC, peak_ts) <= 3", "v_nav")
 def z1(spark, sf):
     return worst(drawdown_episodes(nav(spark, sf)), 3, "depth", "curve_id").select("curve_id", "peak_ts", r("depth"))
 

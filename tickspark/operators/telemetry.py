@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions import kernels as K
+from tickspark.functions.stretches import numbered, scan
 from tickspark.plans.catalog import SECOND, latency, nav, query, r, table
 
 from .performance import safe
@@ -103,11 +103,12 @@ def alert_states(ts: np.ndarray, window_ns: int, first: int | None = None, count
 def dedup_alerts(raises: DataFrame, window_ns: int = 30 * SECOND) -> DataFrame:
     """``notify`` and the running count of each code."""
 
-    def f(p: pd.DataFrame) -> dict:
-        notify, counts, _, _ = alert_states(p["ts_ns"].to_numpy(), window_ns)
-        return {"notify": notify, "count": counts}
+    def step(state, p: pd.DataFrame):
+        first, count = state or (None, 0)
+        notify, counts, first, count = alert_states(p["ts_ns"].to_numpy(), window_ns, first, count)
+        return (first, count), {"notify": notify, "count": counts}
 
-    return K.per_key(raises, ["code"], ["ts_ns", "seq"], f, "notify boolean, count long")
+    return scan(raises, ["code"], ["ts_ns", "seq"], step, "notify boolean, count long")
 
 
 def active_alerts(deduped: DataFrame) -> DataFrame:
@@ -141,16 +142,16 @@ def runtime_summary(df: DataFrame) -> DataFrame:
 def seal(audit: DataFrame, order: str = "sequence") -> DataFrame:
     """Test data for L10: ``canonical`` rows with a stored hash that covers the one before, chained per file in order."""
 
-    def f(p: pd.DataFrame) -> dict:
+    def step(state, p: pd.DataFrame):
         import hashlib
 
-        out, before = [], b"\x00" * 32
+        out, before = [], state[0] if state else b"\x00" * 32
         for c in p["canonical"]:
             before = hashlib.sha256(before + bytes(c)).digest()
             out.append(before)
-        return {"chain_hash": out}
+        return (before,), {"chain_hash": out}
 
-    return K.per_key(audit, ["file"], [order], f, "chain_hash binary")
+    return scan(audit, ["file"], [order], step, "chain_hash binary")
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:
@@ -170,9 +171,16 @@ def first_break(verified: DataFrame) -> DataFrame:
 
 
 def verify_files(heads: DataFrame) -> DataFrame:
-    """Each file's stored previous hash against the head of the file before."""
-    w = Window.orderBy("file")
-    return heads.withColumn("linked", F.coalesce(F.col("previous_hash") == F.lag("head_hash").over(w), F.lit(True)))
+    """Each file's stored previous hash against the head of the file before, met by the files' numbers in order."""
+    met = _with_previous(heads)
+    return met.withColumn("linked", F.coalesce(F.col("previous_hash") == F.col("_before"), F.lit(True))).drop("_before")
+
+
+def _with_previous(heads: DataFrame) -> DataFrame:
+    """``heads`` with ``_before``, the head of the file before."""
+    placed = numbered(heads, ["file"], "_i")
+    before = placed.select((F.col("_i") + 1).alias("_i"), F.col("head_hash").alias("_before"))
+    return placed.join(before, "_i", "left").drop("_i")
 
 
 def audit_tail(audit: DataFrame, n: int) -> DataFrame:
@@ -297,8 +305,7 @@ def l10(spark, sf):
 def l11(spark, sf):
     a = _audit(spark, sf).withColumn("file", F.concat(F.lit("log-"), F.lpad(F.floor(F.col("sequence") / 1000).cast("string"), 9, "0")))
     heads = a.groupBy("file").agg(F.max_by("chain_hash", "sequence").alias("head_hash"))
-    w = Window.orderBy("file")
-    heads = heads.withColumn("previous_hash", F.when(F.col("file") == "log-000000003", F.unhex(F.lit("00"))).otherwise(F.lag("head_hash").over(w)))
+    heads = _with_previous(heads).withColumn("previous_hash", F.when(F.col("file") == "log-000000003", F.unhex(F.lit("00"))).otherwise(F.col("_before"))).drop("_before")
     return verify_files(heads).select("file", "linked")
 
 

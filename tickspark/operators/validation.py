@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
 from tickspark.functions import special as S
-from tickspark.plans.catalog import DAY, nav, query, r, series
+from tickspark.functions.stretches import numbered, scan
+from tickspark.plans.catalog import DAY, nav, query, r, series, table
 
-from .performance import metrics, nav_returns, safe, summarize
-from .resample import uniform
+from .performance import _VECTOR, metrics, nav_returns, safe, summarize
+from .resample import uniform, uniform_sql
 
 
 def param_grid(spark: SparkSession, space: dict[str, list[float]], max_points: int = 100_000) -> DataFrame:
@@ -42,37 +46,53 @@ def _gaps(values: Column, name: str) -> Column:
 
 
 def param_sample(spark: SparkSession, bounds: dict[str, tuple[float, float]], n: int, seed: int = 0, latin: bool = False) -> DataFrame:
-    """O2: hashed uniforms in the bounds; ``latin`` puts one point into each of n strata of every parameter."""
+    """O2: hashed uniforms in the bounds; ``latin`` puts one point into each of n strata of every parameter.
+
+    A parameter walks through the strata with a stride of its own that has no factor in common with n, so each is
+    met once and no order of all points is needed.
+    """
     out = spark.range(n).withColumnRenamed("id", "point")
     for k, (name, (lo, hi)) in enumerate(bounds.items()):
         u = uniform(seed + k, "point")
         if latin:
-            stratum = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1000 + k), "point"))) - 1
+            stratum = F.pmod(F.col("point") * stride(n, seed + k) + (seed + 1) * 7919 * (k + 1), F.lit(n))
             u = (stratum + u) / n
         out = out.withColumn(name, lo + (hi - lo) * u)
     return out
 
 
+def stride(n: int, seed: int) -> int:
+    """The first number from a hashed one on that has no factor in common with ``n``."""
+    at = 1 + (seed * 48271 + 1299709) % max(n, 1)
+    while math.gcd(at, n) != 1:
+        at += 1
+    return at
+
+
 def sweep_signals(spreads: DataFrame, grid: DataFrame, key: str = "pair") -> DataFrame:
     """O3: the P&L of each (pair, entry, exit, stop): position after each z times the next change of the spread."""
-    schema = f"{key} string, entry double, exit double, stop double, n long, trades long, pnl double, sd double"
+    keys = [key, "entry", "exit", "stop"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_ns", kind="stable")
-        e, x, s = (float(pdf[c].iloc[0]) for c in ("entry", "exit", "stop"))
-        held, signal = K.reversion(pdf["z"].to_numpy(), e, x, s)
-        gain = held[:-1] * np.diff(pdf["spread"].to_numpy())
-        sd = float(gain.std(ddof=1)) if len(gain) > 1 else 0.0
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "entry": [e], "exit": [x], "stop": [s], "n": [len(pdf)], "trades": [int((np.abs(signal) == 1).sum())], "pnl": [float(gain.sum())], "sd": [sd]})
+    def step(state, p: pd.DataFrame):
+        before, spread = (state[0], state[1]) if state else (0, np.nan)
+        values, z = p["spread"].to_numpy(), p["z"].to_numpy()
+        _, held, signal = K.reversion((before,) if state else None, z, *(float(p[c].iloc[0]) for c in ("entry", "exit", "stop")))
+        gain = np.concatenate(([before], held[:-1])) * np.diff(values, prepend=spread)
+        return (int(held[-1]), float(values[-1])), {"gain": gain, "enters": np.abs(signal) == 1}
 
-    return spreads.crossJoin(F.broadcast(grid)).groupBy(key, "entry", "exit", "stop").applyInPandas(run, schema)
+    made = scan(spreads.crossJoin(F.broadcast(grid)), keys, ["ts_ns"], step, "gain double, enters boolean")  # the grid is bounded by param_grid
+    gain = F.when(~F.isnan("gain"), F.col("gain"))
+    return made.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("enters").alias("trades"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("pnl"), F.coalesce(F.stddev_samp(gain), F.lit(0.0)).alias("sd"))
 
 
 def rank_trials(trials: DataFrame, score: str = "score") -> DataFrame:
-    """Rank with failures last (NaN, null and +infinity count as -infinity), best first."""
-    c = F.col(score)
-    fixed = F.when(c.isNull() | F.isnan(c) | (c == float("inf")), float("-inf")).otherwise(c)
-    return trials.withColumn("_s", fixed).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_s"), "trial"))).drop("_s")
+    """Rank with failures last (NaN, null and +infinity count as -infinity), best first; no task sees all trials."""
+    return numbered(trials.withColumn("_s", fixed_score(F.col(score))), [F.desc("_s"), "trial"], "rank").drop("_s")
+
+
+def fixed_score(c: Column) -> Column:
+    """What is no number, or +infinity, must never outrank one that is: it becomes -infinity."""
+    return F.when(c.isNull() | F.isnan(c) | (c == float("inf")), float("-inf")).otherwise(c)
 
 
 def trial_summary(trials: DataFrame, score: str = "score") -> DataFrame:
@@ -82,19 +102,30 @@ def trial_summary(trials: DataFrame, score: str = "score") -> DataFrame:
     return trials.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"), F.max_by("trial", F.when(ok, c)).alias("best"), F.stddev_samp(F.when(ok, c)).alias("score_sd"))
 
 
-def objective(name: str, weight: float = 0.5, min_trades: int = 1) -> Column:
-    """A score from a row of metrics."""
-    plain = {"sharpe": "sharpe", "sortino": "sortino", "calmar": "calmar", "annual_return": "ann_return", "total_return": "total_return"}
-    if name in plain:
-        return F.col(plain[name])
+PLAIN = {"sharpe": "sharpe", "sortino": "sortino", "calmar": "calmar", "annual_return": "ann_return", "total_return": "total_return"}
+
+
+def objective(name: str | Callable[[], Column], base: str | Column = "sharpe", weight: float = 0.5, min_trades: int = 1, min_periods: int = 0, trades: str = "n_trades") -> Column:
+    """A score from a row of metrics.
+
+    ``return_over_drawdown`` is the annual return over the largest drawdown, 0 where that is 1e-12 or less.
+    ``penalized`` takes ``weight`` times the drawdown from ``base``; ``require_activity`` is ``base`` where there are
+    ``min_periods`` and, in the column ``trades``, ``min_trades``, else -infinity. ``base`` is a name or a column, and a
+    function instead of a name is a custom objective.
+    """
+    if callable(name):
+        return name()
+    if name in PLAIN:
+        return F.col(PLAIN[name])
     if name == "min_drawdown":
         return -F.col("max_drawdown")
     if name == "return_over_drawdown":
-        return safe(F.col("total_return"), F.col("max_drawdown"))
+        return F.when(F.col("max_drawdown") <= 1e-12, 0.0).otherwise(F.col("ann_return") / F.col("max_drawdown"))
+    inner = objective(base) if isinstance(base, str) else base
     if name == "penalized":
-        return F.col("sharpe") - weight * F.col("max_drawdown")
+        return inner - weight * F.col("max_drawdown")
     if name == "require_activity":
-        return F.when(F.col("n_periods") * F.col("time_in_market") >= min_trades, F.col("sharpe")).otherwise(float("-inf"))
+        return F.when((F.col("n_periods") < min_periods) | (F.col(trades) < min_trades), float("-inf")).otherwise(inner)
     raise ValueError(f"unknown objective {name!r}")
 
 
@@ -114,7 +145,7 @@ def stitch_nav(curves: DataFrame, key: str = "curve_id") -> DataFrame:
     before = F.sum(F.ln(F.when(F.col("_b") > 0, F.col("_b") / F.col("_a")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     start = F.first("_a").over(w.rowsBetween(Window.unboundedPreceding, 0))
     scaled = ends.withColumn("_k", start * F.exp(F.coalesce(before, F.lit(0.0))) / F.col("_a"))
-    return curves.join(F.broadcast(scaled.select(key, "fold", "_k")), [key, "fold"]).withColumn("nav", F.col("nav") * F.col("_k")).drop("_k")
+    return curves.join(scaled.select(key, "fold", "_k"), [key, "fold"]).withColumn("nav", F.col("nav") * F.col("_k")).drop("_k")
 
 
 def walk_forward_report(results: DataFrame, curves: DataFrame | None = None) -> DataFrame:
@@ -134,7 +165,7 @@ def walk_forward_report(results: DataFrame, curves: DataFrame | None = None) ->
     finite = F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score)
     folds = results.groupBy("fold").agg(F.count("*").alias("n"), F.coalesce(F.stddev_samp(finite), F.lit(0.0)).alias("sd"))
     charge = folds.agg(F.sum("n").cast("double").alias("trials"), F.avg("sd").alias("_sd")).select("trials", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0).alias("trial_sd"))
-    stitched = stitch_nav(curves.join(F.broadcast(best.select("fold", "point")), ["fold", "point"]).select(F.lit("oos").alias("curve_id"), "fold", "ts_ns", "nav"))
+    stitched = stitch_nav(curves.join(best.select("fold", "point"), ["fold", "point"]).select(F.lit("oos").alias("curve_id"), "fold", "ts_ns", "nav"))
     of = metrics(nav_returns(stitched), stitched).select(F.col("sharpe").alias("sr"), F.col("n_periods").alias("n"), F.col("skewness").alias("skew"), F.col("excess_kurtosis").alias("kurt"))
     return g.crossJoin(F.broadcast(deflated_sharpe(of.crossJoin(F.broadcast(charge)), F.col("trials"), F.col("trial_sd")).select("trials", F.col("sr").alias("oos_sharpe"), "deflated")))
 
@@ -184,26 +215,31 @@ EULER = 0.5772156649015329
 
 
 def expected_max_sharpe(n: Column, sd: Column) -> Column:
-    """Of n independent trials without skill."""
-    q = lambda p: S.normal_quantile(p)
-    return F.when(n < 2, 0.0).otherwise(sd * ((1 - EULER) * q(1 - 1 / n) + EULER * q(1 - F.exp(F.lit(-1.0)) / n)))
+    """Of n independent trials without skill, n being 2 at least."""
+    m = F.greatest(n.cast("double"), F.lit(2.0))
+    return sd * ((1 - EULER) * S.normal_quantile(1 - 1 / m) + EULER * S.normal_quantile(1 - F.exp(F.lit(-1.0)) / m))
 
 
 def sharpe_se(sr: Column, n: Column, skew: Column, kurt: Column) -> Column:
-    """``kurt`` is the excess kurtosis."""
-    return F.sqrt(F.greatest(1 - skew * sr + (kurt + 2) / 4 * sr * sr, F.lit(1e-12)) / (n - 1))
+    """``kurt`` is the excess kurtosis; 0 where the variance is not positive."""
+    v = (1 - skew * sr + kurt / 4 * sr * sr) / (F.greatest(n.cast("double"), F.lit(2.0)) - 1)
+    return F.when(v > 0, F.sqrt(F.when(v > 0, v))).otherwise(0.0)
 
 
-def deflated_sharpe(df: DataFrame, trials: int | Column, trial_sd: float | Column) -> DataFrame:
+def deflated_sharpe(df: DataFrame, trials: int | Column, trial_sd: float | Column, target: Column | None = None) -> DataFrame:
     """Chance that the Sharpe beats the best of ``trials``, the haircut and the shortest track that would do.
 
-    ``df``: sr, n, skew, kurt per period.
+    ``df``: sr, n, skew, kurt per period. Without a standard error the chance is 1 or 0. ``min_track`` is the number of
+    years in which ``target`` (the Sharpe itself by default) exceeds what the best of trials without skill shows:
+    null where it is not positive, since no length would do.
     """
-    floor_ = expected_max_sharpe(trials if isinstance(trials, Column) else F.lit(float(trials)), trial_sd if isinstance(trial_sd, Column) else F.lit(trial_sd))
-    se = sharpe_se(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"))
-    d = df.withColumn("expected_max", floor_).withColumn("se", se).withColumn("deflated", S.normal_cdf((F.col("sr") - F.col("expected_max")) / F.col("se"))).withColumn("haircut", F.greatest(F.lit(0.0), F.col("sr") - F.col("expected_max")))
-    gap = F.col("sr") - F.col("expected_max")
-    return d.withColumn("min_track", F.when(gap > 0, 1 + F.pow(F.col("se"), F.lit(2)) * (F.col("n") - 1) * F.pow(S.normal_quantile(F.lit(0.95)) / F.when(gap > 0, gap), F.lit(2))))
+    trials = trials if isinstance(trials, Column) else F.lit(float(trials))
+    best = expected_max_sharpe(trials, trial_sd if isinstance(trial_sd, Column) else F.lit(float(trial_sd)))
+    d = df.withColumn("expected_max", best).withColumn("se", sharpe_se(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt")))
+    gap, aim = F.col("sr") - F.col("expected_max"), F.col("sr") if target is None else target
+    chance = F.when(F.col("se") <= 0, F.when(gap > 0, 1.0).otherwise(0.0)).otherwise(S.normal_cdf(gap / F.when(F.col("se") > 0, F.col("se"))))
+    ratio = expected_max_sharpe(trials, F.lit(1.0)) / F.when(aim > 0, aim)
+    return d.withColumn("deflated", chance).withColumn("haircut", F.greatest(F.lit(0.0), gap)).withColumn("min_track", ratio * ratio)
 
 
 def pbo(ranks: DataFrame) -> DataFrame:
@@ -211,11 +247,42 @@ def pbo(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.avg(F.when(F.col("rank") < 0.5, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("splits"))
 
 
+def moments(rets: DataFrame, groups: list[str], key: str = "curve_id") -> DataFrame:
+    """(groups, a, b, n, mean_a, cov, sd_a, sd_b) of every two members over their common times.
+
+    Each time's members meet once, as one row; tasks add up members x members sums, which Spark adds by pair.
+    """
+    rows = rets.groupBy(*groups, "ts_ns").agg(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col("ret").cast("double").alias("v"))).alias("m"))
+    head = [rets.schema[g] for g in groups]
+    names = ("n", "sa", "sb", "saa", "sbb", "sab")
+    schema = T.StructType([*head, *T._parse_datatype_string("a string, b string, " + ", ".join(f"{c} double" for c in names)).fields])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            parts = [((), pdf)] if not groups else [(g if isinstance(g, tuple) else (g,), p) for g, p in pdf.groupby(groups, dropna=False)]
+            for g, part in parts:
+                who = np.concatenate([[x["k"] for x in m] for m in part["m"]])
+                row = np.repeat(np.arange(len(part)), [len(m) for m in part["m"]])
+                code, members = pd.factorize(who, sort=True)
+                x, held = np.zeros((len(part), len(members))), np.zeros((len(part), len(members)))
+                x[row, code] = np.concatenate([[y["v"] for y in m] for m in part["m"]])
+                held[row, code] = 1.0
+                sq = x * x
+                tables = (held.T @ held, x.T @ held, held.T @ x, sq.T @ held, held.T @ sq, x.T @ x)
+                k = len(members)
+                yield pd.DataFrame({**{c: [v] * (k * k) for c, v in zip(groups, g, strict=True)}, "a": np.repeat(members, k), "b": np.tile(members, k), **{c: t.ravel() for c, t in zip(names, tables, strict=True)}})[schema.names]
+
+    g = rows.mapInPandas(sums, schema).groupBy(*groups, "a", "b").agg(*[F.sum(c).alias(c) for c in names]).where("n > 0")
+    var = lambda s, q: F.when(F.col("n") > 1, F.greatest(F.col(q) - F.col(s) * F.col(s) / F.col("n"), F.lit(0.0)) / F.when(F.col("n") > 1, F.col("n") - 1))
+    cov = F.when(F.col("n") > 1, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1))
+    return g.select(*groups, "a", "b", F.col("n").cast("long").alias("n"), (F.col("sa") / F.col("n")).alias("mean_a"), cov.alias("cov"), F.sqrt(var("sa", "saa")).alias("sd_a"), F.sqrt(var("sb", "sbb")).alias("sd_b"))
+
+
 def cov_matrix(rets: DataFrame, key: str = "curve_id") -> DataFrame:
     """Covariance and correlation of every two members over their common times."""
-    a, b = rets.select(F.col(key).alias("a"), "ts_ns", F.col("ret").alias("x")), rets.select(F.col(key).alias("b"), "ts_ns", F.col("ret").alias("y"))
-    g = a.join(b, "ts_ns").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.stddev_samp("x").alias("_sx"), F.stddev_samp("y").alias("_sy"), F.count("*").alias("n"))
-    return g.withColumn("corr", safe(F.col("cov"), F.col("_sx") * F.col("_sy"))).drop("_sx", "_sy")
+    return moments(rets, [], key).select("a", "b", "cov", "n", safe(F.col("cov"), F.col("sd_a") * F.col("sd_b")).alias("corr"))
 
 
 def _weights(names: list, cov: np.ndarray, mean: np.ndarray, method: str, custom: dict | None = None) -> np.ndarray:
@@ -244,26 +311,26 @@ def _weights(names: list, cov: np.ndarray, mean: np.ndarray, method: str, custom
 def ensemble_weights(rets: DataFrame, method: str, groups: list[str] | None = None, custom: dict | None = None, key: str = "curve_id") -> DataFrame:
     """One weight per member (and group): Spark folds the moments, one task per group solves k by k."""
     groups = groups or []
-    a, b = rets.select(*groups, F.col(key).alias("a"), "ts_ns", F.col("ret").alias("x")), rets.select(*groups, F.col(key).alias("b"), "ts_ns", F.col("ret").alias("y"))
-    cov = a.join(b, [*groups, "ts_ns"]).groupBy(*groups, "a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.avg("x").alias("mean"))
+    cov = moments(rets, groups, key).withColumnRenamed("mean_a", "mean")
     head = "".join(f"{g} {rets.schema[g].dataType.simpleString()}, " for g in groups)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf["a"].unique())
         c = pdf.pivot(index="a", columns="b", values="cov").loc[names, names].fillna(0.0).to_numpy()
-        m = pdf.groupby("a")["mean"].first().loc[names].to_numpy()
+        m = pdf[pdf["a"] == pdf["b"]].set_index("a")["mean"].loc[names].to_numpy()
         out = pd.DataFrame({key: names, "weight": _weights(names, c, m, method, custom)})
         for g in reversed(groups):
             out.insert(0, g, pdf[g].iloc[0])
         return out
 
+    # A group holds members x members numbers, whatever the length of their curves.
     return (cov if groups else cov.withColumn("_g", F.lit(0))).groupBy(*(groups or ["_g"])).applyInPandas(solve, f"{head}{key} string, weight double")
 
 
 def combine(rets: DataFrame, weights: DataFrame, key: str = "curve_id") -> DataFrame:
     """The return of the weighted whole at times that all members have."""
     n = weights.agg(F.count("*").alias("_k"))
-    c = rets.join(F.broadcast(weights), key).groupBy("ts_ns").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"), F.count("*").alias("_n"))
+    c = rets.join(weights, key).groupBy("ts_ns").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"), F.count("*").alias("_n"))
     return c.crossJoin(F.broadcast(n)).where("_n = _k").select(F.lit("ensemble").alias(key), "ts_ns", "ret")
 
 
@@ -271,23 +338,37 @@ def ensemble_report(rets: DataFrame, weights: DataFrame, key: str = "curve_id")
     """Per member its weight, risk contribution and the Sharpe that it adds; and the whole's figures beside them."""
     cov = cov_matrix(rets, key)
     wa, wb = weights.select(F.col(key).alias("a"), F.col("weight").alias("wa")), weights.select(F.col(key).alias("b"), F.col("weight").alias("wb"))
-    met = cov.join(F.broadcast(wa), "a").join(F.broadcast(wb), "b")
+    met = cov.join(wa, "a").join(wb, "b")
     whole = met.agg(F.sum(F.col("wa") * F.col("wb") * F.col("cov")).alias("variance"), F.sum(F.when(F.col("a") == F.col("b"), F.col("wa") * F.sqrt("cov"))).alias("_vol"), F.avg(F.when(F.col("a") < F.col("b"), F.col("corr"))).alias("average_corr"), (1 / F.sum(F.when(F.col("a") == F.col("b"), F.col("wa") * F.col("wa")))).alias("effective_n"))
     part = met.groupBy(F.col("a").alias(key)).agg(F.first("wa").alias("weight"), F.sum(F.col("wa") * F.col("wb") * F.col("cov")).alias("_part"))
     all_ = combine(rets, weights, key).agg(safe(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"))
-    members = weights.select(F.col(key).alias("left_out"))
-    rest = rets.join(F.broadcast(weights), key).crossJoin(F.broadcast(members)).where(F.col(key) != F.col("left_out"))
-    rest = rest.groupBy("left_out", "ts_ns").agg((F.sum(F.col("ret") * F.col("weight")) / F.sum("weight")).alias("ret")).groupBy("left_out").agg(safe(F.avg("ret"), F.stddev_samp("ret")).alias("_without"))
-    out = part.join(rest.withColumnRenamed("left_out", key), key).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(all_))
+    out = part.join(_without(rets, weights, key), key).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(all_))  # one row each
     return out.select(key, "weight", safe(F.col("_part"), F.col("variance")).alias("risk_share"), (F.col("sharpe") - F.col("_without")).alias("added_sharpe"), safe(F.col("_vol"), F.sqrt("variance")).alias("diversification_ratio"), "effective_n", "average_corr", "sharpe")
 
 
+def _without(rets: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """Per member the Sharpe of the others (``_without``): at each time the total less its own part.
+
+    Where a member has no return, the others' is the total's; those times are all times less the member's own.
+    """
+    own = rets.join(weights, key).select(key, "ts_ns", (F.col("ret") * F.col("weight")).alias("_p"), "weight")
+    at = own.groupBy("ts_ns").agg(F.sum("_p").alias("_total"), F.sum("weight").alias("_w"), F.count("*").alias("_m")).withColumn("_r", safe(F.col("_total"), F.col("_w")))
+    every = at.agg(F.count("*").alias("_n"), F.sum("_r").alias("_s"), F.sum(F.col("_r") * F.col("_r")).alias("_q"))
+    rest = F.when(F.col("_m") > 1, safe(F.col("_total") - F.col("_p"), F.col("_w") - F.col("weight")))
+    mine = own.join(at, "ts_ns").groupBy(key).agg(
+        F.count("*").alias("_on"), F.sum("_r").alias("_os"), F.sum(F.col("_r") * F.col("_r")).alias("_oq"), F.count(rest).alias("_ln"), F.coalesce(F.sum(rest), F.lit(0.0)).alias("_ls"), F.coalesce(F.sum(rest * rest), F.lit(0.0)).alias("_lq")
+    )
+    n, s, q = (F.col(f"_{c}") - F.col(f"_o{c}") + F.col(f"_l{c}") for c in "nsq")
+    sd = F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
+    return mine.crossJoin(F.broadcast(every)).select(key, F.when(n > 1, safe(s / n, sd)).alias("_without"))
+
+
 def ensemble_rolling(rets: DataFrame, lookback: int, every: int, method: str = "inverse_vol", key: str = "curve_id") -> DataFrame:
     """Weights refitted every ``every`` times on the trailing window and applied until the next refit.
 
     A time belongs to a fixed number of windows, found by arithmetic on its rank.
     """
-    times = rets.select("ts_ns").distinct().withColumn("t", F.row_number().over(Window.orderBy("ts_ns")))
+    times = numbered(rets.select("ts_ns").distinct(), ["ts_ns"], "t")
     r_ = rets.join(times, "ts_ns")
     first, last = F.ceil(F.col("t") / every).cast("int"), F.floor((F.col("t") + lookback - 1) / every).cast("int")
     fit = r_.where(last >= first).withColumn("refit", F.explode(F.sequence(first, last))).where(F.col("refit") * every >= lookback)
@@ -297,7 +378,10 @@ def ensemble_rolling(rets: DataFrame, lookback: int, every: int, method: str = "
 
 
 def select_uncorrelated(rets: DataFrame, max_corr: float, n: int, key: str = "curve_id") -> DataFrame:
-    """In the order of members, those whose correlation with all chosen before is at most ``max_corr``."""
+    """In the order of members, those whose correlation with all chosen before is at most ``max_corr``.
+
+    The choice is one task over members x members correlations, whatever the length of the curves.
+    """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.pivot(index="a", columns="b", values="corr")
@@ -331,13 +415,30 @@ def o1n(spark, sf):
     return nearest(series(spark, sf).select("ts_ns", "symbol", (F.col("price") / 1e5).alias("entry")), {"entry": [1, 2, 3]})
 
 
-@query("o2_param_sample")
+def _point_sql(k: int, lo: float, hi: float) -> str:
+    """Parameter ``k`` of the sample of seed 3 over n days, in SQL."""
+    seed = 3 + k
+    step = f"(SELECT min(x) FROM (SELECT unnest(range(1 + ({seed} * 48271 + 1299709) % n, 1 + ({seed} * 48271 + 1299709) % n + 200)) AS x) WHERE gcd(x, n) = 1)"
+    return f"R6({lo} + {hi - lo} * (((point * {step} + {4 * 7919 * (k + 1)}) % n) + {uniform_sql(seed, 'point')}) / n)"
+
+
+@query("o2_param_sample", f"WITH d AS (SELECT count(DISTINCT ts_ns) AS n FROM v_series), p AS (SELECT n, unnest(range(n)) AS point FROM d) SELECT point, {_point_sql(0, 1.0, 3.0)} AS entry, {_point_sql(1, 0.0, 1.0)} AS exit FROM p", "v_series")
 def o2(spark, sf):
     days = series(spark, sf).select("ts_ns").distinct().count()
     return param_sample(spark, {"entry": (1.0, 3.0), "exit": (0.0, 1.0)}, days, 3, latin=True).select("point", r("entry"), r("exit"))
 
 
-@query("o3_sweep_signals")
+def _sweep_sql() -> str:
+    from .pairs import _SPREAD
+
+    out = "abs(k.z) >= 4 OR (m.pos = 1 AND k.z >= -m.exit) OR (m.pos = -1 AND k.z <= m.exit)"
+    return f"""WITH RECURSIVE {_SPREAD}, k AS (SELECT pair, spread, z, row_number() OVER (PARTITION BY pair ORDER BY ts_ns) AS i FROM s), g AS (SELECT e.v AS entry, x.v AS exit FROM (SELECT unnest([1.5, 2.0])::DOUBLE AS v) e, (SELECT unnest([0.0, 0.5])::DOUBLE AS v) x),
+      m(pair, entry, exit, i, spread, pos, gain, enters) AS (SELECT pair, entry, exit, 0::BIGINT, NULL::DOUBLE, 0, NULL::DOUBLE, false FROM (SELECT DISTINCT pair FROM k), g UNION ALL
+        SELECT k.pair, m.entry, m.exit, k.i, k.spread, CASE WHEN m.pos = 0 THEN CASE WHEN k.z >= m.entry THEN -1 WHEN k.z <= -m.entry THEN 1 ELSE 0 END WHEN {out} THEN 0 ELSE m.pos END, m.pos * (k.spread - m.spread), m.pos = 0 AND abs(k.z) >= m.entry FROM m JOIN k ON k.pair = m.pair AND k.i = m.i + 1)
+      SELECT pair, entry, exit, 4.0::DOUBLE AS stop, count(*) AS n, count(*) FILTER (enters) AS trades, R2(sum(gain)) AS pnl, R2(stddev_samp(gain)) AS sd FROM m WHERE i > 0 GROUP BY 1, 2, 3"""
+
+
+@query("o3_sweep_signals", _sweep_sql(), "v_series")
 def o3(spark, sf):
     from .pairs import _pairs, hedge_rolling, spread_z
 
@@ -350,7 +451,7 @@ _TR = "t AS (SELECT row_number() OVER (ORDER BY symbol, ts_ns) AS trial, CASE WH
 
 
 def _trials(spark, sf):
-    s = series(spark, sf).withColumn("trial", F.row_number().over(Window.orderBy("symbol", "ts_ns")))
+    s = numbered(series(spark, sf), ["symbol", "ts_ns"], "trial")
     return s.select("trial", F.when(F.col("volume") == 1, float("nan")).when(F.col("volume") > 5, None).otherwise(F.col("price")).alias("score"))
 
 
@@ -359,12 +460,22 @@ def o4(spark, sf):
     return trial_summary(rank_trials(_trials(spark, sf))).select("n", "failed", F.col("best").cast("long").alias("best"), r("score_sd", 2))
 
 
-@query("o5_objectives")
+@query(
+    "o5_objectives",
+    f"""WITH {_VECTOR}, t AS (SELECT o_orderpriority AS curve_id, count(*) AS n_trades FROM orders GROUP BY 1), z AS (SELECT b.*, n_trades, m * ppy AS ann, m * ppy / (sd * sqrt(ppy)) AS sh, m * ppy / (dd * sqrt(ppy)) AS so FROM b JOIN t ON t.curve_id = b.curve_id)
+    SELECT curve_id, R6(sh) AS sharpe, R6(so) AS sortino, R6(cagr / mdd) AS calmar, R6(ann) AS annual_return, R6(total_return) AS total_return, R6(-mdd) AS min_drawdown, R6(CASE WHEN mdd <= 1e-12 THEN 0 ELSE ann / mdd END) AS return_over_drawdown, R6(sh - 0.5 * mdd) AS penalized, R6(so - 2 * mdd) AS penalized_sortino,
+    CASE WHEN n < 100 OR n_trades < (SELECT max(n_trades) FROM t) THEN -1e9 ELSE R6(ann) END AS require_activity, R6(sh * so) AS custom FROM z""",
+    "v_returns",
+)
 def o5(spark, sf):
     n = nav(spark, sf)
-    m = metrics(nav_returns(n), n)
-    names = ("sharpe", "sortino", "calmar", "annual_return", "total_return", "min_drawdown", "return_over_drawdown", "penalized", "require_activity")
-    return m.select("curve_id", *[r(objective(x)).alias(x) for x in names])
+    trades = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("curve_id")).agg(F.count("*").alias("n_trades"))
+    m = metrics(nav_returns(n), n).join(trades, "curve_id").withColumn("_most", F.max("n_trades").over(Window.partitionBy()))  # one row per curve
+    busy = objective("require_activity", "annual_return", min_periods=100, min_trades=1, trades="_left")
+    m = m.withColumn("_left", F.when(F.col("n_trades") == F.col("_most"), 1).otherwise(0))
+    names = ("sharpe", "sortino", "calmar", "annual_return", "total_return", "min_drawdown", "return_over_drawdown", "penalized")
+    more = {"penalized_sortino": objective("penalized", "sortino", weight=2.0), "custom": objective(lambda: F.col("sharpe") * F.col("sortino"))}
+    return m.select("curve_id", *[r(objective(x)).alias(x) for x in names], *[r(c).alias(k) for k, c in more.items()], F.when(busy == float("-inf"), -1e9).otherwise(r(busy)).alias("require_activity"))
 
 
 @query("o6_walk_forward_folds", f"WITH {_B} SELECT i AS fold, lo + i * {100 * DAY} AS train_lo, lo + i * {100 * DAY} + {300 * DAY} AS train_hi, lo + i * {100 * DAY} + {300 * DAY} AS test_lo, lo + i * {100 * DAY} + {400 * DAY} AS test_hi FROM b, range(0, (hi - lo - {400 * DAY}) // {100 * DAY} + 1) t(i)", "v_nav")
@@ -417,11 +528,19 @@ def o10(spark, sf):
     return cpcv(_bounds(spark, sf), 6, 2, 30 * DAY)[1].select("split", "group")
 
 
-@query("o11_is_leak_free", f"WITH {_B} SELECT 0::INT AS split, 0::INT AS \"group\", 0::INT AS test_group FROM b WHERE false", "v_nav")
+@query(
+    "o11_is_leak_free",
+    f"""WITH {_B}, {_G.format(n=6)}, s AS (SELECT (row_number() OVER (ORDER BY a.g, c.g) - 1)::INT AS split, a.g AS t1, c.g AS t2 FROM g a JOIN g c ON a.g < c.g)
+    SELECT split, x.g AS "group", t.g AS test_group FROM s, g x, g t WHERE split % 5 = 0 AND t.g IN (t1, t2) AND ((x.glo < t.ghi AND x.ghi > t.glo) OR (x.glo >= t.ghi AND x.glo < t.ghi + {30 * DAY}))""",
+    "v_nav",
+)
 def o11(spark, sf):
+    """Every fifth split trains on all groups, a planted leak; the others are purged and leak nothing."""
     b = _bounds(spark, sf)
     splits, train = cpcv(b, 6, 2, 30 * DAY)
-    return is_leak_free(train, splits, fold_groups(b, 6), 30 * DAY)
+    groups = fold_groups(b, 6)
+    planted = groups.crossJoin(splits.select("split").distinct().where("split % 5 = 0")).select(train.columns)
+    return is_leak_free(train.where("split % 5 <> 0").unionByName(planted), splits, groups, 30 * DAY)
 
 
 @query("o12_cv_report", f"WITH {_TR}, k AS (SELECT trial % 3 AS g, score FROM t) SELECT g::INT AS g, count(*) FILTER (score IS NOT NULL AND NOT isnan(score)) AS n, R2(avg(CASE WHEN NOT isnan(score) THEN score END)) AS mean, count(*) FILTER (score IS NULL OR isnan(score)) AS failed FROM k GROUP BY 1", "v_series")
@@ -433,9 +552,24 @@ def _sr(spark, sf):
     return _rets(spark, sf).groupBy("curve_id").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"))
 
 
-@query("o13_deflated_sharpe")
+def _best_of(n: int) -> float:
+    """The expected largest of n standard normals, from the library's quantiles."""
+    q = NormalDist().inv_cdf
+    return (1 - EULER) * q(1 - 1 / n) + EULER * q(1 - math.exp(-1) / n)
+
+
+def _deflated_sql() -> str:
+    from .models import cdf_sql
+
+    return f"""WITH q AS (SELECT curve_id, r FROM v_returns WHERE r IS NOT NULL), m AS (SELECT curve_id, avg(r) AS m, stddev_samp(r) AS sd, stddev_pop(r) AS sp, count(*) AS n FROM q GROUP BY 1),
+      k AS (SELECT q.curve_id, any_value(m / sd) AS sr, any_value(n) AS n, avg(pow((r - m) / sp, 3)) AS sk, avg(pow((r - m) / sp, 4)) - 3 AS ku, {0.02 * _best_of(10)}::DOUBLE AS em FROM q JOIN m ON m.curve_id = q.curve_id GROUP BY 1),
+      e AS (SELECT *, CASE WHEN 1 - sk * sr + ku / 4 * sr * sr > 0 THEN sqrt((1 - sk * sr + ku / 4 * sr * sr) / (n - 1)) ELSE 0 END AS se FROM k)
+      SELECT curve_id, R6(sr) AS sr, R6(em) AS expected_max, R6(se) AS se, R6(CASE WHEN se <= 0 THEN (sr > em)::INT ELSE {cdf_sql('(sr - em) / se')} END) AS deflated, R6(greatest(0, sr - em)) AS haircut, R2(CASE WHEN sr > 0 THEN pow({_best_of(10)}::DOUBLE / sr, 2) / 1e4 END) AS min_track FROM e"""
+
+
+@query("o13_deflated_sharpe", _deflated_sql(), "v_returns")
 def o13(spark, sf):
-    return deflated_sharpe(_sr(spark, sf), 10, 0.02).select("curve_id", r("sr"), r("expected_max"), r("se"), r("deflated"), r("haircut"), r("min_track", 2))
+    return deflated_sharpe(_sr(spark, sf), 10, 0.02).select("curve_id", r("sr"), r("expected_max"), r("se"), r("deflated"), r("haircut"), r(F.col("min_track") / 1e4, 2).alias("min_track"))
 
 
 @query("o14_pbo", "WITH k AS (SELECT ts_ns, arg_max(symbol, volume * 1000 + ascii(symbol)) AS best FROM v_series GROUP BY 1), p AS (SELECT ts_ns, symbol, percent_rank() OVER (PARTITION BY ts_ns ORDER BY price) AS rank FROM v_series) SELECT R6(count(*) FILTER (rank < 0.5)::DOUBLE / count(*)) AS pbo, count(*) AS splits FROM p JOIN k ON k.ts_ns = p.ts_ns AND k.best = p.symbol", "v_series")
@@ -451,28 +585,66 @@ def o15(spark, sf):
     return cov_matrix(_rets(spark, sf)).select("a", "b", "n", r(F.col("cov") * 1e8).alias("cov"), r("corr"))
 
 
-@query("o16_ensemble_weights")
+_COV = "q AS (SELECT curve_id, ts_ns, r FROM v_returns WHERE r IS NOT NULL), cv AS (SELECT x.curve_id AS a, y.curve_id AS b, covar_samp(x.r, y.r) AS cov, corr(x.r, y.r) AS corr FROM q x JOIN q y ON x.ts_ns = y.ts_ns GROUP BY 1, 2), st AS (SELECT curve_id, avg(r) AS m, stddev_samp(r) AS sd FROM q GROUP BY 1)"
+
+
+@query(
+    "o16_ensemble_weights",
+    f"""WITH {_COV}, w AS (SELECT 'equal' AS method, curve_id, 1.0::DOUBLE AS w FROM st UNION ALL SELECT 'inverse_vol', curve_id, 1 / sd FROM st UNION ALL SELECT 'sharpe', curve_id, greatest(m / sd, 0) FROM st)
+    SELECT method, curve_id, R6(CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0::DOUBLE / count(*) OVER p END) AS weight FROM w WINDOW p AS (PARTITION BY method)""",
+    "v_returns",
+)
 def o16(spark, sf):
+    """Methods with a closed form; the minimum variance and risk parity fits are tested against their conditions."""
     q = _rets(spark, sf)
     out = None
-    for m in ("equal", "inverse_vol", "sharpe", "min_variance", "risk_parity"):
+    for m in ("equal", "inverse_vol", "sharpe"):
         w = ensemble_weights(q, m).select(F.lit(m).alias("method"), "curve_id", r("weight"))
         out = w if out is None else out.unionByName(w)
     return out
 
 
-@query("o17_ensemble_report")
+@query("o16_fitted_weights")
+def o16f(spark, sf):
+    q = _rets(spark, sf)
+    return ensemble_weights(q, "min_variance").select(F.lit("min_variance").alias("method"), "curve_id", r("weight")).unionByName(ensemble_weights(q, "risk_parity").select(F.lit("risk_parity").alias("method"), "curve_id", r("weight")))
+
+
+_WEIGHED = f"{_COV}, iv AS (SELECT curve_id, (1 / sd) / sum(1 / sd) OVER () AS w FROM st)"
+
+
+@query(
+    "o17_ensemble_report",
+    f"""WITH {_WEIGHED}, mt AS (SELECT cv.*, x.w AS wa, y.w AS wb FROM cv JOIN iv x ON x.curve_id = a JOIN iv y ON y.curve_id = b),
+    wh AS (SELECT sum(wa * wb * cov) AS var, sum(wa * sqrt(cov)) FILTER (a = b) AS vol, avg(corr) FILTER (a < b) AS ac, 1 / sum(wa * wa) FILTER (a = b) AS en FROM mt), pt AS (SELECT a AS curve_id, any_value(wa) AS w, sum(wa * wb * cov) AS part FROM mt GROUP BY 1),
+    co AS (SELECT ts_ns, sum(r * w) AS r FROM q JOIN iv ON iv.curve_id = q.curve_id GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM iv)), sh AS (SELECT avg(r) / stddev_samp(r) AS sharpe FROM co),
+    lo AS (SELECT l.curve_id, ts_ns, sum(r * iv.w) / sum(iv.w) AS r FROM q JOIN iv ON iv.curve_id = q.curve_id JOIN iv l ON l.curve_id <> q.curve_id GROUP BY 1, 2), ls AS (SELECT curve_id, avg(r) / stddev_samp(r) AS without FROM lo GROUP BY 1)
+    SELECT pt.curve_id, R6(w) AS weight, R6(part / var) AS risk_share, R6(sharpe - without) AS added_sharpe, R6(vol / sqrt(var)) AS diversification_ratio, R6(en) AS effective_n, R6(ac) AS average_corr, R6(sharpe) AS sharpe FROM pt JOIN ls ON ls.curve_id = pt.curve_id, wh, sh""",
+    "v_returns",
+)
 def o17(spark, sf):
     q = _rets(spark, sf)
     rep = ensemble_report(q, ensemble_weights(q, "inverse_vol"))
     return rep.select("curve_id", *[r(c) for c in rep.columns[1:]])
 
 
-@query("o18_ensemble_rolling")
+@query(
+    "o18_ensemble_rolling",
+    f"""WITH {_COV}, tm AS (SELECT ts_ns, row_number() OVER (ORDER BY ts_ns) AS t FROM (SELECT DISTINCT ts_ns FROM q)), rr AS (SELECT q.*, t FROM q JOIN tm ON tm.ts_ns = q.ts_ns), rf AS (SELECT unnest(range(2, (SELECT max(t) FROM tm) // 60 + 1)) AS refit),
+    ws AS (SELECT refit, curve_id, 1 / stddev_samp(r) AS iv FROM rr JOIN rf ON t <= refit * 60 AND t > refit * 60 - 120 GROUP BY 1, 2)
+    SELECT rr.ts_ns, refit::INT AS refit, R6(sum(r * iv) / sum(iv) * 1e4) AS ret, count(*) AS members FROM rr JOIN ws ON ws.curve_id = rr.curve_id AND refit = (t - 1) // 60 GROUP BY 1, 2""",
+    "v_returns",
+)
 def o18(spark, sf):
     return ensemble_rolling(_rets(spark, sf), 120, 60).select("ts_ns", "refit", r(F.col("ret") * 1e4).alias("ret"), "members")
 
 
-@query("o19_select_uncorrelated")
+@query(
+    "o19_select_uncorrelated",
+    f"""WITH RECURSIVE {_COV}, bd AS (SELECT a, row_number() OVER (ORDER BY a) AS i, coalesce(list(b) FILTER (abs(corr) > 0.02 AND a <> b), []) AS bad FROM cv GROUP BY a),
+    g(i, chosen) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT bd.i, CASE WHEN len(chosen) < 3 AND len(list_intersect(chosen, bad)) = 0 THEN list_append(chosen, a) ELSE chosen END FROM g JOIN bd ON bd.i = g.i + 1),
+    f AS (SELECT chosen FROM g ORDER BY i DESC LIMIT 1) SELECT unnest(chosen) AS curve_id, (generate_subscripts(chosen, 1) - 1)::INT AS position FROM f""",
+    "v_returns",
+)
 def o19(spark, sf):
     return select_uncorrelated(_rets(spark, sf), 0.02, 3)

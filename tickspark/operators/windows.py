@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
+from tickspark.functions.stretches import scan, stretches
 from tickspark.plans.catalog import HOUR, query, r, series, ticks
 
-from .quality import middle
+from .quality import sliding_median
+
+ORDER = ("ts_ns", "seq")
 
 
 def rows(k: int | None = None, key: str = "symbol", order: tuple[str, ...] = ("ts_ns", "seq")) -> WindowSpec:
@@ -35,16 +41,23 @@ def rolling_cov(a: str, b: str, w: WindowSpec) -> Column:
     return F.coalesce(F.covar_samp(a, b).over(w), F.lit(0.0))
 
 
-def rolling_corr(a: str, b: str, w: WindowSpec) -> Column:
-    """From covariances; a denominator under 1e-12 gives 0."""
-    den = F.sqrt(rolling_var(a, w) * rolling_var(b, w))
-    return F.when(den < 1e-12, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(rolling_cov(a, b, w), den))))
+def over_last(df: DataFrame, k: int, f: Callable[[DataFrame, WindowSpec], DataFrame], key: str = "symbol", order: tuple[str, ...] = ORDER, length: int | None = None) -> DataFrame:
+    """``f(rows, window)`` with the window of the ``k`` last rows of a key; keys of any length (see ``stretches``)."""
+    cut = stretches(df, key, order, length, least=k)
+    return cut.done(cut.bounded(cut.df, k, lambda d, keys: f(d, Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(k - 1), 0))))
+
 
+def with_corr(df: DataFrame, a: str, b: str, w: WindowSpec, name: str = "corr") -> DataFrame:
+    """From covariance and variances, each taken once; a denominator under 1e-12 gives 0."""
+    parts = df.withColumns({"_cab": rolling_cov(a, b, w), "_va": rolling_var(a, w), "_vb": rolling_var(b, w)})
+    den = F.sqrt(F.col("_va") * F.col("_vb"))
+    corr = F.when(den < 1e-12, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("_cab", den))))
+    return parts.withColumn(name, corr).drop("_cab", "_va", "_vb")
 
-def rolling_median_mad(df: DataFrame, col: str, w: WindowSpec) -> DataFrame:
+
+def rolling_median_mad(df: DataFrame, col: str, k: int, key: str = "symbol", order: tuple[str, ...] = ORDER, length: int | None = None) -> DataFrame:
     """Median and the median distance from it (0 for less than two values)."""
-    held = df.withColumn("_v", F.collect_list(col).over(w)).withColumn("median", middle(F.col("_v")))
-    return held.withColumn("mad", F.when(F.size("_v") < 2, 0.0).otherwise(middle(F.transform("_v", lambda x: F.abs(x - F.col("median")))))).drop("_v")
+    return sliding_median(df, col, k, key, order, length)
 
 
 def log_return(col: str, w: WindowSpec) -> Column:
@@ -53,44 +66,55 @@ def log_return(col: str, w: WindowSpec) -> Column:
     return F.when((F.col(col) > 0) & (before > 0), F.ln(F.col(col) / before))
 
 
-def realized_vol(df: DataFrame, k: int, key: str = "symbol") -> DataFrame:
+def realized_vol(df: DataFrame, k: int, key: str = "symbol", length: int | None = None) -> DataFrame:
     """Rolling deviation of log returns."""
-    order = Window.partitionBy(key).orderBy("ts_ns", "seq")
-    return df.withColumn("ret", log_return("price", order)).withColumn("realized_vol", rolling_std("ret", rows(k, key)))
+    cut = stretches(df, key, ORDER, length, least=k + 1)
+
+    def made(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*ORDER)
+        return d.withColumn("ret", log_return("price", w)).withColumn("realized_vol", rolling_std("ret", w.rowsBetween(-(k - 1), 0)))
+
+    return cut.done(cut.bounded(cut.df, k + 1, made))
 
 
-def running_drawdown(col: str, w: WindowSpec) -> Column:
-    """Share lost from the highest value so far."""
-    top = F.max(col).over(w)
-    return F.when(top > 0, F.greatest(F.lit(0.0), (top - F.col(col)) / top)).otherwise(0.0)
+def running_drawdown(df: DataFrame, col: str, key: str = "symbol", order: tuple[str, ...] = ORDER, length: int | None = None) -> DataFrame:
+    """``drawdown``, the share lost from the highest value so far."""
+    cut = stretches(df, key, order, length)
+    top = F.col("_top")
+    down = F.when(top > 0, F.greatest(F.lit(0.0), (top - F.col(col)) / top)).otherwise(0.0)
+    return cut.done(cut.running(cut.df, {"_top": ("max", F.col(col))}).withColumn("drawdown", down).drop("_top"))
 
 
-def return_runs(df: DataFrame, key: str = "symbol") -> DataFrame:
+def return_runs(df: DataFrame, key: str = "symbol", length: int | None = None) -> DataFrame:
     """Sign of the return and the length of its run; flat returns (1e-9) end a run and have length 0."""
-    order = Window.partitionBy(key).orderBy("ts_ns", "seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    sign = F.when(F.col("ret") > 1e-9, 1).when(F.col("ret") < -1e-9, -1).otherwise(0)
-    signed = df.withColumn("ret", F.coalesce(log_return("price", order), F.lit(0.0))).withColumn("run_sign", sign)
-    fresh = F.when(F.coalesce(F.lag("run_sign").over(order) != F.col("run_sign"), F.lit(True)), 1).otherwise(0)
-    islands = signed.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(so_far))
-    inside = Window.partitionBy(key, "_run").orderBy("ts_ns", "seq")
-    return islands.withColumn("run_length", F.when(F.col("run_sign") == 0, 0).otherwise(F.row_number().over(inside))).drop("_new", "_run")
+    cut = stretches(df, key, ORDER, length, least=3)
 
+    def signed(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*ORDER)
+        sign = F.when(F.col("ret") > 1e-9, 1).when(F.col("ret") < -1e-9, -1).otherwise(0)
+        d = d.withColumn("ret", F.coalesce(log_return("price", w), F.lit(0.0))).withColumn("run_sign", sign)
+        return d.withColumn("_new", F.coalesce(F.lag("run_sign").over(w) != F.col("run_sign"), F.lit(True)))
 
-def market_view(df: DataFrame, k: int = 64, least: int = 8) -> DataFrame:
+    numbered = cut.running(cut.bounded(cut.df, 3, signed), {"_i": ("count", F.lit(1))})
+    begun = cut.running(numbered, {"_at": ("last", F.when(F.col("_new"), F.col("_i")))})
+    return cut.done(begun.withColumn("run_length", F.when(F.col("run_sign") == 0, 0).otherwise(F.col("_i") - F.col("_at") + 1).cast("int")).drop("_new", "_i", "_at"))
+
+
+def market_view(df: DataFrame, k: int = 64, least: int = 8, length: int | None = None) -> DataFrame:
     """Last quote, sigma of the last log returns, running VWAP and average daily volume (null under an hour)."""
-    order = Window.partitionBy("symbol").orderBy("ts_ns", "seq")
-    all_so_far = rows()
-    out = df.withColumn("ret", log_return("price", order))
-    n = F.count("ret").over(rows(k))
-    span = F.col("ts_ns") - F.min("ts_ns").over(all_so_far)
-    return (
-        out.withColumn("last_bid", F.last("bid", True).over(all_so_far))
-        .withColumn("last_ask", F.last("ask", True).over(all_so_far))
-        .withColumn("sigma", F.when(n >= least, F.stddev_samp("ret").over(rows(k))))
-        .withColumn("vwap", F.try_divide(F.sum(F.col("price") * F.col("size")).over(all_so_far), F.sum("size").over(all_so_far)))
-        .withColumn("adv", F.when(span >= HOUR, F.sum("size").over(all_so_far) / (span / (24 * HOUR))))
-    )
+    cut = stretches(df, "symbol", ORDER, length, least=k + 1)
+
+    def sigma(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*ORDER)
+        last = w.rowsBetween(-(k - 1), 0)
+        d = d.withColumn("ret", log_return("price", w))
+        return d.withColumn("sigma", F.when(F.count("ret").over(last) >= least, F.stddev_samp("ret").over(last)))
+
+    specs = {"last_bid": ("last", F.col("bid")), "last_ask": ("last", F.col("ask")), "_pv": ("sum", F.col("price") * F.col("size")), "_v": ("sum", F.col("size")), "_t0": ("min", F.col("ts_ns"))}
+    out = cut.running(cut.bounded(cut.df, k + 1, sigma), specs)
+    span = F.col("ts_ns") - F.col("_t0")
+    out = out.withColumn("vwap", F.try_divide("_pv", "_v")).withColumn("adv", F.when(span >= HOUR, F.col("_v") / (span / (24 * HOUR))))
+    return cut.done(out.drop("_pv", "_v", "_t0"))
 
 
 def streaming_stats(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
@@ -114,45 +138,85 @@ def classify_regime(df: DataFrame, drawdown: float = 0.05, band: float = 1.8, ru
 
 
 def regime_states(df: DataFrame, key: str = "symbol") -> DataFrame:
-    """``state`` after hysteresis over the observed ``regime``."""
+    """``state`` after hysteresis over the observed ``regime``; the machine counts time, so a key is one task."""
     code = {n: i for i, n in enumerate(K.REGIMES)}
-    return K.per_key(df, [key], ["ts_ns", "seq"], lambda p: {"state": np.array(K.REGIMES, object)[K.regime_states(p["regime"].map(code).to_numpy(), p["ts_ns"].to_numpy())] if len(p) else []}, "state string")
 
+    def step(state, p: pd.DataFrame):
+        state, out = K.regime_states(state, p["regime"].map(code).to_numpy(), p["ts_ns"].to_numpy())
+        return state, {"state": np.array(K.REGIMES, object)[out]}
+
+    return scan(df, [key], list(ORDER), step, "state string")
 
-def ewma(df: DataFrame, col: str, period: int, key: str = "symbol") -> DataFrame:
+
+def ewma(df: DataFrame, col: str, period: int, key: str = "symbol", length: int | None = None) -> DataFrame:
     """Ewma and whether its weight has reached 0.95."""
-    return K.per_key(df, [key], ["ts_ns", "seq"], lambda p: {"ewma": K.ewma(p[col].to_numpy(), period), "ready": K.ewma_weight(len(p), period) >= 0.95}, "ewma double, ready boolean")
 
+    def step(state, p: pd.DataFrame):
+        state, mean, weight = K.ewma(state, p[col].to_numpy(), period)
+        return state, {"ewma": mean, "ready": weight >= 0.95}
+
+    return scan(df, [key], list(ORDER), step, "ewma double, ready boolean", K.ewma_carry(col, period), length)
+
+
+def ewma_var(df: DataFrame, col: str, period: int, key: str = "symbol", seed: str = "zero", length: int | None = None) -> DataFrame:
+    """``ewma_var``, and ``ewma_before``, the mean before each value.
+
+    Two recurrences that compose: the means, then the squared distances from the mean before.
+    """
+    first = lambda x: 0.0 if seed == "zero" else float(x[0])
+
+    def means(state, p: pd.DataFrame):
+        x = p[col].to_numpy()
+        s, n = state or (0.0, 0)
+        before = s / (1 - (1 - 2 / (period + 1)) ** n) if n else first(x)
+        state, mean, _ = K.ewma(state, x, period)
+        return state, {"ewma_before": np.concatenate(([before], mean[:-1]))}
 
-def ewma_var(df: DataFrame, col: str, period: int, key: str = "symbol", seed: str = "zero") -> DataFrame:
-    return K.per_key(df, [key], ["ts_ns", "seq"], lambda p: {"ewma_var": K.ewma_var(p[col].to_numpy(), period, seed)}, "ewma_var double")
+    def squares(state, p: pd.DataFrame):
+        state, var, _ = K.ewma(state, p["_sq"].to_numpy(), period)
+        return state, {"ewma_var": var}
 
+    one = scan(df, [key], list(ORDER), means, "ewma_before double", K.ewma_carry(col, period), length)
+    two = one.withColumn("_sq", F.pow(F.col(col) - F.col("ewma_before"), F.lit(2.0)))
+    return scan(two, [key], list(ORDER), squares, "ewma_var double", K.ewma_carry("_sq", period), length).drop("_sq")
 
-def ema(df: DataFrame, col: str, period: int, key: str = "symbol") -> DataFrame:
-    return K.per_key(df, [key], ["ts_ns", "seq"], lambda p: {"ema": K.ema(p[col].to_numpy(), period)}, "ema double")
+
+def ema(df: DataFrame, col: str, period: int, key: str = "symbol", length: int | None = None) -> DataFrame:
+    """Plain EMA seeded with the first value."""
+
+    def step(state, p: pd.DataFrame):
+        state, out = K.ema(state, p[col].to_numpy(), period)
+        return state, {"ema": out}
+
+    return scan(df, [key], list(ORDER), step, "ema double", K.ema_carry(col, period), length)
 
 
 def kalman_level(df: DataFrame, col: str, snr: float = 0.01, warmup: int = 1024, key: str = "symbol") -> DataFrame:
-    return K.per_key(df, [key], ["ts_ns", "seq"], lambda p: {"level": K.kalman_level(p[col].to_numpy(), snr, warmup)}, "level double")
+    """Local-level denoiser; its gain depends on all rows before, so a key is one task that holds no more than a batch."""
 
+    def step(state, p: pd.DataFrame):
+        state, out = K.kalman_level(state, p[col].to_numpy(), snr, warmup)
+        return state, {"level": out}
 
-def ewma_vol(df: DataFrame, period: int = 120, key: str = "symbol") -> DataFrame:
-    """Square root of the exponentially weighted variance of log returns."""
-    w = Window.partitionBy(key).orderBy("ts_ns", "seq")
-    held = df.withColumn("ret", log_return("price", w)).where("ret is not null")
-    return ewma_var(held, "ret", period, key).withColumn("ewma_vol", F.sqrt("ewma_var"))
+    return scan(df, [key], list(ORDER), step, "level double")
 
 
-def zscore_outliers(df: DataFrame, threshold: float = 5.0, warmup: int = 30, period: int = 60, key: str = "symbol", seed: str = "zero") -> DataFrame:
-    """Q9: distance from the mean and deviation before the value, both exponentially weighted; rejects still count."""
+def ewma_vol(df: DataFrame, period: int = 120, key: str = "symbol", length: int | None = None) -> DataFrame:
+    """Square root of the exponentially weighted variance of log returns."""
+    cut = stretches(df, key, ORDER, length, least=2)
+    held = cut.bounded(cut.df, 2, lambda d, keys: d.withColumn("ret", log_return("price", Window.partitionBy(*keys).orderBy(*ORDER))))
+    return ewma_var(cut.done(held).where("ret is not null"), "ret", period, key, length=length).withColumn("ewma_vol", F.sqrt("ewma_var")).drop("ewma_before")
 
-    def f(p: pd.DataFrame) -> dict:
-        x = p["price"].to_numpy()
-        mean, sd = np.concatenate(([0.0], K.ewma(x, period)[:-1])), np.sqrt(np.concatenate(([0.0], K.ewma_var(x, period, seed)[:-1])))
-        z = np.divide(np.abs(x - mean), sd, out=np.zeros(len(x)), where=sd > 1e-12)
-        return {"z": z, "outlier": (np.arange(len(x)) >= warmup) & (z > threshold)}
 
-    return K.per_key(df, [key], ["ts_ns", "seq"], f, "z double, outlier boolean")
+def zscore_outliers(df: DataFrame, threshold: float = 5.0, warmup: int = 30, period: int = 60, key: str = "symbol", seed: str = "zero", length: int | None = None) -> DataFrame:
+    """Q9: distance from the mean and deviation before the value, both exponentially weighted; rejects still count."""
+    spread = ewma_var(df, "price", period, key, seed, length)
+    cut = stretches(spread, key, ORDER, length, least=2)
+    known = cut.bounded(cut.df, 2, lambda d, keys: d.withColumn("_sd", F.sqrt(F.coalesce(F.lag("ewma_var").over(Window.partitionBy(*keys).orderBy(*ORDER)), F.lit(0.0)))))
+    numbered = cut.running(known, {"_i": ("count", F.lit(1))})
+    z = F.when(F.col("_sd") > 1e-12, F.abs(F.col("price") - F.col("ewma_before")) / F.when(F.col("_sd") > 1e-12, F.col("_sd"))).otherwise(0.0)
+    out = numbered.withColumn("z", z).withColumn("outlier", (F.col("_i") > warmup) & (F.col("z") > threshold))
+    return cut.done(out.drop("_sd", "_i", "ewma_before", "ewma_var"))
 
 
 def outlier_pipeline(df: DataFrame, filters: list) -> DataFrame:
@@ -167,63 +231,102 @@ def outlier_pipeline(df: DataFrame, filters: list) -> DataFrame:
 
 
 SNAPSHOT = """n_ticks int, last_price double, denoised_price double, realized_vol double, ewma_vol double, rolling_mean double, rolling_std double, drawdown double, state string, rejected int, ready boolean, publish boolean"""
+#: State of one symbol between batches: what each filter keeps, and the values of the last window.
+SNAPSHOT_STATE = """newest long, rejected long, zs double, zn long, zmean double, zvs double, kn long, level double, kp double, kr double, klast double, km long, kmean double, ksq double, peak double,
+    vs double, vn long, vmean double, vvs double, vol double, run long, run_sign long, regime long, other long, other_n long, other_since long, published long, n long, last double, prices array<double>, rets array<double>, marks array<double>"""
+
 
+def _rolling(tail: np.ndarray, x: np.ndarray, window: int, least: int) -> pd.core.window.rolling.Rolling:
+    return pd.Series(np.concatenate((tail, x))).rolling(window, min_periods=least)
 
-def snapshot_columns(p: pd.DataFrame, window: int = 256, publish_ns: int = 10_000_000) -> dict[str, np.ndarray]:
-    """The state of one symbol after each of its rows, in arrival order; rows not taken repeat the state before."""
+
+def snapshot_step(state: tuple | None, p: pd.DataFrame, window: int = 256, publish_ns: int = 10_000_000) -> tuple[tuple, dict[str, np.ndarray]]:
+    """The state of one symbol after each of its rows, in arrival order; rows not taken repeat the state before.
+
+    ``state`` follows SNAPSHOT_STATE. Ticks that go back in time, are not sane or lie outside the z filter are rejected.
+    """
     n = len(p)
-    ts, price, size = p["ts_ns"].to_numpy(), p["price"].to_numpy(), p["size"].to_numpy()
-    fresh = (ts >= np.maximum.accumulate(ts)) & np.isfinite(price) & np.isfinite(size) & (price > 0) & (size > 0)
+    st = list(state) if state else [-(2**63), 0, 0.0, 0, 0.0, 0.0, 0, 0.0, 1.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0, 0, 0, 0, 0, 0, -(2**63), 0, np.nan, [], [], []]
+    (newest, rejected), peak, vol0, (run, run_sign), published, m0, last0 = st[:2], st[14], st[19], st[20:22], st[26], int(st[27]), st[28]
+    tails = [np.array([v for v in t if v is not None], float) for t in st[29:32]]
+    ts, price, size = p["ts_ns"].to_numpy(), p["price"].to_numpy(dtype=float), p["size"].to_numpy(dtype=float)
+    on_time = ts >= np.maximum(np.maximum.accumulate(ts), newest) if n else np.zeros(0, bool)
+    fresh = on_time & np.isfinite(price) & np.isfinite(size) & (price > 0) & (size > 0)
     x, at = price[fresh], np.flatnonzero(fresh)
-    mean, sd = np.concatenate(([0.0], K.ewma(x, 60)[:-1])), np.sqrt(np.concatenate(([0.0], K.ewma_var(x, 60)[:-1])))
-    z = np.divide(np.abs(x - mean), sd, out=np.zeros(len(x)), where=sd > 1e-12)
-    good = ~((np.arange(len(x)) >= 30) & (z > 5.0))
+    seen = int(st[3])
+    z_state, _, before, var_before = K.ewma_var(tuple(st[2:6]) if seen else None, x, 60)
+    sd = np.sqrt(var_before)
+    z = np.divide(np.abs(x - before), sd, out=np.zeros(len(x)), where=sd > 1e-12)
+    good = ~((seen + np.arange(len(x)) >= 30) & (z > 5.0))
     at, x = at[good], x[good]
     m = len(x)
-    level = K.kalman_level(x)
-    s = pd.Series(x)
-    ret = np.diff(np.log(x), prepend=np.nan)
-    real = pd.Series(ret).rolling(window, min_periods=2).std().fillna(0.0).to_numpy()
-    vol = np.concatenate(([0.0], np.sqrt(K.ewma_var(ret[1:], 120)))) if m else ret
-    marks = np.arange(1, m + 1) % 128 == 0
-    sampled = pd.Series(np.where(marks, vol, np.nan))
-    median = sampled.expanding().quantile(0.5, interpolation="lower").ffill().fillna(0.0).to_numpy()
-    peak = np.maximum.accumulate(level) if m else level
-    down = np.maximum(0.0, (peak - level) / peak) if m else level
-    before = np.concatenate(([0.0], level[:-1])) if m else level
-    log_ret = np.log(x / np.where(before > 0, before, x))
+    level0 = st[7]
+    k_state, level = K.kalman_level(tuple(st[6:14]) if st[6] else None, x)
+    back = np.concatenate(([last0], x[:-1])) if m else x
+    ret = np.log(x / np.where(np.isfinite(back), back, x))
+    known = np.isfinite(back)
+    v_state, var, _, _ = K.ewma_var(tuple(st[15:19]) if st[16] else None, ret[known], 120)
+    vol = np.concatenate((np.full(m - int(known.sum()), vol0), np.sqrt(var)))
+    real = _rolling(tails[1], np.where(known, ret, np.nan), window, 2).std().fillna(0.0).to_numpy()[len(tails[1]) :]
+    held = _rolling(tails[0], x, window, 1)
+    mean, std = held.mean().to_numpy()[len(tails[0]) :], held.std().fillna(0.0).to_numpy()[len(tails[0]) :]
+    count = m0 + np.arange(1, m + 1)
+    # The lower median of the volatility at every 128th tick; its samples are all kept, one for each 128 ticks.
+    fits, marks = np.flatnonzero(count % 128 == 0), tails[2].tolist()
+    medians = [marks[(len(marks) - 1) // 2] if marks else 0.0]
+    for i in fits:
+        insort(marks, float(vol[i]))
+        medians.append(marks[(len(marks) - 1) // 2])
+    median = np.array(medians)[np.searchsorted(fits, np.arange(m), "right")]
+    tops = np.maximum.accumulate(np.concatenate(([peak], level)))[1:]
+    down = np.where(tops > 0, np.maximum(0.0, (tops - level) / np.where(tops > 0, tops, 1.0)), 0.0)
+    previous = np.concatenate(([level0], level[:-1])) if m else level
+    log_ret = np.where(previous > 0, np.log(x / np.where(previous > 0, previous, 1.0)), 0.0)
     sign = np.where(log_ret > 1e-9, 1, np.where(log_ret < -1e-9, -1, 0))
-    start = np.flatnonzero(np.diff(sign, prepend=9))
-    run = np.where(sign == 0, 0, np.arange(m) - np.repeat(start, np.diff(np.append(start, m))) + 1)
-    observed = np.where(down >= 0.05, K.CRISIS, np.where((median > 0) & (vol > 1.8 * median), K.VOLATILE, np.where(run >= 50, K.TRENDING, K.CALM)))
-    state = K.regime_states(observed, ts[at])
-    publish, last = np.zeros(m, bool), None
+    start = np.flatnonzero(np.diff(sign, prepend=run_sign) != 0)
+    since = np.zeros(m, np.int64)
+    since[start] = start
+    since = np.maximum.accumulate(since)
+    length = np.arange(m) - since + 1
+    if m:
+        length[: start[0] if len(start) else m] += int(run)
+    length = np.where(sign == 0, 0, length)
+    observed = np.where(down >= 0.05, K.CRISIS, np.where((median > 0) & (vol > 1.8 * median), K.VOLATILE, np.where(length >= 50, K.TRENDING, K.CALM)))
+    r_state, regime = K.regime_states(tuple(int(v) for v in st[22:26]), observed, ts[at])
+    publish = np.zeros(m, bool)
     for i in range(m):
-        if last is None or ts[at[i]] - last >= publish_ns:
-            publish[i], last = True, ts[at[i]]
-    where = np.searchsorted(at, np.arange(n), "right") - 1
-    take = lambda v, none: np.where(where >= 0, np.asarray(v)[np.maximum(where, 0)], none) if m else np.full(n, none)
+        if published == -(2**63) or ts[at[i]] - published >= publish_ns:
+            publish[i], published = True, int(ts[at[i]])
     taken = np.zeros(n, bool)
     taken[at] = True
-    return {
-        "n_ticks": take(np.minimum(np.arange(1, m + 1), window), 0).astype(np.int32),
-        "last_price": take(x, np.nan),
-        "denoised_price": take(level, np.nan),
-        "realized_vol": take(real, 0.0),
-        "ewma_vol": take(vol, 0.0),
-        "rolling_mean": take(s.rolling(window, min_periods=1).mean(), np.nan),
-        "rolling_std": take(s.rolling(window, min_periods=2).std().fillna(0.0), 0.0),
-        "drawdown": take(down, 0.0),
-        "state": np.array(K.REGIMES, object)[take(state, 0).astype(int)],
-        "rejected": np.cumsum(~taken).astype(np.int32),
-        "ready": take(np.arange(1, m + 1) >= 1024, False).astype(bool),
+    where = np.searchsorted(at, np.arange(n), "right") - 1
+    old = lambda v, none: none if m0 == 0 else v
+    take = lambda v, none: np.where(where >= 0, np.asarray(v)[np.maximum(where, 0)], none) if m else np.full(n, none)
+    lost = int(rejected) + np.cumsum(~taken)
+    tail = lambda t, v: np.concatenate((t, v))[-(window - 1) :]
+    prices, rets = tail(tails[0], x), tail(tails[1], ret[known])
+    new = (int(max(newest, ts[on_time].max())) if on_time.any() else int(newest), int(lost[-1]) if n else int(rejected), *(z_state if len(price[fresh]) else st[2:6]))
+    new += (*(k_state if m else st[6:14]), float(tops[-1]) if m else peak, *(v_state if known.any() else st[15:19]), float(vol[-1]) if m else vol0)
+    new += (int(length[-1]) if m else int(run), int(sign[-1]) if m else int(run_sign), *r_state, int(published), m0 + m, float(x[-1]) if m else last0, prices.tolist(), rets.tolist(), marks)
+    return new, {
+        "n_ticks": take(np.minimum(count, window), min(m0, window)).astype(np.int32),
+        "last_price": take(x, old(last0, np.nan)),
+        "denoised_price": take(level, old(level0, np.nan)),
+        "realized_vol": take(real, float(pd.Series(tails[1][-window:]).std()) if len(tails[1]) > 1 else 0.0),
+        "ewma_vol": take(vol, vol0),
+        "rolling_mean": take(mean, tails[0].mean() if len(tails[0]) else np.nan),
+        "rolling_std": take(std, tails[0].std(ddof=1) if len(tails[0]) > 1 else 0.0),
+        "drawdown": take(down, max(0.0, (peak - level0) / peak) if peak > 0 else 0.0),
+        "state": np.array(K.REGIMES, object)[take(regime, int(st[22])).astype(int)],
+        "rejected": lost.astype(np.int32),
+        "ready": take(count >= 1024, m0 >= 1024).astype(bool),
         "publish": taken & take(publish, False).astype(bool),
     }
 
 
 def symbol_snapshots(df: DataFrame, window: int = 256, publish_ns: int = 10_000_000) -> DataFrame:
     """Late and outlying ticks dropped, all filters and the regime updated, published at most every 10 ms."""
-    made = K.per_key(df.select("symbol", "ts_ns", "seq", "price", "size"), ["symbol"], ["seq"], lambda p: snapshot_columns(p, window, publish_ns), SNAPSHOT)
+    made = scan(df.select("symbol", "ts_ns", "seq", "price", "size"), ["symbol"], ["seq"], lambda state, p: snapshot_step(state, p, window, publish_ns), SNAPSHOT)
     return made.where("publish").drop("publish")
 
 
@@ -237,17 +340,18 @@ _W = "PARTITION BY symbol ORDER BY ts_ns, seq ROWS BETWEEN {} PRECEDING AND CURR
 
 @query("w1_rolling_mean", f"SELECT seq, R6(avg(price) OVER ({_W.format(63)})) AS mean FROM v_ticks", "v_ticks")
 def w1(spark, sf):
-    return ticks(spark, sf).withColumn("mean", rolling_mean("price", rows(64))).select("seq", r("mean"))
+    return over_last(ticks(spark, sf), 64, lambda d, w: d.withColumn("mean", rolling_mean("price", w))).select("seq", r("mean"))
 
 
 @query("w2_rolling_std", f"SELECT seq, R4(coalesce(var_samp(price) OVER w, 0)) AS var, R4(coalesce(stddev_samp(price) OVER w, 0)) AS std FROM v_ticks WINDOW w AS ({_W.format(63)})", "v_ticks")
 def w2(spark, sf):
-    return ticks(spark, sf).select("seq", r(rolling_var("price", rows(64)), 4).alias("var"), r(rolling_std("price", rows(64)), 4).alias("std"))
+    var = over_last(ticks(spark, sf), 64, lambda d, w: d.withColumn("var", rolling_var("price", w)))
+    return var.select("seq", r("var", 4), r(F.sqrt("var"), 4).alias("std"))
 
 
 @query("w3_rolling_cov", f"SELECT seq, R4(coalesce(covar_samp(price, size) OVER ({_W.format(63)}), 0)) AS cov FROM v_ticks", "v_ticks")
 def w3(spark, sf):
-    return ticks(spark, sf).select("seq", r(rolling_cov("price", "size", rows(64)), 4).alias("cov"))
+    return over_last(ticks(spark, sf), 64, lambda d, w: d.withColumn("cov", rolling_cov("price", "size", w))).select("seq", r("cov", 4))
 
 
 @query(
@@ -257,7 +361,7 @@ def w3(spark, sf):
     "v_ticks",
 )
 def w4(spark, sf):
-    return ticks(spark, sf).select("seq", r(rolling_corr("price", "size", rows(64)), 6).alias("corr"))
+    return over_last(ticks(spark, sf), 64, lambda d, w: with_corr(d, "price", "size", w)).select("seq", r("corr"))
 
 
 _EW = """s AS (SELECT symbol, ts_ns, price, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) AS i FROM v_series),
@@ -301,10 +405,20 @@ def w7(spark, sf):
     "v_ticks",
 )
 def w8(spark, sf):
-    return rolling_median_mad(ticks(spark, sf), "price", rows(32)).select("seq", r("median", 4), r("mad", 4))
+    return rolling_median_mad(ticks(spark, sf), "price", 32).select("seq", r("median", 4), r("mad", 4))
 
 
-@query("w9_kalman_level")
+@query(
+    "w9_kalman_level",
+    f"""WITH RECURSIVE s AS (SELECT symbol, ts_ns, price, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) AS i FROM v_series), d AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY i)) AS ret FROM s),
+    n AS (SELECT symbol, greatest(var_samp(ret), 1e-12) AS noise FROM d WHERE i <= 64 GROUP BY symbol),
+    k(symbol, ts_ns, i, level, p) AS (SELECT symbol, ts_ns, i, price, 1.0::DOUBLE FROM s WHERE i = 1 UNION ALL
+      SELECT s.symbol, s.ts_ns, s.i, CASE WHEN s.i < 64 THEN 0.5 * k.level + 0.5 * s.price ELSE k.level + (k.p + noise * 0.01) / (k.p + noise * 0.01 + noise) * (s.price - k.level) END,
+        CASE WHEN s.i < 64 THEN k.p ELSE (1 - (k.p + noise * 0.01) / (k.p + noise * 0.01 + noise)) * (k.p + noise * 0.01) END
+      FROM k JOIN s ON s.symbol = k.symbol AND s.i = k.i + 1 JOIN n ON n.symbol = k.symbol)
+    SELECT symbol, ts_ns, R4(level) AS level FROM k""",
+    "v_series",
+)
 def w9(spark, sf):
     return kalman_level(_daily(spark, sf), "price", warmup=64).select("symbol", "ts_ns", r("level", 4))
 
@@ -331,7 +445,7 @@ def w11(spark, sf):
 
 @query("w12_running_drawdown", "SELECT seq, R6(CASE WHEN m > 0 THEN greatest(0, (m - price) / m) ELSE 0 END) AS drawdown FROM (SELECT *, max(price) OVER (PARTITION BY symbol ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS m FROM v_ticks)", "v_ticks")
 def w12(spark, sf):
-    return ticks(spark, sf).select("seq", r(running_drawdown("price", rows())).alias("drawdown"))
+    return running_drawdown(ticks(spark, sf), "price").select("seq", r("drawdown"))
 
 
 _RUNS = f"""{_RET}, g AS (SELECT *, CASE WHEN ret > 1e-9 THEN 1 WHEN ret < -1e-9 THEN -1 ELSE 0 END AS run_sign FROM r),
@@ -371,7 +485,8 @@ _REG = f"""{_RUNS}, o AS (SELECT symbol, ts_ns, seq, run_length, run_sign, coale
 
 
 def _regimes(spark, sf):
-    run = return_runs(ticks(spark, sf)).withColumn("vol", rolling_std(F.when(F.col("ret") != 0, F.col("ret")), rows(16))).withColumn("median_vol", rolling_std(F.when(F.col("ret") != 0, F.col("ret")), rows(256)))
+    moved = F.when(F.col("ret") != 0, F.col("ret"))
+    run = over_last(return_runs(ticks(spark, sf)), 256, lambda d, w: d.withColumn("vol", rolling_std(moved, w.rowsBetween(-15, 0))).withColumn("median_vol", rolling_std(moved, w)))
     return classify_regime(run.withColumn("drawdown", F.lit(0.0)), band=1.2, run=3)
 
 
@@ -384,7 +499,19 @@ def w17(spark, sf):
     return _regimes(spark, sf).select("seq", "regime", "direction", "strength")
 
 
-@query("w18_regime_states")
+_OBSERVED = f"WITH {_REG.replace('stddev_samp(ret)', 'stddev_samp(CASE WHEN ret <> 0 THEN ret END)')}"
+
+
+@query(
+    "w18_regime_states",
+    f"""{_OBSERVED.replace('WITH ', 'WITH RECURSIVE ', 1)}, q AS (SELECT symbol, seq, ts_ns, regime, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS i FROM c),
+    m(symbol, i, seq, regime, now, other, n, since) AS (SELECT DISTINCT symbol, 0::BIGINT, 0::BIGINT, 'calm', 'calm', 'calm', 0::BIGINT, 0::BIGINT FROM q UNION ALL
+      SELECT x.symbol, x.i, x.seq, x.regime, CASE WHEN x.regime <> x.now AND n >= CASE WHEN x.regime = 'crisis' THEN 10 WHEN x.now = 'crisis' THEN 200 WHEN x.now = 'calm' AND x.regime = 'trending' THEN 50 WHEN x.now = 'volatile' AND x.regime = 'calm' THEN 100 WHEN x.now = 'trending' AND x.regime = 'calm' THEN 80 ELSE 20 END
+          AND x.ts_ns - since >= {K.SEC} * CASE WHEN x.regime = 'crisis' THEN 1 WHEN x.now = 'crisis' THEN 30 WHEN x.now = 'calm' AND x.regime = 'trending' THEN 5 WHEN x.now = 'volatile' AND x.regime = 'calm' THEN 15 WHEN x.now = 'trending' AND x.regime = 'calm' THEN 10 ELSE 2 END THEN x.regime ELSE x.now END, other, n, since
+      FROM (SELECT q.symbol, q.i, q.seq, q.ts_ns, q.regime, m.now, q.regime AS other, CASE WHEN q.regime = m.now THEN 0 WHEN q.regime = m.other THEN m.n + 1 ELSE 1 END AS n, CASE WHEN q.regime = m.now OR q.regime = m.other THEN m.since ELSE q.ts_ns END AS since FROM m JOIN q ON q.symbol = m.symbol AND q.i = m.i + 1) x)
+    SELECT seq, regime, now AS state FROM m WHERE i > 0""",
+    "v_ticks",
+)
 def w18(spark, sf):
     return regime_states(_regimes(spark, sf).select("symbol", "ts_ns", "seq", "regime")).select("seq", "regime", "state")
 
@@ -411,7 +538,19 @@ def q9(spark, sf):
     return zscore_outliers(_daily(spark, sf), threshold=3.0).select("symbol", "ts_ns", r("z", 4), "outlier")
 
 
-@query("q11_outlier_pipeline")
+_QZ = """s AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS i FROM v_ticks WHERE price > 0 AND size > 0),
+    z(symbol, i, price, mean, s, v, bm, bv) AS (SELECT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT symbol FROM s) UNION ALL
+      SELECT s.symbol, s.i, s.price, (59.0::DOUBLE / 61 * z.s + 2.0::DOUBLE / 61 * s.price) / (1 - pow(59.0::DOUBLE / 61, s.i)), 59.0::DOUBLE / 61 * z.s + 2.0::DOUBLE / 61 * s.price,
+        59.0::DOUBLE / 61 * z.v + 2.0::DOUBLE / 61 * pow(s.price - z.mean, 2), z.mean, CASE WHEN z.i = 0 THEN 0 ELSE z.v / (1 - pow(59.0::DOUBLE / 61, z.i)) END
+      FROM z JOIN s ON s.symbol = z.symbol AND s.i = z.i + 1)"""
+
+
+@query(
+    "q11_outlier_pipeline",
+    f"""WITH RECURSIVE {_QZ}, j AS (SELECT symbol, CASE WHEN i > 30 AND sqrt(bv) > 1e-12 AND abs(price - bm) / sqrt(bv) > 3 THEN 'zscore' END AS rejected_by FROM z WHERE i > 0
+      UNION ALL SELECT symbol, 'sanity' FROM v_ticks WHERE NOT (price > 0 AND size > 0)) SELECT symbol, rejected_by, count(*) AS n FROM j GROUP BY 1, 2""",
+    "v_ticks",
+)
 def q11(spark, sf):
     from .filters import sanity
 

@@ -176,13 +176,28 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.join(s.where("symbol = '2-HIGH'").select("ts_ns", F.col("price").alias("x")), "ts_ns")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for written tables: in the shared folder of ``spark.checkpoint.dir``, else a temporary one."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a local session without one takes a temporary folder, a cluster may not."""
     import tempfile
+
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tables-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for written tables in the shared folder."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tables-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,83 +43,72 @@ def stream_bars(ticks: DataFrame, interval_ns: int, delay: str = "0 seconds") ->
     return bars.select("symbol", ns("window.start").alias("open_ts"), ns("window.end").alias("close_ts"), "open", "high", "low", "close", "volume", "n_ticks", F.col("window.end").alias("end_time"))
 
 
-def stateful(stream: DataFrame, keys: list[str], out: str, state: str, step) -> DataFrame:
-    """Rows of a key in (ts_ns, seq) order within each trigger go through ``step(state or None, rows) -> (state, rows)``."""
+def stateful(stream: DataFrame, keys: list[str], out: str, state: str, step, order: tuple[str, ...] = ("ts_ns", "seq"), expire_ms: int | None = None) -> DataFrame:
+    """Rows of a key in order within each trigger go through ``step(state or None, rows) -> (state, rows)``.
+
+    ``maxFilesPerTrigger`` bounds the rows of a trigger. With ``expire_ms`` a key without rows for that long loses its
+    state; that is for queries with a processing-time trigger, since one that drains what is there would wait.
+    """
     schema = T._parse_datatype_string(out)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["ts_ns", "seq"], kind="stable").reset_index(drop=True)
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(list(order), kind="stable").reset_index(drop=True)
         new, made = step(held.get if held.exists else None, rows)
         held.update(new)
+        if expire_ms:
+            held.setTimeoutDuration(expire_ms)
         yield made[schema.names]
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", timeout)
 
 
 def stream_quality(frames: DataFrame, stale_ns: int = SECOND) -> DataFrame:
     """K2: the quote gate; the last good number of each (exchange, symbol) is the state."""
 
-    def step(state, rows):
-        last = state[0] if state else None
-        verdict, dropped = [], []
-        for x in rows.itertuples(index=False):
-            v, lost = "ok", 0
-            if x.bid > 0 and x.ask > 0 and x.bid > x.ask:
-                v = "crossed"
-            elif x.ingest_ts_ns - x.ts_ns > stale_ns:
-                v = "stale"
-            else:
-                if last is not None and x.sequence > last + 1:
-                    v, lost = "gap", int(x.sequence - last - 1)
-                last = int(x.sequence)
-            verdict.append(v)
-            dropped.append(lost)
-        return (last,), rows.assign(verdict=verdict, dropped=dropped)
+    def step(state, rows: pd.DataFrame):
+        crossed = (rows["bid"] > 0) & (rows["ask"] > 0) & (rows["bid"] > rows["ask"])
+        stale = rows["ingest_ts_ns"] - rows["ts_ns"] > stale_ns
+        good = rows["sequence"].where(~(crossed | stale)).astype("Int64")
+        known = pd.concat([pd.Series([state[0] if state else None], dtype="Int64"), good], ignore_index=True).ffill()
+        gap = (good > known[:-1].to_numpy() + 1).fillna(False).to_numpy(bool)
+        lost = np.where(gap, (good - known[:-1].to_numpy() - 1).fillna(0).to_numpy(np.int64), 0)
+        last = known.iloc[-1]
+        return (None if pd.isna(last) else int(last),), rows.assign(verdict=np.select([crossed, stale, gap], ["crossed", "stale", "gap"], "ok"), dropped=lost)
 
     return stateful(frames, ["exchange", "symbol"], "exchange string, symbol string, seq long, verdict string, dropped long", "last long", step)
 
 
-def stream_symbol_snapshots(ticks: DataFrame, period: int = 60, publish_ns: int = 10_000_000) -> DataFrame:
-    """K3: running mean, deviation, drawdown and run of each symbol, published at most every ``publish_ns``."""
-    a = 2 / (period + 1)
-
-    def step(state, rows):
-        sx, sw, vx, vw, mean, peak, n, newest, sent = state or (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, -1, -1)
-        out = []
-        for x in rows.itertuples(index=False):
-            if x.ts_ns < newest or not (x.price > 0 and x.size > 0):
-                continue
-            newest, n = x.ts_ns, n + 1
-            vx, vw = (1 - a) * vx + a * (x.price - mean) ** 2, (1 - a) * vw + a
-            sx, sw = (1 - a) * sx + a * x.price, (1 - a) * sw + a
-            mean, peak = sx / sw, max(peak, x.price)
-            if sent < 0 or x.ts_ns - sent >= publish_ns:
-                sent = x.ts_ns
-                out.append((x.symbol, x.ts_ns, x.seq, n, mean, (vx / vw) ** 0.5, (peak - x.price) / peak))
-        return (sx, sw, vx, vw, mean, peak, n, newest, sent), pd.DataFrame(out, columns=["symbol", "ts_ns", "seq", "n_ticks", "ewma", "ewma_std", "drawdown"])
-
-    state = "sx double, sw double, vx double, vw double, mean double, peak double, n long, newest long, sent long"
-    return stateful(ticks, ["symbol"], "symbol string, ts_ns long, seq long, n_ticks long, ewma double, ewma_std double, drawdown double", state, step)
-
-
-def stream_pair_snapshots(ticks: DataFrame, y: str, x: str, keys: list[str], tolerance_ns: int) -> DataFrame:
-    """K4: on every tick of either leg the prices of both, unless the other is too old."""
-
-    def step(state, rows):
-        py, ty, px, tx = state or (0.0, -1, 0.0, -1)
-        out = []
-        for v in rows.itertuples(index=False):
-            if v.symbol == y:
-                py, ty = v.price, v.ts_ns
-            else:
-                px, tx = v.price, v.ts_ns
-            if ty >= 0 and tx >= 0 and abs(ty - tx) <= tolerance_ns:
-                out.append((*(getattr(v, k) for k in keys), v.ts_ns, v.seq, py, px))
-        return (py, ty, px, tx), pd.DataFrame(out, columns=[*keys, "ts_ns", "seq", "y", "x"])
+def stream_symbol_snapshots(ticks: DataFrame, window: int = 256, publish_ns: int = 10_000_000) -> DataFrame:
+    """K3: the symbol snapshots of W19, published at most every ``publish_ns``; ticks in order of arrival (seq)."""
+    from tickspark.operators.windows import SNAPSHOT, SNAPSHOT_STATE, snapshot_step
+
+    def step(state, rows: pd.DataFrame):
+        state, columns = snapshot_step(state, rows, window, publish_ns)
+        made = rows.assign(**columns)
+        return tuple(v if isinstance(v, list) else v.item() if hasattr(v, "item") else v for v in state), made[made["publish"]]
+
+    out = "symbol string, ts_ns long, seq long, price double, size double, " + SNAPSHOT.removesuffix(", publish boolean")
+    return stateful(ticks.select("symbol", "ts_ns", "seq", "price", "size"), ["symbol"], out, SNAPSHOT_STATE, step, ("seq",))
+
+
+def stream_pair_snapshots(ticks: DataFrame, y: str, x: str, keys: list[str], tolerance_ns: int, window: int = 256, min_bars: int = 64, every: int = 64, publish_ns: int = 1_000_000) -> DataFrame:
+    """K4: the pair snapshots of P16 on every tick of either leg whose other leg is not too old."""
+    from tickspark.operators.pairs import PAIR_SNAPSHOT, PAIR_STATE, pair_step
+
+    columns = [f.name for f in T._parse_datatype_string(PAIR_SNAPSHOT).fields]
+
+    def step(state, rows: pd.DataFrame):
+        state, made = pair_step(state, (rows["symbol"] == y).to_numpy(), rows["ts_ns"].to_numpy(), rows["price"].to_numpy(), tolerance_ns, window, min_bars, every, publish_ns)
+        at = [i for i, _ in made]
+        return state, pd.concat([rows.loc[at, [*keys, "ts_ns", "seq"]].reset_index(drop=True), pd.DataFrame([v for _, v in made], columns=columns)], axis=1)
 
     legs = ticks.where(F.col("symbol").isin(y, x))
     head = ", ".join(f"{k} {legs.schema[k].dataType.simpleString()}" for k in keys)
-    return stateful(legs, keys, f"{head}, ts_ns long, seq long, y double, x double", "py double, ty long, px double, tx long", step)
+    return stateful(legs, keys, f"{head}, ts_ns long, seq long, {PAIR_SNAPSHOT}", PAIR_STATE, step)
 
 
 def stream_join_bars(y: DataFrame, x: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -128,37 +118,42 @@ def stream_join_bars(y: DataFrame, x: DataFrame, delay: str = "1 hour") -> DataF
     return a.join(b, (F.col("y_ts") == F.col("x_ts")) & (F.col("y_time") == F.col("x_time"))).select(F.col("y_ts").alias("open_ts"), "y", "x")
 
 
-def stream_states(df: DataFrame, machine: str) -> DataFrame:
-    """K6: ``regime`` (key symbol, column regime) or ``alert`` (key code) states."""
+def stream_states(df: DataFrame, machine: str, limit: float = 0.2, cooldown_ns: int = 10 * SECOND) -> DataFrame:
+    """K6: ``regime`` (key symbol, column regime), ``alert`` (key code) or ``circuit`` (key curve_id) states.
+
+    The circuit's rows have drawdown and a boolean reset: armed until the drawdown exceeds ``limit``, tripped for the
+    cooldown, then recovering until a reset.
+    """
     if machine == "regime":
         code = {n: i for i, n in enumerate(K.REGIMES)}
 
-        def step(state, rows):
-            now, last, count, since = state or (K.CALM, K.CALM, 0, 0)
-            out = []
-            for o, t in zip(rows["regime"].map(code), rows["ts_ns"], strict=True):
-                if o == now:
-                    last, count = o, 0
-                elif o == last:
-                    count += 1
-                else:
-                    last, count, since = o, 1, t
-                dwell, least = K.regime_dwell(now, o)
-                if o != now and count >= least and t - since >= dwell:
-                    now = o
-                out.append(K.REGIMES[now])
-            return (int(now), int(last), int(count), int(since)), rows.assign(state=out)
-
-        return stateful(df, ["symbol"], "symbol string, ts_ns long, seq long, regime string, state string", "now long, last long, count long, since long", step)
+        def regime(state, rows: pd.DataFrame):
+            state, out = K.regime_states(state, rows["regime"].map(code).to_numpy(), rows["ts_ns"].to_numpy())
+            return state, rows.assign(state=np.array(K.REGIMES, object)[out])
+
+        return stateful(df, ["symbol"], "symbol string, ts_ns long, seq long, regime string, state string", "now long, last long, count long, since long", regime)
     if machine == "alert":
         from tickspark.operators.telemetry import alert_states
 
-        def raised(state, rows):
+        def raised(state, rows: pd.DataFrame):
             first, count = state or (None, 0)
             notify, counts, first, count = alert_states(rows["ts_ns"].to_numpy(), 30 * SECOND, first, count)
             return (int(first), int(count)), rows.assign(notify=notify, count=counts)
 
         return stateful(df, ["code"], "code string, ts_ns long, seq long, notify boolean, count long", "first long, count long", raised)
+    if machine == "circuit":
+
+        def circuit(state, rows: pd.DataFrame):
+            tripped, out = state[0] if state else None, []
+            for ts, drawdown, reset in zip(rows["ts_ns"], rows["drawdown"], rows["reset"], strict=True):
+                if reset:
+                    tripped = None
+                elif tripped is None and drawdown > limit:
+                    tripped = int(ts)
+                out.append("armed" if tripped is None else "tripped" if ts - tripped < cooldown_ns else "recovering")
+            return (tripped,), rows.assign(circuit=out)
+
+        return stateful(df, ["curve_id"], "curve_id string, ts_ns long, seq long, circuit string", "tripped long", circuit)
     raise ValueError(f"unknown machine {machine!r}")
 
 
@@ -200,13 +195,15 @@ def k2(spark, sf):
 
 @query("k3_stream_symbol_snapshots")
 def k3(spark, sf):
-    return drain(stream_symbol_snapshots(tick_stream(spark, sf))).select("symbol", "ts_ns", "seq", "n_ticks", r("ewma"), r("ewma_std"), r("drawdown"))
+    s = drain(stream_symbol_snapshots(tick_stream(spark, sf)))
+    return s.select("symbol", "ts_ns", "seq", "n_ticks", *[r(c) for c in ("last_price", "denoised_price", "realized_vol", "ewma_vol", "rolling_mean", "rolling_std", "drawdown")], "state", "rejected", "ready")
 
 
 @query("k4_stream_pair_snapshots")
 def k4(spark, sf):
     t = tick_stream(spark, sf).withColumn("g", F.col("user_id") % 20)
-    return drain(stream_pair_snapshots(t, "click", "view", ["g"], 10 * HOUR))
+    s = drain(stream_pair_snapshots(t, "click", "view", ["g"], 10 * HOUR))
+    return s.select("g", "ts_ns", "seq", "y", "x", r("beta"), r("corr"), r("z", 4), "signal", "position", r("adf_p_value"), r("half_life", 4), "cointegrated", "ready")
 
 
 @query(
@@ -223,7 +220,15 @@ def k5(spark, sf):
     return drain(stream_join_bars(s.where("symbol = 'click'"), s.where("symbol = 'view'")))
 
 
-@query("k6_stream_states")
+@query(
+    "k6_stream_states",
+    f"""WITH RECURSIVE q AS (SELECT symbol, seq, ts_ns, CASE WHEN size < 80 THEN 'volatile' ELSE 'calm' END AS regime, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS i FROM v_ticks),
+    m(symbol, i, ts_ns, seq, regime, now, other, n, since) AS (SELECT DISTINCT symbol, 0::BIGINT, 0::BIGINT, 0::BIGINT, 'calm', 'calm', 'calm', 0::BIGINT, 0::BIGINT FROM q UNION ALL
+      SELECT x.symbol, x.i, x.ts_ns, x.seq, x.regime, CASE WHEN x.regime <> x.now AND n >= CASE WHEN x.regime = 'calm' THEN 100 ELSE 20 END AND x.ts_ns - since >= {SECOND} * CASE WHEN x.regime = 'calm' THEN 15 ELSE 2 END THEN x.regime ELSE x.now END, other, n, since
+      FROM (SELECT q.*, m.now, q.regime AS other, CASE WHEN q.regime = m.now THEN 0 WHEN q.regime = m.other THEN m.n + 1 ELSE 1 END AS n, CASE WHEN q.regime = m.now OR q.regime = m.other THEN m.since ELSE q.ts_ns END AS since FROM m JOIN q ON q.symbol = m.symbol AND q.i = m.i + 1) x)
+    SELECT symbol, ts_ns, seq, regime, now AS state FROM m WHERE i > 0""",
+    "v_ticks",
+)
 def k6(spark, sf):
     size = F.col("size")
     t = tick_stream(spark, sf).withColumn("regime", F.when(size < 80, "volatile").otherwise("calm"))

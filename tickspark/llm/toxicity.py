@@ -20,6 +20,8 @@ BUCKETS, TRAIN_ROWS, FEATURES, FACTORS = 1 << 20, 20_000, 2_048, 8
 PREFIXES = (4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
+#: Terms of the rows whose gradients are taken at a time.
+STRETCH = 200_000
 
 
 def term_buckets(word: str) -> set[int]:
@@ -97,25 +99,44 @@ def fit(rows: DataFrame, features: int = FEATURES, factors: int = FACTORS, epoch
     share = ((count["p"] or 0) + 1) / (count["n"] + 2)
     if not chosen:
         return Model({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
-    table = rows.select("doc_id", "toxic", F.array_intersect("buckets", F.array(*map(F.lit, chosen))).alias("b")).orderBy("doc_id").collect()
-    y = np.array([r["toxic"] for r in table], float)
-    owner = np.repeat(np.arange(len(table)), [len(r["b"]) for r in table])
-    item = np.array([index[b] for r in table for b in r["b"]], np.int64)
+    known = rows.sparkSession.sparkContext.broadcast(index)
+
+    def present(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [[known.value[b] for b in bs if b in known.value] for bs in pdf["buckets"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "b": own})
+
+    table = rows.mapInPandas(present, "doc_id long, toxic int, b array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    y = table.column("toxic").to_numpy().astype(float)
+    lists = table.column("b").combine_chunks()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    item, owner = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), np.diff(bounds))
+    del table, lists
+    # Gradients are added up over stretches of rows, so that the driver holds one stretch's factors at a time.
+    cuts = [0]
+    while cuts[-1] < len(y):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + STRETCH, "right")) - 1))
     rng = np.random.default_rng(11)
     w, v, bias = np.zeros(len(index)), rng.normal(0, 0.01, (len(index), factors)), float(np.log(share / (1 - share)))
     weight = np.where(y == 1, min(5.0, (1 - share) / share), 1.0)
     weight /= weight.mean()
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0.0, 0.0]
     for t in range(1, epochs + 1):
-        own = v[item]
-        total = np.stack([np.bincount(owner, own[:, f], len(y)) for f in range(factors)], axis=1)
-        raw = bias + np.bincount(owner, w[item] - 0.5 * (own**2).sum(axis=1), len(y)) + 0.5 * (total**2).sum(axis=1)
-        slope = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(y)
-        each = slope[owner]
-        gw = np.bincount(item, each, len(w)) + decay * w
-        pull = each[:, None] * (total[owner] - own)
-        gv = np.stack([np.bincount(item, pull[:, f], len(w)) for f in range(factors)], axis=1) + decay * v
-        for k, (value, g) in enumerate(((w, gw), (v, gv), (None, slope.sum()))):
+        gw, gv, gb = decay * w, decay * v, 0.0
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            some = slice(bounds[lo], bounds[hi])
+            of, what = owner[some] - lo, item[some]
+            own = v[what]
+            total = np.stack([np.bincount(of, own[:, f], hi - lo) for f in range(factors)], axis=1)
+            raw = bias + np.bincount(of, w[what] - 0.5 * (own**2).sum(axis=1), hi - lo) + 0.5 * (total**2).sum(axis=1)
+            slope = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[lo:hi]) / len(y)
+            each = slope[of]
+            gw += np.bincount(what, each, len(w))
+            pull = each[:, None] * (total[of] - own)
+            gv += np.stack([np.bincount(what, pull[:, f], len(w)) for f in range(factors)], axis=1)
+            gb += float(slope.sum())
+        for k, (value, g) in enumerate(((w, gw), (v, gv), (None, gb))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * g
             moments[2 * k + 1] = 0.999 * moments[2 * k + 1] + 0.001 * g**2
             step = rate * (moments[2 * k] / (1 - 0.9**t)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.999**t)) + 1e-8)

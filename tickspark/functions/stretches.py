@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Rows of a stretch, and the most stretches of a key; beyond it they get longer.
 LENGTH, MOST = 4_000_000, 2_000
+#: A length that no key has, for tables whose keys are known to be short.
+NEVER = 1 << 60
 
 Specs = dict[str, tuple[str, Column]]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
-from tickspark.functions.stretches import scan, stretches
+from tickspark.functions.stretches import NEVER, scan, stretches
 from tickspark.plans.catalog import query, r, series
 
 from .strategies import Strategy, run_strategy
@@ -227,11 +227,14 @@ def pair_snapshots(df: DataFrame, window: int = 256, key: str = "pair", min_publ
     from .joins import asof
     from .windows import over_last, with_corr
 
-    stats = over_last(spread_z(hedge_rolling(df, window, key), window, key), window, lambda d, w: with_corr(d, "y", "x", w), key, ("ts_ns",))
-    signals = reversion_signals(stats, key=key)
+    # Whether a pair must be cut is asked once: what follows adds columns, no rows.
+    length = NEVER if stretches(df, key, ("ts_ns",)).hot is None else None
+    stats = spread_z(hedge_rolling(df, window, key, length), window, key, length)
+    stats = over_last(stats, window, lambda d, w: with_corr(d, "y", "x", w), key, ("ts_ns",), length)
+    signals = reversion_signals(stats, key=key, length=length)
     tests = rolling_cointegration(df, key=key).withColumnsRenamed({"p_value": "adf_p_value", "t_stat": "adf_t_stat"})
     at = df.withColumn("retest", F.row_number().over(Window.partitionBy(key).orderBy("ts_ns"))).select(key, "retest", "ts_ns")
-    met = asof(signals, tests.join(at, [key, "retest"]).select(key, "ts_ns", "adf_p_value", "adf_t_stat", "half_life", "cointegrated"), [key], ["adf_p_value", "adf_t_stat", "half_life", "cointegrated"])
+    met = asof(signals, tests.join(at, [key, "retest"]).select(key, "ts_ns", "adf_p_value", "adf_t_stat", "half_life", "cointegrated"), [key], ["adf_p_value", "adf_t_stat", "half_life", "cointegrated"], length=length)
     gap = F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy(key).orderBy("ts_ns"))
     return met.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= min_publish_ns)).drop("_gap", "matched_ts")
 

@@ -48,11 +48,29 @@ def _values(seed: int) -> np.ndarray:
     return v[_LOWER]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A sum of the bytes' values times powers of an odd base for each of the ordered spans, A-Z as a-z.
+
+    Differences of one running sum over a stretch of text give all of its spans at once.
+    """
+    values, hashes = _values(seed), np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + TEXT, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        up, down = _power(hi - lo + 1)
+        sums = np.empty(hi - lo + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(values[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        hashes[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo]
+        i = j
+    return hashes
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray, seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(text, start, end, run, hashes by seed) of each word of the texts data[offsets[i]:offsets[i+1]], in order.
 
-    Words of one piece of one text have one run, a number that never falls. A word's hash is a sum of its bytes' values
-    times powers of an odd base, from one running sum over a stretch of text; words beyond LONG_WORD get a digest.
+    Words of one piece of one text have one run, a number that never falls. Words beyond LONG_WORD are hashed by digest.
     """
     n = len(data)
     kind = _KIND[data]
@@ -68,17 +86,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, seeds: tuple[int, ...]) -> tup
     run = np.cumsum(kind == 2, dtype=np.int64)[starts] + owner
     out = []
     for seed in seeds:
-        values, hashes = _values(seed), np.empty(len(starts), np.uint64)
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + TEXT, "right")))
-            lo, hi = int(starts[i]), int(ends[j - 1])
-            up, down = _power(hi - lo + 1)
-            sums = np.empty(hi - lo + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(values[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-            hashes[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo]
-            i = j
+        hashes = span_hashes(data, starts, ends, seed)
         for k in np.flatnonzero(ends - starts > LONG_WORD):
             own = _LOWER[data[starts[k] : ends[k]]].tobytes()
             hashes[k] = int.from_bytes(hashlib.blake2b(own, digest_size=8, key=b"%d" % seed).digest(), "big")

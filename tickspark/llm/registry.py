@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, hard_negatives, minhash_dedup, mixing, phrases, pii, secrets, sentencepiece_fst, sharding, toxicity
+from . import chat_format, embedding_dedup, exact_dedup, hard_negatives, language_id, minhash_dedup, mixing, phrases, pii, secrets, sentencepiece_fst, sharding, toxicity
 
-MODULES = (pii, chat_format, mixing, embedding_dedup, sentencepiece_fst, toxicity, secrets, minhash_dedup, sharding, exact_dedup, hard_negatives, phrases)
+MODULES = (pii, chat_format, mixing, embedding_dedup, sentencepiece_fst, toxicity, secrets, minhash_dedup, sharding, exact_dedup, language_id, hard_negatives, phrases)
 
 
 def queries() -> dict:

@@ -93,7 +93,8 @@ def spreads(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarr
         s, sq = (_matrix(table.column(c).combine_chunks(), width).sum(axis=0) / n for c in ("s", "sq"))
         var = np.maximum(sq - s**2, 0.0)
         best = np.argsort(-var, kind="stable")[:DIMS]
-        return pa.table({"width": pa.array([width], pa.int32()), "dim": [best.tolist()], "mean": [s[best].tolist()], "dev": [np.sqrt(var[best]).tolist()]})
+        kinds = (("dim", best, pa.int64()), ("mean", s[best], pa.float64()), ("dev", np.sqrt(var[best]), pa.float64()))
+        return pa.table({"width": pa.array([width], pa.int32())} | {name: pa.array([x.tolist()], pa.list_(kind)) for name, x, kind in kinds})
 
     partial = rows.select("q", "width").mapInArrow(sums, "width int, n long, s array<double>, sq array<double>")
     found = partial.groupBy("width").applyInArrow(dims, "width int, dim array<long>, mean array<double>, dev array<double>")

@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +363,37 @@ def test_contract_queries(spark, small):
         assert q[k](spark, small).count() == n
     empty = hashlib.sha256(b"").hexdigest()
     assert all(len(r["base_sha256"]) == len(empty) for r in q["op1_pii"](spark, small).collect())
+
+
+def _secret_texts():
+    rng = np.random.default_rng(12)
+    base62 = list("0123456789abcdefghijklmnopqrstuvwwyzABCDEFGHIJKLMNOPQRSTUVWWYZ")
+    draw = lambda n: "".join(rng.choice(base62, n))
+    parts = 20_000
+    for sep in "/=_-+":
+        yield sep.join(["ab"] * parts) + sep + "x1", 0
+        yield sep.join(["12"] * parts), 0
+    for sep in "/=_-":
+        yield sep.join(["ab", "example"] * (parts // 2)), 0
+    yield "/".join(["example", draw(40)] * 300), 300
+    yield draw(1_000_000), 1
+    yield " ".join("k" + draw(24) + "7" for _ in range(700)), 670  # some are not random enough
+
+
+def test_long_candidates(spark):
+    """Paths of 20,000 parts with each separator, a run of a million characters, and more matches than one fold places."""
+    texts = list(_secret_texts())
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for r in secrets.scan(rows).select("doc_id", "secrets.entropy").collect():
+        text, want = texts[r["doc_id"]]
+        assert want <= len(r["entropy"]) <= want * 1.05, r["doc_id"]
+        assert all(text[x["s"] : x["e"]] == x["m"] for x in r["entropy"])
+
+
+def test_allow_list_as_before():
+    """The allow list's patterns without repeated groups mean what the ones with them meant."""
+    rng = np.random.default_rng(3)
+    old = (r"^[A-Za-z]+([_/+=-]+[A-Za-z]+)*[_/+=-]*[0-9]{0,4}$", r"^[0-9]+([_/+=-]+[0-9]+)*$")
+    for _ in range(4000):
+        word = "".join(rng.choice(list("aZ19_/"), rng.integers(1, 9)))
+        assert [bool(re.search(p, word)) for p in secrets.ALLOW[3:5]] == [bool(re.search(p, word)) for p in old], word

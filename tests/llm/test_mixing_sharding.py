@@ -180,3 +180,19 @@ def test_write_shards_with_clashing_names(spark, make_docs, tmp_path):
     write_shards(docs, str(tmp_path / "out"), 4, task_bytes=40)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 60 and set(back.columns) == {*docs.columns, "shard__"} and back.select("shard__").distinct().count() == 4
+
+
+def test_many_pieces(spark):
+    """20,000 pieces: every boundary within a quarter of a piece of what a sort says, shards' within the tolerance."""
+    import numpy as np
+
+    pieces, n = 2_500, 4_000_000
+    sized = spark.range(n).select(F.shiftrightunsigned(F.xxhash64("id"), 2).alias("key"), (F.col("id") % 7 + 1).alias("size"))
+    cuts = np.array(S.splitters(sized, 8, 0.002, pieces))
+    table = sized.toArrow().to_pandas().sort_values("key")
+    below = np.concatenate(([0], np.cumsum(table["size"].to_numpy())))[np.searchsorted(table["key"].to_numpy(), cuts)]
+    total, parts = int(table["size"].sum()), 8 * pieces
+    off = np.abs(below - total * np.arange(1, parts) / parts)
+    assert len(cuts) == parts - 1 and (np.diff(cuts) >= 0).all()
+    assert (off <= total / parts / 4 + 7).all()
+    assert (off[pieces - 1 :: pieces] <= 0.002 * total / 8).all()

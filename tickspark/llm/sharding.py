@@ -15,8 +15,9 @@ from .common import cut, free, n_partitions, read
 #: The key: GROUP_BITS of the text's hash, so that equal texts are neighbours, then ROW_BITS of the document's.
 GROUP_BITS, ROW_BITS = 35, 27
 TOP = 1 << (GROUP_BITS + ROW_BITS)
-#: Probes of the first round and, inside every open interval, of the later ones.
-FIRST_PROBES, PROBES = 4096, 128
+#: Probes of the first round and, inside every open interval, of the later ones; and of all intervals of a round, which
+#: bounds what the driver gets (at least LEAST_PROBES an interval).
+FIRST_PROBES, PROBES, ROUND_PROBES, LEAST_PROBES = 4096, 128, 131_072, 4
 #: Rows, and bytes of whole documents, that a task of the exchange is meant to take.
 TASK_ROWS, TASK_BYTES = 2_000_000, 1 << 28
 
@@ -30,9 +31,9 @@ def shard_key(text: Column, doc_id: Column) -> Column:
 def splitters(sized: DataFrame, shards: int, tolerance: float = 0.002, pieces: int = 1) -> list[int]:
     """Keys that cut ``sized`` (key, size) into ``shards`` ranges of near equal bytes, each of ``pieces`` parts.
 
-    Each round counts the exact bytes below candidate boundaries, FIRST_PROBES at first and then PROBES in every
-    open interval, in one aggregation, and keeps the interval that holds the target. The result of a round has at
-    most that many rows, and parts of a hot group share an interval. A splitter is done when a probe is within
+    Each round counts the exact bytes below candidate boundaries, FIRST_PROBES at first (more for many parts) and then
+    up to PROBES in every open interval, ROUND_PROBES in all, in one aggregation, and keeps the interval that holds the
+    target. The result of a round has at most that many rows, and parts of a hot group share an interval. A splitter is done when a probe is within
     ``tolerance`` of a shard's bytes (a quarter of a part's bytes between parts of a shard), or when its interval
     cannot be cut further. Boundaries between groups of equal texts are preferred: below the group bits is only
     probed when a group is larger than the tolerance. Every ``pieces``-th key bounds a shard.
@@ -43,35 +44,37 @@ def splitters(sized: DataFrame, shards: int, tolerance: float = 0.002, pieces: i
     slack = [tolerance * total / shards if i % pieces == 0 else total / parts / 4 for i in range(1, parts)]
     lo, hi = [0] * len(goals), [TOP] * len(goals)
     found: list[int | None] = [None] * len(goals)
-    probes = FIRST_PROBES
+    probes = max(FIRST_PROBES, min(4 * parts, ROUND_PROBES))
     while total and None in found:
         spans = sorted({(lo[i], hi[i]) for i, at in enumerate(found) if at is None})
         steps = [_step(h - a, probes) for a, h in spans]
-        binned = sized.select(_bins("key", spans, steps, probes + 2).alias("bin"), "size")
-        got = {r["bin"]: (r["size"], r["n"]) for r in binned.groupBy("bin").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-        below: dict[tuple[int, int], dict[int, int]] = {}
-        rows_in: dict[int, int] = {}
+        binned = sized.select(_bins(sized.sparkSession, spans, steps, probes + 2)(F.col("key")).alias("bin"), "size")
+        counted = binned.groupBy("bin").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toArrow()
+        got = dict(zip(counted.column(0).to_pylist(), zip(counted.column(1).to_pylist(), counted.column(2).to_pylist(), strict=True), strict=True))
+        at_edge: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         run = 0
         for j, ((a, h), step) in enumerate(zip(spans, steps, strict=True)):
             run += got.get(j * (probes + 2), (0, 0))[0]
-            below[(a, h)] = {a: run}
-            for k, c in enumerate(range(a, h, step)):
-                size, rows_in[c] = got.get(j * (probes + 2) + 1 + k, (0, 0))
-                run += size
-                below[(a, h)][min(c + step, h)] = run
+            inside = [got.get(j * (probes + 2) + 1 + k, (0, 0)) for k in range(-(-(h - a) // step))]
+            below = run + np.cumsum([0, *(x[0] for x in inside)])
+            at_edge[(a, h)] = (np.array([*range(a, h, step), h]), below, np.array([x[1] for x in inside]))
+            run = int(below[-1])
         for i, at in enumerate(found):
             if at is not None:
                 continue
-            bytes_below = below[(lo[i], hi[i])]
-            best = min(bytes_below, key=lambda c: (abs(bytes_below[c] - goals[i]), c))
-            if abs(bytes_below[best] - goals[i]) <= slack[i]:
-                found[i] = best
+            edges, below, rows = at_edge[(lo[i], hi[i])]
+            k = int(np.searchsorted(below, goals[i]))
+            near = [int(np.searchsorted(below, below[x])) for x in (k - 1, k) if 0 <= x < len(below)]
+            best = min(near, key=lambda x: (abs(below[x] - goals[i]), x))
+            if abs(below[best] - goals[i]) <= slack[i]:
+                found[i] = int(edges[best])
                 continue
-            lo[i] = max(c for c in bytes_below if c < hi[i] and (c == lo[i] or bytes_below[c] <= goals[i]))
-            hi[i] = min(c for c in bytes_below if c > lo[i])
-            if hi[i] - lo[i] <= 1 or rows_in[lo[i]] <= 1:
-                found[i] = best
-        probes = PROBES
+            k = max(0, int(np.searchsorted(below[:-1], goals[i], "right")) - 1)
+            lo[i], hi[i] = int(edges[k]), int(edges[k + 1])
+            if hi[i] - lo[i] <= 1 or rows[k] <= 1:
+                found[i] = int(edges[best])
+        left = len({(lo[i], hi[i]) for i, at in enumerate(found) if at is None})
+        probes = max(LEAST_PROBES, min(PROBES, ROUND_PROBES // max(1, left)))
     return sorted(c if c is not None else TOP for c in found)
 
 
@@ -81,14 +84,20 @@ def _step(width: int, probes: int) -> int:
     return -(-width // probes // unit) * unit or unit
 
 
-def _bins(key: str, spans: list[tuple[int, int]], steps: list[int], stride: int) -> Column:
-    """Numbers the stretch a key lies in: before each span, and each step of a span."""
-    out = F.lit(len(spans) * stride)
-    for j in range(len(spans) - 1, -1, -1):
-        (a, h), step = spans[j], steps[j]
-        inside = F.expr(f"cast({j * stride + 1} + ({key} - {a}L) div {step}L as int)")
-        out = F.when(F.col(key) < F.lit(a), F.lit(j * stride)).when(F.col(key) < F.lit(h), inside).otherwise(out)
-    return out
+def _bins(spark: SparkSession, spans: list[tuple[int, int]], steps: list[int], stride: int) -> Callable[[Column], Column]:
+    """Numbers the stretch a key lies in: before each span, and each step of a span. By binary search; only the key goes to Python."""
+    shared = spark.sparkContext.broadcast((np.array([a for a, _ in spans], np.int64), np.array([h for _, h in spans], np.int64), np.array(steps, np.int64)))
+
+    @F.pandas_udf("long")
+    def number(keys: pd.Series) -> pd.Series:
+        first, end, step = shared.value
+        key = keys.to_numpy()
+        span = np.searchsorted(first, key, "right") - 1
+        own = np.maximum(span, 0)
+        inside = (span >= 0) & (key < end[own])
+        return pd.Series(np.where(inside, own * stride + 1 + (key - first[own]) // step[own], (span + 1) * stride))
+
+    return number
 
 
 def piece_of(spark: SparkSession, cuts: list[int]) -> Callable[[Column], Column]:

@@ -222,8 +222,33 @@ def rolling_cointegration(bars: DataFrame, min_bars: int = 64, every: int = 64,
     return tested.join(half_life(residual, keys, "residual").select(*keys, "half_life"), keys, "left")
 
 
-def pair_snapshots(df: DataFrame, window: int = 256, key: str = "pair", min_publish_ns: int = 1_000_000) -> DataFrame:
-    """Hedge, correlation, spread, z and signal on each joined tick, with the last retest at or before it."""
+def published(df: DataFrame, key: str, publish_ns: int) -> DataFrame:
+    """The rows that are at least ``publish_ns`` later than the last one published before them; a key's first row always."""
+
+    def step(state, rows: pd.DataFrame) -> tuple:
+        last, keep = throttle(state[0] if state else None, rows["ts_ns"].to_numpy(), publish_ns)
+        return (last,), {"_published": keep}
+
+    return scan(df, [key], ["ts_ns"], step, "_published boolean").where("_published").drop("_published")
+
+
+def throttle(last: int | None, ts: np.ndarray, publish_ns: int) -> tuple[int | None, np.ndarray]:
+    """Which of the ordered times are published, when the last one before them was at ``last``; and the last of them."""
+    keep = np.zeros(len(ts), bool)
+    i = 0 if last is None else int(np.searchsorted(ts, last + publish_ns))
+    while i < len(ts):
+        keep[i], last = True, int(ts[i])
+        i = max(i + 1, int(np.searchsorted(ts, last + publish_ns)))
+    return last, keep
+
+
+def pair_snapshots(df: DataFrame, window: int = 256, key: str = "pair", min_publish_ns: int = 1_000_000, bars: DataFrame | None = None, volume_window: int = 64) -> DataFrame:
+    """Hedge, correlation, spread, z and signal on each joined tick, with the last retest at or before it.
+
+    ``bars``: pair bars (key, ts_ns of their close, y, x, volume of the smaller leg), in which retests run and
+    ``avg_volume`` is taken; without them each joined tick counts as a bar. Snapshots lie ``min_publish_ns`` apart, from
+    the last published one on.
+    """
     from .joins import asof
     from .windows import over_last, with_corr
 
@@ -232,17 +257,28 @@ def pair_snapshots(df: DataFrame, window: int = 256, key: str = "pair", min_publ
     stats = spread_z(hedge_rolling(df, window, key, length), window, key, length)
     stats = over_last(stats, window, lambda d, w: with_corr(d, "y", "x", w), key, ("ts_ns",), length)
     signals = reversion_signals(stats, key=key, length=length)
-    tests = rolling_cointegration(df, key=key).withColumnsRenamed({"p_value": "adf_p_value", "t_stat": "adf_t_stat"})
-    at = df.withColumn("retest", F.row_number().over(Window.partitionBy(key).orderBy("ts_ns"))).select(key, "retest", "ts_ns")
-    met = asof(signals, tests.join(at, [key, "retest"]).select(key, "ts_ns", "adf_p_value", "adf_t_stat", "half_life", "cointegrated"), [key], ["adf_p_value", "adf_t_stat", "half_life", "cointegrated"], length=length)
-    gap = F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy(key).orderBy("ts_ns"))
-    return met.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= min_publish_ns)).drop("_gap", "matched_ts")
-
-
-#: State of one pair between batches, and what its snapshots hold after the keys, ts_ns and seq.
-PAIR_STATE = """py double, ty long, px double, tx long, n long, beta double, frozen long, ys array<double>, xs array<double>, betas array<double>, spreads array<double>, position long, last long,
-    t double, p double, half double, cointegrated boolean"""
-PAIR_SNAPSHOT = "y double, x double, beta double, intercept double, beta_stdev double, corr double, spread double, z double, n long, signal string, position long, adf_t_stat double, adf_p_value double, half_life double, cointegrated boolean, ready boolean"
+    tested = df if bars is None else bars
+    tests = rolling_cointegration(tested, key=key).withColumnsRenamed({"p_value": "adf_p_value", "t_stat": "adf_t_stat"})
+    at = tested.withColumn("retest", F.row_number().over(Window.partitionBy(key).orderBy("ts_ns"))).select(key, "retest", "ts_ns")
+    met = asof(signals, tests.join(at, [key, "retest"]).select(key, "ts_ns", "adf_p_value", "adf_t_stat", "half_life", "cointegrated"), [key], ["adf_p_value", "adf_t_stat", "half_life", "cointegrated"], length=length).drop("matched_ts")
+    if bars is not None:
+        means = over_last(bars.select(key, "ts_ns", "volume"), volume_window, lambda d, w: d.withColumn("avg_volume", F.avg("volume").over(w)), key, ("ts_ns",), length)
+        met = asof(met, means.select(key, "ts_ns", "avg_volume"), [key], ["avg_volume"], length=length).drop("matched_ts")
+    return published(met, key, min_publish_ns)
+
+
+#: State of one pair between batches, and what its snapshots hold after the keys, ts_ns and seq. Per leg (y, then x): the
+#: last price and its time, the open bar that ticks make, and the last closed bar. A time of NO_TIME: not yet.
+PAIR_STATE = """price array<double>, price_ts array<long>, open_ts array<long>, open_close array<double>, open_volume array<double>, bar_ts array<long>, bar_close array<double>, bar_volume array<double>,
+    last_event long, last_publish long, last_bar long, late long, n_ticks long, n_bars long, since long,
+    beta double, frozen long, ys array<double>, xs array<double>, betas array<double>, spreads array<double>, position long,
+    bar_ys array<double>, bar_xs array<double>, volumes array<double>, t double, p double, half double, cointegrated boolean"""
+PAIR_SNAPSHOT = """y double, x double, beta double, intercept double, beta_stdev double, corr double, spread double, z double, n long, signal string, position long,
+    adf_t_stat double, adf_p_value double, half_life double, cointegrated boolean, ready boolean, n_ticks long, n_bars long, late long, avg_volume double"""
+SIGNALS = ("hold", "long_spread", "exit", "short_spread")
+#: Joined ticks whose windows are taken together.
+PAIR_CHUNK = 2048
+NO_TIME = -(1 << 62)
 
 
 def mackinnon_value(t: float, table: str) -> float:
@@ -278,44 +314,141 @@ def retest(y: np.ndarray, x: np.ndarray, signif: float = 0.05) -> tuple[float |
     return t, p, half, bool(p is not None and p < signif and abs(b) > 1e-9)
 
 
-def pair_step(state: tuple | None, legs: np.ndarray, ts: np.ndarray, price: np.ndarray, tolerance_ns: int, window: int = 256, min_bars: int = 64, every: int = 64, publish_ns: int = 1_000_000) -> tuple[tuple, list[tuple[int, tuple]]]:
-    """P16 tick by tick: ``legs`` says whether a tick is of y; gives (row, snapshot) for each tick that is published.
+def _frames(tail: list[float], values: np.ndarray, window: int) -> np.ndarray:
+    """Rows of the last ``window`` values up to each of ``values``, NaN before the first one of all."""
+    kept = tail[-(window - 1) :] if window > 1 else []
+    padded = np.concatenate((np.full(window - 1 - len(kept), np.nan), kept, values))
+    return np.lib.stride_tricks.sliding_window_view(padded, window)
+
+
+def _moments(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, deviations and n - 1 (1 at least) of each row."""
+    n = np.count_nonzero(~np.isnan(frames), axis=1)
+    mean = np.nansum(frames, axis=1) / n
+    return mean, np.nan_to_num(frames - mean[:, None]), np.maximum(n - 1, 1)
+
+
+class PairState:
+    """One pair's running state over two kinds of events: ticks of its legs, and bars of its legs."""
+
+    def __init__(self, held: tuple | None, tolerance_ns: int, window: int, min_bars: int, every: int, bar_ns: int | None, tick_bars: bool, volume_window: int):
+        self.names = [field.split()[0] for field in PAIR_STATE.split(",")]
+        never, zero = [NO_TIME, NO_TIME], [0.0, 0.0]
+        fresh = (zero, never, never, zero, zero, never, zero, zero, NO_TIME, NO_TIME, NO_TIME, 0, 0, 0, 0, 0.0, 0, [], [], [], [], 0, [], [], [], None, None, None, False)
+        for name, value in zip(self.names, held or fresh, strict=True):
+            setattr(self, name, list(value) if isinstance(value, (list, np.ndarray)) else None if pd.isna(value) else value)
+        self.tolerance_ns, self.window, self.min_bars, self.every, self.bar_ns, self.tick_bars, self.volume_window = tolerance_ns, window, min_bars, every, bar_ns, tick_bars, volume_window
+        self.joined: list[tuple[int, float, float, int]] = []  # row, y, x, late ticks before it
+        self.told: list[tuple] = [(0, self.n_bars, self._volume(), self.t, self.p, self.half, self.cointegrated)]  # from which joined tick on
+
+    def _volume(self) -> float | None:
+        return sum(self.volumes) / len(self.volumes) if self.volumes else None
+
+    def tick(self, row: int, leg: int, ts: int, price: float, volume: float) -> None:
+        """A tick before the pair's last event is dropped and counted, and its price is not taken."""
+        if ts < self.last_event:
+            self.late += 1
+            return
+        if self.bar_ns:
+            start, held = ts // self.bar_ns * self.bar_ns, self.open_ts[leg]
+            if NO_TIME < held < start:
+                self.close(leg, held, held + self.bar_ns, self.open_close[leg], self.open_volume[leg])
+            if held < start:
+                self.open_ts[leg], self.open_volume[leg] = start, 0.0
+            self.open_close[leg] = price
+            self.open_volume[leg] += volume
+        self.price[leg], self.price_ts[leg] = price, ts
+        if self.price_ts[1 - leg] == NO_TIME or abs(ts - self.price_ts[1 - leg]) > self.tolerance_ns:
+            return
+        self.last_event = ts
+        self.joined.append((row, self.price[0], self.price[1], self.late))
+        if self.tick_bars:
+            self.pair_bar(self.price[0], self.price[1], None)
+
+    def close(self, leg: int, open_ts: int, close_ts: int, close: float, volume: float) -> None:
+        """A bar of one leg; with the other leg's of the same start it makes a pair bar, if that is later than the last."""
+        self.bar_ts[leg], self.bar_close[leg], self.bar_volume[leg] = open_ts, close, volume
+        if self.bar_ts[1 - leg] != open_ts or close_ts <= self.last_bar:
+            return
+        self.last_bar = close_ts
+        self.pair_bar(self.bar_close[0], self.bar_close[1], min(self.bar_volume))
+
+    def pair_bar(self, y: float, x: float, volume: float | None) -> None:
+        keep = 4 * self.min_bars
+        self.n_bars += 1
+        self.since += 1
+        self.bar_ys, self.bar_xs = [*self.bar_ys, y][-keep:], [*self.bar_xs, x][-keep:]
+        if volume is not None:
+            self.volumes = [*self.volumes, volume][-self.volume_window :]
+        if len(self.bar_ys) >= self.min_bars and self.since >= self.every:
+            self.since = 0
+            t, p, half, tied = retest(np.array(self.bar_ys), np.array(self.bar_xs))
+            if t is not None:  # a test that cannot be made leaves the last one standing
+                self.t, self.p, self.half, self.cointegrated = t, p, half, tied
+        # A tick that is a bar itself shows its own retest; other bars come before the ticks after them.
+        self.told.append((len(self.joined) - self.tick_bars, self.n_bars, self._volume(), self.t, self.p, self.half, self.cointegrated))
+
+    def snapshots(self, ts: np.ndarray, publish_ns: int) -> list[tuple[int, tuple]]:
+        """(row, snapshot) of the joined ticks that are published."""
+        out, starts = [], np.array([m[0] for m in self.told])
+        for i in range(0, len(self.joined), PAIR_CHUNK):
+            part = self.joined[i : i + PAIR_CHUNK]
+            rows, y, x = np.array([j[0] for j in part]), np.array([j[1] for j in part]), np.array([j[2] for j in part])
+            my, dy, m = _moments(_frames(self.ys, y, self.window))
+            mx, dx, _ = _moments(_frames(self.xs, x, self.window))
+            vx, vy, cov = (dx * dx).sum(axis=1) / m, (dy * dy).sum(axis=1) / m, (dx * dy).sum(axis=1) / m
+            moves = vx >= 1e-12
+            beta = pd.Series(np.where(moves, cov / np.where(moves, vx, 1.0), np.nan)).ffill().fillna(self.beta).to_numpy()
+            self.frozen += int((~moves).sum())
+            intercept = my - beta * mx
+            _, db, mb = _moments(_frames(self.betas, beta, max(self.window // 4, 2)))
+            spread = y - beta * x - intercept
+            frames = _frames(self.spreads, spread, self.window)
+            ms, ds, mm = _moments(frames)
+            sd = np.sqrt((ds * ds).sum(axis=1) / mm)
+            z = np.where(sd > 1e-12, (spread - ms) / np.where(sd > 1e-12, sd, 1.0), 0.0)
+            (self.position,), position, signal = K.reversion((self.position,), z)
+            den = np.sqrt(vx * vy)
+            corr = np.where(den < 1e-12, 0.0, np.clip(cov / np.where(den < 1e-12, 1.0, den), -1, 1))
+            count, beta_sd = np.count_nonzero(~np.isnan(frames), axis=1), np.sqrt((db * db).sum(axis=1) / mb)
+            last, keep = throttle(None if self.last_publish == NO_TIME else self.last_publish, ts[rows], publish_ns)
+            self.last_publish = NO_TIME if last is None else last
+            for k in np.flatnonzero(keep):
+                _, bars, volume, *test = self.told[int(np.searchsorted(starts, i + k, "right")) - 1]
+                n = self.n_ticks + int(k) + 1
+                numbers = (y[k], x[k], beta[k], intercept[k], beta_sd[k], corr[k], spread[k], z[k])
+                out.append((int(rows[k]), (*map(float, numbers), int(count[k]), SIGNALS[int(signal[k])], int(position[k]), *test, n >= 8, n, bars, part[k][3], volume)))
+            few = max(self.window // 4, 2)
+            self.n_ticks += len(part)
+            self.beta = float(beta[-1])
+            self.ys, self.xs = [*self.ys, *y.tolist()][-self.window :], [*self.xs, *x.tolist()][-self.window :]
+            self.betas, self.spreads = [*self.betas, *beta.tolist()][-few:], [*self.spreads, *spread.tolist()][-self.window :]
+        return out
+
+    def held(self) -> tuple:
+        return tuple(getattr(self, name) for name in self.names)
+
+
+def pair_step(state: tuple | None, events: pd.DataFrame, tolerance_ns: int, window: int = 256, min_bars: int = 64, every: int = 64, publish_ns: int = 1_000_000, bar_ns: int | None = None, volume_window: int = 64, tick_bars: bool = False) -> tuple[tuple, list[tuple[int, tuple]]]:
+    """P16 event by event: gives the state, which follows PAIR_STATE, and (row, snapshot) for each tick that is published.
 
-    Both legs must have a price, neither older than the other by more than ``tolerance_ns``; the state follows
-    PAIR_STATE and holds the last ``window`` (or 4 * ``min_bars``) joined prices.
+    ``events``: is_y (which leg), is_bar, ts_ns (of a bar: its close), open_ts (of a bar), price, volume, in order of
+    arrival. Ticks move the hedge, the spread and the signal; both legs must have a price, neither older than the other
+    by more than ``tolerance_ns``. Bars with the same start on both legs move the volume mean and, every ``every`` of
+    them, the retest over the last 4 * ``min_bars``. ``bar_ns`` makes bars from the ticks; ``tick_bars`` counts each
+    joined tick as a bar. Late ticks are dropped and counted.
     """
-    py, ty, px, tx, n, beta, frozen, ys, xs, betas, spreads, position, last, t, p, half, tied = state or (0.0, -1, 0.0, -1, 0, 0.0, 0, [], [], [], [], 0, -1, None, None, None, False)
-    ys, xs, betas, spreads = list(ys), list(xs), list(betas), list(spreads)
-    keep, few, out = max(window, 4 * min_bars), max(window // 4, 2), []
-    for i in range(len(ts)):
-        if legs[i]:
-            py, ty = float(price[i]), int(ts[i])
+    own = PairState(state, tolerance_ns, window, min_bars, every, bar_ns, tick_bars, volume_window)
+    ts = events["ts_ns"].to_numpy()
+    columns = (events["is_y"], events["is_bar"], events["ts_ns"], events["open_ts"], events["price"], events["volume"])
+    for i, (is_y, is_bar, at, open_ts, price, volume) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
+        leg = 0 if is_y else 1
+        if is_bar:
+            own.close(leg, int(open_ts), at, price, volume)
         else:
-            px, tx = float(price[i]), int(ts[i])
-        if ty < 0 or tx < 0 or abs(ty - tx) > tolerance_ns:
-            continue
-        n += 1
-        ys, xs = [*ys, py][-keep:], [*xs, px][-keep:]
-        y, x = np.array(ys[-window:]), np.array(xs[-window:])
-        dx, dy, m = x - x.mean(), y - y.mean(), max(len(x) - 1, 1)
-        vx, vy, cov = dx @ dx / m, dy @ dy / m, dx @ dy / m
-        beta, frozen = (cov / vx, frozen) if vx >= 1e-12 else (beta, frozen + 1)
-        intercept = y.mean() - beta * x.mean()
-        betas = [*betas, float(beta)][-few:]
-        spreads = [*spreads, py - beta * px - intercept][-window:]
-        s = np.array(spreads)
-        sd = s.std(ddof=1) if len(s) > 1 else 0.0
-        z = (s[-1] - s.mean()) / sd if sd > 1e-12 else 0.0
-        den = math.sqrt(vx * vy)
-        (position,), _, signal = K.reversion((position,), np.array([z]))
-        if n >= min_bars and n % every == 0:
-            t, p, half, tied = retest(np.array(ys[-4 * min_bars :]), np.array(xs[-4 * min_bars :]))
-        if last < 0 or ts[i] - last >= publish_ns:
-            corr = 0.0 if den < 1e-12 else max(-1.0, min(1.0, cov / den))
-            spread_of = float(np.std(betas, ddof=1)) if len(betas) > 1 else 0.0
-            out.append((i, (py, px, float(beta), float(intercept), spread_of, float(corr), float(s[-1]), float(z), len(s), ("hold", "long_spread", "exit", "short_spread")[int(signal[0])], int(position), t, p, half, tied, n >= 8)))
-        last = int(ts[i])
-    return (py, ty, px, tx, n, float(beta), frozen, ys, xs, betas, [float(v) for v in spreads], int(position), last, t, p, half, tied), out
+            own.tick(i, leg, at, price, volume)
+    made = own.snapshots(ts, publish_ns)
+    return own.held(), made
 
 
 def select_pairs(snaps: DataFrame, min_n: int = 64, min_corr: float = 0.5, max_p: float = 0.05, half: tuple[float, float] = (1.0, 100.0), max_beta_stdev: float = 0.5, min_volume: float = 0.0) -> DataFrame:

@@ -95,20 +95,36 @@ def stream_symbol_snapshots(ticks: DataFrame, window: int = 256, publish_ns: int
     return stateful(ticks.select("symbol", "ts_ns", "seq", "price", "size"), ["symbol"], out, SNAPSHOT_STATE, step, ("seq",))
 
 
-def stream_pair_snapshots(ticks: DataFrame, y: str, x: str, keys: list[str], tolerance_ns: int, window: int = 256, min_bars: int = 64, every: int = 64, publish_ns: int = 1_000_000) -> DataFrame:
-    """K4: the pair snapshots of P16 on every tick of either leg whose other leg is not too old."""
+def stream_pair_snapshots(
+    ticks: DataFrame, y: str, x: str, keys: list[str], tolerance_ns: int, window: int = 256, min_bars: int = 64, every: int = 64, publish_ns: int = 1_000_000, bars: DataFrame | None = None, bar_ns: int | None = None
+) -> DataFrame:
+    """K4: the pair snapshots of P16 on every tick of either leg whose other leg is not too old.
+
+    Retests and the volume mean follow bars: a second stream (keys, symbol, open_ts, ts_ns of the close, seq, close,
+    volume) in one state with the ticks, or bars of ``bar_ns`` that the state makes of the ticks; without either, each
+    joined tick counts as a bar. Late ticks are dropped and counted in ``late``.
+    """
     from tickspark.operators.pairs import PAIR_SNAPSHOT, PAIR_STATE, pair_step
 
     columns = [f.name for f in T._parse_datatype_string(PAIR_SNAPSHOT).fields]
+    tick_bars = bars is None and bar_ns is None
 
     def step(state, rows: pd.DataFrame):
-        state, made = pair_step(state, (rows["symbol"] == y).to_numpy(), rows["ts_ns"].to_numpy(), rows["price"].to_numpy(), tolerance_ns, window, min_bars, every, publish_ns)
+        state, made = pair_step(state, rows, tolerance_ns, window, min_bars, every, publish_ns, bar_ns, tick_bars=tick_bars)
         at = [i for i, _ in made]
         return state, pd.concat([rows.loc[at, [*keys, "ts_ns", "seq"]].reset_index(drop=True), pd.DataFrame([v for _, v in made], columns=columns)], axis=1)
 
-    legs = ticks.where(F.col("symbol").isin(y, x))
-    head = ", ".join(f"{k} {legs.schema[k].dataType.simpleString()}" for k in keys)
-    return stateful(legs, keys, f"{head}, ts_ns long, seq long, {PAIR_SNAPSHOT}", PAIR_STATE, step)
+    def tagged(df: DataFrame, is_bar: bool, price: str, volume: str | None) -> DataFrame:
+        size = F.col(volume).cast("double") if volume else F.lit(1.0)
+        start = F.col("open_ts") if is_bar else F.lit(0)
+        legs = df.where(F.col("symbol").isin(y, x))
+        return legs.select(*keys, (F.col("symbol") == y).alias("is_y"), F.lit(is_bar).alias("is_bar"), "ts_ns", "seq", start.cast("long").alias("open_ts"), F.col(price).alias("price"), size.alias("volume"))
+
+    events = tagged(ticks, False, "price", "size" if "size" in ticks.columns else None)
+    if bars is not None:
+        events = events.unionByName(tagged(bars, True, "close", "volume"))
+    head = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    return stateful(events, keys, f"{head}, ts_ns long, seq long, {PAIR_SNAPSHOT}", PAIR_STATE, step, ("seq",))
 
 
 def stream_join_bars(y: DataFrame, x: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -202,8 +218,8 @@ def k3(spark, sf):
 @query("k4_stream_pair_snapshots")
 def k4(spark, sf):
     t = tick_stream(spark, sf).withColumn("g", F.col("user_id") % 20)
-    s = drain(stream_pair_snapshots(t, "click", "view", ["g"], 10 * HOUR))
-    return s.select("g", "ts_ns", "seq", "y", "x", r("beta"), r("corr"), r("z", 4), "signal", "position", r("adf_p_value"), r("half_life", 4), "cointegrated", "ready")
+    s = drain(stream_pair_snapshots(t, "click", "view", ["g"], 10 * HOUR, bar_ns=10 * HOUR))
+    return s.select("g", "ts_ns", "seq", "y", "x", r("beta"), r("corr"), r("z", 4), "signal", "position", r("adf_p_value"), r("half_life", 4), "cointegrated", "ready", "n_bars", "late", r("avg_volume"))
 
 
 @query(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
-from tickspark.functions.stretches import scan
+from tickspark.functions.ranks import cold_rows, hot_keys, percentiles, values_at
+from tickspark.functions.stretches import NEVER, scan
 from tickspark.plans.catalog import DAY, FILL_ORDER, fills, nav, query, r, series
 
 YEAR_NS = 365 * DAY
@@ -171,11 +172,29 @@ def worst(df: DataFrame, n: int, by: str, key: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def historical_tail(df: DataFrame, keys: list[str], c: float, col: str = "ret") -> DataFrame:
+def beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Both tables' columns per key; null keys meet, too."""
+    other = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return a.join(other, met).drop(*[f"_{k}" for k in keys])
+
+
+def historical_tail(df: DataFrame, keys: list[str], c: float, col: str = "ret", length: int | None = None) -> DataFrame:
     """The return at index floor(n (1 - c)) of the sorted ones, and the mean of those before it, as losses.
 
-    Works on counts per distinct return, so keys need not fit into one array.
+    Works on counts per distinct return; of keys with more than ``length`` returns the one at the index is selected by
+    histograms, and those before it are added up.
     """
+    hot = hot_keys(df, keys, col, length)
+    if hot is not None:
+        at = values_at(df, keys, col, hot, {"_v": F.floor(F.col("_n") * (1 - c))})
+        less = F.col(col) < F.col("_v")
+        g = df.join(at, keys).where(less).groupBy(*keys).agg(F.count("*").alias("_k"), F.sum(col).alias("_s"))
+        index = F.floor(F.col("_n") * (1 - c))
+        ties = (index - F.coalesce("_k", F.lit(0))) * F.col("_v")
+        tail = F.try_divide(F.coalesce("_s", F.lit(0.0)) + ties, index)
+        long = at.join(g, keys, "left").select(*keys, (-F.col("_v")).alias("var"), F.coalesce(-tail, F.lit(0.0)).alias("es"))
+        return historical_tail(cold_rows(df, keys, hot), keys, c, col, NEVER).unionByName(long)
     counts = df.groupBy(*keys, col).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("_up", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))).withColumn("_at", F.floor(F.col("_n") * (1 - c)))
@@ -337,7 +356,7 @@ def performance_summary(rets: DataFrame, keys: list[str], ppy: float = 252.0) ->
 def quantile(df: DataFrame, keys: list[str], col: str, ps: tuple[float, ...]) -> DataFrame:
     """Interpolated quantiles (type 7); p is clamped to [0, 1]."""
     clamped = [min(max(p, 0.0), 1.0) for p in ps]
-    return df.groupBy(*keys).agg(F.percentile(col, F.array(*map(F.lit, clamped))).alias("_q")).select(*keys, *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(ps))])
+    return percentiles(df, keys, col, clamped).select(*keys, *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(ps))])
 
 
 SUMMARY = (("p01", 0.01), ("p05", 0.05), ("p10", 0.10), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p90", 0.90), ("p95", 0.95), ("p99", 0.99))
@@ -347,17 +366,18 @@ def summarize(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Count, mean, deviation, standard error, extremes, range, quantiles, IQR, population skew and excess kurtosis, share positive and negative, median distance."""
     c = F.col(col)
     g = df.groupBy(*keys).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.coalesce(F.stddev_samp(col), F.lit(0.0)).alias("sd"), F.min(col).alias("min"), F.max(col).alias("max"), F.percentile(col, F.array(*[F.lit(p) for _, p in SUMMARY])).alias("_q"),
+        F.count(col).alias("n"), F.avg(col).alias("mean"), F.coalesce(F.stddev_samp(col), F.lit(0.0)).alias("sd"), F.min(col).alias("min"), F.max(col).alias("max"),
         F.skewness(col).alias("skewness"), F.kurtosis(col).alias("excess_kurtosis"), F.avg(F.when(c > 0, 1.0).otherwise(0.0)).alias("share_positive"), F.avg(F.when(c < 0, 1.0).otherwise(0.0)).alias("share_negative"),
     )
     q = {name: F.get("_q", F.lit(i)) for i, (name, _) in enumerate(SUMMARY)}
+    g = beside(g, percentiles(df, keys, col, [p for _, p in SUMMARY]), keys)
     return g.withColumns(q).withColumn("se", F.col("sd") / F.sqrt(F.col("n"))).withColumn("range", F.col("max") - F.col("min")).withColumn("iqr", F.col("p75") - F.col("p25")).drop("_q")
 
 
 def interval(df: DataFrame, keys: list[str], col: str, level: float = 0.95, kind: str = "percentile", estimate: str | None = None) -> DataFrame:
     """Percentile interval of replicates, or the basic one mirrored at the estimate (mean without one)."""
     lo, hi = (1 - level) / 2, (1 + level) / 2
-    g = df.groupBy(*keys).agg(F.percentile(col, F.array(F.lit(lo), F.lit(hi))).alias("_q"), (F.first(estimate) if estimate else F.avg(col)).alias("_e"))
+    g = beside(df.groupBy(*keys).agg((F.first(estimate) if estimate else F.avg(col)).alias("_e")), percentiles(df, keys, col, [lo, hi]), keys)
     a, b = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     return g.select(*keys, (a if kind == "percentile" else 2 * F.col("_e") - b).alias("lo"), (b if kind == "percentile" else 2 * F.col("_e") - a).alias("hi"))
 
@@ -396,7 +416,7 @@ def bca_interval(boot: DataFrame, jack: DataFrame, keys: list[str], col: str, es
 def mc_standard_error(df: DataFrame, keys: list[str], col: str, p: float) -> DataFrame:
     """Error of a quantile of simulated values, from the density between two near quantiles."""
     d = min(0.01, p / 2, (1 - p) / 2)
-    g = df.groupBy(*keys).agg(F.count(col).alias("n"), F.percentile(col, F.array(F.lit(p - d), F.lit(p + d))).alias("_q"))
+    g = beside(df.groupBy(*keys).agg(F.count(col).alias("n")), percentiles(df, keys, col, [p - d, p + d]), keys)
     return g.select(*keys, (F.sqrt(F.lit(p * (1 - p)) / F.col("n")) * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))) / (2 * d)).alias("se"))
 
 

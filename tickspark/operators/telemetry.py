@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions.stretches import numbered, scan
+from tickspark.functions.ranks import cold_rows, hot_keys, values_at
+from tickspark.functions.stretches import NEVER, numbered, scan
 from tickspark.plans.catalog import SECOND, latency, nav, query, r, table
 
 from .performance import safe
@@ -16,8 +17,13 @@ from .performance import safe
 SUB_BITS, MAX_EXPONENT = 4, 40
 
 
-def pick_ranks(df: DataFrame, keys: list[str], col: str, ranks: dict[str, Column]) -> DataFrame:
-    """Values at 0-based ranks of the sorted column (``_n`` is the count), from counts per value."""
+def pick_ranks(df: DataFrame, keys: list[str], col: str, ranks: dict[str, Column], length: int | None = None) -> DataFrame:
+    """Values at 0-based ranks of the sorted column (``_n`` is the count), from counts per value; of keys with more than
+    ``length`` values by histograms."""
+    hot = hot_keys(df, keys, col, length)
+    if hot is not None:
+        long = values_at(df, keys, col, hot, ranks).drop("_n")
+        return pick_ranks(cold_rows(df, keys, hot), keys, col, ranks, NEVER).unionByName(long)
     w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     c = df.groupBy(*keys, col).agg(F.count("*").alias("_c"))
     c = c.withColumn("_up", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
-from tickspark.functions.stretches import scan, stretches
+from tickspark.functions.ranks import cold_rows, hot_keys, values_at
+from tickspark.functions.stretches import NEVER, scan, stretches
 from tickspark.plans.catalog import HOUR, query, r, series, ticks
 
 from .quality import sliding_median
@@ -122,8 +123,13 @@ def streaming_stats(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.coalesce(F.var_samp(col), F.lit(0.0)).alias("var"), F.min(col).alias("min"), F.max(col).alias("max"))
 
 
-def tracked_percentile(df: DataFrame, col: str, p: float, keys: list[str]) -> DataFrame:
-    """The value at index floor(p * (n - 1)) of the sorted values, from counts per value."""
+def tracked_percentile(df: DataFrame, col: str, p: float, keys: list[str], length: int | None = None) -> DataFrame:
+    """The value at index floor(p * (n - 1)) of the sorted values, from counts per value; of keys with more than
+    ``length`` values by histograms."""
+    hot = hot_keys(df, keys, col, length)
+    if hot is not None:
+        long = values_at(df, keys, col, hot, {"percentile": F.floor(F.lit(p) * (F.col("_n") - 1))}).drop("_n")
+        return tracked_percentile(cold_rows(df, keys, hot), col, p, keys, NEVER).unionByName(long)
     counts = df.groupBy(*keys, col).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys).orderBy(col)
     ranked = counts.withColumn("_up", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))

@@ -19,11 +19,11 @@ from .shingles import LONG_WORD, chunks, mix
 LONGEST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: Bytes of text whose words are hashed at a time, suffix pointers that a task sorts at a time, and those that a bucket
 #: of the exchange is meant to gather.
-TEXT, POINTERS, BUCKET = 1 << 22, 1 << 20, 1 << 21
+TEXT, POINTERS, BUCKET = 1 << 21, 1 << 19, 1 << 20
 #: Partitions of at most so many pointers are sorted at once.
 SMALL = 1 << 13
 #: Bits of the map of frequent phrases that every task gets; other phrases may share their bits, which costs work only.
-BITS = 27
+BITS = 26
 _BLANK, _BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANK)], _KIND[list(_BREAK)] = 1, 2

@@ -238,6 +238,21 @@ def several_files(spark, tmp_path_factory):
     return str(path)
 
 
+def test_positions(spark):
+    """A2 over an account in 14 stretches and more, through flat, flipped and growing positions."""
+    from tickspark.operators import performance
+
+    rng = np.random.default_rng(11)
+    drift = np.repeat(rng.choice([-1, 1], 20), 35)
+    rows = [("hot" if i % 10 else f"s{i % 3}", "x", i * 1000, i, float(drift[i] * rng.integers(1, 5) * (1 if i % 3 else -1)), float(np.round(100 + rng.normal(), 2)), 0.25) for i in range(700)]
+    df = spark.createDataFrame(rows, "account string, symbol string, ts_ns long, seq long, signed_quantity double, price double, commission double")
+    made = lambda n: performance.positions(df, ("account", "symbol"), ("ts_ns", "seq"), n)
+    same(made)
+    hot = [r["position"] for r in made(LENGTH).where("account = 'hot'").orderBy("seq").collect()]
+    assert S.stretches(df, ["account", "symbol"], ("ts_ns", "seq"), LENGTH).df.where("account = 'hot'").select("_st").distinct().count() >= 14
+    assert min(hot) < 0 < max(hot) and sum(a * b < 0 for a, b in zip(hot, hot[1:], strict=False)) > 3
+
+
 def test_streamed_symbol_snapshots_equal_the_batch(spark, several_files):
     from tickspark.streaming import streams
 

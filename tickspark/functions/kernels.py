@@ -244,3 +244,33 @@ def average_cost(state: State, qty: np.ndarray, price: np.ndarray, commission: n
         held = new
         out[:, i] = held, average, realised
     return (float(held), float(average), float(realised)), out[0], out[1], out[2]
+
+
+def average_cost_carry(held: str, qty: str, price: str, commission: str) -> Carry:
+    """``average_cost`` where the position before each trade is known (``held``): affine in the average price.
+
+    A stretch is (aa, ab, ra, rb): an average price x before it becomes aa x + ab, and it realises ra x + rb.
+    """
+
+    def fold(sums: State, rows: pd.DataFrame) -> tuple:
+        aa, ab, ra, rb = sums or (1.0, 0.0, 0.0, 0.0)
+        for h, q, p, c in zip(*(rows[k].tolist() for k in (held, qty, price, commission)), strict=True):
+            rb -= c
+            new = h + q
+            if h == 0 or h * q > 0:
+                aa, ab = (h * aa / new, (h * ab + q * p) / new) if new else (0.0, 0.0)
+                continue
+            closed = min(abs(q), abs(h)) * (1 if h > 0 else -1)
+            ra, rb = ra - closed * aa, rb + closed * (p - ab)
+            if h * new < 0:
+                aa, ab = 0.0, p
+            elif not new:
+                aa, ab = 0.0, 0.0
+        return aa, ab, ra, rb
+
+    def apply(state: State, summary: tuple) -> tuple:
+        average, realised = state or (0.0, 0.0)
+        aa, ab, ra, rb = summary
+        return aa * average + ab, realised + ra * average + rb
+
+    return Carry("aa double, ab double, ra double, rb double", "average double, realised double", fold, apply)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
 from tickspark.functions.ranks import cold_rows, hot_keys, percentiles, values_at
-from tickspark.functions.stretches import NEVER, scan
+from tickspark.functions.stretches import NEVER, scan, stretches
 from tickspark.plans.catalog import DAY, FILL_ORDER, fills, nav, query, r, series
 
 YEAR_NS = 365 * DAY
@@ -33,17 +33,33 @@ def aggregate_trades(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def positions(trades: DataFrame, keys: tuple[str, ...] = ("account", "symbol"), order: tuple[str, ...] = FILL_ORDER) -> DataFrame:
+def positions(trades: DataFrame, keys: tuple[str, ...] = ("account", "symbol"), order: tuple[str, ...] = FILL_ORDER, length: int | None = None) -> DataFrame:
     """A2: average-cost accounting after each trade: position, average price, realised P&L net of costs.
 
-    The average price depends on all trades before, so a key is one task; it holds three numbers and a batch.
+    In a key of more than ``length`` trades the position is a running sum; given it, a trade changes average price and
+    realised P&L by an affine map, so stretches of the key compose and run side by side.
     """
+    added = "position double, average_price double, realized_pnl double"
+    cut = stretches(trades, list(keys), tuple(order), length)
+    columns = ("signed_quantity", "price", "commission")
 
-    def step(state, p: pd.DataFrame):
-        state, q, a, g = K.average_cost(state, p["signed_quantity"].to_numpy(), p["price"].to_numpy(), p["commission"].to_numpy())
-        return state, {"position": q, "average_price": a, "realized_pnl": g}
+    if cut.hot is None:
 
-    return scan(trades, list(keys), list(order), step, "position double, average_price double, realized_pnl double")
+        def step(state, p: pd.DataFrame):
+            state, q, a, g = K.average_cost(state, *[p[c].to_numpy() for c in columns])
+            return state, {"position": q, "average_price": a, "realized_pnl": g}
+
+        return scan(trades, list(keys), list(order), step, added)
+
+    held = cut.done(cut.running(cut.df, {"_held": ("sum", F.col("signed_quantity"))}, before=True)).withColumn("_held", F.coalesce("_held", F.lit(0.0)))
+
+    def step_held(state, p: pd.DataFrame):
+        before = p["_held"].to_numpy()
+        average, realised = state or (0.0, 0.0)
+        state, q, a, g = K.average_cost((float(before[0]), average, realised), *[p[c].to_numpy() for c in columns])
+        return state[1:], {"position": q, "average_price": a, "realized_pnl": g}
+
+    return scan(held, list(keys), list(order), step_held, added, K.average_cost_carry("_held", *columns), length).drop("_held")
 
 
 def last_positions(trades: DataFrame, keys: tuple[str, ...] = ("account", "symbol"), order: tuple[str, ...] = FILL_ORDER) -> DataFrame:

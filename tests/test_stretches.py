@@ -54,6 +54,21 @@ def test_there_are_many_stretches(hot):
     assert S.stretches(hot, "symbol", ("ts_ns", "seq"), 10**6).hot is None
 
 
+def test_cut_points_follow_each_key(spark):
+    """One huge key and many just over the length: the cut points stay under 2 rows / length, and the search is right."""
+    rows = spark.range(20_000).select(F.lit(0).alias("k"), F.col("id").alias("ts_ns"))
+    rows = rows.unionAll(spark.range(50 * 220).select((F.col("id") % 50 + 1).cast("int").alias("k"), F.col("id").alias("ts_ns")))
+    cut = S.stretches(rows, "k", ("ts_ns",), 100)
+    cuts = {r["k"]: r["_cuts"] for r in cut.hot.collect()}
+    assert len(cuts) == 51 and len(cuts[0]) == 199 and sum(map(len, cuts.values())) <= 2 * 31_000 / 100
+    got = cut.df.collect()
+    assert all(r["_st"] == sum(c <= r["ts_ns"] for c in cuts[r["k"]]) for r in got[::97])
+    sizes = {}
+    for r in got:
+        sizes[r["k"], r["_st"]] = sizes.get((r["k"], r["_st"]), 0) + 1
+    assert max(sizes.values()) <= 200
+
+
 @pytest.mark.parametrize("k", [1, 2, 17, 33])
 def test_bounded_frames(hot, k):
     same(lambda n: windows.over_last(hot, k, lambda d, w: d.withColumns({"m": F.avg("price").over(w), "v": windows.rolling_var("price", w), "n": F.count("price").over(w)}), length=n))

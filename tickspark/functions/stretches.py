@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Rows of a stretch, and the most stretches of a key; beyond it they get longer.
 LENGTH, MOST = 4_000_000, 2_000
+#: Cut points that a row is compared with at a time.
+BLOCK = 45
 #: A length that no key has, for tables whose keys are known to be short.
 NEVER = 1 << 60
 
@@ -81,6 +83,13 @@ class Stretches:
         return df.drop("_st") if self.hot is not None else df
 
 
+def _number(cuts: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts`` are at or below ``value``: by blocks of them first, then inside one block."""
+    blocks = F.sequence(F.lit(BLOCK), F.size(cuts), F.lit(BLOCK))  # the last place of each full block
+    full = F.when(F.size(cuts) >= BLOCK, F.size(F.filter(blocks, lambda i: F.element_at(cuts, i) <= value))).otherwise(0)
+    return full * BLOCK + F.size(F.filter(F.slice(cuts, full * BLOCK + 1, BLOCK), lambda c: c <= value))
+
+
 def stretches(df: DataFrame, key: list[str] | str, order: tuple[str, ...] = ("ts_ns", "seq"), length: int | None = None, least: int = 1) -> Stretches:
     """Cuts the keys of ``df`` with more than ``length`` rows where the first column of ``order`` (a number) says.
 
@@ -97,16 +106,20 @@ def stretches(df: DataFrame, key: list[str] | str, order: tuple[str, ...] = ("ts
     n = min(MOST, -(-most // length))
     places = F.array(*[F.lit(i / n) for i in range(1, n)])
     hot = df.join(F.broadcast(counts.select(*key)), key, "left_semi")
-    cuts = hot.groupBy(*key).agg(F.array_distinct(F.percentile_approx(order[0], places, F.lit(10 * n))).alias("_cuts"))
-    number = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(order[0]))), F.lit(0))
+    fine = hot.groupBy(*key).agg(F.percentile_approx(order[0], places, F.lit(10 * n)).alias("_fine"))
+    # The longest key has n stretches; of the others' quantiles only as many are kept as they have stretches themselves.
+    own = F.least(F.lit(MOST), F.ceil(F.col("count") / F.lit(length))).cast("int")
+    place = lambda i: F.greatest(F.lit(1), F.least(F.lit(n - 1), F.round(i * F.lit(n) / own).cast("int")))
+    kept = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.element_at("_fine", place(i)))
+    cuts = fine.join(counts, key).where(own > 1).select(*key, F.array_distinct(kept).alias("_cuts"))
     if least > 1:
-        sizes = hot.join(F.broadcast(cuts), key).groupBy(*key, "_cuts", number("_cuts").alias("_s")).count()
-        own = sizes.groupBy(*key, "_cuts").agg(F.array_sort(F.collect_list(F.struct("_s", "count"))).alias("_n"))
+        sizes = hot.join(F.broadcast(cuts), key).groupBy(*key, "_cuts", _number(F.col("_cuts"), F.col(order[0])).alias("_s")).count()
+        own_sizes = sizes.groupBy(*key, "_cuts").agg(F.array_sort(F.collect_list(F.struct("_s", "count"))).alias("_n"))
         keep = F.transform(F.filter("_n", lambda x: (x["_s"] > 0) & (x["count"] >= least)), lambda x: F.element_at("_cuts", x["_s"]))
-        cuts = own.select(*key, keep.alias("_cuts"))
+        cuts = own_sizes.select(*key, keep.alias("_cuts"))
     # Cut points of the hot keys alone: at most 2 * rows / length of them. Written out, so that all uses agree.
     cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    marked = df.join(F.broadcast(cuts), key, "left").withColumn("_st", number("_cuts")).drop("_cuts")
+    marked = df.join(F.broadcast(cuts), key, "left").withColumn("_st", F.coalesce(_number(F.col("_cuts"), F.col(order[0])), F.lit(0))).drop("_cuts")
     return Stretches(marked, key, order, cuts)
 
 

@@ -48,6 +48,11 @@ def same(make, by="seq"):
             assert near, (k, c, v, w)
 
 
+def legs(d):
+    """Both legs of a pair from a symbol's ticks; prices that are missing stay missing."""
+    return d.select(F.col("symbol").alias("pair"), F.col("seq").alias("ts_ns"), "seq", (F.col("price") / 100).alias("y"), (F.col("size") / 10 + F.col("price") / 200).alias("x"))
+
+
 def test_there_are_many_stretches(hot):
     cut = S.stretches(hot, "symbol", ("ts_ns", "seq"), LENGTH)
     assert cut.hot.count() == 1 and cut.df.where("symbol = 'hot'").select("_st").distinct().count() >= 14
@@ -101,6 +106,13 @@ def test_running_windows(hot, before):
         lambda d, n: windows.ewma_var(d.where("price > 0"), "price", 20, length=n),
         lambda d, n: windows.ema(d.where("price > 0"), "price", 20, length=n),
         lambda d, n: windows.ewma_vol(d.where("price > 0"), 12, length=n),
+        lambda d, n: windows.kalman_level(d, "price", warmup=64, length=n),
+        lambda d, n: windows.kalman_level(d, "price", warmup=5, length=n),
+        lambda d, n: windows.kalman_level(d, "price", warmup=1, length=n),
+        lambda d, n: windows.kalman_level(d, "price", warmup=5000, length=n),
+        lambda d, n: pairs.hedge_kalman2(legs(d), "pair", 1e-5, 1e-4, 0.5, length=n),
+        lambda d, n: pairs.hedge_kalman2(legs(d), length=n),
+        lambda d, n: pairs.hedge_kalman_smoothed(legs(d).where("y > 0"), 16, snr=0.05, length=n),
         lambda d, n: windows.zscore_outliers(d.where("price > 0"), 1.5, length=n),
         lambda d, n: bars.late_ticks(d, 50_000_000, n),
         lambda d, n: bars.fill_forward(d.withColumn("ts_ns", F.col("seq")), length=n),

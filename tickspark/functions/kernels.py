@@ -79,11 +79,15 @@ def ema_carry(col: str, period: int) -> Carry:
 def kalman_level(state: State, x: np.ndarray, snr: float = 0.01, warmup: int = 1024) -> tuple[tuple, np.ndarray]:
     """Half-and-half smoothing before the ``warmup``-th value; from it on a local level with R = var(log returns), Q = R * snr.
 
-    State (rows, level, P, R, last value, number, mean and squares of the log returns).
+    State (rows, level, P, R, last value, number, mean and squares of the log returns). A value that is missing or not
+    finite is no step and shows the level before it.
     """
     n, level, p, noise, last, m, mean, sq = state or (0, 0.0, 1.0, 0.0, 0.0, 0, 0.0, 0.0)
     out = np.empty(len(x))
-    for i, v in enumerate(x):
+    for i, v in enumerate(np.asarray(x, float).tolist()):
+        if not math.isfinite(v):
+            out[i] = level if n else math.nan
+            continue
         n += 1
         if n == 1:
             level = v
@@ -100,9 +104,8 @@ def kalman_level(state: State, x: np.ndarray, snr: float = 0.01, warmup: int = 1
                 if noise == 0.0:
                     noise = max(sq / (m - 1) if m > 1 else 0.0, 1e-12)
                 p += noise * snr
-                gain = p / (p + noise)
-                level += gain * (v - level)
-                p *= 1 - gain
+                level += p / (p + noise) * (v - level)
+                p *= noise / (p + noise)  # not 1 - gain, which cancels while P is far above R
         last = v
         out[i] = level
     return (n, level, p, noise, last, m, mean, sq), out
@@ -188,18 +191,24 @@ def pair_states(state: State, z: np.ndarray, opened: np.ndarray, entry: float, l
 
 
 def kalman_hedge(state: State, y: np.ndarray, x: np.ndarray, q_a: float = 1e-7, q_b: float = 1e-7, r: float = 1e-3, p0: float = 1.0) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
-    """Random-walk intercept and slope of y on x (Joseph form): a, b, innovation. State (a, b, P in three numbers)."""
+    """Random-walk intercept and slope of y on x (Joseph form): a, b, innovation. State (a, b, P in three numbers).
+
+    A row without finite y and x is no step: it shows the state before it and no innovation.
+    """
     a, b, p00, p01, p11 = state or (0.0, 0.0, p0, 0.0, p0)
     out = np.empty((3, len(y)))
-    for i, (u, v) in enumerate(zip(y, x, strict=True)):
-        p = np.array([[p00 + q_a, p01], [p01, p11 + q_b]])
-        h = np.array([1.0, v])
+    for i, (u, v) in enumerate(zip(np.asarray(y, float).tolist(), np.asarray(x, float).tolist(), strict=True)):
+        if not (math.isfinite(u) and math.isfinite(v)):
+            out[:, i] = a, b, math.nan
+            continue
+        p00, p11 = p00 + q_a, p11 + q_b
         e = u - a - b * v
-        k = p @ h / (h @ p @ h + r)
-        a, b = a + k[0] * e, b + k[1] * e
-        m = np.eye(2) - np.outer(k, h)
-        p = m @ p @ m.T + r * np.outer(k, k)
-        p00, p01, p11 = p[0, 0], p[0, 1], p[1, 1]
+        s = p00 + 2 * v * p01 + v * v * p11 + r
+        k0, k1 = (p00 + v * p01) / s, (p01 + v * p11) / s
+        a, b = a + k0 * e, b + k1 * e
+        l0, l1, l2, l3 = 1 - k0, -k0 * v, -k1, 1 - k1 * v  # I - K H
+        m0, m1, m2, m3 = l0 * p00 + l1 * p01, l0 * p01 + l1 * p11, l2 * p00 + l3 * p01, l2 * p01 + l3 * p11
+        p00, p01, p11 = m0 * l0 + m1 * l1 + r * k0 * k0, m0 * l2 + m1 * l3 + r * k0 * k1, m2 * l2 + m3 * l3 + r * k1 * k1
         out[:, i] = a, b, e
     return (float(a), float(b), float(p00), float(p01), float(p11)), out[0], out[1], out[2]
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
+from tickspark.functions.filtering import hedge_carry
 from tickspark.functions.stretches import NEVER, scan, stretches
 from tickspark.plans.catalog import query, r, series
 
 from .strategies import Strategy, run_strategy
+from .windows import kalman_smoothed
 
 #: Fixed critical values (1, 5, 10 %) of the unit-root tests and of cointegration with two series.
 CRITICAL = {"no_constant": (-2.5658, -1.9393, -1.6156), "constant": (-3.4336, -2.8621, -2.5671), "trend": (-3.9638, -3.4126, -3.1279), "cointegration": (-3.9001, -3.3377, -3.0462)}
@@ -93,24 +95,19 @@ def hedge_rolling(df: DataFrame, window: int = 256, key: str = "pair", length: i
     return cut.done(cut.bounded(out, few, lambda d, keys: d.withColumn("beta_stdev", F.coalesce(F.stddev_samp("beta").over(_over(keys, few)), F.lit(0.0)))))
 
 
-def hedge_kalman_smoothed(df: DataFrame, window: int = 256, key: str = "pair", snr: float = 0.01, warmup: int = 64) -> DataFrame:
+def hedge_kalman_smoothed(df: DataFrame, window: int = 256, key: str = "pair", snr: float = 0.01, warmup: int = 64, length: int | None = None) -> DataFrame:
     """P5: the rolling slope through the local-level filter."""
-
-    def step(state, p: pd.DataFrame):
-        state, out = K.kalman_level(state, p["beta"].to_numpy(), snr, warmup)
-        return state, {"beta_smoothed": out}
-
-    return scan(hedge_rolling(df, window, key), [key], ["ts_ns"], step, "beta_smoothed double")
+    return kalman_smoothed(hedge_rolling(df, window, key, length), "beta", "beta_smoothed", [key], ("ts_ns",), snr, warmup, length)
 
 
-def hedge_kalman2(df: DataFrame, key: str = "pair", q_a: float = 1e-7, q_b: float = 1e-7, noise: float = 1e-3) -> DataFrame:
-    """Random-walk intercept and slope."""
+def hedge_kalman2(df: DataFrame, key: str = "pair", q_a: float = 1e-7, q_b: float = 1e-7, noise: float = 1e-3, length: int | None = None) -> DataFrame:
+    """Random-walk intercept and slope; rows without finite values show the state before them."""
 
     def step(state, p: pd.DataFrame):
         state, a, b, e = K.kalman_hedge(state, p["y"].to_numpy(), p["x"].to_numpy(), q_a, q_b, noise)
         return state, {"alpha": a, "beta": b, "innovation": e}
 
-    return scan(df, [key], ["ts_ns"], step, "alpha double, beta double, innovation double")
+    return scan(df, [key], ["ts_ns"], step, "alpha double, beta double, innovation double", hedge_carry("y", "x", q_a, q_b, noise), length)
 
 
 def spread_z(df: DataFrame, window: int = 256, key: str = "pair", length: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
+from tickspark.functions.filtering import level_carry
 from tickspark.functions.ranks import cold_rows, hot_keys, values_at
 from tickspark.functions.stretches import NEVER, scan, stretches
 from tickspark.plans.catalog import HOUR, query, r, series, ticks
@@ -197,14 +198,24 @@ def ema(df: DataFrame, col: str, period: int, key: str = "symbol", length: int |
     return scan(df, [key], list(ORDER), step, "ema double", K.ema_carry(col, period), length)
 
 
-def kalman_level(df: DataFrame, col: str, snr: float = 0.01, warmup: int = 1024, key: str = "symbol") -> DataFrame:
-    """Local-level denoiser; its gain depends on all rows before, so a key is one task that holds no more than a batch."""
+def kalman_smoothed(df: DataFrame, col: str, name: str, keys: list[str], order: tuple[str, ...], snr: float, warmup: int, length: int | None = None) -> DataFrame:
+    """The local-level filter over a column; long keys compose by stretches, which number their values first."""
 
     def step(state, p: pd.DataFrame):
         state, out = K.kalman_level(state, p[col].to_numpy(), snr, warmup)
-        return state, {"level": out}
+        return state, {name: out}
 
-    return scan(df, [key], list(ORDER), step, "level double")
+    cut = stretches(df, keys, order, length)
+    if cut.hot is None:
+        return scan(df, keys, list(order), step, f"{name} double")
+    finite = F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(F.col(col)) < float("inf"))
+    rows = cut.done(cut.running(cut.df, {"_nth": ("count", F.when(finite, 1))}))
+    return scan(rows, keys, list(order), step, f"{name} double", level_carry(col, "_nth", snr, warmup), length).drop("_nth")
+
+
+def kalman_level(df: DataFrame, col: str, snr: float = 0.01, warmup: int = 1024, key: str = "symbol", length: int | None = None) -> DataFrame:
+    """Local-level denoiser."""
+    return kalman_smoothed(df, col, "level", [key], ORDER, snr, warmup, length)
 
 
 def ewma_vol(df: DataFrame, period: int = 120, key: str = "symbol", length: int | None = None) -> DataFrame:

@@ -174,13 +174,13 @@ def stream_states(df: DataFrame, machine: str, limit: float = 0.2, cooldown_ns:
 
 
 def stream_feed_silence(ticks: DataFrame, key: str = "symbol") -> DataFrame:
-    """K7: the last event of each source; compare it with the clock by ``silence`` in a trigger's sink (update mode)."""
+    """K7: the last event of each source, for a look at any time by ``silence``; ``timed.stream_silence_alarms`` reports by itself."""
     return ticks.groupBy(key).agg(F.max("ts_ns").alias("last_ts"))
 
 
 def silence(last: DataFrame, now_ns: int, degraded_ns: int, failed_ns: int) -> DataFrame:
     age = F.lit(now_ns) - F.col("last_ts")
-    return last.withColumn("age_ns", age).withColumn("status", F.when(age > failed_ns, "failed").when(age > degraded_ns, "degraded").otherwise("healthy"))
+    return last.withColumn("age_ns", age).withColumn("status", F.when(age >= failed_ns, "failed").when(age >= degraded_ns, "degraded").otherwise("healthy"))
 
 
 def _gated(t: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def k6(spark, sf):
     return drain(stream_states(t, "regime"))
 
 
-@query("k7_stream_feed_silence", "WITH l AS (SELECT symbol, max(ts_ns) AS last_ts FROM v_ticks GROUP BY 1), n AS (SELECT max(last_ts) AS now FROM l) SELECT symbol, now - last_ts AS age_ns, CASE WHEN now - last_ts > 3600000000000 THEN 'failed' WHEN now - last_ts > 600000000000 THEN 'degraded' ELSE 'healthy' END AS status FROM l, n", "v_ticks")
+@query("k7_stream_feed_silence", "WITH l AS (SELECT symbol, max(ts_ns) AS last_ts FROM v_ticks GROUP BY 1), n AS (SELECT max(last_ts) AS now FROM l) SELECT symbol, now - last_ts AS age_ns, CASE WHEN now - last_ts >= 3600000000000 THEN 'failed' WHEN now - last_ts >= 600000000000 THEN 'degraded' ELSE 'healthy' END AS status FROM l, n", "v_ticks")
 def k7(spark, sf):
     path = scratch(spark)
     stream = stream_feed_silence(tick_stream(spark, sf))

@@ -83,7 +83,7 @@ class Stretches:
         return df.drop("_st") if self.hot is not None else df
 
 
-def _number(cuts: Column, value: Column) -> Column:
+def number(cuts: Column, value: Column) -> Column:
     """How many of the sorted ``cuts`` are at or below ``value``: by blocks of them first, then inside one block."""
     blocks = F.sequence(F.lit(BLOCK), F.size(cuts), F.lit(BLOCK))  # the last place of each full block
     full = F.when(F.size(cuts) >= BLOCK, F.size(F.filter(blocks, lambda i: F.element_at(cuts, i) <= value))).otherwise(0)
@@ -113,13 +113,13 @@ def stretches(df: DataFrame, key: list[str] | str, order: tuple[str, ...] = ("ts
     kept = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.element_at("_fine", place(i)))
     cuts = fine.join(counts, key).where(own > 1).select(*key, F.array_distinct(kept).alias("_cuts"))
     if least > 1:
-        sizes = hot.join(F.broadcast(cuts), key).groupBy(*key, "_cuts", _number(F.col("_cuts"), F.col(order[0])).alias("_s")).count()
+        sizes = hot.join(F.broadcast(cuts), key).groupBy(*key, "_cuts", number(F.col("_cuts"), F.col(order[0])).alias("_s")).count()
         own_sizes = sizes.groupBy(*key, "_cuts").agg(F.array_sort(F.collect_list(F.struct("_s", "count"))).alias("_n"))
         keep = F.transform(F.filter("_n", lambda x: (x["_s"] > 0) & (x["count"] >= least)), lambda x: F.element_at("_cuts", x["_s"]))
         cuts = own_sizes.select(*key, keep.alias("_cuts"))
     # Cut points of the hot keys alone: at most 2 * rows / length of them. Written out, so that all uses agree.
     cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    marked = df.join(F.broadcast(cuts), key, "left").withColumn("_st", F.coalesce(_number(F.col("_cuts"), F.col(order[0])), F.lit(0))).drop("_cuts")
+    marked = df.join(F.broadcast(cuts), key, "left").withColumn("_st", F.coalesce(number(F.col("_cuts"), F.col(order[0])), F.lit(0))).drop("_cuts")
     return Stretches(marked, key, order, cuts)
 
 

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions.stretches import scan, stretches
-from tickspark.plans.catalog import query, r, ticks
+from tickspark.functions.stretches import number, scan, stretches
+from tickspark.plans.catalog import cut, query, r, ticks
 
 STALE_NS = 1_000_000_000
 
@@ -86,34 +86,85 @@ def feed_health(obs: DataFrame, recent: int = 1024, limit_ns: int = 5_000_000) -
     return g.join(late, "source", "left").select("source", "ticks", "last_ts", "mean_latency", "max_latency", "violations", "recent_max")
 
 
+_ACTION = ("ord", "kind", "symbol", "effective_at", "ratio", "to", "children", "until_ns")
+
+
+def _seen(actions: DataFrame) -> DataFrame:
+    """(origin, sees): the symbols whose actions can meet a tick of ``origin``, its own and those it may be renamed to.
+
+    A null origin stands for all symbols that no action names. One round per link of the longest chain of renames.
+    """
+    named = actions.select(F.col("symbol").alias("origin")).where("origin is not null").distinct()
+    seen = named.withColumn("sees", F.col("origin")).unionByName(actions.sparkSession.range(1).select(F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("sees")))
+    renames = actions.where("kind = 'rename' and `to` is not null").select(F.col("symbol").alias("_from"), "to").distinct()
+    if renames.isEmpty():
+        return seen
+    of_all = renames.where("_from is null").select(F.col("to").alias("sees"))
+    last = seen.unionByName(seen.select("origin").distinct().join(F.broadcast(of_all)).select("origin", "sees")).distinct()
+    seen = last = cut(last)
+    while True:
+        new = last.join(renames, F.col("sees") == F.col("_from")).select("origin", F.col("to").alias("sees")).distinct()
+        known = seen.select(F.col("origin").alias("_o"), F.col("sees").alias("_s"))
+        last = cut(new.join(known, F.col("origin").eqNullSafe(F.col("_o")) & F.col("sees").eqNullSafe(F.col("_s")), "left_anti"))
+        if last.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(last))
+
+
+def action_timelines(actions: DataFrame) -> DataFrame:
+    """Per symbol the times at which its actions change, and what all actions in force from each time on compose to.
+
+    Columns: origin (null: symbols that no action names), points, outcomes: symbol, factor, gone, children.
+    """
+    known = actions.select(*_ACTION).where("effective_at is not null")
+    seen = _seen(known)
+    own = seen.join(known.where("symbol is not null"), F.col("sees") == F.col("symbol")).select("origin", F.struct(*_ACTION).alias("_a"))
+    general = seen.select("origin").distinct().join(F.broadcast(known.where("symbol is null").select(F.struct(*_ACTION).alias("_a"))))
+    lists = own.unionByName(general).groupBy("origin").agg(F.array_sort(F.collect_list("_a")).alias("_actions"))
+    none = F.lit(None).cast("array<struct<symbol:string,ratio:double>>")
+
+    def state(symbol: Column, factor: Column, gone: Column, children: Column) -> Column:
+        return F.struct(symbol.alias("symbol"), factor.alias("factor"), gone.alias("gone"), children.alias("children"))
+
+    def at(time: Column) -> Column:
+        def fold(acc: Column, a: Column) -> Column:
+            mine = a["symbol"].isNull() | F.coalesce(a["symbol"] == acc["symbol"], F.lit(False))
+            on = ~acc["gone"] & acc["children"].isNull() & (time >= a["effective_at"]) & mine
+            return state(
+                F.when(on & (a["kind"] == "rename"), a["to"]).otherwise(acc["symbol"]),
+                F.when(on & (a["kind"] == "split"), acc["factor"] * a["ratio"]).otherwise(acc["factor"]),
+                acc["gone"] | F.coalesce(on & (a["kind"] == "halt") & (time < a["until_ns"]), F.lit(False)),
+                F.when(on & (a["kind"] == "fork"), a["children"]).otherwise(acc["children"]),
+            )
+
+        return F.aggregate("_actions", state(F.col("origin"), F.lit(1.0), F.lit(False), none), fold)
+
+    ends = F.transform(F.filter("_actions", lambda a: a["until_ns"].isNotNull()), lambda a: a["until_ns"])
+    lists = lists.withColumn("points", F.array_sort(F.array_distinct(F.concat(F.transform("_actions", lambda a: a["effective_at"]), ends))))
+    return lists.select("origin", "points", F.transform("points", at).alias("outcomes"))
+
+
 def apply_actions(df: DataFrame, actions: DataFrame) -> DataFrame:
     """Q7: corporate actions in listed order on each tick from their effective time on.
 
     ``actions``: ord, kind (split, rename, fork, halt, dividend), symbol (null: all), effective_at, ratio, to,
-    children array<struct<symbol, ratio>>, until_ns. The list is a bounded dimension and is folded over each row:
-    split divides the price and multiplies the size, rename changes the symbol, halt drops until its end, and a
-    fork ends the row in one row per child.
+    children array<struct<symbol, ratio>>, until_ns. A split divides the price and multiplies the size, a rename
+    changes the symbol, a halt drops until its end, and a fork ends the row in one row per child. An action without
+    effective time and a halt without end do nothing. A tick meets the composed timeline of its own symbol, one row
+    that holds no other symbol's actions, and finds its time in there by search.
     """
-    listed = actions.agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "symbol", "effective_at", "ratio", "to", "children", "until_ns"))).alias("_actions"))
-    start = F.struct(
-        F.col("symbol").alias("symbol"), F.col("price").alias("price"), F.col("size").alias("size"), F.lit(False).alias("gone"), F.lit(None).cast("array<struct<symbol:string,ratio:double>>").alias("children")
-    )
-
-    def fold(acc: Column, a: Column) -> Column:
-        on = ~acc["gone"] & acc["children"].isNull() & (F.col("ts_ns") >= a["effective_at"]) & (a["symbol"].isNull() | (a["symbol"] == acc["symbol"]))
-        split = on & (a["kind"] == "split")
-        return F.struct(
-            F.when(on & (a["kind"] == "rename"), a["to"]).otherwise(acc["symbol"]).alias("symbol"),
-            F.when(split, acc["price"] / a["ratio"]).otherwise(acc["price"]).alias("price"),
-            F.when(split, acc["size"] * a["ratio"]).otherwise(acc["size"]).alias("size"),
-            (acc["gone"] | (on & (a["kind"] == "halt") & (F.col("ts_ns") < a["until_ns"]))).alias("gone"),
-            F.when(on & (a["kind"] == "fork"), a["children"]).otherwise(acc["children"]).alias("children"),
-        )
-
-    folded = df.crossJoin(F.broadcast(listed)).withColumn("_f", F.aggregate("_actions", start, fold)).where("not _f.gone")
-    own = F.array(F.struct(F.col("_f.symbol").alias("symbol"), F.lit(1.0).alias("ratio")))
-    out = folded.withColumn("_c", F.explode(F.coalesce("_f.children", own)))
-    return out.withColumn("symbol", F.col("_c.symbol")).withColumn("price", F.col("_f.price")).withColumn("size", F.col("_f.size") * F.col("_c.ratio")).drop("_actions", "_f", "_c")
+    lines = action_timelines(actions)
+    named = lines.where("origin is not null").select(F.col("origin").alias("symbol"), F.col("points").alias("_p"), F.col("outcomes").alias("_o"))
+    general = lines.where("origin is null").agg(F.first("points").alias("_gp"), F.first("outcomes").alias("_go"))  # one row, of the actions on all symbols
+    met = df.join(named, "symbol", "left").join(F.broadcast(general))
+    met = met.withColumn("_go", F.when(F.col("_p").isNull(), F.col("_go"))).withColumn("_p", F.coalesce("_p", "_gp")).withColumn("_o", F.coalesce("_o", "_go"))
+    met = met.withColumn("_n", number(F.col("_p"), F.col("ts_ns"))).withColumn("_f", F.when(F.col("_n") > 0, F.element_at("_o", F.col("_n"))))
+    met = met.where("_f is null or not _f.gone")
+    # Symbols that no action names keep their name, unless one on all symbols renames them.
+    own = F.array(F.struct(F.coalesce("_f.symbol", "symbol").alias("symbol"), F.lit(1.0).alias("ratio")))
+    out = met.withColumn("_c", F.explode(F.coalesce("_f.children", own))).withColumn("_k", F.coalesce("_f.factor", F.lit(1.0)))
+    made = {"symbol": F.col("_c.symbol"), "price": F.col("price") / F.col("_k"), "size": F.col("size") * F.col("_k") * F.col("_c.ratio")}
+    return out.withColumns(made).select(*df.columns)
 
 
 def cross_feed_basis(df: DataFrame, window: int = 256, key: str = "symbol", length: int | None = None) -> DataFrame:

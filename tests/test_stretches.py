@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
 from tickspark.functions import stretches as S
-from tickspark.operators import bars, joins, models, pairs, quality, risk, windows
+from tickspark.operators import bars, execution, joins, models, pairs, performance, quality, risk, windows
 
 LENGTH = 40
 
@@ -132,6 +132,44 @@ def test_operators_over_stretches(hot, make):
     same(lambda n: make(hot, n))
 
 
+def whole(d):
+    """Prices of the symbols as a plain series, in an order without ties."""
+    return d.where("price > 0").select("symbol", F.col("seq").alias("ts_ns"), "seq", "price", "size")
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda d, n: pairs.adf(d, ["symbol"], "price", "trend", 2, length=n),
+        lambda d, n: pairs.adf(d, ["symbol"], "price", "constant", "schwert", length=n),
+        lambda d, n: pairs.engle_granger(d.withColumnsRenamed({"price": "y", "size": "x"}), ["symbol"], length=n),
+        lambda d, n: pairs.half_life(d, ["symbol"], "price", n),
+        lambda d, n: pairs.ou_fit(d, ["symbol"], "price", length=n),
+        lambda d, n: pairs.pair_stats_simple(d.withColumnsRenamed({"price": "y", "size": "x"}), "symbol", n),
+        lambda d, n: pairs.pair_performance(d.withColumn("pnl", F.col("price") - 100), "symbol", n),
+        lambda d, n: pairs.rolling_cointegration(d.withColumnsRenamed({"price": "y", "size": "x"}), 16, 8, "symbol", n).withColumn("symbol", F.concat_ws("-", "symbol", "retest")),
+        lambda d, n: models.ljung_box(d, ["symbol"], "price", 7, n),
+        lambda d, n: models.runs_test(d, ["symbol"], "price", length=n),
+        lambda d, n: models.fit_regime_chain(d.selectExpr("symbol", "ts_ns", "seq", "price / 100 - 1 AS ret", "CASE WHEN size < 3 THEN 'calm' WHEN size < 6 THEN 'volatile' ELSE 'crisis' END AS state"), length=n).withColumn("symbol", F.concat_ws("-", "from", "to")),
+    ],
+)
+def test_statistics_over_stretches(hot, make):
+    same(lambda n: make(whole(hot), n), "symbol")
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda d, n: performance.nav_returns(d.withColumnRenamed("price", "nav"), key="symbol", length=n),
+        lambda d, n: performance.nav_returns(d.withColumn("nav", F.when((F.col("seq") != 333) | (F.col("symbol") != "hot"), F.col("price")).otherwise(0.0)), "log", "symbol", n),
+        lambda d, n: performance.compound(d.withColumn("ret", F.when((F.col("seq") == 555) & (F.col("symbol") == "hot"), -1.5).otherwise(F.col("price") / 100 - 1)), key="symbol", length=n),
+        lambda d, n: execution.financing(d.withColumnsRenamed({"price": "short", "size": "gross"}), 0.03, 0.01, "symbol", n),
+    ],
+)
+def test_curves_over_stretches(hot, make):
+    same(lambda n: make(whole(hot), n))
+
+
 def test_quality_gates_over_stretches(hot):
     q = hot.select(F.lit("x").alias("exchange"), "symbol", "seq", F.col("ts_ns").alias("exchange_ts_ns"), (F.col("ts_ns") + 10).alias("ingest_ts_ns"), "bid", (F.col("ask") - F.when(F.col("seq") % 9 == 0, 5).otherwise(0)).alias("ask"), (F.col("seq") - F.when(F.col("seq") % 7 == 0, 30).otherwise(0)).alias("sequence"))
     same(lambda n: quality.check_ticks(q, length=n))

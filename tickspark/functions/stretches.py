@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +123,12 @@ def stretches(df: DataFrame, key: list[str] | str, order: tuple[str, ...] = ("ts
     return Stretches(marked, key, order, cuts)
 
 
+def over_rows(df: DataFrame, key: list[str] | str, k: int, f: Callable[[DataFrame, WindowSpec], DataFrame], order: tuple[str, ...] = ("ts_ns",), length: int | None = None) -> DataFrame:
+    """``f(rows, window)`` adds columns that look back at most k - 1 rows (``lag``) in a key of any length; without a frame."""
+    cut = stretches(df, key, order, length, least=k)
+    return cut.done(cut.bounded(cut.df, k, lambda d, keys: f(d, Window.partitionBy(*keys).orderBy(*order))))
+
+
 @dataclass
 class Carry:
     """How a recurrence composes: ``fold(summary or None, rows)`` and ``apply(state or None, summary) -> state``, both tuples."""

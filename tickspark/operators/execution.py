@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickspark.functions.stretches import over_rows
 from tickspark.plans.catalog import FILL_ORDER, YEAR, fills, query, r, table
 
 from .joins import TIERS_SQL, effective_fee, tiers_view, venues_view
@@ -159,12 +160,15 @@ def commissions(fills: DataFrame, tiers: DataFrame, minimum: float = 0.0, accoun
     return effective_fee(f, tiers).withColumn("fee", F.greatest(F.lit(minimum), notional * F.col("fee_bps") / 10000)).drop("taker")
 
 
-def financing(exposures: DataFrame, borrow: float, funding: float, key: str = "account") -> DataFrame:
+def financing(exposures: DataFrame, borrow: float, funding: float, key: str = "account", length: int | None = None) -> DataFrame:
     """Per interval the borrow cost of the shorts and the funding of the gross held since the row before."""
-    w = Window.partitionBy(key).orderBy("ts_ns")
-    years = (F.col("ts_ns") - F.lag("ts_ns").over(w)) / F.lit(float(YEAR))
-    cost = (F.lag("short").over(w) * borrow + F.lag("gross").over(w) * funding) * years
-    return exposures.withColumn("financing", F.coalesce(cost, F.lit(0.0)))
+
+    def charged(rows: DataFrame, w) -> DataFrame:
+        years = (F.col("ts_ns") - F.lag("ts_ns").over(w)) / F.lit(float(YEAR))
+        cost = (F.lag("short").over(w) * borrow + F.lag("gross").over(w) * funding) * years
+        return rows.withColumn("financing", F.coalesce(cost, F.lit(0.0)))
+
+    return over_rows(exposures, key, 2, charged, length=length)
 
 
 @query("x2_permanent_impact", "SELECT ts_ns, k1, k2, k3, k4, R6(0.5 * 0.02 * sqrt(least(1, quantity / 40)) * 10000) AS impact_bps FROM v_fills", "v_fills")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
 from tickspark.functions import special as S
-from tickspark.functions.stretches import scan
+from tickspark.functions.stretches import over_rows, scan
 from tickspark.plans.catalog import nav, query, r, table, ticks
 
 from .performance import nav_returns
@@ -92,29 +92,26 @@ def jarque_bera(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     return g.withColumn("p_value", 1 - S.chi2_cdf(F.col("jb"), F.lit(2)))
 
 
-def autocorrelation(df: DataFrame, keys: list[str], col: str, lags: int, order: str = "ts_ns") -> DataFrame:
+def autocorrelation(df: DataFrame, keys: list[str], col: str, lags: int, order: str = "ts_ns", length: int | None = None) -> DataFrame:
     """M8: one row per key and lag."""
-    w = Window.partitionBy(*keys).orderBy(order)
     centred = df.join(df.groupBy(*keys).agg(F.avg(col).alias("_m")), keys).withColumn("_d", F.col(col) - F.col("_m"))
-    for k in range(1, lags + 1):
-        centred = centred.withColumn(f"_l{k}", F.lag("_d", k).over(w))
+    centred = over_rows(centred, keys, lags + 1, lambda d, w: d.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)}), (order,), length)
     g = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("_s"), *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_c{k}") for k in range(1, lags + 1)])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(f"_c{k}", "_s").alias("rho")) for k in range(1, lags + 1)]))
     return g.select(*keys, "n", pairs.alias("x")).select(*keys, "n", "x.*")
 
 
-def ljung_box(df: DataFrame, keys: list[str], col: str, lags: int) -> DataFrame:
+def ljung_box(df: DataFrame, keys: list[str], col: str, lags: int, length: int | None = None) -> DataFrame:
     """M8: sum over the autocorrelations."""
-    a = autocorrelation(df, keys, col, lags)
+    a = autocorrelation(df, keys, col, lags, length=length)
     g = a.groupBy(*keys, "n").agg(F.sum(F.col("rho") * F.col("rho") / (F.col("n") - F.col("lag"))).alias("_s"))
     return g.withColumn("q", F.col("n") * (F.col("n") + 2) * F.col("_s")).withColumn("p_value", 1 - S.chi2_cdf(F.col("q"), F.lit(lags))).drop("_s")
 
 
-def runs_test(df: DataFrame, keys: list[str], col: str, order: str = "ts_ns") -> DataFrame:
+def runs_test(df: DataFrame, keys: list[str], col: str, order: str = "ts_ns", length: int | None = None) -> DataFrame:
     """M9: runs about the mean, rows on it dropped."""
     d = df.join(df.groupBy(*keys).agg(F.avg(col).alias("_m")), keys).where(F.col(col) != F.col("_m")).withColumn("_up", F.col(col) > F.col("_m"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = d.withColumn("_new", F.coalesce(F.lag("_up").over(w) != F.col("_up"), F.lit(True)))
+    d = over_rows(d, keys, 2, lambda rows, w: rows.withColumn("_new", F.coalesce(F.lag("_up").over(w) != F.col("_up"), F.lit(True))), (order,), length)
     g = d.groupBy(*keys).agg(F.count_if("_up").cast("double").alias("n1"), F.count_if(~F.col("_up")).cast("double").alias("n2"), F.count_if("_new").alias("runs"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
@@ -223,10 +220,10 @@ def garch_fit(rets: DataFrame, keys: list[str]) -> DataFrame:
     return rets.groupBy(*keys).applyInPandas(run, schema)
 
 
-def fit_regime_chain(labels: DataFrame, key: str = "symbol", smoothing: float = 1.0) -> DataFrame:
+def fit_regime_chain(labels: DataFrame, key: str = "symbol", smoothing: float = 1.0, length: int | None = None) -> DataFrame:
     """Smoothed transition probabilities (from, to, p) over the four regimes, with the moments of ``from``."""
-    w = Window.partitionBy(key).orderBy("ts_ns", "seq")
-    moves = labels.withColumn("to", F.lead("state").over(w)).where("to is not null").groupBy(F.col("state").alias("from"), "to").agg(F.count("*").alias("n"))
+    paired = over_rows(labels, key, 2, lambda d, w: d.withColumn("from", F.lag("state").over(w)), ("ts_ns", "seq"), length)
+    moves = paired.where("`from` is not null and state is not null").groupBy("from", F.col("state").alias("to")).agg(F.count("*").alias("n"))
     spark = labels.sparkSession
     names = spark.createDataFrame([(x,) for x in K.REGIMES], "s string")
     grid = names.select(F.col("s").alias("from")).crossJoin(names.select(F.col("s").alias("to")))

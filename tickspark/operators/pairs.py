@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
 from tickspark.functions.filtering import hedge_carry
-from tickspark.functions.stretches import NEVER, scan, stretches
+from tickspark.functions.stretches import NEVER, over_rows, scan, stretches
 from tickspark.plans.catalog import query, r, series
 
 from .strategies import Strategy, run_strategy
@@ -123,29 +123,31 @@ def spread_z(df: DataFrame, window: int = 256, key: str = "pair", length: int |
     return cut.done(cut.bounded(cut.df, window, rolled)).withColumn("z", z)
 
 
-def adf_design(df: DataFrame, keys: list[str], col: str, variant: str, lag: int) -> tuple[DataFrame, list[str]]:
-    w = Window.partitionBy(*keys).orderBy("ts_ns")
-    d = df.withColumn("_l", F.lag(col).over(w)).withColumn("_d", F.col(col) - F.col("_l"))
+def adf_design(df: DataFrame, keys: list[str], col: str, variant: str, lag: int, length: int | None = None) -> tuple[DataFrame, list[str]]:
+    def changes(rows: DataFrame, w) -> DataFrame:
+        d = rows.withColumn("_l", F.lag(col).over(w)).withColumn("_d", F.col(col) - F.col("_l"))
+        return d.withColumns({f"_d{i}": F.lag("_d", i).over(w) for i in range(1, lag + 1)})
+
+    cut = stretches(df, keys, ("ts_ns",), length, least=lag + 2)
+    d = cut.bounded(cut.df, lag + 2, lambda rows, own: changes(rows, Window.partitionBy(*own).orderBy("ts_ns")))
     xs = ["_l", *[f"_d{i}" for i in range(1, lag + 1)]]
-    for i in range(1, lag + 1):
-        d = d.withColumn(f"_d{i}", F.lag("_d", i).over(w))
     if variant in ("constant", "trend"):
         d, xs = d.withColumn("_one", F.lit(1.0)), [*xs, "_one"]
     if variant == "trend":
-        d, xs = d.withColumn("_t", F.row_number().over(w).cast("double")), [*xs, "_t"]
-    return d.where(" and ".join(f"{c} is not null" for c in [*xs, "_d"])), xs
+        d, xs = cut.running(d, {"_t": ("count", F.lit(1))}).withColumn("_t", F.col("_t").cast("double")), [*xs, "_t"]
+    return cut.done(d).where(" and ".join(f"{c} is not null" for c in [*xs, "_d"])), xs
 
 
-def adf(df: DataFrame, keys: list[str], col: str, variant: str = "no_constant", lag: int | str = 1, table: str | None = None) -> DataFrame:
+def adf(df: DataFrame, keys: list[str], col: str, variant: str = "no_constant", lag: int | str = 1, table: str | None = None, length: int | None = None) -> DataFrame:
     """T statistic of the lagged level and its p-value; ``lag='schwert'`` picks 1 to 4 lags by the length of each key."""
     if lag == "schwert":
         sized = df.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys).withColumn("_lags", schwert(F.col("_n")))
-        parts = [adf(sized.where(F.col("_lags") == k).drop("_n", "_lags"), keys, col, variant, k, table) for k in range(1, 5)]
+        parts = [adf(sized.where(F.col("_lags") == k).drop("_n", "_lags"), keys, col, variant, k, table, length) for k in range(1, 5)]
         out = parts[0]
         for x in parts[1:]:
             out = out.unionByName(x)
         return out
-    design, xs = adf_design(df, keys, col, variant, lag)
+    design, xs = adf_design(df, keys, col, variant, lag, length)
     fit = ols(design, keys, "_d", xs).where(F.col("n") >= len(xs) + 4)
     t = F.try_divide(F.get("beta", F.lit(0)), F.get("se", F.lit(0)))
     return fit.select(*keys, F.lit(lag).alias("lag"), "n", t.alias("t_stat")).withColumn("p_value", mackinnon_p(F.col("t_stat"), table or variant))
@@ -167,19 +169,18 @@ def mackinnon_p(t: Column, table: str) -> Column:
     )
 
 
-def engle_granger(df: DataFrame, keys: list[str], y: str = "y", x: str = "x", lag: int = 1, signif: float = 0.05) -> DataFrame:
+def engle_granger(df: DataFrame, keys: list[str], y: str = "y", x: str = "x", lag: int = 1, signif: float = 0.05, length: int | None = None) -> DataFrame:
     """Fit, residuals, unit-root test on them without constant."""
     fit = ols2(df, keys, y, x)
     residual = df.join(fit.select(*keys, "a", "b"), keys).withColumn("residual", F.col(y) - F.col("a") - F.col("b") * F.col(x))
-    test = adf(residual, keys, "residual", "no_constant", lag, "cointegration")
+    test = adf(residual, keys, "residual", "no_constant", lag, "cointegration", length)
     out = fit.join(test.select(*keys, "t_stat", "p_value"), keys, "left")
     return out.withColumn("cointegrated", F.coalesce((F.col("p_value") < signif) & (F.abs("b") > 1e-9), F.lit(False)))
 
 
-def half_life(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+def half_life(df: DataFrame, keys: list[str], col: str, length: int | None = None) -> DataFrame:
     """-ln 2 / ln |1 + slope of the change on the level|; null unless it reverts and has 8 changes."""
-    w = Window.partitionBy(*keys).orderBy("ts_ns")
-    d = df.withColumn("_l", F.lag(col).over(w)).where("_l is not null").withColumn("_d", F.col(col) - F.col("_l"))
+    d = over_rows(df, keys, 2, lambda rows, w: rows.withColumn("_l", F.lag(col).over(w)), length=length).where("_l is not null").withColumn("_d", F.col(col) - F.col("_l"))
     fit = d.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("_d", "_l").alias("slope")).withColumn("phi", F.abs(1 + F.col("slope")))
     ok = (F.col("n") >= 8) & (F.col("phi") < 1) & (F.col("phi") > 1e-12)
     return fit.withColumn("half_life", F.when(ok, -math.log(2) / F.ln(F.when(ok, F.col("phi")))))
@@ -201,22 +202,23 @@ def reversion_signals(df: DataFrame, entry: float = 2.0, leave: float = 0.5, sto
     return scan(df, [key], ["ts_ns"], step, "position long, signal string", K.machine_carry([0, -1, 1], end), length)
 
 
-def rolling_cointegration(bars: DataFrame, min_bars: int = 64, every: int = 64, key: str = "pair") -> DataFrame:
+def rolling_cointegration(bars: DataFrame, min_bars: int = 64, every: int = 64, key: str = "pair", length: int | None = None) -> DataFrame:
     """Every ``every`` bars the tests on the last 4 * min_bars closes.
 
     Each bar belongs to at most 4 * min_bars / every + 1 retests, found by arithmetic on its index, so rows are
     repeated a fixed number of times and nothing is range-joined.
     """
     held = 4 * min_bars
-    indexed = bars.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("ts_ns")))
-    sized = indexed.join(indexed.groupBy(key).agg(F.max("i").alias("_n")), key)
+    cut = stretches(bars, key, ("ts_ns",), length)
+    indexed = cut.done(cut.running(cut.df, {"i": ("count", F.lit(1))})).withColumn("i", F.col("i").cast("int"))
+    sized = indexed.join(bars.groupBy(key).agg(F.count("*").cast("int").alias("_n")), key)
     first = F.greatest(F.lit(-(-min_bars // every)), F.ceil(F.col("i") / every)).cast("int")
     last = F.least(F.floor((F.col("i") + held - 1) / every), F.floor(F.col("_n") / every)).cast("int")
     windows = sized.where(last >= first).withColumn("_k", F.explode(F.sequence(first, last))).withColumn("retest", F.col("_k") * every)
     keys = [key, "retest"]
-    tested = engle_granger(windows, keys)
+    tested = engle_granger(windows, keys, length=NEVER)  # a retest is short
     residual = windows.join(tested.select(*keys, "a", "b"), keys).withColumn("residual", F.col("y") - F.col("a") - F.col("b") * F.col("x"))
-    return tested.join(half_life(residual, keys, "residual").select(*keys, "half_life"), keys, "left")
+    return tested.join(half_life(residual, keys, "residual", NEVER).select(*keys, "half_life"), keys, "left")
 
 
 def published(df: DataFrame, key: str, publish_ns: int) -> DataFrame:
@@ -455,10 +457,9 @@ def select_pairs(snaps: DataFrame, min_n: int = 64, min_corr: float = 0.5, max_p
     return snaps.where(ok).withColumn("rank", rank).orderBy(F.desc("rank"))
 
 
-def ou_fit(df: DataFrame, keys: list[str], col: str, dt: float = 1.0) -> DataFrame:
+def ou_fit(df: DataFrame, keys: list[str], col: str, dt: float = 1.0, length: int | None = None) -> DataFrame:
     """Mean reversion from an AR(1) fit; null outside 0 < b < 1."""
-    w = Window.partitionBy(*keys).orderBy("ts_ns")
-    d = df.withColumn("_l", F.lag(col).over(w)).where("_l is not null")
+    d = over_rows(df, keys, 2, lambda rows, w: rows.withColumn("_l", F.lag(col).over(w)), length=length).where("_l is not null")
     fit = d.groupBy(*keys).agg(F.count("*").alias("m"), F.regr_slope(col, "_l").alias("b"), F.regr_intercept(col, "_l").alias("a"), F.regr_syy(col, "_l").alias("_syy"), F.regr_sxy(col, "_l").alias("_sxy"))
     ok = (F.col("b") > 0) & (F.col("b") < 1) & (F.col("m") > 2)
     b = F.when(ok, F.col("b"))
@@ -498,11 +499,10 @@ def pair_states(df: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: flo
     return made.withColumns({"state": state, "side": side, "leave": gone}).drop("_s", "_open")
 
 
-def pair_stats_simple(df: DataFrame, key: str = "pair") -> DataFrame:
+def pair_stats_simple(df: DataFrame, key: str = "pair", length: int | None = None) -> DataFrame:
     """P20: correlation, one-lag-free unit-root t of the ratio spread, and a heuristic that is no Johansen test."""
     spread = df.withColumn("s", F.col("y") - F.col("x"))
-    w = Window.partitionBy(key).orderBy("ts_ns")
-    d = spread.withColumn("_l", F.lag("s").over(w)).withColumn("_d", F.col("s") - F.col("_l"))
+    d = over_rows(spread, key, 2, lambda rows, w: rows.withColumn("_l", F.lag("s").over(w)), length=length).withColumn("_d", F.col("s") - F.col("_l"))
     fit = d.groupBy(key).agg(F.count("*").alias("n"), F.corr("y", "x").alias("corr"), F.regr_slope("_d", "_l").alias("slope"), F.regr_syy("_d", "_l").alias("_syy"), F.regr_sxx("_d", "_l").alias("_sxx"), F.regr_count("_d", "_l").alias("_m"))
     se = F.sqrt(F.greatest(F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx"), F.lit(0.0)) / (F.col("_m") - 2) / F.col("_sxx"))
     out = fit.withColumn("t_stat", F.try_divide("slope", se)).withColumn("p_value", F.when(F.col("t_stat") < -2.86, 0.01).otherwise(0.10))
@@ -510,10 +510,11 @@ def pair_stats_simple(df: DataFrame, key: str = "pair") -> DataFrame:
     return out.withColumn("trace", F.abs("corr") * F.col("n")).withColumn("heuristic", (F.abs("corr") > 0.7) & (F.col("p_value") < 0.05) & (F.col("trace") > 15.41)).drop("_syy", "_sxx", "_m")
 
 
-def pair_performance(pnl: DataFrame, key: str = "pair") -> DataFrame:
+def pair_performance(pnl: DataFrame, key: str = "pair", length: int | None = None) -> DataFrame:
     """Counts, win %, largest loss from the top of the running P&L, mean over deviation."""
-    so_far = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    run = pnl.withColumn("_c", F.sum("pnl").over(so_far)).withColumn("_d", F.greatest(F.max("_c").over(so_far), F.lit(0.0)) - F.col("_c"))
+    cut = stretches(pnl, key, ("ts_ns",), length)
+    run = cut.running(cut.running(cut.df, {"_c": ("sum", F.col("pnl"))}), {"_top": ("max", F.col("_c"))})
+    run = cut.done(run).withColumn("_d", F.greatest(F.col("_top"), F.lit(0.0)) - F.col("_c"))
     return run.groupBy(key).agg(
         F.count("*").alias("trades"),
         F.count_if(F.col("pnl") > 0).alias("wins"),

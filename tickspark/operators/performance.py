@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
 from tickspark.functions.ranks import cold_rows, hot_keys, percentiles, values_at
-from tickspark.functions.stretches import NEVER, scan, stretches
+from tickspark.functions.stretches import NEVER, over_rows, scan, stretches
 from tickspark.plans.catalog import DAY, FILL_ORDER, fills, nav, query, r, series
 
 YEAR_NS = 365 * DAY
@@ -111,13 +111,17 @@ def position_analytics(positions: DataFrame, prices: DataFrame) -> DataFrame:
     return m.select("account", "symbol", "holding_ns", F.greatest(at("_lo"), at("_hi")).alias("max_unrealized"), F.least(at("_lo"), at("_hi")).alias("min_unrealized"), (value * F.col("_sd") * 1.645).alias("var"), (value * F.col("_sd") * 2.06).alias("es"))
 
 
-def nav_returns(nav: DataFrame, kind: str = "simple", key: str = "curve_id") -> DataFrame:
+def nav_returns(nav: DataFrame, kind: str = "simple", key: str = "curve_id", length: int | None = None) -> DataFrame:
     """Returns in order; a curve ends at its first NAV that is not positive or not finite."""
-    w = Window.partitionBy(key).orderBy("ts_ns")
+    cut = stretches(nav, key, ("ts_ns",), length, least=2)
     bad = F.when((F.col("nav") > 0) & ~F.isnan("nav") & (F.col("nav") < float("inf")), 0).otherwise(1)
-    good = nav.withColumn("_bad", F.max(bad).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_bad = 0")
-    ratio = F.col("nav") / F.lag("nav").over(w)
-    return good.withColumn("ret", ratio - 1 if kind == "simple" else F.ln(ratio)).where("ret is not null").drop("_bad")
+    good = cut.running(cut.df, {"_bad": ("max", bad)}).where("_bad = 0").drop("_bad")
+
+    def moved(rows: DataFrame, keys: list[str]) -> DataFrame:
+        ratio = F.col("nav") / F.lag("nav").over(Window.partitionBy(*keys).orderBy("ts_ns"))
+        return rows.withColumn("ret", ratio - 1 if kind == "simple" else F.ln(ratio))
+
+    return cut.done(cut.bounded(good, 2, moved).where("ret is not null"))
 
 
 def periodicity(nav: DataFrame, key: str = "curve_id") -> DataFrame:
@@ -136,12 +140,12 @@ def return_stats(df: DataFrame, keys: list[str], mar: float = 0.0) -> DataFrame:
     )
 
 
-def compound(df: DataFrame, s0: float = 1.0, key: str = "curve_id") -> DataFrame:
+def compound(df: DataFrame, s0: float = 1.0, key: str = "curve_id", length: int | None = None) -> DataFrame:
     """The path that the returns compound to; a return of -100 % or less ends it at 0 or below for good."""
-    w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
+    cut = stretches(df, key, ("ts_ns",), length)
     growth = F.when(F.col("ret") > -1, F.log1p("ret"))
-    ruined = F.max(F.when(F.col("ret") <= -1, 1).otherwise(0)).over(w)
-    return df.withColumn("path", F.when(ruined == 1, 0.0).otherwise(s0 * F.exp(F.sum(growth).over(w))))
+    run = cut.done(cut.running(cut.df, {"_grown": ("sum", growth), "_ruined": ("max", F.when(F.col("ret") <= -1, 1).otherwise(0))}))
+    return run.withColumn("path", F.when(F.col("_ruined") == 1, 0.0).otherwise(s0 * F.exp("_grown"))).drop("_grown", "_ruined")
 
 
 def underwater(nav: DataFrame, key: str = "curve_id") -> DataFrame:

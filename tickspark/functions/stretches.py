@@ -52,7 +52,7 @@ class Stretches:
         if self.hot is None or k <= 1:
             return f(df, self.keys)
         desc = Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in self.order])
-        last = df.join(F.broadcast(self.hot.select(*self.key)), self.key, "left_semi").withColumn("_k", F.row_number().over(desc)).where(F.col("_k") < k).drop("_k")
+        last = df.join(F.broadcast(self.hot.select(*self.key)), self.key, "left_semi").withColumn("_from_last", F.row_number().over(desc)).where(F.col("_from_last") < k).drop("_from_last")
         context = last.withColumn("_st", F.col("_st") + 1)
         rows = df.withColumn("_own", F.lit(True)).unionByName(context.withColumn("_own", F.lit(False)))
         return f(rows, self.keys).where("_own").drop("_own")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions.stretches import over_rows
+from tickspark.functions.stretches import number, over_rows, stretches
 from tickspark.plans.catalog import FILL_ORDER, YEAR, fills, query, r, table
 
 from .joins import TIERS_SQL, effective_fee, tiers_view, venues_view
@@ -47,29 +47,50 @@ def _quoted(venues: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def route(orders: DataFrame, venues: DataFrame, how: str) -> DataFrame:
+#: Venues that an order meets at a time, the most such runs of venues of a side, and the parts orders are dealt to.
+RUN, RUNS, PARTS = 256, 10_000, 64
+
+
+def _split(orders: DataFrame, quoted: DataFrame, run: int, length: int | None) -> DataFrame:
+    """Venues by price with fee, with the depth before each, in runs of ``run``; an order meets the runs it reaches.
+
+    Where the runs of a side start is an array of at most RUNS depths, which each order searches. The rows met are
+    keyed by (side, run, part of the orders), so neither side is one task; a venue is copied to the parts.
+    """
+    fee = F.col("fee_bps") / 10000
+    paid = F.when(F.col("side") == "buy", F.col("price") * (1 + fee)).otherwise(-F.col("price") * (1 - fee))
+    cut = stretches(quoted.where("depth > 0").withColumn("_paid", paid), "side", ("_paid", "venue"), length)
+    sums = {"_before": ("sum", F.col("depth")), "_i": ("count", F.lit(1))}
+    ranked = cut.done(cut.running(cut.df, sums, before=True)).withColumn("_before", F.coalesce("_before", F.lit(0.0)))
+    most = quoted.groupBy("side").count().agg(F.max("count")).first()[0] or 1
+    width = max(run, -(-most // RUNS))
+    ranked = ranked.withColumn("_run", F.floor(F.coalesce("_i", F.lit(0)) / width).cast("int")).drop("_i", "_paid", "_adverse")
+    starts = ranked.groupBy("side", "_run").agg(F.min("_before").alias("_at")).groupBy("side").agg(F.sort_array(F.collect_list("_at")).alias("_at"))
+    # A start equal to the quantity is not reached: take away those at or above it, found on the negated array.
+    below = F.size("_at") - number(F.reverse(F.transform("_at", lambda x: -x)), -F.col("quantity"))
+    reached = orders.join(F.broadcast(starts), "side").withColumn("_n", below).where("_n > 0").drop("_at")
+    part = F.pmod(F.xxhash64(*orders.columns), F.lit(PARTS)).cast("int")
+    reached = reached.withColumn("_part", part).withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    copied = ranked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = reached.join(copied, ["side", "_run", "_part"]).where(F.col("_before") < F.col("quantity"))
+    taken = met.withColumn("take", F.least(F.col("depth"), F.col("quantity") - F.col("_before")))
+    return taken.select(*orders.columns, "venue", "fee_bps", "price", "depth", "take")
+
+
+def route(orders: DataFrame, venues: DataFrame, how: str, run: int = RUN, length: int | None = None) -> DataFrame:
     """Where each order goes. ``venues``: venue, bid, ask, bid_depth, ask_depth, fee_bps, one row each.
 
     ``cheapest`` takes the lowest fee, ``best_price`` the best price for the side, ``smart_split`` fills venue after
-    venue by price with fee until the quantity is gone. Venues are ranked once per side: an order meets the best one,
-    or those whose depths before them are less than its quantity, so it meets no venue that it does not use.
+    venue by price with fee until the quantity is gone; an order meets no venue that it does not use.
     """
     quoted = _quoted(venues)
     if how in ("cheapest", "best_price"):
         order = ("fee_bps", "_adverse", "venue") if how == "cheapest" else ("_adverse", "fee_bps", "venue")
-        w = Window.partitionBy("side").orderBy(*order)
-        best = quoted.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_adverse")
+        best = quoted.groupBy("side").agg(F.min_by(F.struct("venue", "fee_bps", "price", "depth"), F.struct(*order)).alias("_best")).select("side", "_best.*")
         return orders.join(F.broadcast(best), "side")  # one row per side
     if how != "smart_split":
         raise ValueError(f"unknown routing {how!r}")
-    fee = F.col("fee_bps") / 10000
-    paid = F.when(F.col("side") == "buy", F.col("price") * (1 + fee)).otherwise(-F.col("price") * (1 - fee))
-    w = Window.partitionBy("side").orderBy(paid, "venue").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = quoted.withColumn("_before", F.coalesce(F.sum("depth").over(w), F.lit(0.0))).where("depth > 0")
-    needed = orders.groupBy("side").agg(F.max("quantity").alias("_most"))
-    ranked = ranked.join(F.broadcast(needed), "side").where("_before < _most").drop("_most", "_adverse")
-    met = orders.join(ranked, (orders["side"] == ranked["side"]) & (F.col("_before") < F.col("quantity"))).drop(ranked["side"])
-    return met.withColumn("take", F.least(F.col("depth"), F.col("quantity") - F.col("_before"))).drop("_before")
+    return _split(orders, quoted, run, length)
 
 
 def route_summary(split: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickspark.functions import stretches as S
+from tickspark.functions.stretches import Stretches, numbered, over_rows, stretches
 from tickspark.plans.catalog import DAY, HOUR, SECOND, nav, query, r, ticks
 
 from .performance import metrics, nav_returns, summarize
@@ -86,7 +88,20 @@ def draw_index(n: Column, kind: str, block: Column, seed: int, key: str) -> Colu
     raise ValueError(f"unknown resampling {kind!r}")
 
 
-def bootstrap(df: DataFrame, kind: str, runs: int, seed: int = 0, block: int | None = None, key: str = "curve_id") -> DataFrame:
+def _last_jumps(places: DataFrame, sizes: DataFrame, start: Column, runs: int, key: str, length: int | None) -> DataFrame:
+    """``places`` with ``_s``, the last start at or before each: long paths are cut at every ``length`` places."""
+    length = length or S.LENGTH
+    paths, order = [key, "run"], ("j",)
+    long = sizes.where(F.col("_n") > length).select(key)
+    if long.isEmpty():
+        cut = Stretches(places, paths, order, None)
+    else:
+        hot = long.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+        cut = Stretches(places.withColumn("_st", F.floor(F.col("j") / length).cast("int")), paths, order, hot)
+    return cut.done(cut.running(cut.df, {"_s": ("last", start)}))
+
+
+def bootstrap(df: DataFrame, kind: str, runs: int, seed: int = 0, block: int | None = None, key: str = "curve_id", length: int | None = None) -> DataFrame:
     """V1-V5: rows of ``df`` (key, i = 0, 1, ... and any columns) drawn with replacement, ``runs`` times.
 
     Columns stay together, so several series are resampled jointly. The drawn indices are made on the fly and
@@ -98,19 +113,65 @@ def bootstrap(df: DataFrame, kind: str, runs: int, seed: int = 0, block: int | N
     if kind == "stationary":
         jump = (F.col("j") == 0) | (uniform(seed + 1, name_number(key), "run", "j") < 1 / b)
         start = F.when(jump, F.struct(F.floor(uniform(seed, name_number(key), "run", "j") * n).alias("s"), F.col("j").alias("at")))
-        w = Window.partitionBy(key, "run").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-        drawn = places.withColumn("_s", start).withColumn("_s", F.last("_s", True).over(w)).withColumn("i", F.pmod(F.col("_s.s") + F.col("j") - F.col("_s.at"), n)).drop("_s")
+        drawn = _last_jumps(places, sizes, start, runs, key, length).withColumn("i", F.pmod(F.col("_s.s") + F.col("j") - F.col("_s.at"), n)).drop("_s")
     else:
         drawn = places.withColumn("i", draw_index(n, kind, b, seed, key).cast("long"))
     rows = df.withColumn("i", F.col("i").cast("long"))
     return drawn.drop("_n", "_b").join(rows, [key, "i"])
 
 
+#: Rounds of the keyed permutation.
+ROUNDS = 6
+
+
+def shuffled(i: np.ndarray, n: np.ndarray, own: np.ndarray, run: np.ndarray, seed: int) -> np.ndarray:
+    """Where row ``i`` of 0..n-1 goes in each run: a permutation that is computed for each row by itself.
+
+    The row is a pair (left, right) of an a x b grid that holds n, a = ceil(sqrt(n)); the sides are turned by hashes of
+    each other in turn. Rows that land outside of 0..n-1 walk on; a walk ends after a * b - n + 1 steps at most.
+    """
+    a = np.ceil(np.sqrt(n)).astype(np.int64)
+    b = -(-n // a)
+    out, left = np.asarray(i, np.int64).copy(), np.arange(len(i))
+    while len(left):
+        aa, bb, o, k = a[left], b[left], own[left], run[left]
+        x, y = out[left] // bb, out[left] % bb
+        for at in range(ROUNDS):
+            if at % 2 == 0:
+                x = (x + mixed_array(seed, o, k, at, y)) % aa
+            else:
+                y = (y + mixed_array(seed, o, k, at, x)) % bb
+        out[left] = x * bb + y
+        left = left[out[left] >= n[left]]
+    return out
+
+
+def shuffled_sql(i: str, n: str, own: str, run: str, seed: int) -> str:
+    """``shuffled`` in SQL, for curves short enough that the longest walk may be gone by every row."""
+    a, b = f"ceil(sqrt({n}))::BIGINT", f"(({n} + ceil(sqrt({n}))::BIGINT - 1) // ceil(sqrt({n}))::BIGINT)"
+    turned = f"[p[1] // {b}, p[1] % {b}]"
+    for at in range(ROUNDS):
+        x = f"(q[1] + {mixed_sql(seed, own, run, str(at), 'q[2]')}) % {a}" if at % 2 == 0 else "q[1]"
+        y = f"(q[2] + {mixed_sql(seed, own, run, str(at), 'q[1]')}) % {b}" if at % 2 else "q[2]"
+        turned = f"list_transform([{turned}], lambda q: [{x}, {y}])[1]"
+    step = f"list_transform([{turned}], lambda z: z[1] * {b} + z[2])[1]"
+    walk = f"[[{i}, 0::BIGINT]] || [[s, s] FOR s IN range(1, {a} * {b} - {n} + 2)]"
+    return f"list_reduce({walk}, lambda p, s: CASE WHEN s[1] > 1 AND p[1] < {n} THEN p ELSE [{step}, s[1]] END)[1]"
+
+
 def permute(df: DataFrame, runs: int, seed: int = 0, key: str = "curve_id") -> DataFrame:
-    """V6: each run holds every row once, in hashed order (``j``)."""
-    r_ = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    w = Window.partitionBy(key, "run").orderBy(mixed(seed, name_number(key), "run", "i"), "i")
-    return r_.withColumn("j", F.row_number().over(w) - 1)
+    """V6: each run holds every row (i = 0, 1, ...) once, at the place ``j`` of a keyed permutation.
+
+    A row's place follows from its number, the run and the size of its key, so no run is sorted or gathered.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    rows = df.join(sizes, key).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+
+    @F.pandas_udf("long")
+    def place(i: pd.Series, n: pd.Series, own: pd.Series, run: pd.Series) -> pd.Series:
+        return pd.Series(shuffled(*[x.to_numpy(np.int64) for x in (i, n, own, run)], seed))
+
+    return rows.withColumn("j", place(F.col("i").cast("long"), "_n", name_number(key), F.col("run").cast("long"))).drop("_n")
 
 
 def sign_flip(df: DataFrame, runs: int, seed: int = 0, col: str = "ret", key: str = "curve_id") -> DataFrame:
@@ -290,7 +351,7 @@ def intensity(t: Column) -> Column:
     return F.when((t < 0) | (dur <= 0) | (t > dur), 0.0).otherwise(inside)
 
 
-def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, gap: str = "persistent") -> DataFrame:
+def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, gap: str = "persistent", length: int | None = None) -> DataFrame:
     """V9: records under each scenario (a bounded table), from ``onset`` of their span on.
 
     Prices are multiplied by 1 + drift + gap: the drift adds up drift * days * intensity over a symbol's records,
@@ -304,15 +365,16 @@ def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, g
     rows = records.crossJoin(F.broadcast(at)).join(pre, "symbol", "left").crossJoin(F.broadcast(scenarios))
     t = F.col("ts_ns") - F.col("_on")
     rows = rows.where(~((t >= 0) & (t < F.col("halt_ns")))).withColumn("_k", intensity(t))
-    w = Window.partitionBy("scenario", "symbol").orderBy("ts_ns", "seq")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    days = F.coalesce((F.col("ts_ns") - F.lag("ts_ns").over(w)) / DAY, F.lit(0.0))
-    rows = rows.withColumn("_d", F.col("drift") * days * F.col("_k")).withColumn("_drift", F.sum("_d").over(so_far))
-    hit = F.col("_k")
-    if gap == "single":
-        rows = rows.withColumn("_hits", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(so_far))
-        hit = F.when((F.col("_k") > 0) & (F.col("_hits") == 1), 1.0).otherwise(0.0)
+    cut = stretches(rows, ["scenario", "symbol"], ("ts_ns", "seq"), length, least=2)
+
+    def added(d: DataFrame, keys: list[str]) -> DataFrame:
+        days = F.coalesce((F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy(*keys).orderBy("ts_ns", "seq"))) / DAY, F.lit(0.0))
+        return d.withColumn("_d", F.col("drift") * days * F.col("_k"))
+
     k = F.col("_k")
+    sums = {"_drift": ("sum", F.col("_d"))} | ({"_hits": ("sum", F.when(k > 0, 1).otherwise(0))} if gap == "single" else {})
+    rows = cut.done(cut.running(cut.bounded(cut.df, 2, added), sums))
+    hit = F.when((k > 0) & (F.col("_hits") == 1), 1.0).otherwise(0.0) if gap == "single" else k
     swing = F.when((k > 0) & F.col("_pre").isNotNull(), F.greatest(F.col("_pre") + (F.col("price") - F.col("_pre")) * (1 + (F.col("vol_x") - 1) * k), F.lit(0.01))).otherwise(F.col("price"))
     rows = rows.withColumn("_m", 1 + F.col("_drift") + F.col("gap") * hit).withColumn("_p", swing * F.col("_m"))
     wide = F.col("_m") * (1 + (F.col("spread_x") - 1) * k)
@@ -323,17 +385,26 @@ def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, g
     return rows.select("scenario", *keep)
 
 
-def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed: int = 0, key: str = "curve_id") -> DataFrame:
-    """Moving blocks that start only in the worst ``pct`` of windows by cumulative return."""
-    w = Window.partitionBy(key).orderBy("i")
-    ahead = w.rowsBetween(0, block - 1)
-    sums = rets.withColumn("_sum", F.sum(F.log1p("ret")).over(ahead)).withColumn("_full", F.count("*").over(ahead)).where(F.col("_full") == block)
-    ranked = sums.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_sum", "i")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    worst = ranked.where(F.col("_rank") < F.greatest(F.lit(1), F.floor(F.col("_n") * pct))).select(key, F.col("_rank").cast("long").alias("_rank"), F.col("i").alias("_start"))
+def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed: int = 0, key: str = "curve_id", length: int | None = None) -> DataFrame:
+    """Moving blocks that start only in the worst ``pct`` of windows by cumulative return.
+
+    Rows have numbers ``i`` = 0, 1, ... The windows of all keys are range-sorted and numbered at once, so a long key
+    is ranked by many tasks.
+    """
+
+    def summed(d: DataFrame, w) -> DataFrame:
+        back = w.rowsBetween(-(block - 1), 0)
+        return d.withColumn("_sum", F.sum(F.log1p("ret")).over(back)).withColumn("_full", F.count("*").over(back))
+
+    sums = over_rows(rets, key, block, summed, ("i",), length).where(F.col("_full") == block).select(key, (F.col("i") - block + 1).cast("long").alias("_from"), "_sum")
+    ranked = numbered(sums, [F.col(key), F.col("_sum"), F.col("_from")], "_at")
+    firsts = ranked.groupBy(key).agg(F.min("_at").alias("_first"), F.count("*").alias("_windows"))
+    ranked = ranked.join(firsts, key).withColumn("_rank", F.col("_at") - F.col("_first"))
+    worst = ranked.where(F.col("_rank") < F.greatest(F.lit(1), F.floor(F.col("_windows") * pct))).select(key, F.col("_rank").cast("long").alias("_rank"), "_from")
     picks = worst.groupBy(key).agg(F.count("*").alias("_m")).join(rets.groupBy(key).agg(F.count("*").alias("_len")), key)
     places = picks.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)))
     drawn = places.withColumn("_rank", F.floor(uniform(seed, name_number(key), "run", F.floor(F.col("j") / block)) * F.col("_m")).cast("long")).join(worst, [key, "_rank"])
-    return drawn.withColumn("i", (F.col("_start") + F.col("j") % block).cast("long")).select(key, "run", "j", "i").join(rets.withColumn("i", F.col("i").cast("long")), [key, "i"])
+    return drawn.withColumn("i", (F.col("_from") + F.col("j") % block).cast("long")).select(key, "run", "j", "i").join(rets.withColumn("i", F.col("i").cast("long")), [key, "i"])
 
 
 def _rets(spark, sf):
@@ -381,6 +452,11 @@ def v6(spark, sf):
     return permute(_rets(spark, sf), 5, seed=9).groupBy("curve_id", "run").agg(F.count("*").alias("n"), r(F.sum("ret")).alias("total"))
 
 
+@query("v6_permuted_places", f"WITH {_Q}, pm AS (SELECT curve_id, run, i, r, {shuffled_sql('i', 'n', name_sql('curve_id'), 'run', 9)} AS j FROM q, range(5) t(run)) SELECT curve_id, run::INT AS run, j, i, R6(r) AS ret FROM pm", "v_returns")
+def v6p(spark, sf):
+    return permute(_rets(spark, sf), 5, seed=9).select("curve_id", "run", "j", F.col("i").cast("long").alias("i"), r("ret"))
+
+
 @query("v6_sign_flip", f"WITH {_Q} SELECT curve_id, run::INT AS run, count(*) AS n, R6(sum(CASE WHEN {uniform_sql(9, name_sql('curve_id'), 'run', 'i')} < 0.5 THEN r ELSE -r END)) AS total FROM q, range(5) t(run) GROUP BY 1, 2", "v_returns")
 def v6s(spark, sf):
     return sign_flip(_rets(spark, sf), 5, seed=9).groupBy("curve_id", "run").agg(F.count("*").alias("n"), r(F.sum("ret")).alias("total"))

@@ -6,11 +6,12 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
 from tickspark.functions import stretches as S
-from tickspark.operators import bars, execution, joins, models, pairs, performance, quality, risk, windows
+from tickspark.operators import bars, execution, joins, models, pairs, performance, quality, risk, telemetry, windows
 
 LENGTH = 40
 
@@ -149,6 +150,10 @@ def whole(d):
         lambda d, n: pairs.pair_performance(d.withColumn("pnl", F.col("price") - 100), "symbol", n),
         lambda d, n: pairs.rolling_cointegration(d.withColumnsRenamed({"price": "y", "size": "x"}), 16, 8, "symbol", n).withColumn("symbol", F.concat_ws("-", "symbol", "retest")),
         lambda d, n: models.ljung_box(d, ["symbol"], "price", 7, n),
+        lambda d, n: performance.periodicity(d.withColumn("ts_ns", F.col("seq") * F.col("seq") * 1000), "symbol", n),
+        lambda d, n: performance.pain(d.withColumnRenamed("price", "nav"), "symbol", n),
+        lambda d, n: models.ks_1(d, ["symbol"], "price", lambda c: c / 200, n),
+        lambda d, n: models.ks_2(d.withColumn("g", F.when(F.col("seq") % 3 == 0, "a").otherwise("b")), ["symbol"], "price", "g", "a", "b", n),
         lambda d, n: models.runs_test(d, ["symbol"], "price", length=n),
         lambda d, n: models.fit_regime_chain(d.selectExpr("symbol", "ts_ns", "seq", "price / 100 - 1 AS ret", "CASE WHEN size < 3 THEN 'calm' WHEN size < 6 THEN 'volatile' ELSE 'crisis' END AS state"), length=n).withColumn("symbol", F.concat_ws("-", "from", "to")),
     ],
@@ -157,6 +162,10 @@ def test_statistics_over_stretches(hot, make):
     same(lambda n: make(whole(hot), n), "symbol")
 
 
+def tiers(d):
+    return d.sparkSession.createDataFrame([("v", 0.0, 10.0, 20.0), ("v", 9000.0, 5.0, 15.0), ("v", 90000.0, 1.0, 3.0)], "venue string, threshold double, maker_bps double, taker_bps double")
+
+
 @pytest.mark.parametrize(
     "make",
     [
@@ -164,6 +173,16 @@ def test_statistics_over_stretches(hot, make):
         lambda d, n: performance.nav_returns(d.withColumn("nav", F.when((F.col("seq") != 333) | (F.col("symbol") != "hot"), F.col("price")).otherwise(0.0)), "log", "symbol", n),
         lambda d, n: performance.compound(d.withColumn("ret", F.when((F.col("seq") == 555) & (F.col("symbol") == "hot"), -1.5).otherwise(F.col("price") / 100 - 1)), key="symbol", length=n),
         lambda d, n: execution.financing(d.withColumnsRenamed({"price": "short", "size": "gross"}), 0.03, 0.01, "symbol", n),
+        lambda d, n: performance.underwater(d.withColumnRenamed("price", "nav"), "symbol", n),
+        lambda d, n: performance.drawdown_episodes(d.withColumnRenamed("price", "nav"), 0.0, "symbol", n).withColumn("seq", F.concat_ws("-", "symbol", "peak_ts")),
+        lambda d, n: performance.realized_delta(d.withColumn("realized_after", F.sum("price").over(Window.partitionBy("symbol").orderBy("seq"))), "symbol", ("ts_ns", "seq"), n),
+        lambda d, n: performance.holding_bucket(d.withColumn("signed_quantity", F.lit(1.0) - F.col("seq") % 3), ("symbol",), ("ts_ns", "seq"), (5, 12), n),
+        lambda d, n: risk.drawdown_track(d.withColumnRenamed("price", "nav"), "symbol", n),
+        lambda d, n: risk.circuit_states(d.withColumns({"drawdown": F.col("price") / 100 - 1, "reset": F.col("seq") % 150 == 0}), 0.05, 20, "symbol", length=n),
+        lambda d, n: risk.circuit_states(d.withColumns({"drawdown": F.col("price") / 100 - 1, "reset": F.lit(False)}), 0.1, 200, "symbol", length=n),
+        lambda d, n: risk.vol_regime(d.withColumn("ret", F.col("price") / 100 - 1), 8, 30, "symbol", length=n),
+        lambda d, n: telemetry.flow_stats(d.withColumns({"published": F.col("seq") * 3, "dropped": F.col("size").cast("long")}), "symbol", n),
+        lambda d, n: execution.commissions(d.withColumns({"quantity": F.col("size"), "is_maker": F.col("seq") % 2 == 0, "venue": F.lit("v")}), tiers(d), 0.5, "symbol", ("ts_ns", "seq"), n),
     ],
 )
 def test_curves_over_stretches(hot, make):
@@ -367,3 +386,23 @@ def test_streamed_circuit_equals_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
     got = {r["seq"]: r["circuit"] for r in streams.drain(streams.stream_states(stream, "circuit", 0.2, 20)).collect()}
     assert got == want and set(want.values()) == {"armed", "tripped", "recovering"}
+
+
+def test_episodes_against_a_loop(hot):
+    """Peaks, troughs and recoveries of each symbol, one value at a time; the last episode stays open."""
+    rows = sorted(whole(hot).collect(), key=lambda r: r["seq"])
+    want = set()
+    for symbol in {r["symbol"] for r in rows}:
+        peak, at, low = -math.inf, None, None
+        for t, v in [(r["ts_ns"], r["price"]) for r in rows if r["symbol"] == symbol]:
+            if v >= peak:
+                if low:
+                    want.add((symbol, at, low[1], t))
+                peak, at, low = v, t, None
+            elif low is None or v < low[0]:
+                low = (v, t)
+        if low:
+            want.add((symbol, at, low[1], None))
+    for n in (10**9, LENGTH):
+        got = performance.drawdown_episodes(whole(hot).withColumnRenamed("price", "nav"), 0.0, "symbol", n).collect()
+        assert {(r["symbol"], r["peak_ts"], r["trough_ts"], r["recovery_ts"]) for r in got} == want

@@ -170,14 +170,15 @@ def slippage(df: DataFrame, model: str, bps: float = 5.0, share: float = 0.5, k:
     return F.greatest(F.lit(0.0), parts[model])
 
 
-def commissions(fills: DataFrame, tiers: DataFrame, minimum: float = 0.0, account: str = "account", order: tuple[str, ...] = FILL_ORDER) -> DataFrame:
+def commissions(fills: DataFrame, tiers: DataFrame, minimum: float = 0.0, account: str = "account", order: tuple[str, ...] = FILL_ORDER, length: int | None = None) -> DataFrame:
     """Fee of the tier reached before the fill, maker or taker, with a minimum per fill.
 
     ``tiers``: venue, threshold, maker_bps, taker_bps; ``fills`` has a venue.
     """
     notional = F.col("price") * F.col("quantity")
-    w = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    f = fills.withColumn("volume", F.coalesce(F.sum(notional).over(w), F.lit(0.0))).withColumn("taker", ~F.col("is_maker"))
+    cut = stretches(fills, account, order, length)
+    f = cut.done(cut.running(cut.df, {"volume": ("sum", notional)}, before=True))
+    f = f.withColumn("volume", F.coalesce("volume", F.lit(0.0))).withColumn("taker", ~F.col("is_maker"))
     return effective_fee(f, tiers).withColumn("fee", F.greatest(F.lit(minimum), notional * F.col("fee_bps") / 10000)).drop("taker")
 
 

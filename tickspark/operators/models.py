@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
 from tickspark.functions import special as S
-from tickspark.functions.stretches import over_rows, scan
+from tickspark.functions.stretches import over_rows, scan, stretches
 from tickspark.plans.catalog import nav, query, r, table, ticks
 
-from .performance import nav_returns
+from .performance import beside, nav_returns
 
 ERF_SQL = "(CASE WHEN ({x}) >= 0 THEN 1 ELSE -1 END * (1 - (((((1.061405429::DOUBLE * ({t}) - 1.453152027) * ({t}) + 1.421413741) * ({t}) - 0.284496736) * ({t}) + 0.254829592) * ({t})) * exp(-({x}) * ({x}))))"
 
@@ -61,28 +61,29 @@ def ks_p(d: Column, n: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * total)))
 
 
-def _running_counts(df: DataFrame, keys: list[str], col: str, *weights: Column) -> DataFrame:
-    """Rows at and below each distinct value, from counts per value."""
-    g = df.groupBy(*keys, col).agg(*[F.sum(w).alias(f"_c{i}") for i, w in enumerate(weights)])
-    up, all_ = Window.partitionBy(*keys).orderBy(col), Window.partitionBy(*keys)
-    for i in range(len(weights)):
-        g = g.withColumn(f"_u{i}", F.sum(f"_c{i}").over(up)).withColumn(f"_n{i}", F.sum(f"_c{i}").over(all_))
-    return g
+def _running_counts(df: DataFrame, keys: list[str], col: str, *weights: Column, length: int | None = None) -> DataFrame:
+    """Rows at and below each distinct value, from counts per value; the counts of a long key add up by stretches."""
+    counts = {f"_c{i}": w for i, w in enumerate(weights)}
+    g = df.groupBy(*keys, col).agg(*[F.sum(w).alias(c) for c, w in counts.items()])
+    cut = stretches(g, keys, (col,), length)
+    up = cut.done(cut.running(cut.df, {f"_u{c[2:]}": ("sum", F.col(c)) for c in counts}))
+    return beside(up, g.groupBy(*keys).agg(*[F.sum(c).alias(f"_n{c[2:]}") for c in counts]), keys)
 
 
-def ks_1(df: DataFrame, keys: list[str], col: str, cdf) -> DataFrame:
+def ks_1(df: DataFrame, keys: list[str], col: str, cdf, length: int | None = None) -> DataFrame:
     """M5: against a distribution function of the column."""
-    g = _running_counts(df, keys, col, F.lit(1)).withColumn("_f", cdf(F.col(col)))
+    g = _running_counts(df, keys, col, F.lit(1), length=length).withColumn("_f", cdf(F.col(col)))
     gap = F.greatest(F.abs(F.col("_u0") / F.col("_n0") - F.col("_f")), F.abs(F.col("_f") - (F.col("_u0") - F.col("_c0")) / F.col("_n0")))
     return g.groupBy(*keys).agg(F.max(gap).alias("d"), F.max("_n0").alias("n")).withColumn("p_value", ks_p(F.col("d"), F.col("n").cast("double")))
 
 
-def ks_2(df: DataFrame, keys: list[str], col: str, group: str, a: str, b: str) -> DataFrame:
-    """M6: two samples."""
+def ks_2(df: DataFrame, keys: list[str], col: str, group: str, a: str, b: str, length: int | None = None) -> DataFrame:
+    """M6: two samples; null where one of them is empty."""
     is_ = lambda g: F.when(F.col(group) == g, 1).otherwise(0)
-    g = _running_counts(df.where(F.col(group).isin(a, b)), keys, col, is_(a), is_(b))
-    out = g.groupBy(*keys).agg(F.max(F.abs(F.col("_u0") / F.col("_n0") - F.col("_u1") / F.col("_n1"))).alias("d"), F.max("_n0").alias("n0"), F.max("_n1").alias("n1"))
-    return out.withColumn("p_value", ks_p(F.col("d"), F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1"))))
+    g = _running_counts(df.where(F.col(group).isin(a, b)), keys, col, is_(a), is_(b), length=length)
+    gap = F.abs(F.try_divide("_u0", "_n0") - F.try_divide("_u1", "_n1"))
+    out = g.groupBy(*keys).agg(F.max(gap).alias("d"), F.max("_n0").alias("n0"), F.max("_n1").alias("n1"))
+    return out.withColumn("p_value", F.when(F.col("d").isNotNull(), ks_p(F.col("d"), F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")))))
 
 
 def jarque_bera(df: DataFrame, keys: list[str], col: str) -> DataFrame:

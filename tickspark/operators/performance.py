@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
 from tickspark.functions.ranks import cold_rows, hot_keys, percentiles, values_at
-from tickspark.functions.stretches import NEVER, over_rows, scan, stretches
+from tickspark.functions.stretches import NEVER, Stretches, over_rows, scan, stretches
 from tickspark.plans.catalog import DAY, FILL_ORDER, fills, nav, query, r, series
 
 YEAR_NS = 365 * DAY
@@ -124,12 +124,13 @@ def nav_returns(nav: DataFrame, kind: str = "simple", key: str = "curve_id", len
     return cut.done(cut.bounded(good, 2, moved).where("ret is not null"))
 
 
-def periodicity(nav: DataFrame, key: str = "curve_id") -> DataFrame:
-    """Upper-middle gap and periods per year. Gaps are counted per value first, so no list is gathered."""
-    w = Window.partitionBy(key).orderBy("ts_ns")
-    gaps = nav.withColumn("gap", F.col("ts_ns") - F.lag("ts_ns").over(w)).where("gap is not null").groupBy(key, "gap").agg(F.count("*").alias("_c"))
-    run = gaps.withColumn("_up", F.sum("_c").over(Window.partitionBy(key).orderBy("gap"))).withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
-    return run.where(F.col("_up") > F.floor(F.col("_n") / 2)).groupBy(key).agg(F.min("gap").alias("interval_ns")).withColumn("ppy", F.lit(float(YEAR_NS)) / F.col("interval_ns"))
+def periodicity(nav: DataFrame, key: str = "curve_id", length: int | None = None) -> DataFrame:
+    """Upper-middle gap and periods per year. Gaps are counted per value; the counts of a long key add up by stretches."""
+    steps = over_rows(nav.select(key, "ts_ns"), key, 2, lambda d, w: d.withColumn("gap", F.col("ts_ns") - F.lag("ts_ns").over(w)), length=length).where("gap is not null")
+    gaps = steps.groupBy(key, "gap").agg(F.count("*").alias("_c"))
+    run = stretches(gaps, key, ("gap",), length)
+    counted = beside(run.done(run.running(run.df, {"_up": ("sum", F.col("_c"))})), gaps.groupBy(key).agg(F.sum("_c").alias("_n")), [key])
+    return counted.where(F.col("_up") > F.floor(F.col("_n") / 2)).groupBy(key).agg(F.min("gap").alias("interval_ns")).withColumn("ppy", F.lit(float(YEAR_NS)) / F.col("interval_ns"))
 
 
 def return_stats(df: DataFrame, keys: list[str], mar: float = 0.0) -> DataFrame:
@@ -148,30 +149,40 @@ def compound(df: DataFrame, s0: float = 1.0, key: str = "curve_id", length: int
     return run.withColumn("path", F.when(F.col("_ruined") == 1, 0.0).otherwise(s0 * F.exp("_grown"))).drop("_grown", "_ruined")
 
 
-def underwater(nav: DataFrame, key: str = "curve_id") -> DataFrame:
+def underwater(nav: DataFrame, key: str = "curve_id", length: int | None = None) -> DataFrame:
     """Share below the highest NAV so far."""
-    w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    return nav.withColumn("peak", F.max("nav").over(w)).withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("peak") - F.col("nav")) / F.col("peak")).otherwise(0.0))
+    cut = stretches(nav, key, ("ts_ns",), length)
+    return cut.done(_below_peak(cut, cut.df))
 
 
-def pain(nav: DataFrame, key: str = "curve_id") -> DataFrame:
+def _below_peak(cut: Stretches, nav: DataFrame) -> DataFrame:
+    u = cut.running(nav, {"peak": ("max", F.col("nav"))})
+    return u.withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("peak") - F.col("nav")) / F.col("peak")).otherwise(0.0))
+
+
+def pain(nav: DataFrame, key: str = "curve_id", length: int | None = None) -> DataFrame:
     """Ulcer and Pain index."""
-    return underwater(nav, key).groupBy(key).agg((F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown"))) * 100).alias("ulcer"), F.avg("drawdown").alias("pain"))
+    return underwater(nav, key, length).groupBy(key).agg((F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown"))) * 100).alias("ulcer"), F.avg("drawdown").alias("pain"))
 
 
-def drawdown_episodes(nav: DataFrame, min_depth: float = 0.0, key: str = "curve_id") -> DataFrame:
+def drawdown_episodes(nav: DataFrame, min_depth: float = 0.0, key: str = "curve_id", length: int | None = None) -> DataFrame:
     """One row per stretch below a peak: peak, trough and recovery time (null while open), depth, durations.
 
-    Rows between two peaks share the number of peaks before them, so episodes are one aggregation.
+    Rows share the last peak before them, those below it and the peak that ends them, so episodes are one aggregation.
     """
-    w = Window.partitionBy(key).orderBy("ts_ns")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    u = underwater(nav, key).withColumn("_top", F.when(F.col("nav") >= F.col("peak"), F.col("ts_ns")))
-    u = u.withColumn("peak_ts", F.last("_top", True).over(so_far)).withColumn("_next", F.first(F.when(F.col("_top").isNotNull(), F.col("ts_ns")), True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    low = u.where("_top is null").groupBy(key, "peak_ts").agg(
-        F.max("drawdown").alias("depth"), F.min_by("ts_ns", F.struct(-F.col("drawdown"), F.col("ts_ns"))).alias("trough_ts"), F.min("_next").alias("recovery_ts"), F.max("ts_ns").alias("_end")
+    cut = stretches(nav, key, ("ts_ns",), length)
+    u = _below_peak(cut, cut.df).withColumn("_top", F.when(F.col("nav") >= F.col("peak"), F.col("ts_ns")))
+    u = cut.done(cut.running(u, {"peak_ts": ("last", F.col("_top"))}, before=True))
+    low = F.col("_top").isNull()
+    g = u.groupBy(key, "peak_ts").agg(
+        F.max(F.when(low, F.col("drawdown"))).alias("depth"),
+        F.min_by(F.when(low, F.col("ts_ns")), F.when(low, F.struct(-F.col("drawdown"), F.col("ts_ns")))).alias("trough_ts"),
+        F.min("_top").alias("recovery_ts"),
+        F.max(F.when(low, F.col("ts_ns"))).alias("_end"),
+        F.count_if(low).alias("_low"),
     )
-    return low.where(F.col("depth") > min_depth).withColumn("underwater_ns", F.coalesce("recovery_ts", "_end") - F.col("peak_ts")).withColumn("recovery_ns", F.col("recovery_ts") - F.col("trough_ts")).drop("_end")
+    held = g.where((F.col("_low") > 0) & (F.col("depth") > min_depth)).drop("_low")
+    return held.withColumn("underwater_ns", F.coalesce("recovery_ts", "_end") - F.col("peak_ts")).withColumn("recovery_ns", F.col("recovery_ts") - F.col("trough_ts")).drop("_end")
 
 
 def episode_stats(eps: DataFrame, key: str = "curve_id") -> DataFrame:
@@ -299,20 +310,22 @@ def attribution(fills: DataFrame, by: str, account: str = "account") -> DataFram
     return g.withColumn("share", safe(F.col("net"), F.sum(F.abs("net")).over(Window.partitionBy(account)))).orderBy(account, F.desc(F.abs("net")))
 
 
-def realized_delta(fills: DataFrame, account: str = "account", order: tuple[str, ...] = FILL_ORDER) -> DataFrame:
+def realized_delta(fills: DataFrame, account: str = "account", order: tuple[str, ...] = FILL_ORDER, length: int | None = None) -> DataFrame:
     """Each fill's change of the running realised total of its account (``realized_after``)."""
-    w = Window.partitionBy(account).orderBy(*order)
-    return fills.withColumn("realized", F.col("realized_after") - F.coalesce(F.lag("realized_after").over(w), F.lit(0.0)))
+    change = lambda d, w: d.withColumn("realized", F.col("realized_after") - F.coalesce(F.lag("realized_after").over(w), F.lit(0.0)))
+    return over_rows(fills, account, 2, change, order, length)
 
 
-def holding_bucket(fills: DataFrame, keys: tuple[str, ...] = ("account", "symbol"), order: tuple[str, ...] = FILL_ORDER, edges_ns: tuple[int, ...] = (30 * DAY, 365 * DAY)) -> DataFrame:
+def holding_bucket(
+    fills: DataFrame, keys: tuple[str, ...] = ("account", "symbol"), order: tuple[str, ...] = FILL_ORDER, edges_ns: tuple[int, ...] = (30 * DAY, 365 * DAY), length: int | None = None
+) -> DataFrame:
     """Time since the position was last opened from flat, in buckets."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    held = fills.withColumn("_after", F.sum("signed_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    opens = F.when(F.abs(F.coalesce(F.lag("_after").over(w), F.lit(0.0))) < 1e-9, F.col("ts_ns"))
-    held = held.withColumn("_open", opens).withColumn("_open", F.last("_open", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = stretches(fills, list(keys), order, length)
+    held = cut.running(cut.df, {"_held": ("sum", F.col("signed_quantity"))}, before=True)
+    opens = F.when(F.abs(F.coalesce("_held", F.lit(0.0))) < 1e-9, F.col("ts_ns"))
+    held = cut.done(cut.running(held, {"_open": ("last", opens)}))
     age = F.col("ts_ns") - F.col("_open")
-    return held.withColumn("bucket", F.when(age < edges_ns[0], "short").when(age < edges_ns[1], "medium").otherwise("long")).drop("_after", "_open")
+    return held.withColumn("bucket", F.when(age < edges_ns[0], "short").when(age < edges_ns[1], "medium").otherwise("long")).drop("_held", "_open")
 
 
 def cost_waterfall(fills: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
-from tickspark.functions.stretches import scan
+from tickspark.functions.stretches import over_rows, scan, stretches
 from tickspark.functions.special import normal_pdf, normal_quantile
 from tickspark.plans.catalog import nav, query, r
 
-from .performance import _MARKED, _marked, historical_tail, nav_returns, portfolio_summary, safe, underwater
+from .performance import _MARKED, _below_peak, _marked, historical_tail, nav_returns, portfolio_summary, safe
 
 var_historical = historical_tail
 
@@ -69,11 +69,13 @@ def scale_var(df: DataFrame, days: int, value: Column) -> DataFrame:
     return df.withColumn("var", F.col("var") * k).withColumn("es", F.col("es") * k).withColumn("var_money", F.col("var") * value).withColumn("es_money", F.col("es") * value)
 
 
-def drawdown_track(nav: DataFrame, key: str = "curve_id") -> DataFrame:
+def drawdown_track(nav: DataFrame, key: str = "curve_id", length: int | None = None) -> DataFrame:
     """Current and largest drawdown, peak, time under water and updates after each point."""
-    w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    u = underwater(nav, key).withColumn("_top", F.last(F.when(F.col("nav") >= F.col("peak"), F.col("ts_ns")), True).over(w))
-    return u.withColumn("max_drawdown", F.max("drawdown").over(w)).withColumn("underwater_ns", F.col("ts_ns") - F.col("_top")).withColumn("updates", F.count("*").over(w)).drop("_top")
+    cut = stretches(nav, key, ("ts_ns",), length)
+    u = _below_peak(cut, cut.df)
+    top = F.when(F.col("nav") >= F.col("peak"), F.col("ts_ns"))
+    u = cut.done(cut.running(u, {"max_drawdown": ("max", F.col("drawdown")), "_top": ("last", top), "updates": ("count", F.lit(1))}))
+    return u.withColumn("underwater_ns", F.col("ts_ns") - F.col("_top")).drop("_top")
 
 
 #: Fixed default limits; the breaker's cooldown and the volatility ratio that trips it.
@@ -112,7 +114,7 @@ def pretrade_check(orders: DataFrame, positions: DataFrame, accounts: DataFrame,
     return o.withColumn("problem", problem).drop("_held")
 
 
-def circuit_states(snapshots: DataFrame, limit: float, cooldown_ns: int, key: str = "curve_id", also: Column | None = None) -> DataFrame:
+def circuit_states(snapshots: DataFrame, limit: float, cooldown_ns: int, key: str = "curve_id", also: Column | None = None, length: int | None = None) -> DataFrame:
     """Armed until the first trigger of an epoch, tripped for the cooldown, then recovering until a reset.
 
     ``reset`` (boolean) starts a new epoch. The drawdown triggers, and so does ``also``.
@@ -120,10 +122,12 @@ def circuit_states(snapshots: DataFrame, limit: float, cooldown_ns: int, key: st
     trigger = F.col("drawdown") > limit
     if also is not None:
         trigger = trigger | also
-    w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    e = snapshots.withColumn("epoch", F.sum(F.when(F.col("reset"), 1).otherwise(0)).over(w))
-    we = Window.partitionBy(key, "epoch").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("tripped_at", F.min(F.when(trigger & ~F.col("reset"), F.col("ts_ns"))).over(we))
+    cut = stretches(snapshots, key, ("ts_ns",), length)
+    e = cut.running(cut.df, {"epoch": ("sum", F.when(F.col("reset"), 1).otherwise(0))})
+    # An epoch trips at its first trigger: one row for each epoch that trips.
+    trips = e.where(trigger & ~F.col("reset")).groupBy(F.col(key).alias("_key"), F.col("epoch").alias("_epoch")).agg(F.min("ts_ns").alias("_trip"))
+    met = cut.done(e).join(trips, F.col(key).eqNullSafe(F.col("_key")) & (F.col("epoch") == F.col("_epoch")), "left")
+    e = met.withColumn("tripped_at", F.when(F.col("_trip") <= F.col("ts_ns"), F.col("_trip"))).drop("_key", "_epoch", "_trip")
     return e.withColumn("circuit", F.when(F.col("tripped_at").isNull(), "armed").when(F.col("ts_ns") - F.col("tripped_at") < cooldown_ns, "tripped").otherwise("recovering"))
 
 
@@ -154,10 +158,14 @@ def worst_status(df: DataFrame) -> DataFrame:
     return df.groupBy("ts_ns").agg(F.max_by("status", F.struct(rank[F.col("status")], "status")).alias("worst"))
 
 
-def vol_regime(df: DataFrame, window: int = 20, base: int = 120, key: str = "curve_id", col: str = "ret") -> DataFrame:
+def vol_regime(df: DataFrame, window: int = 20, base: int = 120, key: str = "curve_id", col: str = "ret", length: int | None = None) -> DataFrame:
     """Recent over baseline volatility: calm under 0.5, normal under 1.5, elevated under 3, else stressed."""
-    w = lambda k: Window.partitionBy(key).orderBy("ts_ns").rowsBetween(-(k - 1), 0)
-    d = df.withColumn("realized", F.coalesce(F.stddev_samp(col).over(w(window)), F.lit(0.0))).withColumn("baseline", F.coalesce(F.stddev_samp(col).over(w(base)), F.lit(0.0)))
+
+    def added(d: DataFrame, w) -> DataFrame:
+        sd = lambda k: F.coalesce(F.stddev_samp(col).over(w.rowsBetween(-(k - 1), 0)), F.lit(0.0))
+        return d.withColumns({"realized": sd(window), "baseline": sd(base)})
+
+    d = over_rows(df, key, max(window, base), added, length=length)
     ratio = F.when(F.col("baseline") > 1e-12, F.try_divide("realized", "baseline")).otherwise(0.0)
     regime = F.when(F.col("baseline") <= 1e-12, "normal").when(ratio < 0.5, "calm").when(ratio < 1.5, "normal").when(ratio < 3.0, "elevated").otherwise("stressed")
     return d.withColumn("vol_ratio", ratio).withColumn("vol_regime", regime)
@@ -218,6 +226,7 @@ def risk_monitor(
     cooldown_ns: int = COOLDOWN,
     vol_spike: float = VOL_SPIKE,
     breakdown: float = 0.3,
+    length: int | None = None,
 ) -> DataFrame:
     """Per NAV update VaR, drawdown, exposures, worst correlation status, breaker, breaches, score and readiness.
 
@@ -226,17 +235,20 @@ def risk_monitor(
     The breaker trips on drawdown, daily loss, leverage or a volatility spike; a boolean ``reset`` of the curve arms it.
     """
     own = LIMITS | (limits or {})
-    rets = nav_returns(curve, key=key)
-    w = Window.partitionBy(key).orderBy("ts_ns").rowsBetween(-(window - 1), 0)
-    d = vol_regime(rets, key=key).withColumn("sd", F.coalesce(F.stddev_samp("ret").over(w), F.lit(0.0))).withColumn("mean", F.avg("ret").over(w)).withColumn("n", F.count("*").over(w))
-    d = _normal(d if garch is None else _garch_sd(d, garch, key), c).join(drawdown_track(curve, key).select(key, "ts_ns", "drawdown", "max_drawdown", "underwater_ns"), [key, "ts_ns"])
+
+    def rolled(d: DataFrame, w) -> DataFrame:
+        w = w.rowsBetween(-(window - 1), 0)
+        return d.withColumns({"sd": F.coalesce(F.stddev_samp("ret").over(w), F.lit(0.0)), "mean": F.avg("ret").over(w), "n": F.count("*").over(w)})
+
+    d = over_rows(vol_regime(nav_returns(curve, key=key, length=length), key=key, length=length), key, window, rolled, length=length)
+    d = _normal(d if garch is None else _garch_sd(d, garch, key), c).join(drawdown_track(curve, key, length).select(key, "ts_ns", "drawdown", "max_drawdown", "underwater_ns"), [key, "ts_ns"])
     d = d.join(exposures_at(curve, positions, key), [key, "ts_ns"], "left").na.fill(0.0, ["gross", "net", "leverage", "concentration"]).na.fill(0, ["n_positions"])
     d = d.join(worst_status(correlation_status(corrs, breakdown)).withColumnRenamed("worst", "correlation"), "ts_ns", "left").withColumn("correlation", F.coalesce("correlation", F.lit("stable")))
     d = d.withColumn("daily_loss", F.greatest(-F.col("ret"), F.lit(0.0))).withColumn("ready", F.col("n") >= 30)
     if "reset" not in d.columns:
         d = d.withColumn("reset", F.lit(False))
     also = (F.col("daily_loss") > own["daily_loss"]) | (F.col("leverage") > own["leverage"]) | (F.col("vol_ratio") > vol_spike)
-    d = circuit_states(d, own["drawdown"], cooldown_ns, key, also)
+    d = circuit_states(d, own["drawdown"], cooldown_ns, key, also, length)
     return risk_score(d.withColumn("breaches", _exceeded(d, own)), limits)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.ranks import cold_rows, hot_keys, values_at
-from tickspark.functions.stretches import NEVER, numbered, scan
+from tickspark.functions.stretches import NEVER, numbered, over_rows, scan
 from tickspark.plans.catalog import SECOND, latency, nav, query, r, table
 
 from .performance import safe
@@ -78,11 +78,13 @@ def latency_stats_exact(df: DataFrame, keys: list[str] | None = None) -> DataFra
     return k.withColumn("median", (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
 
 
-def flow_stats(df: DataFrame, key: str = "band") -> DataFrame:
+def flow_stats(df: DataFrame, key: str = "band", length: int | None = None) -> DataFrame:
     """L4: per band and sample counters, drop % and events per second since the sample before."""
-    w = Window.partitionBy(key).orderBy("ts_ns")
-    rate = safe((F.col("published") - F.lag("published").over(w)).cast("double"), (F.col("ts_ns") - F.lag("ts_ns").over(w)) / SECOND)
-    return df.withColumn("drop_pct", safe(F.col("dropped") * 100.0, F.col("published").cast("double"))).withColumn("events_per_s", rate)
+
+    def rated(d: DataFrame, w) -> DataFrame:
+        return d.withColumn("events_per_s", safe((F.col("published") - F.lag("published").over(w)).cast("double"), (F.col("ts_ns") - F.lag("ts_ns").over(w)) / SECOND))
+
+    return over_rows(df.withColumn("drop_pct", safe(F.col("dropped") * 100.0, F.col("published").cast("double"))), key, 2, rated, length=length)
 
 
 def alerts(df: DataFrame, sla_ns: int) -> DataFrame:

@@ -129,6 +129,12 @@ def over_rows(df: DataFrame, key: list[str] | str, k: int, f: Callable[[DataFram
     return cut.done(cut.bounded(cut.df, k, lambda d, keys: f(d, Window.partitionBy(*keys).orderBy(*order))))
 
 
+def placed(df: DataFrame, key: list[str] | str, name: str, order: tuple[str, ...] = ("ts_ns",), start: int = 0, length: int | None = None) -> DataFrame:
+    """``df`` with each row's number in its key, from ``start``; keys of any length."""
+    cut = stretches(df, key, order, length)
+    return cut.done(cut.running(cut.df, {name: ("count", F.lit(1))})).withColumn(name, F.col(name) + (start - 1))
+
+
 @dataclass
 class Carry:
     """How a recurrence composes: ``fold(summary or None, rows)`` and ``apply(state or None, summary) -> state``, both tuples."""

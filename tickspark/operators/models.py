@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tickspark.functions import kernels as K
 from tickspark.functions import special as S
-from tickspark.functions.stretches import over_rows, scan, stretches
+from tickspark.functions.stretches import over_rows, placed, scan, stretches
 from tickspark.plans.catalog import nav, query, r, table, ticks
 
 from .performance import beside, nav_returns
@@ -251,8 +251,7 @@ def label_regimes(rets: DataFrame, s0: float = 100.0, step_ns: int = 1_000_000_0
     from .performance import compound
     from .windows import SNAPSHOT, snapshot_step
 
-    w = Window.partitionBy(key).orderBy("ts_ns")
-    path = compound(rets, s0, key).withColumn("seq", F.row_number().over(w).cast("long"))
+    path = placed(compound(rets, s0, key), key, "seq", start=1)
     path = path.select(F.col(key).alias("symbol"), (F.col("seq") * step_ns).alias("ts_ns"), "seq", F.col("path").alias("price"), F.lit(1.0).alias("size"), "ret")
     return scan(path, ["symbol"], ["seq"], lambda state, p: snapshot_step(state, p, publish_ns=0), SNAPSHOT).select("symbol", "ts_ns", "seq", "ret", "state")
 

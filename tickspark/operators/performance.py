@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
 from tickspark.functions.ranks import cold_rows, hot_keys, percentiles, values_at
-from tickspark.functions.stretches import NEVER, Stretches, over_rows, scan, stretches
+from tickspark.functions.stretches import NEVER, Stretches, over_rows, placed, scan, stretches
 from tickspark.plans.catalog import DAY, FILL_ORDER, fills, nav, query, r, series
 
 YEAR_NS = 365 * DAY
@@ -185,16 +185,17 @@ def drawdown_episodes(nav: DataFrame, min_depth: float = 0.0, key: str = "curve_
     return held.withColumn("underwater_ns", F.coalesce("recovery_ts", "_end") - F.col("peak_ts")).withColumn("recovery_ns", F.col("recovery_ts") - F.col("trough_ts")).drop("_end")
 
 
-def episode_stats(eps: DataFrame, key: str = "curve_id") -> DataFrame:
+def episode_stats(eps: DataFrame, key: str = "curve_id", length: int | None = None) -> DataFrame:
     """Count, deepest, longest, mean and median recovery, share recovered."""
-    return eps.groupBy(key).agg(
+    g = eps.groupBy(key).agg(
         F.count("*").alias("episodes"),
         F.max("depth").alias("max_depth"),
         F.max("underwater_ns").alias("longest_ns"),
         F.avg("recovery_ns").alias("mean_recovery_ns"),
-        F.percentile("recovery_ns", F.lit(0.5)).alias("median_recovery_ns"),
         (F.count("recovery_ts") / F.count("*")).alias("recovery_rate"),
     )
+    median = percentiles(eps, [key], "recovery_ns", [0.5], "_median", length).withColumn("median_recovery_ns", F.get("_median", F.lit(0))).drop("_median")
+    return beside(g, median, [key])
 
 
 def worst(df: DataFrame, n: int, by: str, key: str) -> DataFrame:
@@ -252,7 +253,6 @@ def metrics(rets: DataFrame, curves: DataFrame, key: str = "curve_id", rf: float
         F.kurtosis("ret").alias("_kurt"),
         F.sum(F.when(F.col("_d") > 0, F.col("_d")).otherwise(0.0)).alias("_gain"),
         F.sum(F.when(F.col("_d") < 0, -F.col("_d")).otherwise(0.0)).alias("_loss"),
-        F.percentile("ret", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"),
         F.max("ret").alias("best_period"),
         F.min("ret").alias("worst_period"),
         F.count_if(ret > 0).alias("_wins"),
@@ -261,7 +261,7 @@ def metrics(rets: DataFrame, curves: DataFrame, key: str = "curve_id", rf: float
         F.count_if(F.abs(ret) > 1e-15).alias("_in"),
     )
     eps = drawdown_episodes(curves, 0.0, key).groupBy(key).agg(F.max("depth").alias("max_drawdown"), F.max("underwater_ns").alias("max_drawdown_duration_ns"))
-    m = m.join(eps, key, "left").join(pain(curves, key), key, "left")
+    m = m.join(eps, key, "left").join(pain(curves, key), key, "left").join(percentiles(rets, [key], "ret", [0.05, 0.95]), key, "left")
     for c in (95, 99):
         m = m.join(historical_tail(rets, [key], c / 100).withColumnsRenamed({"var": f"var_{c}", "es": f"cvar_{c}"}), key, "left")
     n, p = F.col("n_periods").cast("double"), F.col("periods_per_year")
@@ -688,7 +688,7 @@ def a25(spark, sf):
 def a26(spark, sf):
     from .resample import bootstrap
 
-    q = nav_returns(nav(spark, sf)).withColumn("i", F.row_number().over(Window.partitionBy("curve_id").orderBy("ts_ns")) - 1)
+    q = placed(nav_returns(nav(spark, sf)), "curve_id", "i")
     est = q.groupBy("curve_id").agg(F.avg("ret").alias("est"), F.sum("ret").alias("_s"), F.count("*").alias("_n"))
     boot = bootstrap(q, "iid", 200, seed=5).groupBy("curve_id", "run").agg(F.avg("ret").alias("v")).join(est.select("curve_id", "est"), "curve_id")
     jack = q.join(est, "curve_id").select("curve_id", ((F.col("_s") - F.col("ret")) / (F.col("_n") - 1)).alias("v"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import stretches as S
-from tickspark.functions.stretches import Stretches, numbered, over_rows, stretches
+from tickspark.functions.stretches import Stretches, numbered, over_rows, placed, stretches
 from tickspark.plans.catalog import DAY, HOUR, SECOND, nav, query, r, ticks
 
 from .performance import metrics, nav_returns, summarize
@@ -408,8 +408,7 @@ def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed:
 
 
 def _rets(spark, sf):
-    q = nav_returns(nav(spark, sf))
-    return q.withColumn("i", F.row_number().over(Window.partitionBy("curve_id").orderBy("ts_ns")) - 1)
+    return placed(nav_returns(nav(spark, sf)), "curve_id", "i")
 
 
 def _moments(drawn):
@@ -490,8 +489,7 @@ def v8(spark, sf):
     q = _rets(spark, sf)
     a, b = q.where("curve_id = '1-URGENT'").select("ts_ns", F.col("ret").alias("a")), q.where("curve_id = '2-HIGH'").select("ts_ns", F.col("ret").alias("b"))
     both = a.join(b, "ts_ns").withColumn("curve_id", F.lit("both"))
-    both = both.withColumn("i", F.row_number().over(Window.partitionBy("curve_id").orderBy("ts_ns")) - 1)
-    return bootstrap_compare(both, 50, 365.0, seed=2).select("metric", "n", r("mean"), r("sd"), r("p05"), r("p95"))
+    return bootstrap_compare(placed(both, "curve_id", "i"), 50, 365.0, seed=2).select("metric", "n", r("mean"), r("sd"), r("p05"), r("p95"))
 
 
 _PRE = ", ".join("('{}', {}, {}, {}, {}, {}, {}, {}, '{}', {})".format(*p) for p in PRESETS)

@@ -97,14 +97,14 @@ def split_loop(orders, venues):
     return out
 
 
-@pytest.mark.parametrize("run", [1, 3, 256])
-def test_smart_split(spark, counted, run):
+@pytest.mark.parametrize(("run", "broadcast"), [(1, 0), (3, 100), (256, 0)])
+def test_smart_split(spark, counted, run, broadcast):
     """Ties in price, venues without depth, orders of nothing, of exactly one run's depth, and beyond all depths."""
     venues = [(f"v{i:02d}", 100 - i % 4 * 0.1, 100.2 + i % 3 * 0.1, float(i % 5), float(i % 6), float(i % 4)) for i in range(40)]
     orders = [(i, "buy" if i % 2 else "sell", float(q)) for i, q in enumerate([0, 0, 1, 2, 3, 5, 8, 9, 10, 11, 30, 31, 60, 75, 80, 100, 500, 501, 5, 5])]
     v = spark.createDataFrame(venues, "venue string, bid double, ask double, bid_depth double, ask_depth double, fee_bps double")
     o = spark.createDataFrame(orders, "order_id long, side string, quantity double")
-    got = execution.route(o, v, "smart_split", run=run, length=10)
+    got = execution.route(o, v, "smart_split", run=run, length=10, broadcast=broadcast)
     assert {(r["order_id"], r["venue"]): r["take"] for r in got.collect()} == split_loop(orders, venues)
     assert execution.route(o, v.where("false"), "smart_split").count() == 0
     assert execution.route(o.where("false"), v, "smart_split").count() == 0

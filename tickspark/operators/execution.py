@@ -49,13 +49,16 @@ def _quoted(venues: DataFrame) -> DataFrame:
 
 #: Venues that an order meets at a time, the most such runs of venues of a side, and the parts orders are dealt to.
 RUN, RUNS, PARTS = 256, 10_000, 64
+#: Most venues that are broadcast to the orders.
+BROADCAST_VENUES = 100_000
 
 
-def _split(orders: DataFrame, quoted: DataFrame, run: int, length: int | None) -> DataFrame:
+def _split(orders: DataFrame, quoted: DataFrame, run: int, length: int | None, broadcast: int) -> DataFrame:
     """Venues by price with fee, with the depth before each, in runs of ``run``; an order meets the runs it reaches.
 
-    Where the runs of a side start is an array of at most RUNS depths, which each order searches. The rows met are
-    keyed by (side, run, part of the orders), so neither side is one task; a venue is copied to the parts.
+    Where the runs of a side start is an array of at most RUNS depths, which each order searches. Up to ``broadcast``
+    venues, counted, go to the orders; beyond it both meet by (side, run, part of the orders), so that neither side is
+    one task, and a venue is copied to the parts.
     """
     fee = F.col("fee_bps") / 10000
     paid = F.when(F.col("side") == "buy", F.col("price") * (1 + fee)).otherwise(-F.col("price") * (1 - fee))
@@ -69,15 +72,19 @@ def _split(orders: DataFrame, quoted: DataFrame, run: int, length: int | None) -
     # A start equal to the quantity is not reached: take away those at or above it, found on the negated array.
     below = F.size("_at") - number(F.reverse(F.transform("_at", lambda x: -x)), -F.col("quantity"))
     reached = orders.join(F.broadcast(starts), "side").withColumn("_n", below).where("_n > 0").drop("_at")
-    part = F.pmod(F.xxhash64(*orders.columns), F.lit(PARTS)).cast("int")
-    reached = reached.withColumn("_part", part).withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    copied = ranked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    met = reached.join(copied, ["side", "_run", "_part"]).where(F.col("_before") < F.col("quantity"))
+    reached = reached.withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    if most <= broadcast:
+        met = reached.join(F.broadcast(ranked), ["side", "_run"])
+    else:
+        part = F.pmod(F.xxhash64(*orders.columns), F.lit(PARTS)).cast("int")
+        copied = ranked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        met = reached.withColumn("_part", part).join(copied, ["side", "_run", "_part"])
+    met = met.where(F.col("_before") < F.col("quantity"))
     taken = met.withColumn("take", F.least(F.col("depth"), F.col("quantity") - F.col("_before")))
     return taken.select(*orders.columns, "venue", "fee_bps", "price", "depth", "take")
 
 
-def route(orders: DataFrame, venues: DataFrame, how: str, run: int = RUN, length: int | None = None) -> DataFrame:
+def route(orders: DataFrame, venues: DataFrame, how: str, run: int = RUN, length: int | None = None, broadcast: int = BROADCAST_VENUES) -> DataFrame:
     """Where each order goes. ``venues``: venue, bid, ask, bid_depth, ask_depth, fee_bps, one row each.
 
     ``cheapest`` takes the lowest fee, ``best_price`` the best price for the side, ``smart_split`` fills venue after
@@ -90,7 +97,7 @@ def route(orders: DataFrame, venues: DataFrame, how: str, run: int = RUN, length
         return orders.join(F.broadcast(best), "side")  # one row per side
     if how != "smart_split":
         raise ValueError(f"unknown routing {how!r}")
-    return _split(orders, quoted, run, length)
+    return _split(orders, quoted, run, length, broadcast)
 
 
 def route_summary(split: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tickspark.functions import special as S
 from tickspark.functions.stretches import over_rows, placed, scan, stretches
 from tickspark.plans.catalog import nav, query, r, table, ticks
 
-from .performance import beside, nav_returns
+from .performance import beside, curve_returns, nav_returns
 
 ERF_SQL = "(CASE WHEN ({x}) >= 0 THEN 1 ELSE -1 END * (1 - (((((1.061405429::DOUBLE * ({t}) - 1.453152027) * ({t}) + 1.421413741) * ({t}) - 0.284496736) * ({t}) + 0.254829592) * ({t})) * exp(-({x}) * ({x}))))"
 
@@ -257,7 +257,7 @@ def label_regimes(rets: DataFrame, s0: float = 100.0, step_ns: int = 1_000_000_0
 
 
 def _rets(spark, sf):
-    return nav_returns(nav(spark, sf))
+    return curve_returns(spark, sf)
 
 
 _R = "q AS (SELECT curve_id, ts_ns, r AS ret FROM v_returns WHERE r IS NOT NULL)"
@@ -395,4 +395,4 @@ def m14(spark, sf):
 
 @query("m15_label_regimes")
 def m15(spark, sf):
-    return label_regimes(_rets(spark, sf)).groupBy("symbol", "state").agg(F.count("*").alias("n"))
+    return label_regimes(nav_returns(nav(spark, sf))).groupBy("symbol", "state").agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from tickspark.functions import stretches as S
 from tickspark.functions.stretches import Stretches, numbered, over_rows, placed, stretches
 from tickspark.plans.catalog import DAY, HOUR, SECOND, nav, query, r, ticks
 
-from .performance import metrics, nav_returns, summarize
+from .performance import curve_returns, metrics, summarize
 
 #: The hash of every random choice works modulo this prime, so that any engine with 64-bit integers repeats it.
 PRIME, STEP, LAST = 2**31 - 1, 40503, 12345
@@ -408,7 +408,7 @@ def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed:
 
 
 def _rets(spark, sf):
-    return placed(nav_returns(nav(spark, sf)), "curve_id", "i")
+    return placed(curve_returns(spark, sf), "curve_id", "i")
 
 
 def _moments(drawn):

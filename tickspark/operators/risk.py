@@ -14,7 +14,7 @@ from tickspark.functions.stretches import over_rows, scan, stretches
 from tickspark.functions.special import normal_pdf, normal_quantile
 from tickspark.plans.catalog import nav, query, r
 
-from .performance import _MARKED, _below_peak, _marked, historical_tail, nav_returns, portfolio_summary, safe
+from .performance import _MARKED, _below_peak, _marked, curve_returns, historical_tail, nav_returns, portfolio_summary, safe
 
 var_historical = historical_tail
 
@@ -253,7 +253,7 @@ def risk_monitor(
 
 
 def _rets(spark, sf):
-    return nav_returns(nav(spark, sf))
+    return curve_returns(spark, sf)
 
 
 _R = "q AS (SELECT curve_id, ts_ns, nav, r AS ret FROM v_returns WHERE r IS NOT NULL)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.plans.catalog import DAY, HOUR, MINUTE, SECOND, nav, query, r, table
 
-from .performance import _EPS, drawdown_episodes, nav_returns, safe, underwater, worst
+from .performance import _EPS, curve_returns, drawdown_episodes, safe, underwater, worst
 
 UNITS = {"ms": 1_000_000, "s": SECOND, "m": MINUTE, "h": HOUR, "d": DAY}
 
@@ -80,5 +80,5 @@ def z4(spark, sf):
 def z5(spark, sf):
     n = nav(spark, sf)
     d = underwater(n).groupBy("curve_id").agg(F.max("drawdown").alias("max_drawdown"))
-    s = nav_returns(n).groupBy("curve_id").agg(safe(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"))
+    s = curve_returns(spark, sf).groupBy("curve_id").agg(safe(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"))
     return d.join(s, "curve_id").select("curve_id", r("max_drawdown"), r("sharpe"))

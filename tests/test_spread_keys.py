@@ -117,3 +117,11 @@ def test_best_venue(spark):
     rows = lambda how: {r["order_id"]: (r["venue"], r["price"], r["depth"]) for r in execution.route(o, v, how).collect()}
     assert rows("cheapest") == {1: ("a", 101.0, 4.0), 2: ("a", 99.0, 3.0)}
     assert rows("best_price") == {1: ("c", 100.5, 6.0), 2: ("a", 99.0, 3.0)}
+
+
+def test_routing_leaves_out_venues_that_no_order_reaches(spark):
+    v = spark.range(3000).select(F.format_string("v%05d", "id").alias("venue"), F.lit(99.0).alias("bid"), (100 + F.col("id") / 1000).alias("ask"), F.lit(2.0).alias("bid_depth"), F.lit(2.0).alias("ask_depth"), F.lit(0.0).alias("fee_bps"))
+    o = spark.createDataFrame([(1, "buy", 5.0), (2, "sell", 4.0), (3, "buy", 60.0)], "order_id long, side string, quantity double")
+    made = execution.route(o, v, "smart_split", broadcast=100)
+    assert "_part" not in made._jdf.queryExecution().optimizedPlan().toString()  # 30 venues of a side are left, so they are broadcast
+    assert {r["order_id"]: (r["n"], r["q"]) for r in made.groupBy("order_id").agg(F.count("*").alias("n"), F.sum("take").alias("q")).collect()} == {1: (3, 5.0), 2: (2, 4.0), 3: (30, 60.0)}

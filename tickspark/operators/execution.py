@@ -48,7 +48,7 @@ def _quoted(venues: DataFrame) -> DataFrame:
 
 
 #: Venues that an order meets at a time, the most such runs of venues of a side, and the parts orders are dealt to.
-RUN, RUNS, PARTS = 256, 10_000, 64
+RUN, RUNS, PARTS = 16, 10_000, 64
 #: Most venues that are broadcast to the orders.
 BROADCAST_VENUES = 100_000
 
@@ -56,21 +56,24 @@ BROADCAST_VENUES = 100_000
 def _split(orders: DataFrame, quoted: DataFrame, run: int, length: int | None, broadcast: int) -> DataFrame:
     """Venues by price with fee, with the depth before each, in runs of ``run``; an order meets the runs it reaches.
 
-    Where the runs of a side start is an array of at most RUNS depths, which each order searches. Up to ``broadcast``
-    venues, counted, go to the orders; beyond it both meet by (side, run, part of the orders), so that neither side is
-    one task, and a venue is copied to the parts.
+    Venues with more depth before them than the largest order of their side are met by none. Where the runs of a side
+    start is an array of at most RUNS depths, which each order searches. Up to ``broadcast`` venues that are left,
+    counted, go to the orders; beyond it both meet by (side, run, part of the orders), so that neither side is one task,
+    and a venue is copied to the parts.
     """
     fee = F.col("fee_bps") / 10000
     paid = F.when(F.col("side") == "buy", F.col("price") * (1 + fee)).otherwise(-F.col("price") * (1 - fee))
     cut = stretches(quoted.where("depth > 0").withColumn("_paid", paid), "side", ("_paid", "venue"), length)
     sums = {"_before": ("sum", F.col("depth")), "_i": ("count", F.lit(1))}
     ranked = cut.done(cut.running(cut.df, sums, before=True)).withColumn("_before", F.coalesce("_before", F.lit(0.0)))
-    most = quoted.groupBy("side").count().agg(F.max("count")).first()[0] or 1
+    largest = orders.groupBy("side").agg(F.max("quantity").alias("_most"))
+    ranked = ranked.join(F.broadcast(largest), "side").where(F.col("_before") < F.col("_most")).drop("_most")
+    most = ranked.groupBy("side").count().agg(F.max("count")).first()[0] or 1
     width = max(run, -(-most // RUNS))
     ranked = ranked.withColumn("_run", F.floor(F.coalesce("_i", F.lit(0)) / width).cast("int")).drop("_i", "_paid", "_adverse")
-    starts = ranked.groupBy("side", "_run").agg(F.min("_before").alias("_at")).groupBy("side").agg(F.sort_array(F.collect_list("_at")).alias("_at"))
-    # A start equal to the quantity is not reached: take away those at or above it, found on the negated array.
-    below = F.size("_at") - number(F.reverse(F.transform("_at", lambda x: -x)), -F.col("quantity"))
+    starts = ranked.groupBy("side", "_run").agg(F.min("_before").alias("_at")).groupBy("side").agg(F.sort_array(F.collect_list(-F.col("_at"))).alias("_at"))
+    # A start equal to the quantity is not reached: take away those at or above it, found on the negated depths.
+    below = F.size("_at") - number(F.col("_at"), -F.col("quantity"))
     reached = orders.join(F.broadcast(starts), "side").withColumn("_n", below).where("_n > 0").drop("_at")
     reached = reached.withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     if most <= broadcast:

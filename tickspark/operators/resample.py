@@ -15,7 +15,7 @@ from tickspark.functions import stretches as S
 from tickspark.functions.stretches import Stretches, numbered, over_rows, placed, stretches
 from tickspark.plans.catalog import DAY, HOUR, SECOND, nav, query, r, ticks
 
-from .performance import curve_returns, metrics, summarize
+from .performance import curve_returns, grown, metrics, summarize
 
 #: The hash of every random choice works modulo this prime, so that any engine with 64-bit integers repeats it.
 PRIME, STEP, LAST = 2**31 - 1, 40503, 12345
@@ -394,7 +394,7 @@ def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed:
 
     def summed(d: DataFrame, w) -> DataFrame:
         back = w.rowsBetween(-(block - 1), 0)
-        return d.withColumn("_sum", F.sum(F.log1p("ret")).over(back)).withColumn("_full", F.count("*").over(back))
+        return d.withColumn("_sum", F.sum(grown("ret")).over(back)).withColumn("_full", F.count("*").over(back))
 
     sums = over_rows(rets, key, block, summed, ("i",), length).where(F.col("_full") == block).select(key, (F.col("i") - block + 1).cast("long").alias("_from"), "_sum")
     ranked = numbered(sums, [F.col(key), F.col("_sum"), F.col("_from")], "_at")

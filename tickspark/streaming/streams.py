@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pandas.api.types import union_categoricals
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +44,42 @@ def stream_bars(ticks: DataFrame, interval_ns: int, delay: str = "0 seconds") ->
     return bars.select("symbol", ns("window.start").alias("open_ts"), ns("window.end").alias("close_ts"), "open", "high", "low", "close", "volume", "n_ticks", F.col("window.end").alias("end_time"))
 
 
+#: Rows that a step gets at a time.
+CHUNK = 100_000
+
+
+def _in_order(parts: Iterator[pd.DataFrame], key: dict, order: list[str], chunk: int) -> Iterator[pd.DataFrame]:
+    """A key's rows of a trigger in order, a chunk at a time.
+
+    Order is known only when all rows are here; held are their plain columns alone, texts as codes, and one sorted index.
+    """
+    names: list[str] = []
+    held: dict[str, list] = {}
+    for part in parts:
+        names = list(part.columns)
+        for c in names:
+            if c not in key:
+                text = pd.api.types.is_string_dtype(part[c].dtype) and pd.api.types.infer_dtype(part[c], skipna=True) in ("string", "empty")
+                held.setdefault(c, []).append(pd.Categorical(part[c]) if text else part[c])
+    columns = {}
+    for c in list(held):
+        pieces = held.pop(c)
+        texts = all(isinstance(p, pd.Categorical) for p in pieces)
+        columns[c] = pd.Series(union_categoricals(pieces)) if texts else pd.concat([pd.Series(p) for p in pieces], ignore_index=True)
+        pieces.clear()
+    at = np.lexsort([columns[c].to_numpy() for c in reversed(order)])
+    for i in range(0, len(at), chunk):
+        now = at[i : i + chunk]
+        taken = {c: v.take(now).reset_index(drop=True) for c, v in columns.items()}
+        plain = {c: v.astype(v.cat.categories.dtype) if isinstance(v.dtype, pd.CategoricalDtype) else v for c, v in taken.items()}
+        yield pd.DataFrame({**plain, **key}, index=range(len(now)))[names]
+
+
 def stateful(stream: DataFrame, keys: list[str], out: str, state: str, step, order: tuple[str, ...] = ("ts_ns", "seq"), expire_ms: int | None = None) -> DataFrame:
     """Rows of a key in order within each trigger go through ``step(state or None, rows) -> (state, rows)``.
 
-    ``maxFilesPerTrigger`` bounds the rows of a trigger. With ``expire_ms`` a key without rows for that long loses its
+    A step gets at most CHUNK rows, so it is called several times for a long trigger. ``maxFilesPerTrigger`` bounds the
+    files of a trigger. With ``expire_ms`` a key without rows for that long loses its
     state; that is for queries with a processing-time trigger, since one that drains what is there would wait.
     """
     schema = T._parse_datatype_string(out)
@@ -55,12 +88,13 @@ def stateful(stream: DataFrame, keys: list[str], out: str, state: str, step, ord
         if held.hasTimedOut:
             held.remove()
             return
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(list(order), kind="stable").reset_index(drop=True)
-        new, made = step(held.get if held.exists else None, rows)
-        held.update(new)
-        if expire_ms:
-            held.setTimeoutDuration(expire_ms)
-        yield made[schema.names]
+        state = held.get if held.exists else None
+        for rows in _in_order(parts, dict(zip(keys, key, strict=True)), list(order), CHUNK):
+            state, made = step(state, rows)
+            held.update(state)
+            if expire_ms:
+                held.setTimeoutDuration(expire_ms)
+            yield made[schema.names]
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
     return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", timeout)
@@ -147,7 +181,7 @@ def stream_states(df: DataFrame, machine: str, limit: float = 0.2, cooldown_ns:
             state, out = K.regime_states(state, rows["regime"].map(code).to_numpy(), rows["ts_ns"].to_numpy())
             return state, rows.assign(state=np.array(K.REGIMES, object)[out])
 
-        return stateful(df, ["symbol"], "symbol string, ts_ns long, seq long, regime string, state string", "now long, last long, count long, since long", regime)
+        return stateful(df.select("symbol", "ts_ns", "seq", "regime"), ["symbol"], "symbol string, ts_ns long, seq long, regime string, state string", "now long, last long, count long, since long", regime)
     if machine == "alert":
         from tickspark.operators.telemetry import alert_states
 
@@ -156,7 +190,7 @@ def stream_states(df: DataFrame, machine: str, limit: float = 0.2, cooldown_ns:
             notify, counts, first, count = alert_states(rows["ts_ns"].to_numpy(), 30 * SECOND, first, count)
             return (int(first), int(count)), rows.assign(notify=notify, count=counts)
 
-        return stateful(df, ["code"], "code string, ts_ns long, seq long, notify boolean, count long", "first long, count long", raised)
+        return stateful(df.select("code", "ts_ns", "seq"), ["code"], "code string, ts_ns long, seq long, notify boolean, count long", "first long, count long", raised)
     if machine == "circuit":
 
         def circuit(state, rows: pd.DataFrame):
@@ -169,7 +203,7 @@ def stream_states(df: DataFrame, machine: str, limit: float = 0.2, cooldown_ns:
                 out.append("armed" if tripped is None else "tripped" if ts - tripped < cooldown_ns else "recovering")
             return (tripped,), rows.assign(circuit=out)
 
-        return stateful(df, ["curve_id"], "curve_id string, ts_ns long, seq long, circuit string", "tripped long", circuit)
+        return stateful(df.select("curve_id", "ts_ns", "seq", "drawdown", "reset"), ["curve_id"], "curve_id string, ts_ns long, seq long, circuit string", "tripped long", circuit)
     raise ValueError(f"unknown machine {machine!r}")
 
 

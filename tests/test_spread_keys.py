@@ -125,3 +125,24 @@ def test_routing_leaves_out_venues_that_no_order_reaches(spark):
     made = execution.route(o, v, "smart_split", broadcast=100)
     assert "_part" not in made._jdf.queryExecution().optimizedPlan().toString()  # 30 venues of a side are left, so they are broadcast
     assert {r["order_id"]: (r["n"], r["q"]) for r in made.groupBy("order_id").agg(F.count("*").alias("n"), F.sum("take").alias("q")).collect()} == {1: (3, 5.0), 2: (2, 4.0), 3: (30, 60.0)}
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_rows_meet_a_few_keys_by_broadcast(spark, few):
+    from tickspark.functions.stretches import beside_few
+
+    rows = spark.createDataFrame([(i, "a" if i % 2 else None if i % 3 else "b") for i in range(12)], "i long, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("z", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        got = beside_few(rows, table, ["k"], how, few)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
+    assert ("ResolvedHint (strategy=broadcast)" in beside_few(rows, table, ["k"], few=few)._jdf.queryExecution().analyzed().toString()) is (few > 0)
+
+
+def test_financing_is_not_one_task_per_account(spark):
+    from tickspark.operators import performance
+
+    rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("account"), F.col("id").cast("double").alias("price"), F.lit(2.0).alias("quantity"))
+    made = performance.allocate_financing(rows, 10.0)
+    assert "(strategy=broadcast)" in made._jdf.queryExecution().analyzed().toString()
+    assert abs(made.agg(F.sum("financing_cost")).first()[0] - 20.0) < 1e-9

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a stretch, and the most stretches of a key; beyond it they get longer.
-LENGTH, MOST = 4_000_000, 2_000
+LENGTH, MOST = 2_000_000, 2_000
 #: Cut points that a row is compared with at a time.
 BLOCK = 45
 #: A length that no key has, for tables whose keys are known to be short.
@@ -123,6 +123,21 @@ def stretches(df: DataFrame, key: list[str] | str, order: tuple[str, ...] = ("ts
     return Stretches(marked, key, order, cuts)
 
 
+#: Most keys whose rows are broadcast to the other table.
+FEW = 100_000
+
+
+def beside_few(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", few: int = FEW) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row per key, so that a few keys are never a few tasks.
+
+    Up to ``few`` keys, counted, are broadcast with what the table says of them; with more, both meet by key.
+    """
+    own = rows.select(*keys).distinct()
+    if own.limit(few + 1).count() > few:
+        return rows.join(table, keys, how)
+    return rows.join(F.broadcast(table.join(F.broadcast(own), keys, "left_semi")), keys, how)
+
+
 def over_rows(df: DataFrame, key: list[str] | str, k: int, f: Callable[[DataFrame, WindowSpec], DataFrame], order: tuple[str, ...] = ("ts_ns",), length: int | None = None) -> DataFrame:
     """``f(rows, window)`` adds columns that look back at most k - 1 rows (``lag``) in a key of any length; without a frame."""
     cut = stretches(df, key, order, length, least=k)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import kernels as K
-from tickspark.functions.stretches import over_rows, scan, stretches
+from tickspark.functions.stretches import beside_few, over_rows, scan, stretches
 from tickspark.functions.special import normal_pdf, normal_quantile
 from tickspark.plans.catalog import nav, query, r
 
@@ -99,7 +99,8 @@ def pretrade_check(orders: DataFrame, positions: DataFrame, accounts: DataFrame,
     ``orders``: account, symbol, signed_quantity, price; ``positions``: account, symbol, position;
     ``accounts``: account, nav, gross, drawdown.
     """
-    o = orders.join(positions.select("account", "symbol", F.col("position").alias("_held")), ["account", "symbol"], "left").join(accounts, "account", "left")
+    o = beside_few(orders, positions.select("account", "symbol", F.col("position").alias("_held")), ["account", "symbol"], "left")
+    o = beside_few(o, accounts, ["account"], "left")
     held = F.coalesce("_held", F.lit(0.0))
     after = held + F.col("signed_quantity")
     reduces = (F.abs(after) < F.abs(held)) & (after * held >= 0)

@@ -34,3 +34,13 @@ def test_steps_get_chunks_and_keep_the_state(spark, tmp_path, monkeypatch):
     assert len(got) == 1000 and got["size"].max() == 50
     for _, g in got.groupby("k"):
         assert g["n"].tolist() == list(range(1, len(g) + 1))
+
+
+def test_frames_are_made_and_parsed_once(spark):
+    """A filter on the routed columns must not repeat the text that they come from."""
+    from tickspark.sources import frames
+
+    raw = spark.range(20).select(F.to_json(F.struct(F.col("id").alias("u"), F.lit("x").alias("s"), F.col("id").cast("string").alias("b"))).alias("raw"), F.col("id").alias("ingest_ts_ns"))
+    made = frames.parse_book_ticker(raw)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("StructsToJson") == 1
+    assert made.count() == 20 and {r["symbol"] for r in made.collect()} == {"x"}

@@ -32,7 +32,8 @@ def route_frames(raw: DataFrame) -> DataFrame:
     f = raw.withColumn("frame", body)
     symbol = F.coalesce(F.get_json_object("frame", "$.s"), F.get_json_object("frame", "$.product_id"))
     kind = F.coalesce(F.get_json_object("frame", "$.type"), F.get_json_object("frame", "$.e"), F.when(F.get_json_object("frame", "$.u").isNotNull(), "bookTicker"))
-    return f.withColumn("frame_symbol", symbol).withColumn("frame_type", kind).where("frame_symbol is not null and frame_symbol <> ''")
+    # Through a generator, so that filters on the two do not take the parsing, and what made the text, once more for each use.
+    return f.select("*", F.inline(F.array(F.struct(symbol.alias("frame_symbol"), kind.alias("frame_type"))))).where("frame_symbol is not null and frame_symbol <> ''")
 
 
 def frame_counts(raw: DataFrame) -> DataFrame:

@@ -71,6 +71,47 @@ def test_stress_in_pieces(spark, counted, gap):
         assert all(math.isclose(a[c], cut[k][c], rel_tol=1e-9) for c in ("price", "bid", "ask")), k
 
 
+def stress_loop(rows, presets, single):
+    """V9 by a plain loop per scenario and symbol."""
+    lo, hi, day = min(r[1] for r in rows), max(r[1] for r in rows), 86_400_000_000_000
+    on, out = lo + int((hi - lo) * 0.5), {}
+    for name, gap, drift, spread, _, vol, halt, dur, decay, half in presets:
+        for symbol in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == symbol), key=lambda r: r[1:3])
+            early = [r for r in own if r[1] <= on]
+            pre, last, total, hits = early[-1][3] if early and symbol else None, None, 0.0, 0
+            for _, ts, seq, price, bid, ask in own:
+                t = ts - on
+                if 0 <= t < halt:
+                    continue
+                k = 0.0 if t < 0 or t > dur else 1.0 if decay == "instant" else 1 - t / dur if decay == "linear" else math.exp(-math.log(2) * t / max(1e-9, half * dur))
+                total += drift * ((ts - last) / day if last is not None else 0.0) * k
+                last, hits = ts, hits + (k > 0)
+                m = 1 + total + gap * ((k > 0 and hits == 1) if single else k)
+                p = m * (max(pre + (price - pre) * (1 + (vol - 1) * k), 0.01) if k > 0 and pre is not None else price)
+                wide = m * (1 + (spread - 1) * k)
+                out[name, seq] = (p, p + (bid - price) * wide, p + (ask - price) * wide)
+    return out
+
+
+@pytest.mark.parametrize("gap, abreast", [("persistent", 32), ("persistent", 3), ("single", 3)])
+def test_stress_orders_records_once_for_all_scenarios(spark, counted, monkeypatch, gap, abreast):
+    """Each record is put in order once, not once per scenario; a record after a halt looks back before it."""
+    rows = [("hot" if i % 7 else None if i % 2 else "s", i * 3_600_000_000_000 // 2, i, 100.0 + i % 11, 99.0, 102.0) for i in range(400)]
+    t = spark.createDataFrame(rows, "symbol string, ts_ns long, seq long, price double, bid double, ask double")
+    presets = [*resample.PRESETS, ("halted", -0.1, -0.02, 2.0, 1.0, 3.0, 7 * 3_600_000_000_000, 30 * 86_400_000_000_000, "linear", 0.0)]
+    scenarios = spark.createDataFrame(presets, resample.stress_presets(spark).schema)
+    met, plain = [], resample.stretches
+    monkeypatch.setattr(resample, "stretches", lambda df, *a, **k: met.append(df.count()) or plain(df, *a, **k))
+    monkeypatch.setattr(resample, "ABREAST", abreast, raising=False)
+    got = {(r["scenario"], r["seq"]): r for r in resample.apply_stress(t, scenarios, gap=gap, length=60).collect()}
+    assert set(met) == {400}
+    want = stress_loop(rows, presets, gap == "single")
+    assert got.keys() == want.keys() and len(want) < 8 * 400
+    for k, x in want.items():
+        assert all(math.isclose(a, got[k][c], rel_tol=1e-9) for a, c in zip(x, ("price", "bid", "ask"), strict=True)), k
+
+
 def test_conditional_stress_in_pieces(spark, counted):
     """The windows that are drawn are the worst of a plain sort; a key in pieces gives the same rows."""
     rng = np.random.default_rng(4)

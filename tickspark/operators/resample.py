@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions import stretches as S
-from tickspark.functions.stretches import Stretches, numbered, over_rows, placed, stretches
+from tickspark.functions.stretches import FEW, Stretches, numbered, over_rows, placed, stretches
 from tickspark.plans.catalog import DAY, HOUR, SECOND, nav, query, r, ticks
+from tickspark.plans.catalog import cut as checkpointed
 
 from .performance import curve_returns, grown, metrics, summarize
 
@@ -343,14 +345,18 @@ def stress_presets(spark) -> DataFrame:
     return spark.createDataFrame(list(PRESETS), "scenario string, gap double, drift double, spread_x double, depth_x double, vol_x double, halt_ns long, duration_ns long, decay string, half_life double")
 
 
-def intensity(t: Column) -> Column:
+def intensity(t: Column, scenario: Column) -> Column:
     """V9: 1 at the onset, 0 before it and after the duration; instant, linear or by half-lives between."""
-    dur = F.col("duration_ns")
-    half = F.greatest(F.lit(1e-9), F.col("half_life") * dur)
-    inside = F.when(F.col("decay") == "instant", 1.0).when(F.col("decay") == "linear", 1 - t / dur).otherwise(F.exp(-math.log(2) * t / half))
+    dur = scenario["duration_ns"]
+    half = F.greatest(F.lit(1e-9), scenario["half_life"] * dur)
+    inside = F.when(scenario["decay"] == "instant", 1.0).when(scenario["decay"] == "linear", 1 - t / dur).otherwise(F.exp(-math.log(2) * t / half))
     return F.when((t < 0) | (dur <= 0) | (t > dur), 0.0).otherwise(inside)
 
 
+#: V9: rows of a stretch, and scenarios whose running drifts stand side by side in a row.
+STRESSED, ABREAST = 250_000, 32
+
+
 def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, gap: str = "persistent", length: int | None = None) -> DataFrame:
     """V9: records under each scenario (a bounded table), from ``onset`` of their span on.
 
@@ -358,31 +364,57 @@ def apply_stress(records: DataFrame, scenarios: DataFrame, onset: float = 0.5, g
     the gap decays with the intensity, or hits one record (``gap="single"``). Returns scale about the price before
     the shock, quotes widen about the price, and the levels of books (columns bids and asks) thin out. Records in a
     halt are dropped.
+
+    Each symbol is put in order once, in stretches: its records carry a running drift per scenario, and meet the
+    scenarios' other columns only after that.
     """
     span = records.agg(F.min("ts_ns").alias("_lo"), F.max("ts_ns").alias("_hi"))
     at = span.select((F.col("_lo") + ((F.col("_hi") - F.col("_lo")) * onset).cast("long")).alias("_on"))
-    pre = records.crossJoin(F.broadcast(at)).where("ts_ns <= _on").groupBy("symbol").agg(F.max_by("price", F.struct("ts_ns", "seq")).alias("_pre"))
-    rows = records.crossJoin(F.broadcast(at)).join(pre, "symbol", "left").crossJoin(F.broadcast(scenarios))
+    till, before = F.when(F.col("ts_ns") <= F.col("_on"), F.struct("ts_ns", "seq")), F.when(F.col("ts_ns") < F.col("_on"), F.col("ts_ns"))
+    known = records.where("ts_ns is not null").crossJoin(F.broadcast(at)).groupBy(F.col("symbol").alias("_symbol"))
+    pre = checkpointed(known.agg(F.max("_on").alias("_on"), F.when(F.col("_symbol").isNotNull(), F.max_by("price", till)).alias("_pre"), F.max(before).alias("_before")))  # a row per symbol
+    table = F.broadcast(scenarios.agg(F.array_sort(F.collect_list(F.struct(*scenarios.columns))).alias("_all")))
+    told = pre.crossJoin(table)
+    told = F.broadcast(told) if pre.count() <= FEW else told
+    n = max(scenarios.count(), 1)
+    made = [_stressed(records, told, table, range(i, min(i + ABREAST, n)), gap, length or STRESSED) for i in range(0, n, ABREAST)]
+    return reduce(DataFrame.unionByName, made)
+
+
+def _stressed(records: DataFrame, told: DataFrame, table: DataFrame, places: range, gap: str, length: int) -> DataFrame:
+    """V9 under the scenarios at some ``places`` of the array ``_all`` of ``table``."""
+    cut = stretches(records.where("ts_ns is not null"), "symbol", ("ts_ns", "seq"), length)
+    halted = lambda t, s: F.coalesce((t >= 0) & (t < s["halt_ns"]), t >= 0)
     t = F.col("ts_ns") - F.col("_on")
-    rows = rows.where(~((t >= 0) & (t < F.col("halt_ns")))).withColumn("_k", intensity(t))
-    cut = stretches(rows, ["scenario", "symbol"], ("ts_ns", "seq"), length, least=2)
-
-    def added(d: DataFrame, keys: list[str]) -> DataFrame:
-        days = F.coalesce((F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy(*keys).orderBy("ts_ns", "seq"))) / DAY, F.lit(0.0))
-        return d.withColumn("_d", F.col("drift") * days * F.col("_k"))
-
+    rows = cut.running(cut.df, {"_last": ("max", F.col("ts_ns"))}, before=True).join(told, F.col("symbol").eqNullSafe(F.col("_symbol"))).drop("_symbol")
+    under = F.slice("_all", places.start + 1, len(places))
+
+    def step(s: Column) -> Column:
+        # The record before: not one in the halt, but then the last one before it.
+        last = F.when(halted(F.col("_last") - F.col("_on"), s), F.col("_before")).otherwise(F.col("_last"))
+        days = F.coalesce((F.col("ts_ns") - last) / DAY, F.lit(0.0))
+        return F.when(~halted(t, s), s["drift"] * days * intensity(t, s))
+
+    # Arrays by a lambda: one expression per scenario would make methods too long to be compiled.
+    steps = {"_d": F.transform(under, step)}
+    if gap == "single":
+        steps["_h"] = F.transform(under, lambda s: F.when(~halted(t, s) & (intensity(t, s) > 0), 1).otherwise(0))
+    rows = rows.withColumns(steps).drop("_last", "_before", "_all")
+    sums = {f"_r{n}{i}": ("sum", F.get(n, F.lit(i))) for n in steps for i in range(len(places))}
+    rows = cut.done(cut.running(rows, sums)).drop(*steps)
+    rows = rows.crossJoin(table).select("*", F.posexplode(under).alias("_at", "_s")).drop("_all")
+    s, own = F.col("_s"), lambda x: F.get(F.array(*[F.col(f"_r_{x}{i}") for i in range(len(places))]), F.col("_at"))
+    rows = rows.where(~halted(t, s)).withColumn("_k", intensity(t, s)).withColumn("_drift", own("d"))
     k = F.col("_k")
-    sums = {"_drift": ("sum", F.col("_d"))} | ({"_hits": ("sum", F.when(k > 0, 1).otherwise(0))} if gap == "single" else {})
-    rows = cut.done(cut.running(cut.bounded(cut.df, 2, added), sums))
-    hit = F.when((k > 0) & (F.col("_hits") == 1), 1.0).otherwise(0.0) if gap == "single" else k
-    swing = F.when((k > 0) & F.col("_pre").isNotNull(), F.greatest(F.col("_pre") + (F.col("price") - F.col("_pre")) * (1 + (F.col("vol_x") - 1) * k), F.lit(0.01))).otherwise(F.col("price"))
-    rows = rows.withColumn("_m", 1 + F.col("_drift") + F.col("gap") * hit).withColumn("_p", swing * F.col("_m"))
-    wide = F.col("_m") * (1 + (F.col("spread_x") - 1) * k)
+    hit = F.when((k > 0) & (own("h") == 1), 1.0).otherwise(0.0) if gap == "single" else k
+    swing = F.when((k > 0) & F.col("_pre").isNotNull(), F.greatest(F.col("_pre") + (F.col("price") - F.col("_pre")) * (1 + (s["vol_x"] - 1) * k), F.lit(0.01))).otherwise(F.col("price"))
+    rows = rows.withColumn("_m", 1 + F.col("_drift") + s["gap"] * hit).withColumn("_p", swing * F.col("_m"))
+    wide = F.col("_m") * (1 + (s["spread_x"] - 1) * k)
     out = {"price": F.col("_p"), "bid": F.col("_p") + (F.col("bid") - F.col("price")) * wide, "ask": F.col("_p") + (F.col("ask") - F.col("price")) * wide}
-    thin = lambda x: F.struct((x["price"] * F.col("_m")).alias("price"), (x["size"] * (1 - (1 - F.col("depth_x")) * k)).alias("size"), x["orders"].alias("orders"))
+    thin = lambda x: F.struct((x["price"] * F.col("_m")).alias("price"), (x["size"] * (1 - (1 - s["depth_x"]) * k)).alias("size"), x["orders"].alias("orders"))
     out |= {c: F.transform(c, thin) for c in ("bids", "asks") if c in records.columns}
     keep = [F.col(c) if c not in out else out[c].alias(c) for c in records.columns]
-    return rows.select("scenario", *keep)
+    return rows.select(s["scenario"].alias("scenario"), *keep)
 
 
 def conditional_stress(rets: DataFrame, pct: float, block: int, runs: int, seed: int = 0, key: str = "curve_id", length: int | None = None) -> DataFrame:

@@ -337,6 +337,20 @@ def test_positions(spark):
     assert min(hot) < 0 < max(hot) and sum(a * b < 0 for a, b in zip(hot, hot[1:], strict=False)) > 3
 
 
+def test_last_positions_sort_narrow_rows_in_many_tasks(spark, monkeypatch):
+    """Unused columns are not sorted, and the keys of many rows are dealt over tasks that are not merged."""
+    from tickspark.operators import performance
+
+    rows = [(f"a{i % 6}", "x", i * 1000, i, float(1 + i % 3), 100.0 + i % 7, 0.25, "unused") for i in range(600)]
+    df = spark.createDataFrame(rows, "account string, symbol string, ts_ns long, seq long, signed_quantity double, price double, commission double, note string")
+    met, plain = [], performance.positions
+    monkeypatch.setattr(performance, "positions", lambda trades, *a: met.append(plain(trades, *a, length=150)) or met[0])
+    got = {r["account"]: r["position"] for r in performance.last_positions(df, ("account", "symbol"), ("ts_ns", "seq")).collect()}
+    assert got == {f"a{i}": 100.0 * (1 + i % 3) for i in range(6)}
+    assert "note" not in met[0].columns and met[0].rdd.getNumPartitions() == 8 * 4
+    assert S.stretches(df, ["account"], ("ts_ns",), 600).parts is None
+
+
 def test_streamed_symbol_snapshots_equal_the_batch(spark, several_files):
     from tickspark.streaming import streams
 

@@ -39,6 +39,7 @@ class Stretches:
     key: list[str]
     order: tuple[str, ...]
     hot: DataFrame | None
+    parts: int | None = None  # tasks over which keys are dealt, so that few share one; None: few rows
 
     @property
     def keys(self) -> list[str]:
@@ -99,10 +100,11 @@ def stretches(df: DataFrame, key: list[str] | str, order: tuple[str, ...] = ("ts
     key, length = [key] if isinstance(key, str) else list(key), length or LENGTH
     if surely_short(df, length):
         return Stretches(df, key, order, None)
+    most, rows = df.groupBy(*key).count().agg(F.max("count"), F.sum("count")).first()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * -(-rows // length)) if most is not None and rows > length else None
+    if most is None or most <= length:
+        return Stretches(df, key, order, None, parts)
     counts = df.groupBy(*key).count().where(F.col("count") > length)
-    most = counts.agg(F.max("count")).first()[0]
-    if most is None:
-        return Stretches(df, key, order, None)
     n = min(MOST, -(-most // length))
     places = F.array(*[F.lit(i / n) for i in range(1, n)])
     hot = df.join(F.broadcast(counts.select(*key)), key, "left_semi")
@@ -120,7 +122,7 @@ def stretches(df: DataFrame, key: list[str] | str, order: tuple[str, ...] = ("ts
     # Cut points of the hot keys alone: at most 2 * rows / length of them. Written out, so that all uses agree.
     cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
     marked = df.join(F.broadcast(cuts), key, "left").withColumn("_st", F.coalesce(number(F.col("_cuts"), F.col(order[0])), F.lit(0))).drop("_cuts")
-    return Stretches(marked, key, order, cuts)
+    return Stretches(marked, key, order, cuts, parts)
 
 
 #: Most keys whose rows are broadcast to the other table.
@@ -174,21 +176,26 @@ def _pieces(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.Data
         yield tuple(None if pd.isna(x) else x for x in own.iloc[i]), pdf.iloc[i:j].reset_index(drop=True)
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], step: Step, added: str, carry: Carry | None = None, length: int | None = None) -> DataFrame:
+def _dealt(rows: DataFrame, cut: Stretches) -> DataFrame:
+    """``rows`` by stretch; a given number of tasks is not merged into fewer."""
+    return rows.repartition(*cut.keys) if cut.parts is None else rows.repartition(cut.parts, *cut.keys)
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], step: Step, added: str, carry: Carry | None = None, length: int | None = None, parts: int | None = None) -> DataFrame:
     """Adds the columns of a recurrence: ``step(state or None, rows) -> (state, columns)`` over each key's rows in order.
 
     Sorted batches stream through the step; only the state is kept, never a key's rows. With ``carry`` long keys are
     cut: every stretch is summed up, the summaries of a key are applied in turn, and each stretch starts from the
-    state before it. Without one the recurrence does not compose, and a key is one task.
+    state before it. Without one the recurrence does not compose, and a key is one task, of ``parts`` if it is given.
     """
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
-    cut = stretches(df, keys, tuple(order), length) if carry else Stretches(df, keys, tuple(order), None)
+    cut = stretches(df, keys, tuple(order), length) if carry else Stretches(df, keys, tuple(order), None, parts)
     rows, names = cut.df, cut.keys
     first: list[str] = []
     if cut.hot is not None:
         first = [f"_f_{f.name}" for f in T._parse_datatype_string(carry.state).fields]
         rows = rows.join(F.broadcast(_starts(cut, carry)), names, "left")
-    ordered = rows.repartition(*names).sortWithinPartitions(*names, *order)
+    ordered = _dealt(rows, cut).sortWithinPartitions(*names, *order)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
@@ -238,7 +245,7 @@ def _starts(cut: Stretches, carry: Carry) -> DataFrame:
             state = apply(state, tuple(row[len(head) :]))
         return pd.DataFrame(out, columns=[f.name for f in head] + [f"_f_{f.name}" for f in states])
 
-    table = hot.repartition(*cut.keys).sortWithinPartitions(*cut.keys, *cut.order).mapInPandas(summed, T.StructType([*head, *sums]))
+    table = _dealt(hot, cut).sortWithinPartitions(*cut.keys, *cut.order).mapInPandas(summed, T.StructType([*head, *sums]))
     return table.groupBy(*cut.key).applyInPandas(applied, T.StructType([*head, *[T.StructField(f"_f_{f.name}", f.dataType) for f in states]]))
 
 

@@ -3,10 +3,11 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from tickspark import registry
-from tickspark.operators import validation
+from tickspark.operators import resample, validation
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
@@ -46,3 +47,30 @@ def test_folds_go_on_as_ieee_numbers(spark):
     got = [x["nav"] for x in validation.stitch_nav(df, skip=False).orderBy("ts_ns").collect()]
     assert got[:6] == pytest.approx([1, 2, 2, 4, 4, 0]) and all(map(math.isnan, got[6:]))
     assert [x["ts_ns"] for x in validation.stitch_nav(df).orderBy("ts_ns").collect()] == [0, 1, 4, 5, 8]
+
+
+def test_drawn_paths_beyond_a_total_loss_count_as_not_a_number(spark, sinking):
+    same(spark, sinking, "v7_bootstrap_metrics")
+
+
+def test_kernel_equals_the_join_beyond_a_total_loss(spark):
+    """Paths that lose more than all, all, or nearly all; those that lose all keep nothing of their growth, or what is left."""
+    rng = np.random.default_rng(5)
+    few = {"a": [(7, -1.5)], "b": [(7, -1.0)], "c": [(7, -1 + 1e-14), (30, -1 + 1e-14)], "d": [(7, np.inf)], "e": []}
+    rows = []
+    for k, at in few.items():
+        ret = rng.normal(0.001, 0.02, 60)
+        for i, v in at:
+            ret[i] = v
+        rows += [(k, i, float(v)) for i, v in enumerate(ret)]
+    df = spark.createDataFrame(rows, "curve_id string, i int, ret double")
+    for ends in (True, False):
+        kernel, joined = ({(x["curve_id"], x["run"]): x for x in resample.bootstrap_paths(df, 8, 365.0, seed=3, longest=n, ends=ends).collect()} for n in (resample.ARRAY, 10))
+        assert kernel.keys() == joined.keys() and len(kernel) == 40
+        assert {k[0] for k, x in kernel.items() if math.isnan(x["cagr"])} == {"a"} == {k[0] for k, x in kernel.items() if math.isnan(x["max_drawdown"])} - {"d"}
+        assert any(x["cagr"] == (0.0 if ends else -1.0) for k, x in kernel.items() if k[0] == "b")
+        for k, x in joined.items():
+            for c in x.asDict():
+                a, b = x[c], kernel[k][c]
+                if k[0] != "d" and isinstance(a, float):
+                    assert math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-10), (ends, k, c, a, b)

@@ -182,14 +182,18 @@ def sign_flip(df: DataFrame, runs: int, seed: int = 0, col: str = "ret", key: st
     return r_.withColumn(col, F.when(uniform(seed, name_number(key), "run", "i") < 0.5, F.col(col)).otherwise(-F.col(col)))
 
 
-def path_metrics(drawn: DataFrame, ppy: float, key: str = "curve_id", col: str = "ret") -> DataFrame:
-    """The metric vector of each (key, run) of a table of drawn rows: the key of the aggregates is the path."""
+def path_metrics(drawn: DataFrame, ppy: float, key: str = "curve_id", col: str = "ret", ends: bool = True) -> DataFrame:
+    """The metric vector of each (key, run) of a table of drawn rows: the key of the aggregates is the path.
+
+    A path that loses more than all is no number from there on, nor are its growth and depth; it stays below its peak.
+    """
     path = drawn.withColumn("path", F.concat_ws("#", key, F.col("run").cast("string"))).select("path", F.col("j").alias("ts_ns"), F.col(col).alias("ret"))
     w = Window.partitionBy("path").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    curve = path.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(w))).select("path", (F.col("ts_ns") + 1).alias("ts_ns"), "nav")
+    curve = path.withColumn("nav", F.nanvl(F.exp(F.sum(grown("ret")).over(w)), F.lit(0.0))).select("path", (F.col("ts_ns") + 1).alias("ts_ns"), "nav")
     curve = curve.unionByName(path.where("ts_ns = 0").select("path", F.lit(0).cast("long").alias("ts_ns"), F.lit(1.0).alias("nav")))
     per = path.select("path").distinct().withColumn("ppy", F.lit(ppy))
-    m = metrics(path, curve, "path", ppy=per)
+    m = metrics(path, curve, "path", ppy=per, ends=ends)
+    m = m.withColumns({c: F.when(F.isnan("total_return"), float("nan")).otherwise(F.col(c)) for c in ("max_drawdown", "ulcer_index", "martin_ratio")})
     return m.withColumn(key, F.substring_index("path", "#", 1)).withColumn("run", F.substring_index("path", "#", -1).cast("int")).drop("path")
 
 
@@ -198,8 +202,9 @@ def _safe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(tiny, 0.0, a / np.where(tiny, 1.0, b))
 
 
-def metric_vectors(ret: np.ndarray, ppy: float) -> dict[str, np.ndarray]:
-    """The metric vector of ``metrics`` for each row of a matrix of returns, the path starting from 1."""
+@np.errstate(over="ignore", divide="ignore", invalid="ignore")
+def metric_vectors(ret: np.ndarray, ppy: float, ends: bool = True) -> dict[str, np.ndarray]:
+    """The metric vector of ``path_metrics`` for each row of a matrix of returns, the path starting from 1."""
     runs, n = ret.shape
     grown = np.cumsum(np.log1p(ret), axis=1)
     total, mean = np.expm1(grown[:, -1]), ret.mean(axis=1)
@@ -230,8 +235,7 @@ def metric_vectors(ret: np.ndarray, ppy: float) -> dict[str, np.ndarray]:
     safe_m2 = np.where(m2 > 0, m2, 1.0)
     skew = np.where(sd > 0, (away**3).mean(axis=1) / safe_m2**1.5 * ((n - 1) / n) ** 1.5, 0.0)
     kurt = np.where(sd > 0, (away**4).mean(axis=1) / safe_m2**2 * ((n - 1) / n) ** 2 - 3, 0.0)
-    with np.errstate(over="ignore"):
-        cagr = np.where(total > -1, np.power(1 + np.maximum(total, -1), ppy / n) - 1, 0.0)
+    cagr = np.where(total <= -1, 0.0, np.power(1 + total, ppy / n) - 1) if ends else np.power(np.exp(grown[:, -1]), ppy / n) - 1
     ann, vol, semi, worst = mean * ppy, sd * math.sqrt(ppy), down * math.sqrt(ppy), depth.max(axis=1)
     ulcer = np.sqrt((depth * depth).mean(axis=1)) * 100
     var95, es95 = tail(95 / 100)
@@ -275,17 +279,18 @@ def _circular(n: int, block: int, seed: int, key: str, runs: np.ndarray) -> np.n
     return (np.floor(starts * n).astype(np.int64)[:, j // block] + j % block) % n
 
 
-def bootstrap_paths(df: DataFrame, runs: int, ppy: float, seed: int = 0, block: int | None = None, cols: tuple[str, ...] = ("ret",), key: str = "curve_id", longest: int = ARRAY) -> DataFrame:
+def bootstrap_paths(df: DataFrame, runs: int, ppy: float, seed: int = 0, block: int | None = None, cols: tuple[str, ...] = ("ret",), key: str = "curve_id", longest: int = ARRAY, ends: bool = True) -> DataFrame:
     """The metric vector of each (key, run) of a circular-block bootstrap: key, run, col and the metrics.
 
     A task gets a curve as arrays and a range of runs, draws by the same hash as ``bootstrap`` and gives metrics
     only; all ``cols`` share the draws. Curves of more than ``longest`` rows are drawn by ``bootstrap``, row by row.
+    Paths that lose more than all have NaN; ``ends`` as in ``metrics``.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     top = counts.agg(F.max("_n")).first()[0] or 1
     if top > longest:
         drawn = bootstrap(df, "circular", runs, seed, block, key)
-        parts = [path_metrics(drawn, ppy, key, c).withColumn("col", F.lit(c)) for c in cols]
+        parts = [path_metrics(drawn, ppy, key, c, ends).withColumn("col", F.lit(c)) for c in cols]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -306,17 +311,19 @@ def bootstrap_paths(df: DataFrame, runs: int, ppy: float, seed: int = 0, block:
                 n = len(row[cols[0]])
                 drawn = _circular(n, block or max(1, round(n ** (1 / 3))), seed, row[key], some)
                 for c in cols:
-                    yield pd.DataFrame({key: row[key], "run": some.astype(np.int32), "col": c, **metric_vectors(np.asarray(row[c], float)[drawn], ppy)})
+                    yield pd.DataFrame({key: row[key], "run": some.astype(np.int32), "col": c, **metric_vectors(np.asarray(row[c], float)[drawn], ppy, ends)})
 
-    return dealt.mapInPandas(run, schema)
+    made = dealt.mapInPandas(run, schema)
+    # No metric is unknown: a null is a NaN, which pandas does not tell apart.
+    return made.withColumns({m: F.coalesce(m, F.lit(float("nan"))) for m in names if kind(m) == "double"})
 
 
 NAMES = ("sharpe", "cagr", "max_drawdown")
 
 
-def bootstrap_metrics(rets: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = NAMES) -> DataFrame:
-    """V7: circular blocks, the metric vector of each run, and the distribution of each metric."""
-    m = bootstrap_paths(rets, runs, ppy, seed)
+def bootstrap_metrics(rets: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = NAMES, ends: bool = True) -> DataFrame:
+    """V7: circular blocks, the metric vector of each run, and the distribution of each metric; ``ends`` as in ``metrics``."""
+    m = bootstrap_paths(rets, runs, ppy, seed, ends=ends)
     return summarize(m.unpivot(["curve_id", "run"], list(names), "metric", "value"), ["curve_id", "metric"], "value")
 
 
@@ -504,7 +511,7 @@ _LONG = "long AS (" + " UNION ALL ".join(f"SELECT curve_id, run, '{n}' AS metric
 
 @query("v7_bootstrap_metrics", f"WITH {_Q}, {_drawn_sql('circular', 50, 1)}, m AS {_vector_sql('r')}, {_LONG} SELECT curve_id, metric, count(*) AS n, R6(avg(value)) AS mean, R6(stddev_samp(value)) AS sd, R6(quantile_cont(value, 0.05)) AS p05, R6(quantile_cont(value, 0.5)) AS p50, R6(quantile_cont(value, 0.95)) AS p95 FROM long GROUP BY 1, 2", "v_returns")
 def v7(spark, sf):
-    s = bootstrap_metrics(_rets(spark, sf), 50, 365.0, seed=1)
+    s = bootstrap_metrics(_rets(spark, sf), 50, 365.0, seed=1, ends=False)
     return s.select("curve_id", "metric", "n", r("mean"), r("sd"), r("p05"), r("p50"), r("p95"))
 
 

@@ -74,3 +74,16 @@ def test_kernel_equals_the_join_beyond_a_total_loss(spark):
                 a, b = x[c], kernel[k][c]
                 if k[0] != "d" and isinstance(a, float):
                     assert math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-10), (ends, k, c, a, b)
+
+
+def test_compared_paths_beyond_a_total_loss_count_as_not_a_number(spark, sinking):
+    same(spark, sinking, "v8_bootstrap_compare")
+
+
+def test_compared_growth_after_a_total_loss(spark):
+    """With ``ends`` the growth after a loss of all is 0, without it is -1; a loss of more than all is NaN on either side."""
+    both = lambda v: spark.createDataFrame([("both", i, v if i == 7 else 0.001 * (i % 3), 0.001 * (i % 5 - 1)) for i in range(20)], "curve_id string, i int, a double, b double")
+    growth = lambda df, **k: resample.bootstrap_compare(df, 12, 365.0, seed=3, names=("cagr",), **k).first()
+    assert growth(both(-1.0), ends=False)["max"] > 0.9 > growth(both(-1.0))["max"]
+    ruined = growth(both(-1.5), ends=False)
+    assert ruined["n"] == 12 and math.isnan(ruined["mean"]) and math.isnan(ruined["max"]) and not math.isnan(ruined["min"])

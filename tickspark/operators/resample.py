@@ -327,9 +327,9 @@ def bootstrap_metrics(rets: DataFrame, runs: int, ppy: float, seed: int = 0, nam
     return summarize(m.unpivot(["curve_id", "run"], list(names), "metric", "value"), ["curve_id", "metric"], "value")
 
 
-def bootstrap_compare(both: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = NAMES) -> DataFrame:
+def bootstrap_compare(both: DataFrame, runs: int, ppy: float, seed: int = 0, names: tuple[str, ...] = NAMES, ends: bool = True) -> DataFrame:
     """V8: ``both`` has curve_id, i, a and b at the same times; differences b - a under common resamples."""
-    m = bootstrap_paths(both, runs, ppy, seed, cols=("a", "b"))
+    m = bootstrap_paths(both, runs, ppy, seed, cols=("a", "b"), ends=ends)
     gap = lambda n: F.max(F.when(F.col("col") == "b", F.col(n))) - F.max(F.when(F.col("col") == "a", F.col(n)))
     d = m.groupBy("curve_id", "run").agg(*[gap(n).alias(n) for n in names])
     return summarize(d.unpivot(["curve_id", "run"], list(names), "metric", "value"), ["curve_id", "metric"], "value")
@@ -528,7 +528,7 @@ def v8(spark, sf):
     q = _rets(spark, sf)
     a, b = q.where("curve_id = '1-URGENT'").select("ts_ns", F.col("ret").alias("a")), q.where("curve_id = '2-HIGH'").select("ts_ns", F.col("ret").alias("b"))
     both = a.join(b, "ts_ns").withColumn("curve_id", F.lit("both"))
-    return bootstrap_compare(placed(both, "curve_id", "i"), 50, 365.0, seed=2).select("metric", "n", r("mean"), r("sd"), r("p05"), r("p95"))
+    return bootstrap_compare(placed(both, "curve_id", "i"), 50, 365.0, seed=2, ends=False).select("metric", "n", r("mean"), r("sd"), r("p05"), r("p95"))
 
 
 _PRE = ", ".join("('{}', {}, {}, {}, {}, {}, {}, {}, '{}', {})".format(*p) for p in PRESETS)
